@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from harrow.llm import line_dedup
+from harrow.llm import line_dedup, quality
 
 QUERIES: dict = {}
 ORACLE: dict = {}
 
-for _module in (line_dedup,):
+for _module in (line_dedup, quality):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)
