@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from harrow.llm import line_dedup, quality
+from harrow.llm import line_dedup, mixing, pii, quality, url_filter
 
 QUERIES: dict = {}
 ORACLE: dict = {}
 
-for _module in (line_dedup, quality):
+for _module in (line_dedup, url_filter, pii, mixing, quality):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)
