@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.functions import pandas_udf
 
 SEGMENT = 16  # log2 of the bits of a segment; the bits of a hash lie in one segment
 MIN_BITS, MAX_BITS = 20, 29
@@ -107,3 +108,35 @@ def seen_twice(df: DataFrame, hashes_of: Callable[[Iterable[pd.DataFrame]], Iter
     parts = df.mapInPandas(part, "segment long, once binary, twice binary")
     merged = parts.groupBy("segment").applyInPandas(_merge, "segment long, twice binary")
     return _collected(df.sparkSession, merged, bits, "twice")
+
+
+def seen(df: DataFrame, column: str, rows: int) -> Filter:
+    """The filter of the values of a long column."""
+
+    def twice(batches):
+        for batch in batches:
+            hashes = of_longs(batch[column].to_numpy(np.int64))
+            yield np.concatenate([hashes, hashes])
+
+    return seen_twice(df.select(column).where(f"{column} IS NOT NULL"), twice, log2_bits(rows))
+
+
+def of_longs(x: np.ndarray) -> np.ndarray:
+    """Hashes of numbers, spread over all bits."""
+    h = x.astype(np.int64).view(np.uint64) * _SPREAD[0]
+    h ^= h >> np.uint64(32)
+    h *= _SPREAD[1]
+    return h ^ (h >> np.uint64(29))
+
+
+def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """docs but for rows whose id is in ids (a written table of one column of that name). Only rows that the filter suspects are shuffled."""
+    found = seen(ids, column, ids.count())
+
+    def suspected(x: pd.Series) -> pd.Series:
+        out, there = np.zeros(len(x), bool), x.notna().to_numpy()
+        out[there] = found.holds(of_longs(x[there].to_numpy(np.int64)))
+        return pd.Series(out)
+
+    suspect = pandas_udf(suspected, "boolean")(docs[column])
+    return docs.where(~suspect).unionByName(docs.where(suspect).join(ids, column, "left_anti").select(docs.columns))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from harrow.llm import bpe, embeddings, langid, line_dedup, mixing, pii, quality, url_filter
+from harrow.llm import bpe, embeddings, langid, line_dedup, minhash, mixing, pii, quality, url_filter
 
 QUERIES: dict = {}
 ORACLE: dict = {}
 
-for _module in (langid, line_dedup, url_filter, bpe, pii, mixing, quality, embeddings):
+for _module in (langid, line_dedup, url_filter, bpe, pii, mixing, quality, minhash, embeddings):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)
