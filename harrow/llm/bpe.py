@@ -11,7 +11,7 @@ Special tokens written in a text become their ids, as in the tokenizers library.
 vocabulary with one space, as that library does for a vocabulary without a decoder.
 
 Defined results: null and empty texts have no tokens and decode to the empty text. Rows are treated one by one; other columns
-pass through. A null list of ids decodes to null.
+pass through, but for those named like the one added, which it replaces. A null list of ids decodes to null.
 """
 
 from __future__ import annotations
@@ -207,6 +207,7 @@ def slices(batch: pa.RecordBatch, column: str, chars: int = SLICE_CHARS):
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with the ids of each text added, as array<int>."""
+    docs = docs.drop(ids)
     bpe = docs.sparkSession.sparkContext.broadcast(WordBpe(path))
 
     def run(batches):
@@ -222,6 +223,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """df with the text of each list of ids added."""
+    df = df.drop(text)
     tokens = df.sparkSession.sparkContext.broadcast(WordBpe(path).tokens)
 
     def run(batches):

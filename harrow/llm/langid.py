@@ -11,7 +11,7 @@ reaches the driver is bounded by languages times BUCKETS, whatever the corpus.
 
 Defined results: a null text, or one without a letter, is und with score 0 and no spans. With nothing to learn from, every text is
 und. A text whose letters no language can hold gets the most frequent language with score 0. Rows are judged one by one;
-other columns pass through.
+other columns pass through, but for those named like the ones added, which they replace.
 """
 
 from __future__ import annotations
@@ -176,6 +176,7 @@ SPANS = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.Struc
 
 def label(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """docs with lang_pred, score (the share of its letters in spans of that language) and spans (lang, start, end in code points) added."""
+    docs = docs.drop("lang_pred", "score", "spans")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judged(batch: pa.RecordBatch, found: list[dict], scores: list[np.ndarray]) -> pa.RecordBatch:

@@ -5,7 +5,7 @@ hash the second filter holds are shuffled, with their text, to be confirmed exac
 
 Defined results: a null or empty text is one empty line and stays as it is. Lines are counted by documents, so that a line
 repeated only within one document stays. Rows that share a doc_id count as one document. Rows with a null doc_id take no
-part and stay as they are. Other columns, whatever their names, pass through. No rows in, no rows out.
+part and stay as they are. Other columns pass through, but for those named like the ones added, which they replace. No rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrow.llm import bloom
-from harrow.llm.shared import documents, sha256_hex, written
+from harrow.llm.shared import documents, sha256_hex, with_fields, written
 
 BLANK = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 10
@@ -42,6 +42,7 @@ def _hashes(keys) -> np.ndarray:
 
 def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs (doc_id, text, ...) with text shortened, and n_lines (before) and n_dropped added."""
+    docs = docs.drop("n_lines", "n_dropped")
     used = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     lines = used.agg(F.sum(F.regexp_count("text", F.lit("\n")) + 1).alias("n")).first()["n"] or 0
 
@@ -65,7 +66,7 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     repeated = found.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
     losing = found.join(repeated, "key").where("doc_id > first_id").groupBy("doc_id").agg(F.collect_set("key").alias("_keys"))
     joined = docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns}).join(losing.withColumnRenamed("doc_id", "_id"), F.col("own_doc_id") == F.col("_id"), "left").drop("_id")
-    schema = docs.schema.add("n_lines", "long").add("n_dropped", "long")
+    schema = with_fields(docs.schema, n_lines="long", n_dropped="long")
 
     def keep(batches):
         for batch in batches:

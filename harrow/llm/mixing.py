@@ -13,7 +13,7 @@ likewise; given targets are shares by name, and names without one keep their own
 The sample's size: the largest that the probabilities allow (the largest probability is 1), unless rate says less.
 
 Defined results: null source, language or text are cells of their own (named "", and a text without words has no tokens,
-so that it is kept with its cell's probability). Repeated ids are kept or dropped together. Other columns pass through.
+so that it is kept with its cell's probability). Repeated ids are kept or dropped together. Other columns pass through, but for those named like the ones added, which they replace.
 """
 
 from __future__ import annotations
@@ -85,7 +85,8 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rate: float | None = None, seed: str = SEED) -> DataFrame:
-    """The documents kept, with their cell (mix_source, mix_lang, mix_topic), probability p and weight 1/p added."""
+    """The documents kept, with their cell (mix_source, mix_lang, mix_topic) and probability (mix_p) added."""
+    docs = docs.drop("mix_source", "mix_lang", "mix_topic", "mix_p")
     placed = cells_of(docs)
     names = [F.col(f"_mix_{d}").alias(d) for d in DIMENSIONS]
     cells = written(placed.groupBy(*names).agg(F.sum("_mix_tokens").alias("tokens")).coalesce(1), "cells")

@@ -5,8 +5,7 @@ Python. RULES gives each rule's ratio as two integer Columns, numerator and deno
 fails a rule if its ratio lies outside. A rule whose denominator is 0 doesn't apply.
 
 Defined results: a null or empty text has no words and fails the base rule. Rows are judged one by one, so that repeated
-ids and rows keep their own results; other columns pass through (a clash with a measure's name is an error of the caller's
-choice of prefix, which sets the names of all columns added).
+ids and rows keep their own results; other columns pass through, but for those named like the ones added, which they replace.
 """
 
 from __future__ import annotations
@@ -100,6 +99,7 @@ def judge(docs: DataFrame, rules=RULES, prefix: str = "", text: str = "text") ->
     """docs with the measures, base_failed, failed_rules (names joined by commas) and kept added."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words"]
     at = lambda n: F.col(f"_measures.lines.{n}" if n in ("n_lines", "n_dup_lines") else f"_measures.{n}")
+    docs = docs.drop(*[prefix + n for n in (*names, "base_failed", "failed_rules", "kept")])
     measured = docs.withColumn("_measures", measures(F.coalesce(F.col(text), F.lit(""))))
     base = (at("n_words") < 20) | (100 * at("n_repeat_words") > 30 * at("n_words"))
     reasons = F.concat_ws(",", *[F.when(failed(r, at), F.lit(r.name)) for r in rules])

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from harrow.llm import bpe, embeddings, langid, line_dedup, minhash, mixing, pii, quality, url_filter
+import corpus_pipeline
+from harrow.llm import bpe, embeddings, langid, line_dedup, minhash, mixing, pii, quality, suffix_dedup, url_filter
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+QUERIES: dict = {"pipeline": corpus_pipeline.run}
+ORACLE: dict = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
 
-for _module in (langid, line_dedup, url_filter, bpe, pii, mixing, quality, minhash, embeddings):
+for _module in (langid, line_dedup, suffix_dedup, url_filter, bpe, pii, mixing, quality, minhash, embeddings):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)

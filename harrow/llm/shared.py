@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,3 +37,8 @@ def text_or_empty(column: str = "text"):
 
 def sha256_hex(column):
     return F.sha2(F.encode(column, "UTF-8"), 256)
+
+
+def with_fields(schema: T.StructType, **added: str) -> T.StructType:
+    """A new schema with fields of simple types added."""
+    return T.StructType([*schema.fields, *(T.StructField(name, T.StructType.fromDDL(f"x {kind}")["x"].dataType) for name, kind in added.items())])

@@ -10,7 +10,7 @@ UTF-8 never uses separates host and path). Among the rules that fit, the longest
 block before allow, then the earlier. A URL that no rule fits is blocked if a glob fits it, else allowed.
 
 Defined results: a null URL, or one without "://", has an empty host and path; it then fits no rule. Repeated rows keep
-their own verdicts; other columns pass through.
+their own verdicts; other columns pass through, but for those named like the ones added, which they replace.
 """
 
 from __future__ import annotations
@@ -137,6 +137,7 @@ def host_and_path(url):
 
 def judge_urls(df: DataFrame, rules=RULES, globs=GLOBS, url: str = "url") -> DataFrame:
     """df with host, path, rule (its host and path, or null), glob (whether one fits) and verdict added."""
+    df = df.drop("host", "path", "rule", "glob", "verdict")
     ranked = sorted(rules, key=lambda r: (-len(r.text), r.action != "block"))
     automaton = ShiftAnd([r.pattern for r in ranked] + [glob_pattern(*g) for g in globs])
     names = np.array([r.text for r in ranked] + [None], object)
