@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from harrow.plans import entities
+from harrow.plans import entities, text_queries
 
 FLAGSHIP = "entity_first"
 QUERIES: dict = {}
 ORACLE: dict = {}
 
-for _module in (entities,):
+for _module in (entities, text_queries):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)
