@@ -5,6 +5,7 @@ Word boundaries are those of ASCII words and white space includes the non-breaki
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
@@ -33,28 +34,34 @@ def clean(c) -> Column:
     return F.regexp_replace(F.regexp_replace(_c(c), f"[{WS}]+", " "), "^ | $", "")
 
 
-def _normal(form: str, c: Column, strip_marks: bool) -> Column:
+def nfkc(c) -> Column:
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        def one(x):
-            if x is None:
-                return None
-            x = unicodedata.normalize(form, x)
-            return "".join(k for k in x if not unicodedata.category(k).startswith("M")) if strip_marks else x
-
-        return s.map(one)
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
+    c = _c(c)
     ascii_only = F.octet_length(c) == F.length(c)
     return F.when(ascii_only, c).otherwise(run(F.when(~ascii_only, c)))
 
 
-def nfkc(c) -> Column:
-    return _normal("NFKC", _c(c), False)
+@functools.cache
+def _bare_letters() -> tuple[str, str]:
+    """Letters that decompose to one letter and marks, and those letters; derived from the Unicode tables."""
+    pairs = []
+    for x in map(chr, range(0x80, 0x10000)):
+        base = "".join(k for k in unicodedata.normalize("NFKD", x) if not unicodedata.category(k).startswith("M"))
+        if len(base) == 1 and base != x:
+            pairs.append((x, base))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
 def fold(c) -> Column:
-    """Lower case without accents, white space collapsed."""
-    return clean(_normal("NFKD", F.lower(_c(c)), True))
+    """Lower case without accents, white space collapsed. All in the JVM, so that it can be used inside of array functions; a letter that decomposes to
+    several stays."""
+    letters, bare = _bare_letters()
+    c = F.lower(_c(c))
+    plain_text = F.regexp_replace(F.translate(c, letters, bare), r"\p{M}", "")
+    return clean(F.when(F.octet_length(c) == F.length(c), c).otherwise(plain_text))
 
 
 def norm(c) -> Column:

@@ -100,10 +100,10 @@ def best_feed(feeds: DataFrame) -> DataFrame:
 
 def upper_median(rows: DataFrame, value: str) -> DataFrame:
     """The middle value, the upper one of two, of all rows; counted by value, so that equal values are one row."""
-    by = rows.groupBy(value).agg(F.count("*").alias("n"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = by.withColumns({"_to": F.sum("n").over(w), "_all": F.sum("n").over(Window.partitionBy())})
-    return ranked.where(F.col("_to") > F.floor(F.col("_all") / 2)).agg(F.min(value).alias("median"))
+    by = rows.select(F.col(value).alias("_v")).groupBy("_v").agg(F.count("*").alias("_n"))
+    w = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = by.withColumns({"_to": F.sum("_n").over(w), "_all": F.sum("_n").over(Window.partitionBy())})
+    return ranked.where(F.col("_to") > F.floor(F.col("_all") / 2)).agg(F.min("_v").alias("median"))
 
 
 def job_stats(rows: DataFrame, company: str, looked: str, people: str, website: str, needs: str) -> DataFrame:
