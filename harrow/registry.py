@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from harrow.plans import entities, join_queries, order_queries, text_queries
+from harrow.streaming import jobs
 
 FLAGSHIP = "entity_first"
 QUERIES: dict = {}
 ORACLE: dict = {}
 
-for _module in (entities, text_queries, join_queries, order_queries):
+for _module in (entities, text_queries, join_queries, order_queries, jobs):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)
