@@ -17,6 +17,7 @@ SCRIPT = r"(?is)<(script|style|noscript|template|iframe|object|embed|svg)\b[^>]*
 BLOCKS = r"(?i)</?(p|div|li|ul|ol|tr|td|th|h[1-6]|section|article|br|dt|dd|address|header|footer|main|aside|nav|blockquote|figcaption)\b[^>]*>"
 CHROME = r"(?is)<(nav|header|footer|aside)\b[^>]*>.*?</\1\s*>"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+SCOPES = {"ul", "ol", "dl", "table", "select", "div", "section", "article", "nav", "body"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
 
@@ -161,8 +162,13 @@ class _Elements(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
-        while self.open and self.rows[self.open[-1]]["tag"] in CLOSES.get(tag, ()):
-            self.open.pop()
+        for i in range(len(self.open) - 1, -1, -1):
+            above = self.rows[self.open[i]]["tag"]
+            if above in CLOSES.get(tag, ()):
+                del self.open[i:]
+                break
+            if above in SCOPES:
+                break
         parent = self.open[-1] if self.open else -1
         chrome = tag in ("nav", "header", "footer", "aside") or (parent >= 0 and self.rows[parent]["chrome"])
         link = a.get("href") if tag == "a" else a.get("src") or a.get("data-src")
@@ -207,7 +213,7 @@ def elements(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def sibling_lists(nodes: DataFrame, least: int = 3) -> DataFrame:
     """(page_id, parent, sig, items, first, last, chrome): siblings of one signature, three or more."""
-    groups = nodes.where("parent >= 0").groupBy("page_id", "parent", "sig").agg(F.count("*").alias("items"), F.min("node").alias("first"), F.max("node").alias("last"), F.max("chrome").alias("chrome"))
+    groups = nodes.groupBy("page_id", "parent", "sig").agg(F.count("*").alias("items"), F.min("node").alias("first"), F.max("node").alias("last"), F.max("chrome").alias("chrome"))
     return groups.where(F.col("items") >= least)
 
 
