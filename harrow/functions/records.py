@@ -243,3 +243,91 @@ def page_requests(feeds: DataFrame, pages: int) -> DataFrame:
     out = feeds.withColumn("page_index", F.explode(F.sequence(F.lit(0), F.lit(pages - 1))))
     url = F.when(p["style"].startswith("query"), F.regexp_replace(F.col("url"), F.concat(F.lit(r"([?&]"), p["key"], F.lit("=)[0-9]+")), F.concat(F.lit("$1"), number.cast("string")))).otherwise(F.col("url"))
     return out.withColumns({"page_number": number, "page_url": url})
+
+
+def dig(payload: Column, path: str) -> Column:
+    """What lies at a dotted path of a JSON payload, as text or JSON; null if nothing does."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        found = s.map(lambda x: at_path(parsed(x), path))
+        return found.map(lambda v: None if v is None else js(v) if isinstance(v, (dict, list)) else said(v))
+
+    return run(payload)
+
+
+def number_in(payload: Column, keys: list[str]) -> Column:
+    """The first whole number under one of the keys of a JSON payload; ["paginationLimitedTo"] gives a feed's cap."""
+
+    @F.pandas_udf("long")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: number_under(parsed(x), keys)).astype("Int64")
+
+    return run(payload)
+
+
+def changed(payload: Column, path: str, value: Column | None = None) -> Column:
+    """A JSON payload with the value at a dotted path written (given as JSON), or taken away; objects on the way are made."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series, v: pd.Series) -> pd.Series:
+        def one(x, y):
+            root = parsed(x)
+            if not isinstance(root, (dict, list)):
+                return x
+            *parents, last = path.split(".")
+            node = root
+            for p, following in zip(parents, [*parents[1:], last], strict=True):
+                here = at_path(node, p)
+                if not isinstance(here, (dict, list)):
+                    if y is None:
+                        return x
+                    here = [] if following.isdigit() else {}
+                    put(node, p, here)
+                node = here
+            if y is not None:
+                put(node, last, parsed(y))
+            elif isinstance(node, dict):
+                node.pop(last, None)
+            elif last.isdigit() and int(last) < len(node):
+                del node[int(last)]
+            return js(root)
+
+        return pd.Series([one(x, y) for x, y in zip(s, v, strict=True)])
+
+    def put(node, key, new):
+        if isinstance(node, dict):
+            node[key] = new
+        else:
+            node.extend([None] * (int(key) + 1 - len(node)))
+            node[int(key)] = new
+
+    return run(payload, value if value is not None else F.lit(None).cast("string"))
+
+
+#: Where structured data keeps people.
+PEOPLE_UNDER = ("founder", "founders", "employee", "employees", "member", "contactPoint", "@graph", "author", "publisher", "owner")
+
+
+def json_ld_people(pages: DataFrame, html: str = "html") -> DataFrame:
+    """(page_id, _ord, name, title, email, phone): people in the structured data of pages, to be held against names and roles by Column functions."""
+
+    def people(node, depth=0):
+        if depth > 6:
+            return
+        if isinstance(node, list):
+            for x in node:
+                yield from people(x, depth + 1)
+        elif isinstance(node, dict):
+            if "person" in str(node.get("@type", "")).lower() and isinstance(node.get("name"), str):
+                yield tuple(x if isinstance(x := node.get(k), str) else None for k in ("name", "jobTitle", "email", "telephone"))
+            for k in PEOPLE_UNDER:
+                yield from people(node.get(k), depth + 1)
+
+    def run(r):
+        for i, (name, title, email, phone) in enumerate(people(parsed(r["block"]))):
+            yield r["page_id"], r["pos"] * 1000 + i, name, title, (email or "").removeprefix("mailto:") or None, phone
+
+    blocks = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<script[^>]+application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
+    each = pages.select("page_id", F.posexplode(blocks).alias("pos", "block"))
+    return _batched(each, run, "page_id long, _ord long, name string, title string, email string, phone string")
