@@ -193,7 +193,13 @@ def sanitize_html(spark, sf_dir):
     return p.select("page_id", F.regexp_extract("clean", "<h1>([^<]*)", 1).alias("h1"), F.col("html").contains("<script").alias("had_script"), F.col("clean").rlike("(?i)<script").alias("has_script"))
 
 
-@query()
+@query(
+    r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<noscript\b[^>]*>.*?</noscript\s*>|<template\b[^>]*>.*?</template\s*>|<iframe\b[^>]*>.*?</iframe\s*>|<object\b[^>]*>.*?</object\s*>|<embed\b[^>]*>.*?</embed\s*>|<svg\b[^>]*>.*?</svg\s*>', '', 'g'), '(?is)<head\b[^>]*>.*?</head\s*>', '', 'g') AS h FROM pages),
+        b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '(?is)<nav\b[^>]*>.*?</nav\s*>|<header\b[^>]*>.*?</header\s*>|<footer\b[^>]*>.*?</footer\s*>|<aside\b[^>]*>.*?</aside\s*>', chr(10), 'g'), '(?i)</?(p|div|li|ul|ol|tr|td|th|h[1-6]|section|article|br|dt|dd|address|header|footer|main|aside|nav|blockquote|figcaption)\b[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g') AS s FROM a),
+        c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(s, '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS s FROM b),
+        l AS (SELECT page_id, list_filter(list_transform(string_split(s, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS ls FROM c)
+        SELECT page_id, (generate_subscripts(ls, 1) - 1)::INTEGER AS line_no, unnest(ls) AS line FROM l"""
+)
 def page_lines(spark, sf_dir):
     return C.lines_of(table(spark, sf_dir, "pages"), content_only=True).select("page_id", "line_no", "line")
 
