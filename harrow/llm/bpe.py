@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from harrow.llm.shared import documents, sha256_hex, text_or_empty
+from harrow.llm.shared import documents, sha256_hex, text_or_empty, tidy
 
-CACHE_WORDS = 300_000
-SLICE_CHARS = 4_000_000
+CACHE_WORDS = 200_000
+SLICE_CHARS = 2_000_000
 NONE = np.int64(1) << np.int64(62)
 # Fixed value: how the vocabulary's words are found in normalised text.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -184,16 +184,6 @@ class Encoder:
         return self.flat[take], bounds
 
 
-_KEPT: list[Encoder] = []
-
-
-def kept_encoder(bpe: WordBpe) -> Encoder:
-    """The one that earlier tasks of this worker left, if it is for the same vocabulary."""
-    if not _KEPT or _KEPT[0].bpe is not bpe:
-        _KEPT[:] = [Encoder(bpe)]
-    return _KEPT[0]
-
-
 def slices(batch: pa.RecordBatch, column: str, chars: int = SLICE_CHARS):
     """A batch in parts of about so many characters of a column, one row at least."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
@@ -211,14 +201,14 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     bpe = docs.sparkSession.sparkContext.broadcast(WordBpe(path))
 
     def run(batches):
-        encoder = kept_encoder(bpe.value)
+        encoder = Encoder(bpe.value)
         for whole in batches:
             for batch in slices(whole, text):
                 flat, bounds = encoder.encode(batch.column(text).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, ids])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -238,7 +228,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
                 texts = pc.if_else(pc.is_null(own), pa.scalar(None, pa.string()), pc.binary_join(again, " "))
                 yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, text])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(text, T.StringType())]))
+    return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, T.StructField(text, T.StringType())]))
 
 
 def default_path() -> str:

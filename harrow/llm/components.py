@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.shared import written
+from harrow.llm.shared import tidy, written
 
 EDGE = "a long, b long"
 
@@ -43,7 +43,7 @@ def forest(edges: DataFrame) -> DataFrame:
             kept = _stars(np.concatenate([kept, batch[["a", "b"]].to_numpy(np.int64)]))
         yield pd.DataFrame({"a": kept[:, 0], "b": kept[:, 1]})
 
-    return edges.mapInPandas(reduce, EDGE)
+    return edges.mapInPandas(tidy(reduce), EDGE)
 
 
 def _stars(edges: np.ndarray) -> np.ndarray:

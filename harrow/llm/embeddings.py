@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrow.llm import components as cc
-from harrow.llm.shared import written
+from harrow.llm.shared import tidy, written
 
 COSINE = 0.95
 GRID, LEADING = 4, 16  # dimensions that order the vectors, and that bound blocks
@@ -53,7 +53,7 @@ def principal(vectors: DataFrame, size: int, most: int = LEADING) -> np.ndarray:
                 total += x.T @ x
         yield pd.DataFrame({"at": np.arange(total.size), "x": total.ravel()})
 
-    rows = vectors.select("v").mapInPandas(sums, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
+    rows = vectors.select("v").mapInPandas(tidy(sums), "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
     total = np.zeros((size + 1) ** 2)
     total[rows["at"]] = rows["x"]
     total = total.reshape(size + 1, size + 1)
@@ -128,7 +128,7 @@ def _blocks(vectors: DataFrame, axes: np.ndarray, eps: float, rows: int, block:
                 yield pd.DataFrame({"id": batch["id"], "n": batch["n"], "u": list(u)} | {f"c{i}": cells[:, i] for i in range(k)})
 
     keys = [f"c{i}" for i in range(k)]
-    placed = vectors.mapInPandas(place, "id long, n long, u array<double>, " + ", ".join(f"{c} long" for c in keys))
+    placed = vectors.mapInPandas(tidy(place), "id long, n long, u array<double>, " + ", ".join(f"{c} long" for c in keys))
     ordered = placed.repartitionByRange(max(1, -(-rows // block)), *keys, "id").sortWithinPartitions(*keys, "id")
 
     def cut(batches):
@@ -141,7 +141,7 @@ def _blocks(vectors: DataFrame, axes: np.ndarray, eps: float, rows: int, block:
                 yield pd.DataFrame({"block": [part * 1_000_000 + number], "ids": [some["id"].to_numpy(np.int64).tobytes()], "counts": [some["n"].to_numpy(np.int64).tobytes()], "u": [u.tobytes()], "low": [p.min(axis=0)], "high": [p.max(axis=0)]})
                 number += 1
 
-    return written(ordered.mapInPandas(cut, "block long, ids binary, counts binary, u binary, low array<double>, high array<double>"), "blocks")
+    return written(ordered.mapInPandas(tidy(cut), "block long, ids binary, counts binary, u binary, low array<double>, high array<double>"), "blocks")
 
 
 def _block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
@@ -179,7 +179,7 @@ def near_links(vectors: DataFrame, size: int, rows: int, cosine: float = COSINE,
                 np.minimum.at(least, lab, ids)
                 yield pd.DataFrame({"id": ids[some], "links": count[some], "root": least[lab[some]]})
 
-    return pairs.mapInPandas(compare, "id long, links long, root long")
+    return pairs.mapInPandas(tidy(compare), "id long, links long, root long")
 
 
 def near_duplicates(df: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:

@@ -26,14 +26,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harrow.llm.bpe import slices
-from harrow.llm.shared import documents
+from harrow.llm.shared import documents, tidy
 
 SAMPLE = 3000
+MOST_LANGS = 256  # the most frequent labels are learned; labels beyond are noise
 BUCKETS = 1 << 16
 SWITCH, CLIP, NEVER = 6.0, 4.0, -1e6
 UND = "und"
 LEAST_SHARE = 0.005  # of a language's letters, for a script to count as one of its own
-SLICE, TOGETHER = 2_000_000, 40_000_000  # code points featured at once, and labelled at once
+SLICE, TOGETHER = 500_000, 12_000_000  # code points featured at once, and labelled at once
 # First code points of script ranges and the script that begins there.
 SCRIPTS = [
     (0, "other"), (0x41, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x700, "other"),
@@ -81,7 +82,8 @@ def features(texts: list[str | None]) -> dict[str, np.ndarray]:
     within = (np.arange(len(at)) - np.repeat(begin, size)).astype(np.uint64)
     word = np.add.reduceat(mixed * (within * _A | np.uint64(1)), begin) if len(begin) else np.zeros(0, np.uint64)
     word = ((word * _C) >> np.uint64(48)).astype(np.int64)
-    return {"doc": doc, "start": first - starts[doc], "end": last + 1 - starts[doc], "script": script[first] - 1, "trigram": trigram, "begin": begin, "size": size, "word": word}
+    spans = {"doc": doc, "start": first - starts[doc], "end": last + 1 - starts[doc], "size": size}
+    return {k: v.astype(np.int32) for k, v in spans.items()} | {"script": script[first] - 1, "trigram": trigram, "begin": begin, "word": word}
 
 
 def _lower(text: str) -> str:
@@ -142,7 +144,8 @@ def held_out(doc_id: Column) -> Column:
 
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model from rows (doc_id, text, lang) without nulls; None if there are none."""
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS)
+    sizes = {r["lang"]: r["count"] for r in counts.collect()}
     langs = sorted(sizes, key=lambda x: (-sizes[x], x))
     if not langs:
         return None
@@ -162,7 +165,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
             at = np.nonzero(counts)[0]
             yield pd.DataFrame({"lang": lang, "kind": kind, "at": at, "n": counts[at].astype(np.int64)})
 
-    found = chosen.select("lang", "text").mapInPandas(count, "lang string, kind int, at int, n long")
+    found = chosen.select("lang", "text").mapInPandas(tidy(count), "lang string, kind int, at int, n long")
     totals = found.groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")).toPandas()
     tables = [np.zeros((width, len(langs))) for width in (BUCKETS, BUCKETS, len(NAMES))]
     place = {lang: i for i, lang in enumerate(langs)}
@@ -203,7 +206,7 @@ def label(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
                 for part in slices(batch, text, SLICE):
                     f = features(part.column(text).to_pylist())
                     scores.append(shared.value.emissions(f))
-                    found.append({k: f[k] for k in ("start", "end", "size")} | {"doc": f["doc"] + done})
+                    found.append({k: f[k] for k in ("start", "end", "size")} | {"doc": f["doc"] + np.int32(done)})
                     done += part.num_rows
                 if found:
                     yield judged(batch, found, scores)
@@ -211,7 +214,7 @@ def label(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", SPANS)]
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UND), "score": F.lit(0.0), "spans": F.array().cast(SPANS)})
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, *added]))
 
 
 def labelled_rows(docs: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from harrow.llm import bloom
 from harrow.llm import components as cc
-from harrow.llm.shared import documents, written
+from harrow.llm.shared import documents, tidy, written
 
 WIDTH, SIMILARITY = 5, 80  # words a shingle, per cent
 BANDS, ROWS = 32, 5
@@ -202,7 +202,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, high long, low long, bands array<long>, sketch binary")
+    return docs.select("doc_id", "text").mapInPandas(tidy(run), "doc_id long, n_shingles long, high long, low long, bands array<long>, sketch binary")
 
 
 def candidates(classes: DataFrame, percent: int) -> DataFrame:
@@ -222,7 +222,7 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
                 at = np.nonzero(shared.holds(k.view(np.uint64)))[0]
                 yield batch[["id", "n", "sketch"]].iloc[at // BANDS].assign(key=k[at])
 
-    found = written(classes.mapInPandas(suspects, "id long, n long, sketch binary, key long"), "suspects")
+    found = written(classes.mapInPandas(tidy(suspects), "id long, n long, sketch binary, key long"), "suspects")
     most = most_differing(percent / 100 - MARGIN)
 
     def compare(batches):
@@ -239,7 +239,7 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
         if out_a:
             yield pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)}).drop_duplicates()
 
-    return dealt(found, "key", F.lit(1), BUCKET_ROWS).mapInPandas(compare, cc.EDGE)
+    return dealt(found, "key", F.lit(1), BUCKET_ROWS).mapInPandas(tidy(compare), cc.EDGE)
 
 
 def confirmed(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
@@ -252,7 +252,7 @@ def confirmed(docs: DataFrame, members: DataFrame, width: int, percent: int) ->
             batch = batch[wanted.holds(bloom.of_longs(batch["doc_id"].to_numpy(np.int64)))]
             yield pd.DataFrame({"id": batch["doc_id"].to_numpy(np.int64), "shingles": [shingles(t, width).tobytes() for t in batch["text"]]})
 
-    full = docs.select("doc_id", "text").mapInPandas(sets, "id long, shingles binary").join(members, "id")
+    full = docs.select("doc_id", "text").mapInPandas(tidy(sets), "id long, shingles binary").join(members, "id")
 
     def compare(batches):
         for g in groups(batches, ["component_id", "p", "q"]):
@@ -260,7 +260,7 @@ def confirmed(docs: DataFrame, members: DataFrame, width: int, percent: int) ->
                 a, b = by_sets(g["id"].to_numpy(), [np.frombuffer(x, np.uint64) for x in g["shingles"]], percent)
                 yield pd.DataFrame({"a": a, "b": b})
 
-    return dealt(written(full, "sets"), "component_id", F.col("n"), GROUP_SHINGLES).mapInPandas(compare, cc.EDGE)
+    return dealt(written(full, "sets"), "component_id", F.col("n"), GROUP_SHINGLES).mapInPandas(tidy(compare), cc.EDGE)
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = SIMILARITY) -> DataFrame:

@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; where that is unset, as in tests, a new local folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="harrow-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="harrow-")
+        folder = _OWN[app]
     return folder
 
 
@@ -42,3 +52,25 @@ def sha256_hex(column):
 def with_fields(schema: T.StructType, **added: str) -> T.StructType:
     """A new schema with fields of simple types added."""
     return T.StructType([*schema.fields, *(T.StructField(name, T.StructType.fromDDL(f"x {kind}")["x"].dataType) for name, kind in added.items())])
+
+
+@functools.cache
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def tidy(run: Callable) -> Callable:
+    """A function over a partition's batches that gives its worker's freed memory back when it is done: workers wait for further tasks beside the JVM."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    return tidied
