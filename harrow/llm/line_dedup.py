@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrow.llm import bloom
-from harrow.llm.shared import documents, sha256_hex, with_fields, written
+from harrow.llm.shared import documents, sha256_hex, tidy, with_fields, written
 
 BLANK = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 10
@@ -62,8 +62,9 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                     keys += hit
             yield pd.DataFrame({"doc_id": ids, "key": keys})
 
-    found = written(used.mapInPandas(suspects, "doc_id long, key binary"), "lines")
+    found = written(used.mapInPandas(tidy(suspects), "doc_id long, key binary"), "lines")
     repeated = found.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
+    repeated = written(repeated, "repeated")  # both sides of the join are then shuffled as they are, and Spark can split the partition of a frequent line
     losing = found.join(repeated, "key").where("doc_id > first_id").groupBy("doc_id").agg(F.collect_set("key").alias("_keys"))
     joined = docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns}).join(losing.withColumnRenamed("doc_id", "_id"), F.col("own_doc_id") == F.col("_id"), "left").drop("_id")
     schema = with_fields(docs.schema, n_lines="long", n_dropped="long")
@@ -87,7 +88,7 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             out["text"] = texts
             yield out.assign(n_lines=before, n_dropped=dropped)
 
-    return joined.mapInPandas(keep, schema)
+    return joined.mapInPandas(tidy(keep), schema)
 
 
 def op2_line_dedup(spark, sf_dir) -> DataFrame:
