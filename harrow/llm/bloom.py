@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.functions import pandas_udf
 
+from harrow.llm.shared import tidy
+
 SEGMENT = 16  # log2 of the bits of a segment; the bits of a hash lie in one segment
 MIN_BITS, MAX_BITS = 20, 29
 _SPREAD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -32,6 +34,8 @@ def places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, list[np.ndarray]]
 
 def _segments(hashes: np.ndarray, bits: int) -> dict[int, np.ndarray]:
     """hashes: sorted, each once."""
+    if not len(hashes):
+        return {}
     where, at = places(hashes, bits)
     names, starts = np.unique(where, return_index=True)
     out = {}
@@ -105,7 +109,7 @@ def seen_twice(df: DataFrame, hashes_of: Callable[[Iterable[pd.DataFrame]], Iter
             some = names[i : i + 256]
             yield pd.DataFrame({"segment": some, "once": [_pack(once[x]) for x in some], "twice": [_pack(twice[x]) if x in twice else None for x in some]})
 
-    parts = df.mapInPandas(part, "segment long, once binary, twice binary")
+    parts = df.mapInPandas(tidy(part), "segment long, once binary, twice binary")
     merged = parts.groupBy("segment").applyInPandas(_merge, "segment long, twice binary")
     return _collected(df.sparkSession, merged, bits, "twice")
 

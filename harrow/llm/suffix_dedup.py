@@ -3,16 +3,17 @@
 Suffixes are compared where repeats can be. Each string of LENGTH bytes has an anchor, the place of the least hash among its
 GRAM-byte grams; equal strings have their anchors at the same offset. So
 
-1. anchors that occur once are ruled out by a twice-seen Bloom filter; each remaining anchor gives a context, the bytes
-   of all the strings that it is the anchor of. Equal contexts of one task become one row with their owners.
-2. The contexts of an anchor come from the shards (the tasks of step 1) to one bucket and are merged there as shard
-   Burrows-Wheeler transforms are: their suffixes at the anchor start as one interleave, which is refined iteratively, eight
-   bytes a round and only where neighbours still tie, which also gives the common prefixes of neighbours (refine). Then
-   the order of the suffixes one byte to the left follows from the order at hand by a stable partition on the byte before
-   (the transform's column), and so on over all offsets, never sorting suffixes again (extend). Common prefixes come from range
-   minima over those at the anchor. Neighbours with a common prefix of LENGTH bytes are the repeated intervals.
-   Many buckets are merged side by side in numpy.
-3. An anchor with more than HOT contexts would be an unbounded bucket. Its strings are counted one by one instead, by a
+1. anchors that occur once are ruled out by a twice-seen Bloom filter; each remaining anchor has a context, the bytes
+   of all the strings that it is the anchor of. An anchor whose contexts are all equal, by their 128-bit digests, needs no more:
+   its strings are repeated. (Inside of copies, nearly all are.) The others are mixed.
+2. The contexts of a mixed anchor come from the shards (the tasks of step 1, in which equal ones are one row with its owners)
+   to one bucket and are merged there as shard Burrows-Wheeler transforms are: their suffixes at the anchor start as one
+   interleave, which is refined iteratively, eight bytes a round and only where neighbours still tie, which also gives the
+   common prefixes of neighbours (refine). Then the order of the suffixes one byte to the left follows from the order at hand
+   by a stable partition on the byte before (the transform's column), and so on over all offsets, never sorting suffixes again
+   (repeated). Common prefixes come from range minima over those at the anchor. Neighbours with a common prefix of LENGTH bytes
+   are the repeated intervals. Many buckets are merged side by side in numpy.
+3. A mixed anchor with more than HOT contexts would be an unbounded bucket. Its strings are counted one by one instead, by a
    128-bit digest with partial sums before the shuffle: linear, exact but for digest collisions.
 4. Removed bytes are gathered by document. Documents without any are never shuffled.
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrow.llm import bloom
-from harrow.llm.shared import documents, with_fields, written
+from harrow.llm.shared import documents, tidy, with_fields, written
 
 LENGTH, GRAM = 200, 16
 HOT = 2000
@@ -62,20 +63,72 @@ def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
     place = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.nonzero(np.append(True, place[1:] != place[:-1]))[0]
     last = np.append(first[1:] - 1, len(place) - 1)
-    return h[place[first]], place[first], first, last
+    name = h[place[first]] * _B  # least hashes have small upper halves: mixed again
+    name = (name ^ (name >> np.uint64(32))) * _A
+    return name ^ (name >> np.uint64(29)), place[first], first, last
 
 
 def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def contexts(docs: DataFrame, suspected: bloom.Filter, length: int) -> DataFrame:
-    """(anchor, row, left, data, owners) of each context whose anchor is suspected: left bytes of data lie before the anchor;
-    owners: the id, text hash and start of each place that has it, as numbers one after the other (an id that is null: the least)."""
+def _each(batches, suspected: bloom.Filter, length: int):
+    """(id, text hash, data, and the name, place, first and last start of its suspected anchors) of each row; a null id is NO_ID."""
+    for batch in batches:
+        ids = batch["doc_id"].astype("Int64").fillna(NO_ID).to_numpy(np.int64)
+        for doc_id, text_hash, text in zip(ids.tolist(), batch["_sd_hash"].tolist(), batch["text"], strict=True):
+            data = utf8(text)
+            found = anchors(data, length)
+            if len(found[0]):
+                hit = suspected.holds(found[0])
+                if hit.any():
+                    yield doc_id, text_hash, data, [x[hit] for x in found]
+
+
+def anchor_table(docs: DataFrame, suspected: bloom.Filter, length: int) -> DataFrame:
+    """(anchor, rows, uniform) of each suspected anchor: how many contexts the tasks have of it, each counting equal ones once, and whether there
+    are two or more and all are equal."""
+
+    def run(batches):
+        names, digests, held = [], [], 0
+
+        def out():
+            rows = np.concatenate(names), np.concatenate([np.array(x, np.uint64) for x in digests])
+            order = np.lexsort((rows[1][:, 1], rows[1][:, 0], rows[0]))
+            name, digest = rows[0][order], rows[1][order]
+            new = np.append(True, (name[1:] != name[:-1]) | (digest[1:] != digest[:-1]).any(axis=1))
+            at = np.nonzero(new)[0]
+            return pd.DataFrame({"anchor": name[at].view(np.int64), "d1": digest[at, 0].view(np.int64), "d2": digest[at, 1].view(np.int64), "n": np.diff(np.append(at, len(name)))})
+
+        for _, _, data, (name, _, first, last) in _each(batches, suspected, length):
+            names.append(name)
+            whole = (xxhash.xxh3_128_intdigest(data[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True))
+            digests.append([(d >> 64, d & 0xFFFFFFFFFFFFFFFF) for d in whole])
+            held += len(name)
+            if held > 1_000_000:
+                yield out()
+                names, digests, held = [], [], 0
+        if held:
+            yield out()
+
+    parts = docs.mapInPandas(tidy(run), "anchor long, d1 long, d2 long, n long")
+    ends = [f(c).alias(f"{k}_{c}") for c in ("d1", "d2") for k, f in (("min", F.min), ("max", F.max))]
+    table = parts.groupBy("anchor").agg(F.count("*").alias("rows"), F.sum("n").alias("n"), *ends)
+    return table.select("anchor", "rows", ((F.col("n") > 1) & (F.col("min_d1") == F.col("max_d1")) & (F.col("min_d2") == F.col("max_d2"))).alias("uniform"))
+
+
+CONTEXT = "key long, anchor long, row long, left int, data binary, owners binary"
+
+
+def contexts(docs: DataFrame, suspected: bloom.Filter, mixed: bloom.Filter, crowded: bloom.Filter | None, length: int, hot: bool) -> DataFrame:
+    """CONTEXT rows of mixed anchors, either those that are crowded (hot) or the others: left bytes of data lie before the anchor; owners: the id, text
+    hash and start of each place that has it. With the others come the covers of uniform anchors, joined by document: without data, owners as in COVER.
+    An anchor is in neither filter only if it is known to be uniform, or not to be crowded: filters have no false negatives."""
 
     def run(batches):
         number = TaskContext.get().partitionId() << 40
         kept: dict[tuple[int, int, bytes], list[int]] = {}
+        sure: list[tuple[int, int, int, int]] = []
         held = 0
 
         def out():
@@ -83,9 +136,11 @@ def contexts(docs: DataFrame, suspected: bloom.Filter, length: int) -> DataFrame
             rows = list(kept.items())
             for i in range(0, len(rows), 20_000):
                 some = rows[i : i + 20_000]
+                anchor = np.array([k[0] for k, _ in some], np.uint64).view(np.int64)
                 yield pd.DataFrame(
                     {
-                        "anchor": np.array([k[0] for k, _ in some], np.uint64).view(np.int64),
+                        "key": anchor,
+                        "anchor": anchor,
                         "row": np.arange(number, number + len(some)),
                         "left": [k[1] for k, _ in some],
                         "data": [k[2] for k, _ in some],
@@ -93,25 +148,36 @@ def contexts(docs: DataFrame, suspected: bloom.Filter, length: int) -> DataFrame
                     }
                 )
                 number += len(some)
+            for i in range(0, len(sure), 1000):
+                yield pd.DataFrame({"key": [number], "anchor": [number], "row": [number], "left": [0], "data": [None], "owners": [np.array(sure[i : i + 1000], np.int64).tobytes()]})
+                number += 1
             kept.clear()
-
-        for batch in batches:
-            ids = batch["doc_id"].astype("Int64").fillna(NO_ID).to_numpy(np.int64)
-            for doc_id, text_hash, text in zip(ids.tolist(), batch["_sd_hash"].tolist(), batch["text"], strict=True):
-                data = utf8(text)
-                name, place, first, last = anchors(data, length)
-                if not len(name):
-                    continue
-                hit = np.nonzero(suspected.holds(name))[0]
-                for n, p, a, b in zip(name[hit].tolist(), place[hit].tolist(), first[hit].tolist(), last[hit].tolist(), strict=True):
-                    kept.setdefault((n, p - a, data[a : b + length]), []).extend((doc_id, text_hash, a))
-                    held += b - a + length
-                if held > 64_000_000:
-                    yield from out()
-                    held = 0
+            sure.clear()
+
+        for doc_id, text_hash, data, (name, place, first, last) in _each(batches, suspected, length):
+            is_mixed = mixed.holds(bloom.of_longs(name))
+            is_hot = is_mixed & crowded.holds(bloom.of_longs(name)) if crowded else np.zeros(len(name), bool)
+            if not hot:
+                sure += [(doc_id, text_hash, a, b) for a, b in runs(first[~is_mixed], last[~is_mixed] + length)]
+            hit = np.nonzero(is_mixed & (is_hot == hot))[0]
+            for n, p, a, b in zip(name[hit].tolist(), place[hit].tolist(), first[hit].tolist(), last[hit].tolist(), strict=True):
+                kept.setdefault((n, p - a, data[a : b + length]), []).extend((doc_id, text_hash, a))
+                held += b - a + length
+            if held > 48_000_000:
+                yield from out()
+                held = 0
         yield from out()
 
-    return docs.select("doc_id", "text", "_sd_hash").mapInPandas(run, "anchor long, row long, left int, data binary, owners binary")
+    return docs.mapInPandas(tidy(run), CONTEXT)
+
+
+def runs(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
+    """Spans in order of their starts, those that touch as one."""
+    if not len(start):
+        return []
+    new = np.append(True, start[1:] > np.maximum.accumulate(end)[:-1])
+    at = np.nonzero(new)[0]
+    return list(zip(start[at].tolist(), np.maximum.reduceat(end, at).tolist(), strict=True))
 
 
 def refine(bucket: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,6 +248,8 @@ def repeated(bucket: np.ndarray, left: np.ndarray, data: list[bytes], several: n
         if offset:
             live = lefts[now] >= offset
             now, cls = now[live], cls[live]
+            if not len(now):
+                break
             key = cls * 256 + flat[start[order[now]] - offset]
             perm = np.argsort(key, kind="stable")
             now, key = now[perm], key[perm]
@@ -222,12 +290,18 @@ COVER = "_sd_id long, _sd_h long, start long, end long"
 
 
 def merged(rows: DataFrame, length: int) -> DataFrame:
-    """The covers of contexts whose anchors are not hot."""
+    """The covers of contexts, none of a hot anchor; sure covers pass."""
 
     def covered(g: pd.DataFrame) -> pd.DataFrame:
+        known = g["data"].isna()
+        done = np.frombuffer(b"".join(g["owners"][known]), np.int64).reshape(-1, 4)
+        done = pd.DataFrame({"_sd_id": done[:, 0], "_sd_h": done[:, 1], "start": done[:, 2], "end": done[:, 3]})
+        g = g[~known]
+        if not len(g):
+            return done
         left, owners = g["left"].to_numpy(np.int64), list(g["owners"])
         several = np.fromiter((len(x) > 24 for x in owners), bool, len(owners))
-        return covers(left, owners, repeated(g["anchor"].to_numpy(), left, list(g["data"]), several, length), length)
+        return pd.concat([done, covers(left, owners, repeated(g["anchor"].to_numpy(), left, list(g["data"]), several, length), length)])
 
     def run(batches):
         rest = None
@@ -242,7 +316,7 @@ def merged(rows: DataFrame, length: int) -> DataFrame:
         if rest is not None:
             yield covered(rest)
 
-    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(run, COVER)
+    return rows.repartition("key").sortWithinPartitions("anchor").mapInPandas(tidy(run), COVER)
 
 
 def together(anchor: np.ndarray):
@@ -270,7 +344,7 @@ def counted(rows: DataFrame, length: int) -> DataFrame:
                             x.append(y)
                 yield pd.DataFrame({"d1": np.array(out[0], np.uint64).view(np.int64), "d2": np.array(out[1], np.uint64).view(np.int64), "row": np.array(out[2], np.int64), "offset": [x[0] for x in out[3]], "n": [x[1] for x in out[3]]})
 
-    every = written(rows.mapInPandas(strings, "d1 long, d2 long, row long, offset int, n int"), "strings")
+    every = written(rows.mapInPandas(tidy(strings), "d1 long, d2 long, row long, offset int, n int"), "strings")
     twice = written(every.groupBy("d1", "d2").agg(F.sum("n").alias("total")).where("total > 1").select("d1", "d2"), "twice")
     found = every.join(twice, ["d1", "d2"]).groupBy("row").agg(F.collect_list("offset").alias("offsets"))
 
@@ -282,7 +356,7 @@ def counted(rows: DataFrame, length: int) -> DataFrame:
                     marks[i, np.asarray(offsets, int)] = True
                 yield covers(g["left"].to_numpy(np.int64), list(g["owners"]), marks, length)
 
-    return rows.select("row", "left", "owners").join(found, "row").mapInPandas(run, COVER)
+    return rows.select("row", "left", "owners").join(found, "row").mapInPandas(tidy(run), COVER)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -297,15 +371,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
             yield np.concatenate([np.zeros(0, np.uint64), *(anchors(utf8(t), length)[0] for t in batch["text"])])
 
     suspected = bloom.seen_twice(long.select("text"), names, bloom.log2_bits(2 * size // (length - GRAM)))
-    rows = written(contexts(long, suspected, length), "contexts")
-    crowded = written(rows.groupBy("anchor").count().where(F.col("count") > hot).select("anchor"), "hot")
-    many = crowded.count()
-    if many:
-        full = bloom.seen(crowded, "anchor", many)
-        is_hot = F.pandas_udf(lambda x: pd.Series(full.holds(bloom.of_longs(x.to_numpy(np.int64)))), "boolean")(F.col("anchor"))
-        found = merged(rows.where(~is_hot), length).union(counted(written(rows.where(is_hot), "hot-contexts"), length))
-    else:
-        found = merged(rows, length)
+    used = long.select("doc_id", "text", "_sd_hash")
+    table = written(anchor_table(used, suspected, length).where("NOT uniform"), "mixed")
+    mixed = bloom.seen(table, "anchor", table.count())
+    many = written(table.where(F.col("rows") > hot).select("anchor"), "hot")
+    number = many.count()
+    crowded = bloom.seen(many, "anchor", number) if number else None
+    found = merged(contexts(used, suspected, mixed, crowded, length, hot=False), length)
+    if crowded:
+        found = found.union(counted(written(contexts(used, suspected, mixed, crowded, length, hot=True), "hot-contexts"), length))
     spans = written(found.groupBy("_sd_id", "_sd_h").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_sd_spans")), "spans")
     losing = bloom.seen(spans, "_sd_h", spans.count())
     suspect = F.pandas_udf(lambda x: pd.Series(losing.holds(bloom.of_longs(x.to_numpy(np.int64)))), "boolean")(F.col("_sd_hash"))
@@ -334,7 +408,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
 
     body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     untouched = hashed.where(~suspect).select(*docs.columns, F.octet_length(body).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), body.alias("kept"))
-    return untouched.unionByName(joined.mapInPandas(cut, schema))
+    return untouched.unionByName(joined.mapInPandas(tidy(cut), schema))
 
 
 def op3_suffix_dedup(spark, sf_dir) -> DataFrame:
