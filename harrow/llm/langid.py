@@ -6,8 +6,8 @@ languages that write in the word's script compete; words that no language can ho
 language to another costs SWITCH, so that Viterbi gives spans, also of texts in several languages.
 
 Learning: from labelled rows alone, SAMPLE documents of each language in expectation (a documented bound; documents are
-chosen by a hash of their id), read whole. Counts are summed by Spark into BUCKETS hashed features for each language, so that what
-reaches the driver is bounded by languages times BUCKETS, whatever the corpus.
+chosen by a hash of their id), read whole. Every label is learned, however rare. Counts are summed by Spark into BUCKETS hashed
+features for each language, so that what reaches the driver is bounded by languages times BUCKETS, whatever the corpus.
 
 Defined results: a null text, or one without a letter, is und with score 0 and no spans. With nothing to learn from, every text is
 und. A text whose letters no language can hold gets the most frequent language with score 0. Rows are judged one by one;
@@ -29,12 +29,13 @@ from harrow.llm.bpe import slices
 from harrow.llm.shared import documents, tidy
 
 SAMPLE = 3000
-MOST_LANGS = 256  # the most frequent labels are learned; labels beyond are noise
 BUCKETS = 1 << 16
 SWITCH, CLIP, NEVER = 6.0, 4.0, -1e6
 UND = "und"
 LEAST_SHARE = 0.005  # of a language's letters, for a script to count as one of its own
-SLICE, TOGETHER = 500_000, 12_000_000  # code points featured at once, and labelled at once
+SLICE, TOGETHER = 500_000, 12_000_000  # code points featured at once, and labelled at once, with up to FEW states
+FEW = 5  # with more states both shrink, so that words times states stay the same
+HELD = 400  # dense counts that a task holds before it passes them on
 # First code points of script ranges and the script that begins there.
 SCRIPTS = [
     (0, "other"), (0x41, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x700, "other"),
@@ -120,15 +121,16 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
     order = np.argsort(-lengths, kind="stable")
     start = (np.cumsum(lengths) - lengths)[order]
     active = np.searchsorted(-lengths[order], -np.arange(1, lengths.max(initial=0) + 1), side="right").tolist()
-    came = np.zeros(scores.shape, np.int8)
-    value, own = np.zeros((n, states), np.float32), np.arange(states, dtype=np.int8)
+    kind = np.min_scalar_type(-states)  # the smallest signed type that holds every state
+    came = np.zeros(scores.shape, kind)
+    value, own = np.zeros((n, states), np.float32), np.arange(states, dtype=kind)
     for t, k in enumerate(active):
         at, now = start[:k] + t, value[:k]
         best = now.argmax(axis=1)
         moved = (now[np.arange(k), best] - switch)[:, None]
         came[at] = np.where(now >= moved, own, best[:, None])
         value[:k] = np.maximum(now, moved) + scores[at] if t else scores[at]
-    out = np.zeros(len(scores), np.int8)
+    out = np.zeros(len(scores), kind)
     state = value.argmax(axis=1)
     for t in range(len(active) - 1, -1, -1):
         k = active[t]
@@ -144,14 +146,18 @@ def held_out(doc_id: Column) -> Column:
 
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model from rows (doc_id, text, lang) without nulls; None if there are none."""
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS)
-    sizes = {r["lang"]: r["count"] for r in counts.collect()}
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     langs = sorted(sizes, key=lambda x: (-sizes[x], x))
     if not langs:
         return None
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, sample / sizes[k]))])
     chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
 
+    def passed(sums):
+        for (lang, kind), counts in sums.items():
+            at = np.nonzero(counts)[0]
+            yield pd.DataFrame({"lang": lang, "kind": kind, "at": at, "n": counts[at].astype(np.int64)})
+
     def count(batches):
         sums: dict[tuple[str, int], np.ndarray] = {}
         for batch in batches:
@@ -161,9 +167,10 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
                     for kind, values, weights, width in ((0, f["trigram"], None, BUCKETS), (1, f["word"], None, BUCKETS), (2, f["script"], f["size"], len(NAMES))):
                         counts = np.bincount(values, weights, minlength=width)
                         sums[lang, kind] = sums.get((lang, kind), 0) + counts
-        for (lang, kind), counts in sums.items():
-            at = np.nonzero(counts)[0]
-            yield pd.DataFrame({"lang": lang, "kind": kind, "at": at, "n": counts[at].astype(np.int64)})
+                if len(sums) > HELD:
+                    yield from passed(sums)
+                    sums = {}
+        yield from passed(sums)
 
     found = chosen.select("lang", "text").mapInPandas(tidy(count), "lang string, kind int, at int, n long")
     totals = found.groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")).toPandas()
@@ -200,10 +207,11 @@ def label(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), spans], names=[*batch.schema.names, "lang_pred", "score", "spans"])
 
     def run(batches):
+        part_of = max(1, (len(shared.value.langs) + 1) / FEW)
         for whole in batches:
-            for batch in slices(whole, text, TOGETHER):
+            for batch in slices(whole, text, int(TOGETHER / part_of)):
                 found, scores, done = [], [], 0
-                for part in slices(batch, text, SLICE):
+                for part in slices(batch, text, int(SLICE / part_of)):
                     f = features(part.column(text).to_pylist())
                     scores.append(shared.value.emissions(f))
                     found.append({k: f[k] for k in ("start", "end", "size")} | {"doc": f["doc"] + np.int32(done)})

@@ -109,6 +109,22 @@ def test_viterbi_against_all_paths():
             a += n
 
 
+def test_more_labels_than_a_byte_holds(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(7)
+    states = rnd.integers(0, 200, 40)
+    scores = np.full((40, 200), -4.0, np.float32)
+    scores[np.arange(40), states] = 0
+    assert langid.viterbi(scores, np.full(20, 2), 0.5).tolist() == states.tolist()
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, f"{w} {w[::-1]} " * 6, f"l{i:03}") for i, w in enumerate(words)], "doc_id long, text string, lang string")
+    got = langid.label(docs, langid.learn(docs)).collect()
+    assert len(got) == 300 and all(r["lang_pred"] == r["lang"] and r["score"] == 1 for r in got)
+    assert all([s["lang"] for s in r["spans"]] == [r["lang"]] for r in got)
+
+
 def test_mixing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     cells = mixing.cells_of(docs).groupBy(*[F.col(f"_mix_{d}").alias(d) for d in mixing.DIMENSIONS]).agg(F.sum("_mix_tokens").alias("tokens"))
