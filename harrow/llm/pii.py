@@ -27,8 +27,18 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: A candidate takes in what follows if it looks like a further group; _ibans cuts it.
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-SECRET = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{24,128}(?![A-Za-z0-9_/+-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{24,}(?![A-Za-z0-9_/+-])")
+#: The lengths of IBANs by country (ISO 13616 registry).
+IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 #: Starting scores, and what a word among the NEAR code points before or after adds or takes away.
 START = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "secret": 0.3, "card_like": 0.2}
@@ -96,6 +106,21 @@ def _run_start(text: str, at: int, least: int) -> int:
     return at
 
 
+def _ibans(text: str):
+    """(start, end) of each candidate cut to its country's length; of a country without one, to the longest run of whole groups that mod97 confirms."""
+    m = IBAN.search(text)
+    while m:
+        start, compact = m.start(), [i for i in range(m.start(), m.end()) if text[i] != " "]
+        known = IBAN_LENGTHS.get(text[start : start + 2])
+        sizes = [known] if known else range(len(compact), 11, -1)
+        ends = [compact[n - 1] + 1 for n in sizes if n <= len(compact)]
+        ends = [e for e in ends if e == m.end() or text[e] == " "]
+        end = next((e for e in ends if mod97(text[start:e].replace(" ", ""))), None)
+        if end:
+            yield start, end
+        m = IBAN.search(text, end or start + 1)
+
+
 def spans_of(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) in the order of KINDS, then start."""
     found = [("email", m.start(), m.end()) for m in _emails(text)]
@@ -105,7 +130,7 @@ def spans_of(text: str) -> list[tuple[str, int, int, float]]:
         cards = [x for x in cards if 13 <= len(x[2]) <= 19]
         found += [("card", a, b) for a, b, d in cards if luhn(d)]
         found += [("phone", m.start(), m.end()) for m in PHONE.finditer(text) if 9 <= len(digits_of(m[0])) <= 15]
-        found += [("iban", m.start(), m.end()) for m in IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
+        found += [("iban", a, b) for a, b in _ibans(text)]
         found += [("secret", m.start(), m.end()) for m in SECRET.finditer(text) if random_looking(m[0])]
         found += [("card_like", a, b) for a, b, d in cards if not luhn(d)]
     scored = [(k, a, b, score(k, text, a, b)) for k, a, b in found]

@@ -73,6 +73,36 @@ def test_pii(spark):
     assert pii.find_pii(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("after", ["", " BIC", " 2024"])
+def test_iban_of_whole_groups(after):
+    for one in ("AT61 1904 3002 3457 3201", "AT611904300234573201"):
+        assert [(a, b) for k, a, b, _ in pii.spans_of(one + after) if k == "iban"] == [(0, len(one))]
+
+
+def _iban(country: str, account: str) -> str:
+    rest = int("".join(str(int(c, 36)) for c in account + country + "00")) % 97
+    return f"{country}{98 - rest:02}{account}"
+
+
+@pytest.mark.parametrize("country", ["NO", "BE", "AT", "DE", "ES", "PL", "FR", "MT", "ZZ"])
+def test_ibans_before_other_tokens(country):
+    one = _iban(country, ("1904300234573201" * 2)[: pii.IBAN_LENGTHS.get(country, 20) - 4])
+    grouped = " ".join(one[i : i + 4] for i in range(0, len(one), 4))
+    for written in (one, grouped):
+        for before in ("", "account ", "RG20 2301 4711 "):
+            for after in ("", ".", " BIC", " BICX", " 2024 EUR", " COBADEFFXXX", "\nBIC", " and"):
+                text = before + written + after
+                assert [text[a:b] for k, a, b, _ in pii.spans_of(text) if k == "iban"] == [written]
+    assert not [x for x in pii.spans_of(one[:-1] + str((int(one[-1]) + 1) % 10) + " BIC") if x[0] == "iban"]
+
+
+def test_secrets_of_any_length():
+    for n in (24, 128, 129, 5000):
+        value = ("0a1B2c3D4e5F60718293" * 250)[:n]
+        text = f"token = {value}."
+        assert [text[a:b] for k, a, b, _ in pii.spans_of(text) if k == "secret"] == [value]
+
+
 def test_language_held_out_accuracy_and_mixed_text(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.learn(langid.labelled_rows(docs))
