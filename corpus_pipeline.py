@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 from harrow.llm import bpe, langid, line_dedup, minhash, mixing
 from harrow.llm.shared import documents, text_or_empty, written
 
-#: A document goes if it has no letters, or if less than half of its letters are in its language's spans.
-LEAST_SCORE = 0.5
+#: A document goes if it has no letters, or if less than half of its letters are in spans of known languages, of one or of several.
+LEAST_KNOWN = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one known language; a missing lang becomes the language found."""
-    found = langid.label(docs, langid.learn(langid.labelled_rows(docs)))
-    kept = found.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE))
+    """Documents in known languages; a missing lang becomes the most frequent language found. With no labelled row to learn from, all with letters stay."""
+    model = langid.learn(langid.labelled_rows(docs))
+    found = langid.label(docs, model)
+    known = F.col("text").rlike(r"\p{L}") if model is None else (F.col("lang_pred") != langid.UND) & (F.col("known") >= LEAST_KNOWN)
+    kept = found.where(known)
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 
 

@@ -185,8 +185,8 @@ SPANS = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.Struc
 
 
 def label(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score (the share of its letters in spans of that language) and spans (lang, start, end in code points) added."""
-    docs = docs.drop("lang_pred", "score", "spans")
+    """docs with lang_pred, score (the share of its letters in spans of that language), known (the share in spans of any language) and spans (lang, start, end in code points) added."""
+    docs = docs.drop("lang_pred", "score", "known", "spans")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judged(batch: pa.RecordBatch, found: list[dict], scores: list[np.ndarray]) -> pa.RecordBatch:
@@ -199,12 +199,13 @@ def label(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
         names = np.array([*own.langs, UND], object)
         pred = np.where(total > 0, names[best], UND)
         score = letters[np.arange(n), best] / np.maximum(total, 1)
+        known = letters[:, :-1].sum(axis=1) / np.maximum(total, 1)
         opens = np.nonzero((np.diff(f["doc"], prepend=-1) != 0) | (np.diff(state, prepend=-1) != 0))[0]
         closes = np.concatenate([opens[1:] - 1, [len(state) - 1]]) if len(opens) else opens
         parts = pa.StructArray.from_arrays([pa.array(names[state[opens]], pa.string()), pa.array(f["start"][opens].astype(np.int32)), pa.array(f["end"][closes].astype(np.int32))], names=["lang", "start", "end"])
         bounds = np.concatenate([[0], np.cumsum(np.bincount(f["doc"][opens], minlength=n))])
         spans = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), parts)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), spans], names=[*batch.schema.names, "lang_pred", "score", "spans"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.float64()), spans], names=[*batch.schema.names, "lang_pred", "score", "known", "spans"])
 
     def run(batches):
         part_of = max(1, (len(shared.value.langs) + 1) / FEW)
@@ -219,9 +220,9 @@ def label(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
                 if found:
                     yield judged(batch, found, scores)
 
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", SPANS)]
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.DoubleType()), T.StructField("spans", SPANS)]
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UND), "score": F.lit(0.0), "spans": F.array().cast(SPANS)})
+        return docs.withColumns({"lang_pred": F.lit(UND), "score": F.lit(0.0), "known": F.lit(0.0), "spans": F.array().cast(SPANS)})
     return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, *added]))
 
 

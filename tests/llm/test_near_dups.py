@@ -133,3 +133,21 @@ def test_pipeline_against_its_steps(spark):
     assert sorted(final) == sorted(r["doc_id"] for r in four.collect())
     assert all(r["ids"] == library.encode(lined[i]["text"], add_special_tokens=False).ids for i, r in final.items())
     assert line_dedup.MIN_CHARS == 10
+
+
+def test_pipeline_keeps_mixed_and_unlabelled_texts(spark):
+    import corpus_pipeline as P
+    from harrow.llm import langid
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = {r["lang"]: r["text"] for r in docs.where("n_chars > 800 AND lang IS NOT NULL AND text NOT LIKE '%|%' AND text NOT LIKE '%*%'").groupBy("lang").agg(F.min("text").alias("text")).collect()}
+    cut = lambda lang, n: (text[lang] * 3)[:n]
+    three = " ".join([cut("en", 800), cut("de", 700), cut("fr", 500)])
+    more = spark.createDataFrame([(10**9, three), (10**9 + 1, "Ω" * 200 + " the end"), (10**9 + 2, "12 !")], "doc_id long, text string")
+    both = docs.unionByName(more, allowMissingColumns=True)
+    judged = langid.label(more.limit(1), langid.learn(langid.labelled_rows(both))).first()
+    assert judged["score"] < 0.5 < judged["known"]
+    assert [r["doc_id"] for r in P.language(spark, both, SF).where("doc_id >= 1000000000").collect()] == [10**9]
+    bare = P.language(spark, both.withColumn("lang", F.lit(None).cast("string")), SF)
+    assert bare.columns == docs.columns and bare.count() == sum(any(c.isalpha() for c in r["text"] or "") for r in both.collect())
+    assert bare.where("lang <> 'und'").count() == 0
