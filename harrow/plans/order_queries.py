@@ -243,14 +243,14 @@ def list_detection(spark, sf_dir):
 def list_columns(spark, sf_dir):
     nodes = H.elements(table(spark, sf_dir, "pages"))
     lists = H.sibling_lists(nodes).where("sig = 'li'")
-    return H.list_columns(H.list_leaves(nodes, lists, 2), lists).where("attr = 'own'").select("page_id", "path", "attr", "hits")
+    return H.list_columns(H.list_leaves(nodes, lists), lists).where("attr = 'own'").select("page_id", "path", "attr", "hits")
 
 
 @query()
 def best_lists(spark, sf_dir):
     nodes = H.elements(table(spark, sf_dir, "pages"))
     lists = H.sibling_lists(nodes)
-    return H.best_lists(H.list_columns(H.list_leaves(nodes, lists, 3), lists), lists)
+    return H.best_lists(H.list_columns(H.list_leaves(nodes, lists), lists), lists)
 
 
 @query(

@@ -60,6 +60,12 @@ def norm_pages(spark, sf_dir):
     return p.select("page_id", (X.norm(F.substring("html", 1, 3000)) != "").alias("any_text"), F.length(X.norm("url")).cast("long").alias("url_size"))
 
 
+@query()
+def norm_whole_pages(spark, sf_dir):
+    normed = X.norm("html")
+    return table(spark, sf_dir, "pages").select("page_id", F.length(normed).cast("long").alias("size"), F.sha2(normed, 256).alias("sha256"))
+
+
 @query(r"""WITH a AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}')) AS email FROM documents) SELECT doc_id, email FROM a""")
 def emails_in(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(W.emails_in("text")).alias("email"))

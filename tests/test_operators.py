@@ -173,3 +173,33 @@ def test_merge_people_and_leads_handle_empty(spark):
     old = spark.createDataFrame([(1, "w", ["p"], ["a", "b"])], "id int, website string, people array<string>, pages array<string>")
     new = spark.createDataFrame([(1, "", [], ["b", "c"])], "id int, website string, people array<string>, pages array<string>")
     assert tuple(A.merge_leads(old, new, ["website"]).first()) == (1, "w", ["p"], ["a", "b", "c"])
+
+
+def _pages_at(spark, folder, htmls):
+    spark.createDataFrame(list(enumerate(htmls)), "page_id long, html string").withColumn("url", F.lit("https://x.example.org/")).write.parquet(f"{folder}/pages.parquet")
+    return str(folder)
+
+
+def test_norm_of_whole_pages(spark, tmp_path):
+    import hashlib
+    import re
+    import unicodedata
+
+    from harrow.plans.text_queries import norm_whole_pages
+
+    htmls = ["<i>" * 2000 + "Late &amp; ﬁne, Straße", "<p>A</p>" + "é x " * 20_000, "", None]
+    got = {r["page_id"]: (r["size"], r["sha256"]) for r in norm_whole_pages(spark, _pages_at(spark, tmp_path, htmls)).collect()}
+    for i, html in enumerate(htmls):
+        s = re.sub(r"&nbsp;|&amp;|&#\d+;", " ", re.sub("<[^>]+>", " ", html or ""))
+        s = re.sub(r"\s+", " ", unicodedata.normalize("NFKC", s).lower())
+        s = re.sub(r"^[\s·•|,;:–-]+|[\s·•|,;:–-]+$", "", s).strip()
+        assert got[i] == (len(s), hashlib.sha256(s.encode()).hexdigest())
+
+
+def test_list_queries_reach_deep_leaves(spark, tmp_path):
+    from harrow.plans.order_queries import best_lists, list_columns
+
+    items = "".join(f"<li><div><p><span><b>deep {i}</b></span></p></div></li>" for i in range(4))
+    folder = _pages_at(spark, tmp_path, [f"<html><body><ul>{items}</ul></body></html>"])
+    assert [(r["path"], r["hits"]) for r in list_columns(spark, folder).collect()] == [(">div>p>span>b", 4)]
+    assert [r["items"] for r in best_lists(spark, folder).where("sig = 'li'").collect()] == [4]
