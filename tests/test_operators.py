@@ -203,3 +203,17 @@ def test_list_queries_reach_deep_leaves(spark, tmp_path):
     folder = _pages_at(spark, tmp_path, [f"<html><body><ul>{items}</ul></body></html>"])
     assert [(r["path"], r["hits"]) for r in list_columns(spark, folder).collect()] == [(">div>p>span>b", 4)]
     assert [r["items"] for r in best_lists(spark, folder).where("sig = 'li'").collect()] == [4]
+
+
+def test_facts_of_links_structured_data_and_content(spark):
+    from harrow.operators.company import facts
+
+    person = '{"@type": "Person", "name": "Ada Bauer", "jobTitle": "CEO", "email": "mailto:ada@x.org"}'
+    links = '<p>Founder: Anna Meier</p><p><a href="mailto:anna.meier@x.org?subject=a">Mail</a> <a href="tel:+49 30 1234567">Call</a></p><p><a href="https://www.linkedin.com/in/anna-meier/"><i></i></a></p>'
+    rows = [(1, f'<script type="application/ld+json">{person}</script>'), (2, links), (3, "<nav><p>Bernd Kranz</p><p>CEO</p></nav><p>Text</p>"), (4, "<p>Bernd Kranz</p><p>CEO</p>")]
+    pages = spark.createDataFrame([(i, "https://x.org/", f"<html><body>{h}</body></html>") for i, h in rows], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in facts(pages).collect()}
+    assert sorted(got) == [1, 2, 4]
+    assert (got[1]["name"], got[1]["role"], got[1]["email"], got[1]["confidence"]) == ("Ada Bauer", "ceo", "ada@x.org", "high")
+    assert (got[2]["name"], got[2]["email"], got[2]["linkedin"]) == ("Anna Meier", "anna.meier@x.org", "https://www.linkedin.com/in/anna-meier") and "1234567" in got[2]["phone"].replace(" ", "")
+    assert (got[4]["name"], got[4]["confidence"]) == ("Bernd Kranz", "medium")
