@@ -93,6 +93,13 @@ def align_rows(spark, sf_dir):
     return M.align_rows(page, feed, "shown", "title")
 
 
+@query("SELECT c_custkey AS page_row, c_custkey AS feed_row FROM customer WHERE c_custkey % 3 > 0")
+def align_whole_rows(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "_ord")
+    page = c.select("_ord", F.when(F.col("_ord") % 3 > 0, F.upper("c_name")).otherwise(F.concat("c_name", F.lit(" changed"))).alias("shown"))
+    return M.align_rows(page, c.select("_ord", F.col("c_name").alias("title")), "shown", "title")
+
+
 @query(f"WITH {_SIDES} SELECT p.o AS _ord, 'Name ' || (p.o % 150) AS \"Name\", coalesce(segment, '') AS \"Segment\" FROM p LEFT JOIN a ON page_row = p.o LEFT JOIN f ON f.o = feed_row")
 def page_rows(spark, sf_dir):
     page, feed = _sides(spark, sf_dir)

@@ -217,3 +217,13 @@ def test_facts_of_links_structured_data_and_content(spark):
     assert (got[1]["name"], got[1]["role"], got[1]["email"], got[1]["confidence"]) == ("Ada Bauer", "ceo", "ada@x.org", "high")
     assert (got[2]["name"], got[2]["email"], got[2]["linkedin"]) == ("Anna Meier", "anna.meier@x.org", "https://www.linkedin.com/in/anna-meier") and "1234567" in got[2]["phone"].replace(" ", "")
     assert (got[4]["name"], got[4]["confidence"]) == ("Bernd Kranz", "medium")
+
+
+def test_whole_tables_are_read(spark, tmp_path):
+    from harrow.plans.catalog_queries import lead_columns
+    from harrow.plans.join_queries import align_whole_rows
+
+    rows = [(i, f"Customer {i}", "MACHINERY") for i in range(5000, 5030)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    assert lead_columns(spark, str(tmp_path)).first()["website_col"] == "Web site"
+    assert sorted(r["page_row"] for r in align_whole_rows(spark, str(tmp_path)).collect()) == [i for i, *_ in rows if i % 3]
