@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -18,7 +19,7 @@ def connect(sf_dir: str):
 
 
 def _cell(v):
-    if v is None or v != v:
+    if v is None or (pd.api.types.is_scalar(v) and pd.isna(v)):
         return None
     if isinstance(v, float):
         return f"{v:.9g}"
