@@ -32,9 +32,28 @@ from harrow.llm.shared import documents, sha256_hex, text_or_empty, tidy
 
 CACHE_WORDS = 200_000
 SLICE_CHARS = 2_000_000
+LONG = 1024  # bytes; words beyond it are stepped one by one
 NONE = np.int64(1) << np.int64(62)
+# First and last code points that newer Unicode tables than the library's (16.0) make letters or numbers; to the library they are neither.
+NEWER = [
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x1C89, 0x1C89), (0x208F, 0x208F), (0x209D, 0x209F),
+    (0xA7CB, 0xA7CC), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DA, 0xA7DA), (0xA7DC, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1),
+    (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10D50, 0x10D65), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB),
+    (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6),
+    (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168),
+    (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5),
+    (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+]
+# Capital letters that the library lowers and older Python tables don't know, as first, last and the small letter of the first.
+CAPITALS = [
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
+    (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+]
+_SMALL = {c: small + c - a for a, b, small in CAPITALS for c in range(a, b + 1)}
+_CAPITAL = regex.compile("[" + "".join(map(chr, _SMALL)) + "]")
 # Fixed value: how the vocabulary's words are found in normalised text.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_LETTER, _NUMBER, _NEWER = r"\p{L}", r"\p{N}", "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER)
+WORDS = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}--[{_NEWER}]]+|[{_NUMBER}--[{_NEWER}]]|[^\s[[{_LETTER}{_NUMBER}]--[{_NEWER}]]]+")
 
 
 def byte_letters() -> list[str]:
@@ -64,6 +83,8 @@ class WordBpe:
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.ranks = np.argsort(keys, kind="stable")
         self.keys = keys[self.ranks]
+        self.table, self.merged_list = None, self.merged.tolist()
+        self.leads = {x[0] for x in self.special}
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -78,8 +99,13 @@ class WordBpe:
         start, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         flat, done = [np.zeros(0, np.int32)], 0
         classes = np.maximum(2, 1 << np.ceil(np.log2(np.maximum(lens, 2))).astype(int))
-        for width in np.unique(classes[lens > 0]).tolist():
-            rows = np.nonzero((classes == width) & (lens > 0))[0]
+        for k in np.nonzero(lens > LONG)[0].tolist():
+            ids = self._encode_long(words[k])
+            start[k], size[k] = done, len(ids)
+            flat.append(ids)
+            done += len(ids)
+        for width in np.unique(classes[(lens > 0) & (lens <= LONG)]).tolist():
+            rows = np.nonzero((classes == width) & (lens > 0) & (lens <= LONG))[0]
             step = max(1, 400_000 // width)
             for i in range(0, len(rows), step):
                 some = rows[i : i + step]
@@ -133,9 +159,53 @@ class WordBpe:
         kept = token[:, :size] >= 0
         return token[:, :size][kept].astype(np.int32), kept.sum(axis=1)
 
+    def _encode_long(self, word: bytes) -> np.ndarray:
+        """As _encode, for one word whose tree would step alone: the same tree in plain numbers, where a step costs a few levels of one path."""
+        if self.table is None:
+            self.table = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+        ranks, merged, n = self.table, self.merged_list, len(word)
+        token = self.inner[np.frombuffer(word, np.uint8)].tolist()
+        token[-1] = int(self.last[word[-1]])
+        size = 1 << (n - 1).bit_length()
+        none = 1 << 62
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        tree = [none] * (2 * size)
+
+        def leaf(at: int) -> int:
+            then = after[at]
+            rank = ranks.get(token[at] << 32 | token[then], -1) if then >= 0 else -1
+            return rank * size + at if rank >= 0 else none
+
+        def update(at: int, value: int) -> None:
+            node = size + at
+            tree[node] = value
+            while node > 1:
+                node >>= 1
+                a, b = tree[2 * node], tree[2 * node + 1]
+                least = a if a < b else b
+                if tree[node] == least:
+                    break
+                tree[node] = least
+
+        tree[size : size + n] = [leaf(i) for i in range(n)]
+        for node in range(size - 1, 0, -1):
+            tree[node] = min(tree[2 * node], tree[2 * node + 1])
+        while tree[1] < none:
+            rank, at = divmod(tree[1], size)
+            gone = after[at]
+            token[at], token[gone] = merged[rank], -1
+            after[at] = after[gone]
+            if after[at] >= 0:
+                before[after[at]] = at
+            update(gone, none)
+            update(at, leaf(at))
+            if before[at] >= 0:
+                update(before[at], leaf(before[at]))
+        return np.array([t for t in token if t >= 0], np.int32)
+
     def pieces(self, text: str) -> list[str | int]:
         """Words of a text, and the ids of special tokens, in order."""
-        if self.marks is None or "<" not in text:
+        if not any(c in text for c in self.leads):
             return words_of(text)
         out, done = [], 0
         for m in self.marks.finditer(text):
@@ -147,7 +217,10 @@ class WordBpe:
 
 def words_of(text: str) -> list[str]:
     """White space only separates words, so that it needs no normalising of its own."""
-    return WORDS.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())  # letter by letter: no final sigma
+    if text.isascii():
+        return WORDS.findall(text.lower())
+    text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # letter by letter: no final sigma
+    return WORDS.findall(text.translate(_SMALL) if _CAPITAL.search(text) else text)
 
 
 class Encoder:
