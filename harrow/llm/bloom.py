@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.functions import pandas_udf
 
 from harrow.llm.shared import tidy
@@ -133,14 +133,19 @@ def of_longs(x: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
-    """docs but for rows whose id is in ids (a written table of one column of that name). Only rows that the filter suspects are shuffled."""
+def suspected(spark, ids: DataFrame, column: str, of: Column) -> Column:
+    """Whether the filter of ids (a written table with that long column) holds the value of a Column; a null is never held."""
     found = seen(ids, column, ids.count())
 
-    def suspected(x: pd.Series) -> pd.Series:
+    def held_by(x: pd.Series) -> pd.Series:
         out, there = np.zeros(len(x), bool), x.notna().to_numpy()
         out[there] = found.holds(of_longs(x[there].to_numpy(np.int64)))
         return pd.Series(out)
 
-    suspect = pandas_udf(suspected, "boolean")(docs[column])
+    return pandas_udf(held_by, "boolean")(of)
+
+
+def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """docs but for rows whose id is in ids (a written table of one column of that name). Only rows that the filter suspects are shuffled."""
+    suspect = suspected(docs.sparkSession, ids, column, docs[column])
     return docs.where(~suspect).unionByName(docs.where(suspect).join(ids, column, "left_anti").select(docs.columns))

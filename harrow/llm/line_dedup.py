@@ -1,7 +1,8 @@
 """Line dedup: a line that several documents hold stays only in the one with the smallest id.
 
 Two Bloom filters, of line hashes seen once and seen twice, are built over all documents (see bloom.py). Only lines whose
-hash the second filter holds are shuffled, with their text, to be confirmed exactly and given their first document.
+hash the second filter holds are shuffled, with their text, to be confirmed exactly and given their first document. Of the
+documents only those that lose a line (and the few that a third filter takes for such) are shuffled.
 
 Defined results: a null or empty text is one empty line and stays as it is. Lines are counted by documents, so that a line
 repeated only within one document stays. Rows that share a doc_id count as one document. Rows with a null doc_id take no
@@ -54,41 +55,49 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     def suspects(batches):
         for batch in batches:
-            ids, keys = [], []
+            ids, keys, digests = [], [], []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 if own := list(keys_of(text, min_chars)):
                     hit = [k for k, yes in zip(own, suspected.holds(_hashes(own)), strict=True) if yes]
                     ids += [doc_id] * len(hit)
                     keys += hit
-            yield pd.DataFrame({"doc_id": ids, "key": keys})
-
-    found = written(used.mapInPandas(tidy(suspects), "doc_id long, key binary"), "lines")
-    repeated = found.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
-    repeated = written(repeated, "repeated")  # both sides of the join are then shuffled as they are, and Spark can split the partition of a frequent line
-    losing = found.join(repeated, "key").where("doc_id > first_id").groupBy("doc_id").agg(F.collect_set("key").alias("_keys"))
-    joined = docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns}).join(losing.withColumnRenamed("doc_id", "_id"), F.col("own_doc_id") == F.col("_id"), "left").drop("_id")
+                    digests += map(xxhash.xxh3_128_digest, hit)
+            yield pd.DataFrame({"doc_id": ids, "key": keys, "digest": digests})
+
+    found = written(used.mapInPandas(tidy(suspects), "doc_id long, key binary, digest binary"), "lines")
+    repeated = found.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.first("digest").alias("digest")).where("first_id < last_id")
+    # confirmed on the lines themselves; from here on digests stand for them. Both sides of the join are then shuffled as they are, and Spark can split the partition of a frequent line
+    repeated = written(repeated.select("digest", "first_id"), "repeated")
+    losing = found.select("doc_id", "digest").join(repeated, "digest").where("doc_id > first_id").groupBy("doc_id").agg(F.collect_set("digest").alias("digests"))
+    losing = written(losing, "losing")
+    suspect = bloom.suspected(docs.sparkSession, losing, "doc_id", docs["doc_id"])
+    prefix = "own_"
+    joined = docs.where(suspect).withColumnsRenamed({c: prefix + c for c in docs.columns}).join(losing, F.col(f"{prefix}doc_id") == F.col("doc_id"), "left").drop("doc_id")
     schema = with_fields(docs.schema, n_lines="long", n_dropped="long")
 
     def keep(batches):
         for batch in batches:
-            out = batch.drop(columns="_keys").rename(columns=lambda c: c[4:])
+            out = batch.drop(columns="digests").rename(columns=lambda c: c[len(prefix) :])
             texts, before, dropped = [], [], []
-            for text, keys in zip(out["text"], batch["_keys"], strict=True):
-                lost = set() if keys is None else set(map(bytes, keys))
+            for text, digests in zip(out["text"], batch["digests"], strict=True):
+                lost = set() if digests is None or text is None else set(map(bytes, digests))
                 if not lost:
                     texts.append(text)
                     before.append((text or "").count("\n") + 1)
                     dropped.append(0)
                     continue
                 lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-                kept = [x for x in lines if line_key(x) not in lost]
+                keys = map(line_key, lines)
+                kept = [x for x, k in zip(lines, keys, strict=True) if not (long_enough(k, min_chars) and xxhash.xxh3_128_digest(k) in lost)]
                 texts.append(b"\n".join(kept).decode("utf-8", "surrogatepass"))
                 before.append(len(lines))
                 dropped.append(len(lines) - len(kept))
             out["text"] = texts
             yield out.assign(n_lines=before, n_dropped=dropped)
 
-    return joined.mapInPandas(tidy(keep), schema)
+    n_lines = (F.regexp_count(F.coalesce("text", F.lit("")), F.lit("\n")) + 1).cast("long")
+    rest = docs.where(~suspect).select(*docs.columns, n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    return rest.unionByName(joined.mapInPandas(tidy(keep), schema))
 
 
 def op2_line_dedup(spark, sf_dir) -> DataFrame:
