@@ -1,32 +1,36 @@
 """Mixing sources to target weights: iterative proportional fitting, then sampling by the calibrated probabilities.
 
-Documents fall into cells of source, language and topic. A cell's tokens are its words. Raking scales the cells' token
-weights in turn until the shares of each source, language and topic are their targets; a document is then kept with
-the probability of its cell, decided by a hash of its id. Documents are read twice, for the cells and for the sample, and
-never shuffled: only one row a cell and task is. Only DataFrame functions are used.
-
-The cell table has a row for each combination that occurs; it is broadcast to the documents if it has at most
-BROADCAST_CELLS rows (some MB), else joined by Spark's choice.
-
-Targets: by default, sources and topics move toward equal shares by the power TEMPERING of their own share, and languages
-likewise; given targets are shares by name, and names without one keep their own share of what the others leave.
-The sample's size: the largest that the probabilities allow (the largest probability is 1), unless rate says less.
-
-Defined results: null source, language or text are cells of their own (named "", and a text without words has no tokens,
-so that it is kept with its cell's probability). Repeated ids are kept or dropped together. Other columns pass through, but for those named like the ones added, which they replace.
+Documents fall into cells of source, language and topic. A cell's tokens are its words. Raking gives every source, language and
+topic a factor, fitted in turn until the shares of tokens are their targets within TOLERANCE (or for ROUNDS rounds); a document is
+then kept with a probability in proportion to the product of its three factors, decided by a hash of its id. Documents are
+read twice, for the cells and for the sample, and never shuffled as long as the factors can be broadcast: only one row a cell and
+task is. A fit is a join of the cells with tables of factors and a grouped sum with partial sums, so that neither many
+sources nor one with a third of the cells makes one large task. Only DataFrame functions are used.
+
+A table of factors has a row for each source, or for each pair of language and topic; it is broadcast if it can have at most
+BROADCAST_ROWS rows (some MB), else joined by Spark's choice.
+
+Targets: by default, sources, languages and topics move toward equal shares by the power TEMPERING of their own share; given
+targets are shares by name, and names without one share what the others leave in proportion to their own.
+Topics: by default the shape of the text, for documents carry none; topic_of takes any other Column.
+The sample's size: the largest that the probabilities allow (the largest of a cell is 1), unless rate says less.
+
+Defined results: null source, language or topic are values of their own (named ""). A text without words has no tokens; it is kept with the
+probability of its values, or for certain if no text with words has its source, or its language with its topic. Repeated ids are kept or dropped together. Other columns pass
+through, but for those named like the ones added, which they replace. No rows in, no rows out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from harrow.llm.shared import documents, written
+from harrow.llm.shared import documents, fresh, written
 
 DIMENSIONS = ("source", "lang", "topic")
 TEMPERING = 0.9
-ROUNDS = 8
-BROADCAST_CELLS = 50_000
+ROUNDS, TOLERANCE = 50, 1e-4
+BROADCAST_ROWS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
 
@@ -43,60 +47,77 @@ def uniform(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def cells_of(docs: DataFrame) -> DataFrame:
-    """docs with their cell and number of tokens added, under names that start with _mix."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.withColumns(
-        {
-            "_mix_source": F.coalesce("source", F.lit("")),
-            "_mix_lang": F.coalesce("lang", F.lit("")),
-            "_mix_topic": topic(text),
-        }
-    ).withColumn("_mix_tokens", F.regexp_count(text, F.lit(WORD)).cast("double"))
-
-
-def targets_for(cells: DataFrame, dimension: str, given: dict[str, float] | None) -> Column:
-    """The target share of the row's value in a dimension; cells: source, lang, topic, tokens and own_<dimension>."""
-    own, name = F.col(f"own_{dimension}"), F.col(dimension)
-    if not given:
-        return F.pow(own, F.lit(TEMPERING)) / F.col(f"tempered_{dimension}")
-    pairs = F.create_map(*[F.lit(x) for kv in given.items() for x in (kv[0], float(kv[1]))])
-    rest = 1.0 - sum(given.values())
-    return F.coalesce(F.element_at(pairs, name), own * F.lit(rest))
-
-
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """cells (source, lang, topic, tokens) with weight (the raked share of tokens) and p (before a rate is set) added."""
-    targets = targets or {}
-    everything = Window.partitionBy(F.lit(1))
-    by = {d: Window.partitionBy(d) for d in DIMENSIONS}
-    first = {d: Window.partitionBy(d).orderBy(*DIMENSIONS) for d in DIMENSIONS}
-    out = cells.where("tokens > 0").withColumn("total", F.sum("tokens").over(everything))
-    for d in DIMENSIONS:
-        out = out.withColumns({f"own_{d}": F.sum("tokens").over(by[d]) / F.col("total"), "_first": F.row_number().over(first[d]) == 1})
-        out = out.withColumn(f"tempered_{d}", F.sum(F.when(F.col("_first"), F.pow(F.col(f"own_{d}"), F.lit(TEMPERING))).otherwise(0.0)).over(everything))
-        out = out.withColumn(f"target_{d}", targets_for(out, d, targets.get(d)))
-    out = out.withColumn("weight", F.col("tokens") / F.col("total")).select(*DIMENSIONS, "tokens", "total", "weight", *[f"target_{d}" for d in DIMENSIONS])
+def placed(docs: DataFrame, topic_of: Column | None) -> tuple[DataFrame, list[str]]:
+    """docs with their cell added, and the names of its columns, one a dimension."""
+    names = [fresh(docs, f"_mix_{d}") for d in DIMENSIONS]
+    values = [F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.coalesce(topic(F.coalesce("text", F.lit(""))) if topic_of is None else topic_of, F.lit(""))]
+    return docs.withColumns(dict(zip(names, values, strict=True))), names
+
+
+def targets_for(shares: DataFrame, targets: dict[str, dict[str, float]]) -> DataFrame:
+    """(dimension, value, target) for shares (dimension, value, own): what targets name for a dimension's values, the rest in proportion to the own shares of
+    values without one, or, for a dimension without any, powers of the own shares."""
+    given = [F.lit(x) for d, some in targets.items() for name, share in some.items() for x in (f"{d}:{name}", float(share))]
+    named = F.element_at(F.create_map(*given), F.concat_ws(":", "dimension", "value")) if given else F.lit(None).cast("double")
+    left = F.create_map(*[F.lit(x) for d in DIMENSIONS for x in (d, 1.0 - sum(targets.get(d, {}).values()))])
+    weight = F.when(F.col("dimension").isin([d for d in DIMENSIONS if targets.get(d)]), F.when(named.isNull(), F.col("own")).otherwise(0.0)).otherwise(F.pow("own", F.lit(TEMPERING)))
+    weighed = shares.withColumns({"named": named, "weight": weight})
+    wholes = weighed.groupBy("dimension").agg(F.sum("weight").alias("whole"))
+    rest = F.element_at(left, F.col("dimension")) * F.col("weight") / F.when(F.col("whole") > 0, F.col("whole")).otherwise(1.0)
+    return weighed.join(F.broadcast(wholes), "dimension").select("dimension", "value", F.coalesce("named", rest).alias("target"))
+
+
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame, float]:
+    """(source, f_source) and (lang, topic, f_lang, f_topic), marked to be broadcast if small, and the largest product of three factors among cells.
+    cells: written (source, lang, topic, tokens). A round sums the cells, scaled by their sources' factors, to languages and topics, fits those two, and
+    fits the sources by another sum. It ends when no marginal was off its target by more than tolerance, or after so many rounds."""
+    cells = cells.where("tokens > 0")
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in DIMENSIONS]))
+    sums = cells.select("tokens", each.alias("x")).groupBy("x.dimension", "x.value").agg(F.sum("tokens").alias("tokens"))
+    sums = written(sums, "sums")
+    sizes = {r["dimension"]: r for r in sums.groupBy("dimension").agg(F.count("*").alias("n"), F.sum("tokens").alias("total")).collect()}  # three rows
+    total = sizes["source"]["total"] if sizes else 1.0
+    small = lambda table, n: F.broadcast(table) if n <= BROADCAST_ROWS else table
+    number = lambda d: sizes[d]["n"] if sizes else 0
+    few, pairs = number("source"), number("lang") * number("topic")
+    goals = written(targets_for(sums.select("dimension", "value", (F.col("tokens") / F.lit(total)).alias("own")), targets or {}), "targets")
+    goal = {d: goals.where(F.col("dimension") == d).select(F.col("value").alias(d), F.col("target").alias(f"target_{d}")) for d in DIMENSIONS}
+    share = F.col("tokens") / F.lit(total)
+    source = goal["source"].withColumn("f_source", F.lit(1.0))
+    both = cells.select("lang", "topic").distinct().withColumns({"f_lang": F.lit(1.0), "f_topic": F.lit(1.0)})
+    by = {d: Window.partitionBy(d) for d in ("lang", "topic")}  # over one row a pair of language and topic
+    off = lambda rest, d: F.abs(rest * F.col(f"f_{d}") - F.col(f"target_{d}"))
     for _ in range(rounds):
-        for d in DIMENSIONS:
-            out = out.withColumn("weight", F.col("weight") * F.col(f"target_{d}") / F.sum("weight").over(by[d]))
-    ratio = F.col("weight") * F.col("total") / F.col("tokens")
-    return out.withColumn("ratio", ratio).withColumn("p", F.col("ratio") / F.max("ratio").over(everything))
-
-
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rate: float | None = None, seed: str = SEED) -> DataFrame:
-    """The documents kept, with their cell (mix_source, mix_lang, mix_topic) and probability (mix_p) added."""
+        seen, grouped = [Observation(), Observation()], cells.join(small(source, few), "source").groupBy("lang", "topic").agg(F.sum(share * F.col("f_source")).alias("s"))
+        fit = grouped.join(small(both, pairs), ["lang", "topic"]).join(small(goal["lang"], number("lang")), "lang").join(small(goal["topic"], number("topic")), "topic")
+        fit = fit.withColumn("rest", F.sum(F.col("s") * F.col("f_topic")).over(by["lang"])).withColumns({"off_lang": off(F.col("rest"), "lang"), "f_lang": F.col("target_lang") / F.col("rest")})
+        fit = fit.withColumn("rest", F.sum(F.col("s") * F.col("f_lang")).over(by["topic"])).withColumns({"off_topic": off(F.col("rest"), "topic"), "f_topic": F.col("target_topic") / F.col("rest")})
+        both = written(fit.observe(seen[0], F.max(F.greatest("off_lang", "off_topic")).alias("off")).select("lang", "topic", "f_lang", "f_topic"), "factors")
+        rest = cells.join(small(both, pairs), ["lang", "topic"]).groupBy("source").agg(F.sum(share * F.col("f_lang") * F.col("f_topic")).alias("rest"))
+        fit = rest.join(small(source, few), "source").withColumn("off", off(F.col("rest"), "source"))
+        source = written(fit.observe(seen[1], F.max("off").alias("off")).select("source", "target_source", (F.col("target_source") / F.col("rest")).alias("f_source")), "factors")
+        if max(x.get["off"] or 0.0 for x in seen) <= tolerance:
+            break
+    source, both = small(source.select("source", "f_source"), few), small(both, pairs)
+    most = cells.join(source, "source").join(both, ["lang", "topic"]).agg(F.max(F.col("f_source") * F.col("f_lang") * F.col("f_topic"))).first()[0]
+    return source, both, most or 1.0
+
+
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rate: float | None = None, seed: str = SEED, topic_of: Column | None = None) -> DataFrame:
+    """The documents kept, with their cell (mix_source, mix_lang, mix_topic) and probability (mix_p) added. topic_of: a document's topic, if not by its shape."""
     docs = docs.drop("mix_source", "mix_lang", "mix_topic", "mix_p")
-    placed = cells_of(docs)
-    names = [F.col(f"_mix_{d}").alias(d) for d in DIMENSIONS]
-    cells = written(placed.groupBy(*names).agg(F.sum("_mix_tokens").alias("tokens")).coalesce(1), "cells")
-    raked = written(rake(cells).select(*[F.col(d).alias(f"_mix_{d}") for d in DIMENSIONS], F.col("p").alias("_mix_p")), "raked")
-    if raked.count() <= BROADCAST_CELLS:
-        raked = F.broadcast(raked)
-    p = F.coalesce("_mix_p", F.lit(1.0)) * (1.0 if rate is None else F.lit(float(rate)))
-    joined = placed.drop("_mix_tokens").join(raked, [f"_mix_{d}" for d in DIMENSIONS], "left").withColumn("_mix_p", p)
-    kept = joined.where(uniform(F.col("doc_id"), seed) < F.col("_mix_p"))
-    return kept.select(*docs.columns, *[F.col(f"_mix_{d}").alias(f"mix_{d}") for d in DIMENSIONS], F.col("_mix_p").alias("mix_p"))
+    out, names = placed(docs, topic_of)
+    tokens = F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("double")).alias("tokens")
+    cells = written(out.groupBy(*[F.col(n).alias(d) for n, d in zip(names, DIMENSIONS, strict=True)]).agg(tokens), "cells")
+    source, both, most = rake(cells, targets)
+    product = fresh(out, "_mix_p" + "_" * max(map(len, out.columns)))
+    source = source.toDF(f"{product}_source", f"{product}_fs")  # names that begin with product are the input's in no case
+    both = both.toDF(f"{product}_lang", f"{product}_topic", f"{product}_fl", f"{product}_ft")
+    out = out.join(source, F.col(names[0]) == F.col(f"{product}_source"), "left")
+    out = out.join(both, (F.col(names[1]) == F.col(f"{product}_lang")) & (F.col(names[2]) == F.col(f"{product}_topic")), "left")
+    p = F.least(F.lit(1.0), F.coalesce(F.col(f"{product}_fs") * F.col(f"{product}_fl") * F.col(f"{product}_ft") / F.lit(most), F.lit(1.0))) * F.lit(1.0 if rate is None else float(rate))
+    kept = out.withColumn(product, p).where(uniform(F.col("doc_id"), seed) < F.col(product))
+    return kept.select(*docs.columns, *[F.col(n).alias(f"mix_{d}") for n, d in zip(names, DIMENSIONS, strict=True)], F.col(product).alias("mix_p"))
 
 
 def op7_mixing(spark, sf_dir) -> DataFrame:
@@ -104,29 +125,38 @@ def op7_mixing(spark, sf_dir) -> DataFrame:
     return out.select("doc_id", "mix_source", "mix_lang", "mix_topic", F.round("mix_p", 6).alias("p"))
 
 
-def _oracle(docs: str = "documents") -> str:
-    steps, last = [], "w0"
-    for i in range(ROUNDS):
-        for d in DIMENSIONS:
-            name = f"w{i}_{d}"
-            steps.append(f"{name} AS MATERIALIZED (SELECT * REPLACE (weight * target_{d} / sum(weight) OVER (PARTITION BY {d}) AS weight) FROM {last})")
-            last = name
-    own = ", ".join(f"sum(tokens) OVER (PARTITION BY {d}) / sum(tokens) OVER () AS own_{d}" for d in DIMENSIONS)
-    tempered = ", ".join(f"(SELECT sum(power(s, {TEMPERING})) FROM (SELECT sum(tokens) / (SELECT sum(tokens) FROM c) AS s FROM c GROUP BY {d})) AS tempered_{d}" for d in DIMENSIONS)
-    target = ", ".join(f"power(own_{d}, {TEMPERING}) / tempered_{d} AS target_{d}" for d in DIMENSIONS)
+def _oracle(docs: str = "documents", rounds: int = 9) -> str:
+    """SQL with so many rounds written out, more than the tolerance takes; the first one that is within it counts."""
+    steps = [f"f0_{d} AS (SELECT {d} AS value, 1.0::DOUBLE AS factor FROM c GROUP BY ALL)" for d in DIMENSIONS]
+    goals = [f"""t_{d} AS MATERIALIZED (SELECT value, power(own, {TEMPERING}) / sum(power(own, {TEMPERING})) OVER () AS target
+                 FROM (SELECT {d} AS value, sum(tokens) / (SELECT sum(tokens) FROM c) AS own FROM c GROUP BY ALL))""" for d in DIMENSIONS]
+    last = {d: f"f0_{d}" for d in DIMENSIONS}
+    for i in range(1, rounds + 1):
+        for d in ("lang", "topic", "source"):
+            x, y = (o for o in DIMENSIONS if o != d)
+            steps.append(f"""f{i}_{d} AS MATERIALIZED (SELECT value, target / rest AS factor, abs(rest * o.factor - target) AS gap
+                             FROM (SELECT c.{d} AS value, sum(tokens / (SELECT sum(tokens) FROM c) * a.factor * b.factor) AS rest
+                                   FROM c JOIN {last[x]} a ON a.value = c.{x} JOIN {last[y]} b ON b.value = c.{y} GROUP BY ALL) JOIN {last[d]} o USING (value) JOIN t_{d} USING (value))""")
+            last[d] = f"f{i}_{d}"
+    every = " UNION ALL ".join(f"SELECT {i} AS i, '{d}' AS d, value, factor, gap FROM f{i}_{d}" for i in range(1, rounds + 1) for d in DIMENSIONS)
+    join = lambda kind, t: " ".join(f"{kind} JOIN f f_{d} ON f_{d}.d = '{d}' AND f_{d}.value = {t}.{d}" for d in DIMENSIONS)
+    product = " * ".join(f"f_{d}.factor" for d in DIMENSIONS)
     return rf"""
         WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM {docs}),
         t AS (SELECT doc_id, source, lang, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::DOUBLE AS tokens,
                      CASE WHEN contains(text, ' | ') THEN 'table' WHEN length(text) < 40 * (len(string_split(text, chr(10)))) THEN 'list'
                           WHEN length(text) < 2000 THEN 'short' ELSE 'long' END AS topic FROM d),
-        c AS (SELECT source, lang, topic, sum(tokens) AS tokens FROM t GROUP BY ALL HAVING sum(tokens) > 0),
-        o AS (SELECT *, sum(tokens) OVER () AS total, {own}, {tempered} FROM c),
-        w0 AS (SELECT source, lang, topic, tokens, total, tokens / total AS weight, {target} FROM o),
+        c AS MATERIALIZED (SELECT source, lang, topic, sum(tokens) AS tokens FROM t GROUP BY ALL HAVING sum(tokens) > 0),
+        {", ".join(goals)},
         {", ".join(steps)},
-        r AS (SELECT source, lang, topic, (weight * total / tokens) / max(weight * total / tokens) OVER () AS p FROM {last})
-        SELECT doc_id, source AS mix_source, lang AS mix_lang, topic AS mix_topic, round(coalesce(p, 1.0), 6) AS p
-        FROM t LEFT JOIN r USING (source, lang, topic)
-        WHERE ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < coalesce(p, 1.0)"""
+        a AS MATERIALIZED ({every}),
+        f AS MATERIALIZED (SELECT * FROM a WHERE i = (SELECT coalesce(min(i), {rounds}) FROM (SELECT i FROM a GROUP BY i HAVING max(gap) <= {TOLERANCE}))),
+        m AS (SELECT max({product}) AS most FROM c {join("", "c")}),
+        k AS (SELECT DISTINCT lang, topic, true AS known FROM c),
+        p AS (SELECT doc_id, source, lang, topic, least(1.0, CASE WHEN known THEN coalesce({product} / (SELECT most FROM m), 1.0) ELSE 1.0 END) AS p
+              FROM t {join("LEFT", "t")} LEFT JOIN k USING (lang, topic))
+        SELECT doc_id, source AS mix_source, lang AS mix_lang, topic AS mix_topic, round(p, 6) AS p
+        FROM p WHERE ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < p"""
 
 
 QUERIES = {"op7_mixing": op7_mixing}
