@@ -1,12 +1,13 @@
 """PII: regular expressions propose spans, checksums and other validators confirm them, nearby words adjust the score.
 
 Base kinds (email, ip, card, phone) are reported whenever their pattern and validator hold. The further kinds, iban
-(confirmed by its remainder mod 97), secret (a long random-looking value) and card_like (a card-length number that
-fails Luhn) are reported if their score, raised or lowered by the words around them, reaches THRESHOLD.
+(confirmed by its remainder mod 97), access_key (the published form of a service's keys), secret (a random-looking value) and
+card_like (a card-length number that fails Luhn) are reported if their score, raised or lowered by the words around them, reaches
+THRESHOLD. A secret starts low: it needs such a word as "password" beside it.
 Texts are read whole; positions are code points, ends exclusive.
 
 Defined results: null and empty texts have no spans. Rows are judged one by one, so that repeated ids keep their own
-results; other columns pass through.
+results; other columns pass through, but for one named like the one added, which it replaces.
 """
 
 from __future__ import annotations
@@ -22,14 +23,18 @@ from pyspark.sql import functions as F
 from harrow.llm.shared import documents
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "secret", "card_like")
+KINDS = (*BASE, "iban", "access_key", "secret", "card_like")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # as [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+) finds them, in linear time
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: A candidate takes in what follows if it looks like a further group; _ibans cuts it.
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-SECRET = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{24,}(?![A-Za-z0-9_/+-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}(?![A-Za-z0-9_/+-])")
+#: The published forms of access keys.
+ACCESS_KEY = re.compile(
+    r"(?<![A-Za-z0-9_])(?:A[KS]IA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|AIza[A-Za-z0-9_-]{35}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,})(?![A-Za-z0-9_])"
+)
 #: The lengths of IBANs by country (ISO 13616 registry).
 IBAN_LENGTHS = {
     c: n
@@ -41,7 +46,7 @@ IBAN_LENGTHS = {
 }
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 #: Starting scores, and what a word among the NEAR code points before or after adds or takes away.
-START = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "secret": 0.3, "card_like": 0.2}
+START = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "access_key": 0.8, "secret": 0.3, "card_like": 0.2}
 NEAR = 40
 THRESHOLD = 0.6
 CONTEXT = {
@@ -51,6 +56,7 @@ CONTEXT = {
     "ip": {"ip": 0.2, "address": 0.1, "server": 0.1, "version": -0.4, "section": -0.3},
     "email": {"mail": 0.05, "email": 0.05, "contact": 0.05, "example": -0.1},
     "iban": {"iban": 0.2, "bank": 0.1, "account": 0.1, "konto": 0.1, "compte": 0.1, "cuenta": 0.1},
+    "access_key": {"example": -0.3},
     "secret": {"token": 0.5, "secret": 0.5, "password": 0.5, "passwd": 0.5, "apikey": 0.5, "key": 0.4, "bearer": 0.5, "commit": -0.4, "sha": -0.4, "checksum": -0.4},
 }
 
@@ -69,10 +75,10 @@ def mod97(iban: str) -> bool:
 
 
 def random_looking(value: str) -> bool:
-    """Digits and letters both, and more than 2.8 bits a character."""
+    """Digits and letters both, and more than 2.5 bits a character."""
     counts = Counter(value)
     bits = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    return bits > 2.8 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+    return bits > 2.5 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
 
 
 def digits_of(s: str) -> str:
@@ -131,7 +137,9 @@ def spans_of(text: str) -> list[tuple[str, int, int, float]]:
         found += [("card", a, b) for a, b, d in cards if luhn(d)]
         found += [("phone", m.start(), m.end()) for m in PHONE.finditer(text) if 9 <= len(digits_of(m[0])) <= 15]
         found += [("iban", a, b) for a, b in _ibans(text)]
-        found += [("secret", m.start(), m.end()) for m in SECRET.finditer(text) if random_looking(m[0])]
+        keys = [(m.start(), m.end()) for m in ACCESS_KEY.finditer(text)]
+        found += [("access_key", a, b) for a, b in keys]
+        found += [("secret", m.start(), m.end()) for m in SECRET.finditer(text) if random_looking(m[0]) and m.span() not in keys]
         found += [("card_like", a, b) for a, b, d in cards if not luhn(d)]
     scored = [(k, a, b, score(k, text, a, b)) for k, a, b in found]
     return [x for x in scored if x[0] in BASE or x[3] >= THRESHOLD]
@@ -180,7 +188,8 @@ def op6_pii(spark, sf_dir) -> DataFrame:
     base = F.filter("pii", lambda x: x["kind"].isin(*BASE))
     of = lambda k: lambda x: x["kind"] == k
     counts = [F.size(F.filter("pii", of(k))).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("pii")).alias("spans"))
+    added = (F.size("pii") - F.size(base)).cast("long").alias("n_added")
+    return found.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("pii")).alias("spans"), added)
 
 
 QUERIES = {"op6_pii": op6_pii}
