@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harrow.llm.shared import fresh
+
 SEPARATOR = b"\xff"
 ROWS = 4096  # URLs that step together
 
@@ -155,8 +157,9 @@ def judge_urls(df: DataFrame, rules=RULES, globs=GLOBS, url: str = "url") -> Dat
         return pd.DataFrame({"rule": names[best], "glob": glob, "verdict": verdict})
 
     host, path = host_and_path(F.col(url))
-    split = df.withColumns({"_host": host, "_path": path}).withColumn("_by", decide("_host", "_path"))
-    return split.select(*df.columns, F.col("_host").alias("host"), F.col("_path").alias("path"), "_by.rule", "_by.glob", "_by.verdict")
+    own_host, own_path, by = (fresh(df, x) for x in ("_host", "_path", "_by"))
+    split = df.withColumns({own_host: host, own_path: path}).withColumn(by, decide(own_host, own_path))
+    return split.select(*df.columns, F.col(own_host).alias("host"), F.col(own_path).alias("path"), *[F.col(by)[x].alias(x) for x in ("rule", "glob", "verdict")])
 
 
 def op4_url_filters(spark, sf_dir) -> DataFrame:
