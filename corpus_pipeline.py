@@ -17,29 +17,38 @@ from harrow.llm.shared import documents, text_or_empty, written
 LEAST_KNOWN = 0.5
 
 
+def beside(docs: DataFrame, used: list[str], operator) -> DataFrame:
+    """What operator makes of docs, whose other columns keep their names and values whatever the operator adds: they pass through it under names of their own."""
+    own = {c: f"own_{i}_{c}" for i, c in enumerate(docs.columns) if c not in used}
+    out = operator(docs.withColumnsRenamed(own))
+    return out.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in known languages; a missing lang becomes the most frequent language found. With no labelled row to learn from, all with letters stay."""
     model = langid.learn(langid.labelled_rows(docs))
-    found = langid.label(docs, model)
     known = F.col("text").rlike(r"\p{L}") if model is None else (F.col("lang_pred") != langid.UND) & (F.col("known") >= LEAST_KNOWN)
-    kept = found.where(known)
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+
+    def operator(own: DataFrame) -> DataFrame:
+        return langid.label(own, model).where(known).withColumn("lang", F.coalesce("lang", "lang_pred"))
+
+    return beside(docs, ["doc_id", "text", "lang"], operator)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document has are gone."""
-    out = line_dedup.drop_lines(docs).select(docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    out = beside(docs, ["doc_id", "text"], line_dedup.drop_lines)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns) if "n_chars" in docs.columns else out
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, on shingles of five words and a similarity of 0.8."""
-    return minhash.dedup(docs)
+    return beside(docs, ["doc_id", "text"], minhash.dedup)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose sources, languages and topics have their target shares of tokens."""
-    return mixing.mix(docs).select(docs.columns)
+    return beside(docs, ["doc_id", "text", "lang", "source"], mixing.mix)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
