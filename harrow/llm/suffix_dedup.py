@@ -3,19 +3,20 @@
 Suffixes are compared where repeats can be. Each string of LENGTH bytes has an anchor, the place of the least hash among its
 GRAM-byte grams; equal strings have their anchors at the same offset. So
 
-1. anchors that occur once are ruled out by a twice-seen Bloom filter; each remaining anchor has a context, the bytes
-   of all the strings that it is the anchor of. An anchor whose contexts are all equal, by their 128-bit digests, needs no more:
-   its strings are repeated. (Inside of copies, nearly all are.) The others are mixed.
-2. The contexts of a mixed anchor come from the shards (the tasks of step 1, in which equal ones are one row with its owners)
-   to one bucket and are merged there as shard Burrows-Wheeler transforms are: their suffixes at the anchor start as one
-   interleave, which is refined iteratively, eight bytes a round and only where neighbours still tie, which also gives the
-   common prefixes of neighbours (refine). Then the order of the suffixes one byte to the left follows from the order at hand
-   by a stable partition on the byte before (the transform's column), and so on over all offsets, never sorting suffixes again
-   (repeated). Common prefixes come from range minima over those at the anchor. Neighbours with a common prefix of LENGTH bytes
-   are the repeated intervals. Many buckets are merged side by side in numpy.
-3. A mixed anchor with more than HOT contexts would be an unbounded bucket. Its strings are counted one by one instead, by a
-   128-bit digest with partial sums before the shuffle: linear, exact but for digest collisions.
-4. Removed bytes are gathered by document. Documents without any are never shuffled.
+1. Anchors that occur once are ruled out by a twice-seen Bloom filter. Each other one has a context, the bytes of all the strings
+   that it is the anchor of. Contexts are written once, equal ones of a task as one row with its owners. All contexts of
+   an anchor are aligned at it, so that only suffixes in the same column need to be compared.
+2. A shard (the contexts of one task) makes its Burrows-Wheeler transform: column by column from the right end, the symbols that
+   precede its suffixes in their order (transformed). Right of the anchor a symbol is a word of eight bytes, left of it a byte.
+3. A bucket gets the transforms of its anchors from all shards and merges them (merged_marks). It never sees texts or sorts suffixes: an
+   interleave of the shards is refined iteratively, from one column to the next, by a stable partition on the shards' next symbols.
+   The common prefixes of neighbours are carried along, one symbol longer where neighbours agree and cut where others come
+   between. Neighbours that share LENGTH bytes are the repeated intervals. Many anchors are merged side by side in numpy.
+4. Only row numbers come back; they are joined with the owners, so that a string of a third of all documents is a row a
+   shard in its bucket. An anchor with more than MANY contexts is dealt anew first: its contexts are cut by the offset of a string to
+   the anchor into ranges of SPLIT, each keyed by the bytes that all strings of the range hold, and, if still too many, by whole strings. All go the
+   same way through transforms and their merge.
+5. Removed bytes are gathered by document. Documents without any are never shuffled.
 
 Defined results: a null or empty text has no bytes. Repeated rows repeat each other's bytes, so that those of LENGTH bytes
 and more lose all. Rows are told apart by id and text, ids may repeat or be null. Other columns pass through, but for those named like the ones added, which they replace.
@@ -34,9 +35,11 @@ from harrow.llm import bloom
 from harrow.llm.shared import documents, tidy, with_fields, written
 
 LENGTH, GRAM = 200, 16
-HOT = 2000
+MANY = 4096  # contexts of an anchor in a bucket
+SPLIT = 24  # offsets, of a range that such an anchor's contexts are cut into
 NO_ID = -(1 << 63)
 TOGETHER = 16384  # contexts merged side by side
+CHUNK = 32_000_000  # bytes of contexts that a shard transforms at once
 _A, _B, _MIX = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
 
 
@@ -85,138 +88,183 @@ def _each(batches, suspected: bloom.Filter, length: int):
                     yield doc_id, text_hash, data, [x[hit] for x in found]
 
 
-def anchor_table(docs: DataFrame, suspected: bloom.Filter, length: int) -> DataFrame:
-    """(anchor, rows, uniform) of each suspected anchor: how many contexts the tasks have of it, each counting equal ones once, and whether there
-    are two or more and all are equal."""
+CONTEXT = "key long, row long, left int, data binary, owners binary"
+
+
+class Kept:
+    """Contexts gathered in a task, equal ones once."""
+
+    def __init__(self, level: int):
+        self.number, self.rows, self.held = (level << 60) | (TaskContext.get().partitionId() << 36), {}, 0
+
+    def add(self, key: int, left: int, data: bytes, owners: tuple[int, ...]) -> None:
+        self.rows.setdefault((key, left, data), []).extend(owners)
+        self.held += len(data)
+
+    def out(self):
+        rows = list(self.rows.items())
+        for i in range(0, len(rows), 20_000):
+            some = rows[i : i + 20_000]
+            key = np.array([k[0] for k, _ in some], np.uint64).view(np.int64)
+            number = np.arange(self.number, self.number + len(some))
+            self.number += len(some)
+            yield pd.DataFrame({"key": key, "row": number, "left": [k[1] for k, _ in some], "data": [k[2] for k, _ in some], "owners": [np.array(v, np.int64).tobytes() for _, v in some]})
+        self.rows, self.held = {}, 0
+
+
+def contexts(docs: DataFrame, suspected: bloom.Filter, length: int) -> DataFrame:
+    """CONTEXT rows of suspected anchors. left: how many bytes of data lie before the anchor; owners: the id, text hash and start of each place that has it."""
 
     def run(batches):
-        names, digests, held = [], [], 0
+        kept = Kept(0)
+        for doc_id, text_hash, data, (name, place, first, last) in _each(batches, suspected, length):
+            for n, p, a, b in zip(name.tolist(), place.tolist(), first.tolist(), last.tolist(), strict=True):
+                kept.add(n, p - a, data[a : b + length], (doc_id, text_hash, a))
+            if kept.held > CHUNK:
+                yield from kept.out()
+        yield from kept.out()
+
+    return docs.mapInPandas(tidy(run), CONTEXT)
 
-        def out():
-            rows = np.concatenate(names), np.concatenate([np.array(x, np.uint64) for x in digests])
-            order = np.lexsort((rows[1][:, 1], rows[1][:, 0], rows[0]))
-            name, digest = rows[0][order], rows[1][order]
-            new = np.append(True, (name[1:] != name[:-1]) | (digest[1:] != digest[:-1]).any(axis=1))
-            at = np.nonzero(new)[0]
-            return pd.DataFrame({"anchor": name[at].view(np.int64), "d1": digest[at, 0].view(np.int64), "d2": digest[at, 1].view(np.int64), "n": np.diff(np.append(at, len(name)))})
-
-        for _, _, data, (name, _, first, last) in _each(batches, suspected, length):
-            names.append(name)
-            whole = (xxhash.xxh3_128_intdigest(data[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True))
-            digests.append([(d >> 64, d & 0xFFFFFFFFFFFFFFFF) for d in whole])
-            held += len(name)
-            if held > 1_000_000:
-                yield out()
-                names, digests, held = [], [], 0
-        if held:
-            yield out()
-
-    parts = docs.mapInPandas(tidy(run), "anchor long, d1 long, d2 long, n long")
-    ends = [f(c).alias(f"{k}_{c}") for c in ("d1", "d2") for k, f in (("min", F.min), ("max", F.max))]
-    table = parts.groupBy("anchor").agg(F.count("*").alias("rows"), F.sum("n").alias("n"), *ends)
-    return table.select("anchor", "rows", ((F.col("n") > 1) & (F.col("min_d1") == F.col("max_d1")) & (F.col("min_d2") == F.col("max_d2"))).alias("uniform"))
-
-
-CONTEXT = "key long, anchor long, row long, left int, data binary, owners binary"
-
-
-def contexts(docs: DataFrame, suspected: bloom.Filter, mixed: bloom.Filter, crowded: bloom.Filter | None, length: int, hot: bool) -> DataFrame:
-    """CONTEXT rows of mixed anchors, either those that are crowded (hot) or the others: left bytes of data lie before the anchor; owners: the id, text
-    hash and start of each place that has it. With the others come the covers of uniform anchors, joined by document: without data, owners as in COVER.
-    An anchor is in neither filter only if it is known to be uniform, or not to be crowded: filters have no false negatives."""
+
+def narrowed(rows: DataFrame, length: int, width: int, level: int) -> DataFrame:
+    """CONTEXT rows cut by the offsets of their strings to the anchor, each part with so many offsets, keyed by the bytes that all strings at these offsets hold."""
+
+    def run(batches):
+        kept = Kept(level)
+        for batch in batches:
+            for key, left, data, owners in zip(batch["key"].tolist(), batch["left"].tolist(), batch["data"], batch["owners"], strict=True):
+                owners = np.frombuffer(owners, np.int64).reshape(-1, 3)
+                least = max(0, length - (len(data) - left))
+                for i in range(least // width, left // width + 1):
+                    low, high = max(least, width * i), min(left, width * i + width - 1)
+                    core = data[left - width * i : left - width * i - width + 1 + length]
+                    name = xxhash.xxh3_64_intdigest(core, seed=(key ^ (i * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF)
+                    kept.add(name, high - width * i, data[left - high : left - low + length], (owners + [0, 0, left - high]).ravel().tolist())
+                if kept.held > CHUNK:
+                    yield from kept.out()
+        yield from kept.out()
+
+    return rows.mapInPandas(tidy(run), CONTEXT)
+
+
+def partition(cls: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """The stable order by class (in order already) and then symbol; only classes out of order are touched."""
+    perm = np.arange(len(cls))
+    falls = np.nonzero((symbol[1:] < symbol[:-1]) & (cls[1:] == cls[:-1]))[0]
+    if len(falls):
+        touched = np.zeros(int(cls[-1]) + 1, bool)
+        touched[cls[falls]] = True
+        at = np.nonzero(touched[cls])[0]
+        perm[at] = at[np.lexsort((symbol[at], cls[at]))]
+    return perm
+
+
+def classes(*keys: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on, one for each run of equal keys."""
+    new = np.zeros(len(keys[0]), bool)
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.cumsum(new)
+
+
+TRANSFORM = "bucket long, keys binary, rows binary, lefts binary, reaches binary, words binary, bytes binary"
+
+
+def transform(key: np.ndarray, left: np.ndarray, data: list[bytes], length: int):
+    """The Burrows-Wheeler transform of contexts, side by side for each key: their order by key, and for words and for bytes the symbols of all columns one after the
+    other, with the number in that order of the context that each belongs to."""
+    size = np.fromiter(map(len, data), np.int64, len(data))
+    flat = np.frombuffer(b"".join(data), np.uint8)
+    order = np.argsort(key, kind="stable")
+    key, left, size, anchor = key[order], left[order], size[order], (np.cumsum(size) - size + left)[order]
+    reach, cls = size - left, classes(key)
+    words = -(-length // 8)
+    at = anchor[:, None] + np.arange(8 * words)
+    right = np.where(np.arange(8 * words) < reach[:, None], np.append(flat, np.uint8(0))[np.minimum(at, len(flat))] + np.uint8(1), np.uint8(0))  # 0 is the end; UTF-8 has no byte 255
+    right = np.ascontiguousarray(right).view(">u8").astype(np.uint64)
+    row = np.arange(len(key))
+    columns: tuple[list, list, list, list] = [], [], [], []
+    for j in range(words - 1, -1, -1):
+        symbol = right[row, j]
+        live = reach[row] > 8 * j
+        columns[0].append(symbol[live])
+        columns[1].append(row[live])
+        row = row[partition(cls, symbol)]
+    for offset in range(1, int(left.max(initial=0)) + 1):
+        live = left[row] >= offset
+        row, cls = row[live], cls[live]
+        symbol = flat[anchor[row] - offset]
+        columns[2].append(symbol)
+        columns[3].append(row)
+        perm = partition(cls, symbol)
+        row, cls = row[perm], classes(cls, symbol[perm])
+    joined = [np.concatenate([np.zeros(0, kind), *x]) for x, kind in zip(columns, (np.uint64, np.int64, np.uint8, np.int64), strict=True)]
+    return order, reach, *joined
+
+
+def transformed(rows: DataFrame, length: int, log2_buckets: int) -> DataFrame:
+    """TRANSFORM rows: the transforms of the shards (tasks) of rows, cut by buckets of keys. A left with its lowest bit set has several owners."""
 
     def run(batches):
-        number = TaskContext.get().partitionId() << 40
-        kept: dict[tuple[int, int, bytes], list[int]] = {}
-        sure: list[tuple[int, int, int, int]] = []
-        held = 0
+        held, parts = 0, []
 
         def out():
-            nonlocal number
-            rows = list(kept.items())
-            for i in range(0, len(rows), 20_000):
-                some = rows[i : i + 20_000]
-                anchor = np.array([k[0] for k, _ in some], np.uint64).view(np.int64)
+            key = np.concatenate([p[0] for p in parts])
+            left, several, number = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 4))
+            data = [x for p in parts for x in p[3]]
+            order, reach, words, word_rows, symbols, symbol_rows = transform(key, left, data, length)
+            key, left, several, number = key[order], left[order], several[order], number[order]
+            bucket = (key >> np.uint64(64 - log2_buckets)).astype(np.int64) if log2_buckets else np.zeros(len(key), np.int64)
+            names, starts = np.unique(bucket, return_index=True)
+            cls = classes(bucket)
+            cut = []
+            for values, owner in ((words, word_rows), (symbols, symbol_rows)):
+                where = cls[owner]
+                by = np.argsort(where.astype(np.uint16) if len(names) < 65536 else where, kind="stable")
+                cut.append((values[by], np.searchsorted(where[by], np.arange(len(names) + 1))))
+            ends = np.append(starts, len(key))
+            piece = lambda x, i: x[ends[i] : ends[i + 1]].tobytes()
+            lefts, reaches = (left * 2 + several).astype(np.int16), reach.astype(np.int16)
+            for a in range(0, len(names), 256):
+                some = range(a, min(a + 256, len(names)))
+                inner = lambda k, i: cut[k][0][cut[k][1][i] : cut[k][1][i + 1]].tobytes()
                 yield pd.DataFrame(
                     {
-                        "key": anchor,
-                        "anchor": anchor,
-                        "row": np.arange(number, number + len(some)),
-                        "left": [k[1] for k, _ in some],
-                        "data": [k[2] for k, _ in some],
-                        "owners": [np.array(v, np.int64).tobytes() for _, v in some],
+                        "bucket": names[a : a + 256],
+                        "keys": [piece(key, i) for i in some],
+                        "rows": [piece(number, i) for i in some],
+                        "lefts": [piece(lefts, i) for i in some],
+                        "reaches": [piece(reaches, i) for i in some],
+                        "words": [inner(0, i) for i in some],
+                        "bytes": [inner(1, i) for i in some],
                     }
                 )
-                number += len(some)
-            for i in range(0, len(sure), 1000):
-                yield pd.DataFrame({"key": [number], "anchor": [number], "row": [number], "left": [0], "data": [None], "owners": [np.array(sure[i : i + 1000], np.int64).tobytes()]})
-                number += 1
-            kept.clear()
-            sure.clear()
-
-        for doc_id, text_hash, data, (name, place, first, last) in _each(batches, suspected, length):
-            is_mixed = mixed.holds(bloom.of_longs(name))
-            is_hot = is_mixed & crowded.holds(bloom.of_longs(name)) if crowded else np.zeros(len(name), bool)
-            if not hot:
-                sure += [(doc_id, text_hash, a, b) for a, b in runs(first[~is_mixed], last[~is_mixed] + length)]
-            hit = np.nonzero(is_mixed & (is_hot == hot))[0]
-            for n, p, a, b in zip(name[hit].tolist(), place[hit].tolist(), first[hit].tolist(), last[hit].tolist(), strict=True):
-                kept.setdefault((n, p - a, data[a : b + length]), []).extend((doc_id, text_hash, a))
-                held += b - a + length
-            if held > 48_000_000:
-                yield from out()
-                held = 0
-        yield from out()
-
-    return docs.mapInPandas(tidy(run), CONTEXT)
 
+        for batch in batches:
+            if len(batch):
+                several = np.fromiter((len(x) > 24 for x in batch["owners"]), bool, len(batch))
+                parts.append((batch["key"].to_numpy(np.int64).view(np.uint64), batch["left"].to_numpy(np.int64), several, list(batch["data"]), batch["row"].to_numpy(np.int64)))
+                held += sum(map(len, parts[-1][3]))
+                if held > CHUNK:
+                    yield from out()
+                    held, parts = 0, []
+        if parts:
+            yield from out()
 
-def runs(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
-    """Spans in order of their starts, those that touch as one."""
-    if not len(start):
-        return []
-    new = np.append(True, start[1:] > np.maximum.accumulate(end)[:-1])
-    at = np.nonzero(new)[0]
-    return list(zip(start[at].tolist(), np.maximum.reduceat(end, at).tolist(), strict=True))
-
-
-def refine(bucket: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of rows by bucket and then right (rows of big-endian words), and each one's common prefix, in bytes, with the row before
-    it in its bucket. Starts from the order of buckets; each round refines the interleave by one more word where rows still tie."""
-    n, words = right.shape
-    order = np.argsort(bucket, kind="stable")
-    common = np.full(n, -1, np.int32)  # -1: not settled
-    common[np.append(True, bucket[order][1:] != bucket[order][:-1])] = 0
-    tied = np.ones(n, bool)
-    for w in range(words):
-        new = common >= 0
-        tied = ~(new & np.append(new[1:], True))  # alone between two settled borders
-        at = np.nonzero(tied)[0]
-        if not len(at):
-            break
-        cls, word = np.cumsum(new)[at], right[order[at], w]
-        perm = np.lexsort((word, cls))
-        order[at], word = order[at][perm], word[perm]
-        apart = np.nonzero((common[at][1:] < 0) & (word[1:] != word[:-1]))[0] + 1
-        differ, lead = word[apart] ^ word[apart - 1], np.zeros(len(apart), np.int32)
-        for byte in range(7, 0, -1):
-            lead += differ >> np.uint64(8 * byte) == 0
-        common[at[apart]] = 8 * w + lead
-    common[common < 0] = 8 * words
-    return order, common
+    return rows.mapInPandas(tidy(run), TRANSFORM)
 
 
 class Minima:
     """Range minima over a fixed array."""
 
     def __init__(self, x: np.ndarray):
-        self.levels = [x]
-        while (1 << len(self.levels)) <= len(x):
-            y, half = self.levels[-1], 1 << (len(self.levels) - 1)
-            self.levels.append(np.minimum(y[:-half], y[half:]))
-        self.table = np.full((len(self.levels), len(x)), 0, x.dtype)
-        for i, y in enumerate(self.levels):
-            self.table[i, : len(y)] = y
+        self.table = np.zeros((max(1, int(len(x)).bit_length()), len(x)), x.dtype)
+        self.table[0] = x
+        for i in range(1, len(self.table)):
+            half = 1 << (i - 1)
+            width = len(x) - 2 * half + 1
+            self.table[i, :width] = np.minimum(self.table[i - 1, :width], self.table[i - 1, half : half + width])
 
     def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The least of a+1 to b, a < b."""
@@ -224,146 +272,149 @@ class Minima:
         return np.minimum(self.table[k, a + 1], self.table[k, b + 1 - (1 << k)])
 
 
-def repeated(bucket: np.ndarray, left: np.ndarray, data: list[bytes], several: np.ndarray, length: int) -> np.ndarray:
-    """For each context, by offset from its anchor to the left, whether the string that starts there is repeated.
-    several: contexts with two owners or more, whose strings all are. data: in UTF-8, which has no byte 255."""
-    n, size = len(data), np.fromiter(map(len, data), np.int64, len(data))
-    deep = int(left.max()) + 1
-    out = np.zeros((n, deep), bool)
-    flat = np.frombuffer(b"".join(data), np.uint8)
-    start = np.cumsum(size) - size + left  # of the anchor
-    ends = np.cumsum(size)
+class Columns:
+    """The symbols of all shards, column by column: each shard's come in the shard's own order."""
+
+    def __init__(self, values: list[np.ndarray], live: list[np.ndarray]):
+        """For each shard, its symbols and how many of them each column has."""
+        numbers = np.concatenate([np.repeat(np.arange(len(n), dtype=np.uint16), n) for n in live])
+        by = np.argsort(numbers, kind="stable")
+        self.values, self.ends = np.concatenate(values)[by], np.cumsum(np.bincount(numbers, minlength=len(live[0])))
+
+    def take(self, column: int, shard: np.ndarray) -> np.ndarray:
+        """The symbols of a column for an interleave of shards: each shard's next one wherever it has its turn."""
+        own = self.values[self.ends[column - 1] if column else 0 : self.ends[column]]
+        out = np.empty_like(own)
+        out[np.argsort(shard, kind="stable")] = own
+        return out
+
+
+def merged_marks(shards: list[dict[str, np.ndarray]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For shards' transforms of the same bucket (arrays as in TRANSFORM): all rows and their lefts, and for each row and offset from its anchor to the
+    left whether the string that starts there is repeated."""
     words = -(-length // 8)
-    at = start[:, None] + np.arange(8 * words)
-    padded = np.append(flat, np.uint8(0))
-    right = np.where(at < ends[:, None], padded[np.minimum(at, len(flat))] + np.uint8(1), np.uint8(0))  # 0 is the end
-    order, common = refine(bucket, np.ascontiguousarray(right).view(">u8").astype(np.uint64))
-    reach = ends - start  # bytes from the anchor on
-    common = np.minimum(common, np.minimum(reach[order], reach[np.append(order[:1], order[:-1])]))
-    minima = Minima(common.astype(np.int32))
-    now = np.arange(n)  # places in order, by class of what lies to the left, then as at the anchor
-    cls = np.cumsum(np.append(True, bucket[order][1:] != bucket[order][:-1]))
-    lefts = left[order]
+    key, number = (np.concatenate([s[x] for s in shards]) for x in ("keys", "rows"))
+    left, several = np.divmod(np.concatenate([s["lefts"] for s in shards]).astype(np.int64), 2)
+    reach = np.concatenate([s["reaches"] for s in shards]).astype(np.int64)
+    deep = int(left.max()) + 1
+    counts = lambda x, least: len(x) - np.searchsorted(np.sort(x), least)
+    right = Columns([s["words"] for s in shards], [counts(s["reaches"], 8 * np.arange(words - 1, -1, -1) + 1) for s in shards])
+    before = Columns([s["bytes"] for s in shards], [counts(s["lefts"] >> 1, np.arange(1, deep)) for s in shards]) if deep > 1 else None
+    shard = np.repeat(np.arange(len(shards), dtype=np.uint16 if len(shards) < 65536 else np.int64), [len(s["keys"]) for s in shards])
+    row = np.argsort(key, kind="stable")  # the interleave at the right end: by key, then shard
+    group = classes(key[row])
+    inside = np.append(False, group[1:] == group[:-1])  # has its neighbour before it in the same group
+    common = np.zeros(len(row) + 1, np.int64)  # bytes shared with the neighbour before; one more, for ranges that end there
+    for j in range(words - 1, -1, -1):
+        live = reach[row] > 8 * j
+        symbol = np.zeros(len(row), np.uint64)
+        symbol[live] = right.take(words - 1 - j, shard[row[live]])
+        perm = partition(group, symbol)
+        row, symbol = row[perm], symbol[perm]
+        same = inside[1:] & (symbol[1:] == symbol[:-1])
+        apart = np.nonzero(inside[1:] & ~same)[0]
+        at = np.nonzero(same)[0]
+        longer = np.zeros(len(common), np.int64)
+        if len(at):
+            ranges = np.stack([perm[at] + 1, perm[at + 1] + 1], axis=1).ravel()
+            longer[at + 1] = 8 + np.minimum.reduceat(common, ranges)[::2]
+        differ = symbol[apart] ^ symbol[apart + 1]
+        for byte in range(7, 0, -1):
+            longer[apart + 1] += differ >> np.uint64(8 * byte) == 0
+        common = longer
+    common = np.minimum(common[:-1], np.minimum(reach[row], np.append(reach[row[:1]], reach[row[:-1]])))
+    common[~inside] = 0
+    minima = Minima(common)
+    out = np.zeros((len(key), deep), bool)
+    now, cls, lefts, at_anchor = np.arange(len(row)), group, left[row], row
     for offset in range(deep):
         if offset:
             live = lefts[now] >= offset
             now, cls = now[live], cls[live]
-            if not len(now):
-                break
-            key = cls * 256 + flat[start[order[now]] - offset]
-            perm = np.argsort(key, kind="stable")
-            now, key = now[perm], key[perm]
-        else:
-            key = cls
-        same = key[1:] == key[:-1]
-        pair = np.append(False, same) | np.append(same, False)
-        now, key = now[pair], key[pair]  # others are alone from here on
-        if not len(now):
-            break
-        new = np.append(True, key[1:] != key[:-1])
-        cls = np.cumsum(new)
-        inner = np.nonzero(~new)[0]
-        equal = np.zeros(len(now) + 1, bool)
-        equal[inner] = minima.between(now[inner - 1], now[inner]) >= length - offset
-        out[order[now[equal[:-1] | equal[1:]]], offset] = True
-    least = size - left  # strings start from left down to length - (bytes from the anchor on)
+            symbol = before.take(offset - 1, shard[at_anchor[now]])
+            perm = partition(cls, symbol)
+            now, cls = now[perm], classes(cls, symbol[perm])
+        inner = np.nonzero(cls[1:] == cls[:-1])[0]
+        if len(inner):
+            equal = np.zeros(len(now) + 1, bool)
+            equal[inner + 1] = minima.between(now[inner], now[inner + 1]) >= length - offset
+            out[at_anchor[now[equal[:-1] | equal[1:]]], offset] = True
     offsets = np.arange(deep)
-    whole = (offsets <= left[:, None]) & (offsets >= length - least[:, None])
-    return (out | several[:, None]) & whole
-
-
-def covers(left: np.ndarray, owners: list[bytes], marks: np.ndarray, length: int) -> pd.DataFrame:
-    """(doc_id, hash, start, end) of the bytes that repeated strings cover, for each owner of each context."""
-    edge = np.diff(np.pad(marks.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    row, low = np.nonzero(edge == 1)
-    high = np.nonzero(edge == -1)[1] - 1
-    number = np.fromiter((len(x) // 24 for x in owners), np.int64, len(owners))
-    begin = np.cumsum(number) - number
-    own = np.frombuffer(b"".join(owners), np.int64).reshape(-1, 3)
-    times = number[row]
-    which = np.repeat(begin[row] - np.cumsum(times) + times, times) + np.arange(times.sum())
-    low, high, far = np.repeat(low, times), np.repeat(high, times), np.repeat(left[row], times)
-    return pd.DataFrame({"_sd_id": own[which, 0], "_sd_h": own[which, 1], "start": own[which, 2] + far - high, "end": own[which, 2] + far - low + length})
+    whole = (offsets <= left[:, None]) & (offsets >= length - reach[:, None])
+    return number, left, (out | (several > 0)[:, None]) & whole
 
 
-COVER = "_sd_id long, _sd_h long, start long, end long"
+def merged(transforms: DataFrame, length: int) -> DataFrame:
+    """(row, low, high): the runs of offsets at which each context's strings are repeated."""
 
+    def run(batches):
+        rest: list[pd.DataFrame] = []
 
-def merged(rows: DataFrame, length: int) -> DataFrame:
-    """The covers of contexts, none of a hot anchor; sure covers pass."""
-
-    def covered(g: pd.DataFrame) -> pd.DataFrame:
-        known = g["data"].isna()
-        done = np.frombuffer(b"".join(g["owners"][known]), np.int64).reshape(-1, 4)
-        done = pd.DataFrame({"_sd_id": done[:, 0], "_sd_h": done[:, 1], "start": done[:, 2], "end": done[:, 3]})
-        g = g[~known]
-        if not len(g):
-            return done
-        left, owners = g["left"].to_numpy(np.int64), list(g["owners"])
-        several = np.fromiter((len(x) > 24 for x in owners), bool, len(owners))
-        return pd.concat([done, covers(left, owners, repeated(g["anchor"].to_numpy(), left, list(g["data"]), several, length), length)])
+        def done():
+            group = pd.concat(rest) if len(rest) > 1 else rest[0]
+            kinds = {"keys": np.uint64, "rows": np.int64, "lefts": np.int16, "reaches": np.int16, "words": np.uint64, "bytes": np.uint8}
+            number, _, marks = merged_marks([{k: np.frombuffer(r[k], kind) for k, kind in kinds.items()} for r in group.to_dict("records")], length)
+            edge = np.diff(np.pad(marks.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+            row, low = np.nonzero(edge == 1)
+            return pd.DataFrame({"row": number[row], "low": low, "high": np.nonzero(edge == -1)[1] - 1})
 
-    def run(batches):
-        rest = None
         for batch in batches:
-            batch = batch if rest is None else pd.concat([rest, batch])
-            if len(batch):
-                a = batch["anchor"].to_numpy()
-                cut = int(np.nonzero(a == a[-1])[0][0])  # the last bucket may go on
-                rest = batch.iloc[cut:]
-                for i, j in together(a[:cut]):
-                    yield covered(batch.iloc[i:j])
-        if rest is not None:
-            yield covered(rest)
-
-    return rows.repartition("key").sortWithinPartitions("anchor").mapInPandas(tidy(run), COVER)
+            while len(batch):
+                bucket = batch["bucket"].to_numpy()
+                n = int(np.searchsorted(bucket, bucket[0], side="right"))
+                if rest and rest[0]["bucket"].iloc[0] != bucket[0]:
+                    yield done()
+                    rest = []
+                rest.append(batch.iloc[:n])
+                batch = batch.iloc[n:]
+        if rest:
+            yield done()
 
+    return transforms.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(tidy(run), "row long, low int, high int")
 
-def together(anchor: np.ndarray):
-    """From and to of parts of about TOGETHER rows that keep buckets whole."""
-    ends = np.append(np.nonzero(anchor[1:] != anchor[:-1])[0] + 1, len(anchor))
-    a = 0
-    while a < len(anchor):
-        b = int(ends[np.searchsorted(ends, min(a + TOGETHER, len(anchor)), side="left")])
-        yield a, b
-        a = b
 
+COVER = "id long, h long, start long, end long"
 
-def counted(rows: DataFrame, length: int) -> DataFrame:
-    """The covers of contexts of hot anchors: a row for each of their strings, counted by digest."""
 
-    def strings(batches):
-        for batch in batches:
-            for i in range(0, len(batch), 500):
-                some = batch.iloc[i : i + 500]
-                out = [], [], [], []
-                for row, left, data, owners in zip(some["row"], some["left"], some["data"], some["owners"], strict=True):
-                    for p in range(len(data) - length + 1):
-                        d = xxhash.xxh3_128_intdigest(data[p : p + length])
-                        for x, y in zip(out, (d >> 64, d & 0xFFFFFFFFFFFFFFFF, row, (left - p, len(owners) // 24)), strict=True):
-                            x.append(y)
-                yield pd.DataFrame({"d1": np.array(out[0], np.uint64).view(np.int64), "d2": np.array(out[1], np.uint64).view(np.int64), "row": np.array(out[2], np.int64), "offset": [x[0] for x in out[3]], "n": [x[1] for x in out[3]]})
-
-    every = written(rows.mapInPandas(tidy(strings), "d1 long, d2 long, row long, offset int, n int"), "strings")
-    twice = written(every.groupBy("d1", "d2").agg(F.sum("n").alias("total")).where("total > 1").select("d1", "d2"), "twice")
-    found = every.join(twice, ["d1", "d2"]).groupBy("row").agg(F.collect_list("offset").alias("offsets"))
+def covers(found: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """(id, h, start, end) of the bytes that repeated strings cover, for each owner of each context."""
 
     def run(batches):
         for g in batches:
-            if len(g):
-                marks = np.zeros((len(g), int(g["left"].max()) + 1), bool)
-                for i, offsets in enumerate(g["offsets"]):
-                    marks[i, np.asarray(offsets, int)] = True
-                yield covers(g["left"].to_numpy(np.int64), list(g["owners"]), marks, length)
-
-    return rows.select("row", "left", "owners").join(found, "row").mapInPandas(tidy(run), COVER)
+            number = np.fromiter((len(x) // 24 for x in g["owners"]), np.int64, len(g))
+            own = np.frombuffer(b"".join(g["owners"]), np.int64).reshape(-1, 3)
+            shift, size = (np.repeat(x.to_numpy(np.int64), number) for x in (g["left"] - g["high"], g["high"] - g["low"] + length))
+            yield pd.DataFrame({"id": own[:, 0], "h": own[:, 1], "start": own[:, 2] + shift, "end": own[:, 2] + shift + size})
+
+    return found.join(rows.select("row", "left", "owners"), "row").mapInPandas(tidy(run), COVER)
+
+
+def repeats(rows: DataFrame, length: int, many: int) -> DataFrame:
+    """The covers of CONTEXT rows (written): those of keys with at most so many rows at once, the others cut and dealt anew."""
+    out = []
+    for level, width in enumerate((SPLIT, 1, None), 1):
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
+        hot = written(sizes.where(F.col("n") > many).select("key"), "hot")
+        crowded = width is not None and hot.count() > 0
+        calm = rows.join(hot, "key", "left_anti") if crowded else rows
+        buckets = max(0, int(rows.count() // TOGETHER).bit_length())
+        out.append(covers(merged(transformed(calm.select("key", "row", "left", "data", "owners"), length, buckets), length), rows, length))
+        if not crowded:
+            break
+        rows = written(narrowed(rows.join(hot, "key", "left_semi"), length, width, level), "narrowed")
+    found = out[0]
+    for x in out[1:]:
+        found = found.union(x)
+    return found
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, many: int = MANY) -> DataFrame:
     """docs (doc_id, text, ...) with n_bytes, n_removed, n_spans (maximal removed runs) and kept (the remaining bytes) added."""
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
-    hashed = docs.withColumn("_sd_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    long = hashed.where(F.octet_length("text") >= length)
+    prefix = "own_"  # under which the columns of docs pass through, whatever their names
+    text = f"{prefix}text"
+    hashed = docs.withColumnsRenamed({c: prefix + c for c in docs.columns}).withColumn("_sd_hash", F.xxhash64(F.coalesce(text, F.lit(""))))
+    long = hashed.select(F.col(f"{prefix}doc_id").alias("doc_id"), F.col(text).alias("text"), "_sd_hash").where(F.octet_length("text") >= length)
     size = long.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def names(batches):
@@ -371,28 +422,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
             yield np.concatenate([np.zeros(0, np.uint64), *(anchors(utf8(t), length)[0] for t in batch["text"])])
 
     suspected = bloom.seen_twice(long.select("text"), names, bloom.log2_bits(2 * size // (length - GRAM)))
-    used = long.select("doc_id", "text", "_sd_hash")
-    table = written(anchor_table(used, suspected, length).where("NOT uniform"), "mixed")
-    mixed = bloom.seen(table, "anchor", table.count())
-    many = written(table.where(F.col("rows") > hot).select("anchor"), "hot")
-    number = many.count()
-    crowded = bloom.seen(many, "anchor", number) if number else None
-    found = merged(contexts(used, suspected, mixed, crowded, length, hot=False), length)
-    if crowded:
-        found = found.union(counted(written(contexts(used, suspected, mixed, crowded, length, hot=True), "hot-contexts"), length))
-    spans = written(found.groupBy("_sd_id", "_sd_h").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_sd_spans")), "spans")
-    losing = bloom.seen(spans, "_sd_h", spans.count())
+    rows = written(contexts(long, suspected, length), "contexts")
+    spans = repeats(rows, length, many).groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    spans = written(spans, "spans")
+    losing = bloom.seen(spans, "h", spans.count())
     suspect = F.pandas_udf(lambda x: pd.Series(losing.holds(bloom.of_longs(x.to_numpy(np.int64)))), "boolean")(F.col("_sd_hash"))
-    columns = docs.columns
     schema = with_fields(docs.schema, n_bytes="long", n_removed="long", n_spans="long", kept="binary")
-    key = F.coalesce("doc_id", F.lit(NO_ID))
-    joined = hashed.where(suspect).withColumn("_sd_key", key).join(spans, (F.col("_sd_key") == F.col("_sd_id")) & (F.col("_sd_hash") == F.col("_sd_h")), "left")
+    key = F.coalesce(f"{prefix}doc_id", F.lit(NO_ID))
+    joined = hashed.where(suspect).join(spans, (key == F.col("id")) & (F.col("_sd_hash") == F.col("h")), "left").drop("_sd_hash", "id", "h")
 
     def cut(batches):
         for batch in batches:
             removed, runs, kept, sizes = [], [], [], []
-            for text, some in zip(batch["text"], batch["_sd_spans"], strict=True):
-                data = utf8(text)
+            for own, some in zip(batch[text], batch["spans"], strict=True):
+                data = utf8(own)
                 sizes.append(len(data))
                 out, done, count = [], 0, 0
                 for s in some if some is not None else ():
@@ -404,10 +447,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
                 kept.append(b"".join(out))
                 runs.append(count)
                 removed.append(len(data) - len(kept[-1]))
-            yield batch[columns].assign(n_bytes=sizes, n_removed=removed, n_spans=runs, kept=kept)
+            yield batch.drop(columns="spans").rename(columns=lambda c: c[len(prefix) :]).assign(n_bytes=sizes, n_removed=removed, n_spans=runs, kept=kept)
 
-    body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    untouched = hashed.where(~suspect).select(*docs.columns, F.octet_length(body).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), body.alias("kept"))
+    body = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+    none = F.lit(0).cast("long")
+    untouched = hashed.where(~suspect).select(
+        *[F.col(prefix + c).alias(c) for c in docs.columns], F.octet_length(body).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), body.alias("kept")
+    )
     return untouched.unionByName(joined.mapInPandas(tidy(cut), schema))
 
 
