@@ -2,13 +2,17 @@
 
 Unit vectors with cosine >= c lie within eps = sqrt(2 - 2c) of each other, in every projection too. Vectors are sorted by
 their cells (of width eps) on the leading principal dimensions, range-partitioned in that order by Spark, and cut into
-blocks of BLOCK rows with a bounding box. Pairs of blocks whose boxes are within eps meet in one task each, which
-joins the two sequences recursively: halves whose boxes are farther apart than eps are skipped, small ones are compared by a
-matrix product in double precision. A pair of blocks returns only each vector's number of links and a forest of its links,
-so that a cluster's pairs are counted without being emitted.
+blocks of BLOCK rows. A block's bounds are a box on the leading dimensions and a centre with a radius over all of them. Pairs of blocks that
+are not provably farther apart than eps meet in one task each, which joins the two sequences recursively: halves that are provably farther apart
+are skipped, small ones are compared by a matrix product in single precision, and whatever that leaves in doubt in double
+precision. A pair of blocks returns only each vector's number of links and a forest of its links, so that a
+cluster's pairs are counted without being emitted. Blocks travel as the input's own numbers; of a pair only one block is sent for it.
 
 Equal vectors are one row with a count until the end, so that a vector copied a million times costs one row in the join.
 
+What can be skipped depends on the data. Vectors that fill their dimensions evenly lie at about the same distance from each other, far beyond eps, but no
+bounds of blocks show it: pairs are then quadratic, at the price of a matrix product. Clustered vectors are skipped by blocks.
+
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id, link with nothing
 (n_links 0, component their own id). Vectors of different lengths are never compared. Ids are expected once each; where one
 repeats, its rows share a component and a sum of links. Other columns of the input don't appear in the result.
@@ -27,7 +31,9 @@ from harrow.llm.shared import tidy, written
 
 COSINE = 0.95
 GRID, LEADING = 4, 16  # dimensions that order the vectors, and that bound blocks
-BLOCK, TILE = 2048, 256
+BLOCK, TILE = 8192, 512
+FEW = 1024  # vectors of a length up to which it is one group
+DENSE = 0.02  # share of a tile in doubt from which all of it is computed in double precision
 
 
 def usable(v: Column) -> Column:
@@ -69,32 +75,51 @@ def gap2(a: np.ndarray, b: np.ndarray) -> float:
     return float(apart @ apart)
 
 
+class Ordered:
+    """A block's unit vectors in grid order: in both precisions, and on the leading dimensions."""
+
+    def __init__(self, u: np.ndarray, n: np.ndarray, axes: np.ndarray):
+        self.u, self.n, self.single, self.led = u, n, u.astype(np.float32), u @ axes
+        self.cache: dict[tuple[int, int], tuple] = {}
+
+    def bounds(self, a: int, b: int) -> tuple:
+        """Low and high on the leading dimensions, centre and radius of rows a to b."""
+        if (a, b) not in self.cache:
+            led, centre = self.led[a:b], self.u[a:b].mean(axis=0)
+            apart = self.u[a:b] - centre
+            self.cache[a, b] = led.min(axis=0), led.max(axis=0), centre, float(np.sqrt((apart * apart).sum(axis=1).max()))
+        return self.cache[a, b]
+
+
 class PairJoin:
-    """Joins two blocks of unit vectors sorted in grid order; the second may be the first."""
+    """Joins two blocks of unit vectors; the second may be the first. tiles, skipped: how many comparisons of rows there were, and how many bounds saved."""
 
-    def __init__(self, axes: np.ndarray, cosine: float):
-        self.axes, self.cosine, self.eps2 = axes, cosine, (2 - 2 * cosine) * (1 + 1e-9) + 1e-12
+    def __init__(self, cosine: float):
+        self.cosine, self.eps2 = cosine, (2 - 2 * cosine) * (1 + 1e-9) + 1e-12
+        self.eps = float(np.sqrt(self.eps2))
+        self.compared = self.skipped = 0
 
-    def links(self, a: np.ndarray, na: np.ndarray, b: np.ndarray | None, nb: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    def links(self, a: Ordered, b: Ordered | None) -> tuple[np.ndarray, np.ndarray]:
         """Weighted links of each row (those of a, then those of b), and the smallest row that each reaches."""
-        self.same = b is None
-        self.a, self.b = a, a if self.same else b
-        self.na, self.nb = na, na if self.same else nb
-        self.shift = 0 if self.same else len(a)
-        n = len(a) + (0 if self.same else len(self.b))
+        self.same, self.a, self.b = b is None, a, a if b is None else b
+        self.shift = 0 if self.same else len(a.n)
+        self.doubt = 4e-7 * self.a.u.shape[1] + 1e-6  # more than single precision can be off
+        n = len(a.n) + (0 if self.same else len(self.b.n))
         self.count, self.lab = np.zeros(n, np.int64), np.arange(n)
-        self.pa = a @ self.axes
-        self.pb = self.pa if self.same else self.b @ self.axes
-        self._join(0, len(a), 0, len(self.b))
+        self._join(0, len(a.n), 0, len(self.b.n))
         return self.count, self.lab
 
+    def far(self, x: tuple, y: tuple) -> bool:
+        apart = x[2] - y[2]
+        return gap2(x, y) > self.eps2 or float(np.sqrt(apart @ apart)) - x[3] - y[3] > self.eps * (1 + 1e-9) + 1e-12
+
     def _join(self, a0: int, a1: int, b0: int, b1: int) -> None:
         if a0 == a1 or b0 == b1 or self.same and b1 <= a0:
             return
-        x, y = self.pa[a0:a1], self.pb[b0:b1]
-        if gap2((x.min(axis=0), x.max(axis=0)), (y.min(axis=0), y.max(axis=0))) > self.eps2:
-            return
-        if max(a1 - a0, b1 - b0) <= TILE:
+        if self.far(self.a.bounds(a0, a1), self.b.bounds(b0, b1)):
+            self.skipped += (a1 - a0) * (b1 - b0)
+        elif max(a1 - a0, b1 - b0) <= TILE:
+            self.compared += (a1 - a0) * (b1 - b0)
             self._tile(a0, a1, b0, b1)
         elif a1 - a0 >= b1 - b0:
             mid = (a0 + a1) // 2
@@ -106,80 +131,135 @@ class PairJoin:
             self._join(a0, a1, mid, b1)
 
     def _tile(self, a0: int, a1: int, b0: int, b1: int) -> None:
-        near = self.a[a0:a1] @ self.b[b0:b1].T >= self.cosine
+        rough = self.a.single[a0:a1] @ self.b.single[b0:b1].T >= np.float32(self.cosine - self.doubt)
+        i, j = np.divmod(np.flatnonzero(rough), b1 - b0)
         if self.same:
-            near &= np.arange(a0, a1)[:, None] < np.arange(b0, b1)
-        if near.any():
-            self.count[a0:a1] += near @ self.nb[b0:b1]
-            self.count[self.shift + b0 : self.shift + b1] += self.na[a0:a1] @ near
-            i, j = np.nonzero(near)
-            self.lab = cc.labels(len(self.lab), a0 + i, self.shift + b0 + j, self.lab)
+            i, j = i[a0 + i < b0 + j], j[a0 + i < b0 + j]
+        if not len(i):
+            return
+        if len(i) > DENSE * rough.size:
+            near = (self.a.u[a0:a1] @ self.b.u[b0:b1].T)[i, j] >= self.cosine
+        else:
+            near = np.einsum("ij,ij->i", self.a.u[a0 + i], self.b.u[b0 + j]) >= self.cosine
+        i, j = a0 + i[near], b0 + j[near]
+        np.add.at(self.count, i, self.b.n[j])
+        np.add.at(self.count, self.shift + j, self.a.n[i])
+        self.lab = cc.labels(len(self.lab), i, self.shift + j, self.lab)
+
+
+LINK = "id long, links long, root long"
+
+
+def _links(join: PairJoin, ids: np.ndarray, a: Ordered, b: Ordered | None) -> pd.DataFrame:
+    """LINK rows of a pair of blocks: each linked vector's number of links, and the smallest id of its links' forest."""
+    count, lab = join.links(a, b)
+    some = np.nonzero(count)[0]
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, lab, ids)
+    return pd.DataFrame({"id": ids[some], "links": count[some], "root": least[lab[some]]})
+
+
+BODY = "ids binary, counts binary, v binary"
+
+
+def _body(some: pd.DataFrame, kind: type) -> dict[str, list[bytes]]:
+    return {"ids": [some["id"].to_numpy(np.int64).tobytes()], "counts": [some["n"].to_numpy(np.int64).tobytes()], "v": [np.stack(some["v"].to_numpy()).astype(kind).tobytes()]}
+
+
+def _read(row: dict, x: str, kind: type, size: int, axes: np.ndarray) -> tuple[np.ndarray, Ordered]:
+    v = np.frombuffer(row[f"v{x}"], kind).reshape(-1, size)
+    return np.frombuffer(row[f"ids{x}"], np.int64), Ordered(unit(v), np.frombuffer(row[f"counts{x}"], np.int64), axes)
+
+
+def _kind(vectors: DataFrame) -> type:
+    """In which numbers the input's can be carried without loss."""
+    return np.float32 if vectors.schema["v"].dataType.elementType.simpleString() == "float" else np.float64
 
 
 def _blocks(vectors: DataFrame, axes: np.ndarray, eps: float, rows: int, block: int) -> DataFrame:
-    """vectors (id, n, v) in grid order, block by block: its ids, counts and unit vectors, and its box on the leading dimensions."""
-    k = min(GRID, axes.shape[1])
+    """vectors (id, n, v) in grid order, block by block: its ids, counts and vectors, and its bounds."""
+    k, kind = min(GRID, axes.shape[1]), _kind(vectors)
+    element = "float" if kind is np.float32 else "double"
 
     def place(batches):
         for batch in batches:
             if len(batch):
-                u = unit(np.stack(batch["v"].to_numpy()))
-                cells = np.floor((u @ axes[:, :k]) / eps).astype(np.int64)
-                yield pd.DataFrame({"id": batch["id"], "n": batch["n"], "u": list(u)} | {f"c{i}": cells[:, i] for i in range(k)})
+                cells = np.floor((unit(np.stack(batch["v"].to_numpy())) @ axes[:, :k]) / eps).astype(np.int64)
+                yield batch[["id", "n", "v"]].assign(**{f"c{i}": cells[:, i] for i in range(k)})
 
     keys = [f"c{i}" for i in range(k)]
-    placed = vectors.mapInPandas(tidy(place), "id long, n long, u array<double>, " + ", ".join(f"{c} long" for c in keys))
+    placed = vectors.mapInPandas(tidy(place), f"id long, n long, v array<{element}>, " + ", ".join(f"{c} long" for c in keys))
     ordered = placed.repartitionByRange(max(1, -(-rows // block)), *keys, "id").sortWithinPartitions(*keys, "id")
 
     def cut(batches):
         part, number = TaskContext.get().partitionId(), 0
+        rest = None
         for batch in batches:
-            for i in range(0, len(batch), block):
-                some = batch.iloc[i : i + block]
-                u = np.stack(some["u"].to_numpy())
-                p = u @ axes
-                yield pd.DataFrame({"block": [part * 1_000_000 + number], "ids": [some["id"].to_numpy(np.int64).tobytes()], "counts": [some["n"].to_numpy(np.int64).tobytes()], "u": [u.tobytes()], "low": [p.min(axis=0)], "high": [p.max(axis=0)]})
-                number += 1
+            rest = batch if rest is None or not len(rest) else pd.concat([rest, batch])
+            while len(rest) >= block:
+                yield one(rest.iloc[:block], part * 1_000_000 + number)
+                rest, number = rest.iloc[block:], number + 1
+        if rest is not None and len(rest):
+            yield one(rest, part * 1_000_000 + number)
 
-    return written(ordered.mapInPandas(tidy(cut), "block long, ids binary, counts binary, u binary, low array<double>, high array<double>"), "blocks")
+    def one(some: pd.DataFrame, number: int) -> pd.DataFrame:
+        u = unit(np.stack(some["v"].to_numpy()))
+        low, high, centre, radius = Ordered(u, some["n"].to_numpy(), axes).bounds(0, len(u))
+        return pd.DataFrame({"block": [number]} | _body(some, kind) | {"low": [low], "high": [high], "centre": [centre], "radius": [radius]})
+
+    return written(ordered.mapInPandas(tidy(cut), f"block long, {BODY}, low array<double>, high array<double>, centre array<double>, radius double"), "blocks")
 
 
 def _block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
-    """Pairs (a, b), a <= b, of blocks whose boxes are within eps, found over the cells that they touch on the first dimension."""
-    cell = lambda c, i: F.floor(F.col(c)[0] / eps).cast("long") + i
-    boxes = blocks.select("block", "low", "high")
-    left = boxes.select(F.col("block").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha"), F.explode(F.sequence(cell("low", 0), cell("high", 0))).alias("cell"))
-    right = boxes.select(F.col("block").alias("b"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.explode(F.sequence(cell("low", -1), cell("high", 1))).alias("cell"))
-    apart = F.zip_with(F.zip_with("la", "hb", lambda x, y: x - y), F.zip_with("lb", "ha", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
-    square = F.aggregate(apart, F.lit(0.0), lambda s, x: s + x * x)
-    return left.join(right, "cell").where("a <= b").where(square <= eps * eps * (1 + 1e-9) + 1e-12).select("a", "b").distinct()
+    """Pairs (a, b), a <= b, of blocks that are not provably farther apart than eps, found over the cells that their boxes touch on the first two dimensions."""
+    bounds = ["low", "high", "centre", "radius"]
+    cells = lambda i, wide: F.explode(F.sequence(F.floor(F.get("low", i) / eps).cast("long") - wide, F.floor(F.get("high", i) / eps).cast("long") + wide))
+    two = blocks.select(F.size("low")).first()
+    dimensions = range(min(2, two[0])) if two else range(1)
+
+    def side(x: str, wide: int) -> DataFrame:
+        out = blocks.select("block", *bounds)
+        for i in dimensions:
+            out = out.withColumn(f"cell{i}", cells(F.lit(i), wide))
+        return out.withColumnsRenamed({"block": x} | {c: f"{c}_{x}" for c in bounds})
+
+    pairs = side("a", 0).join(side("b", 1), [f"cell{i}" for i in dimensions]).where("a <= b")
+    square = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
+    gaps = F.zip_with(F.zip_with("low_a", "high_b", lambda x, y: x - y), F.zip_with("low_b", "high_a", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
+    between = F.sqrt(square(F.zip_with("centre_a", "centre_b", lambda x, y: x - y))) - F.col("radius_a") - F.col("radius_b")
+    near = (square(gaps) <= eps * eps * (1 + 1e-9) + 1e-12) & (between <= eps * (1 + 1e-9) + 1e-12)
+    return pairs.where(near).select("a", "b").distinct()
 
 
 def near_links(vectors: DataFrame, size: int, rows: int, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
-    """vectors (id, n, v): usable, distinct, so many, of one size. (id, links, root): partial counts and links of a forest, by pairs of blocks."""
-    axes, eps = principal(vectors, size), float(np.sqrt(max(2 - 2 * cosine, 1e-12)))
+    """vectors (id, n, v): usable, distinct, so many, of one size. LINK rows: partial counts and links of a forest, by pairs of blocks."""
+    axes, eps, kind = principal(vectors, size), float(np.sqrt(max(2 - 2 * cosine, 1e-12))), _kind(vectors)
     blocks = _blocks(vectors, axes, eps, rows, block)
-    body = ["ids", "counts", "u"]
-    named = lambda x: blocks.select(F.col("block").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in body])
-    pairs = _block_pairs(blocks, eps).join(named("a"), "a").join(named("b"), "b")
-
-    def read(row, x: str):
-        return np.frombuffer(row[f"ids_{x}"], np.int64), np.frombuffer(row[f"counts_{x}"], np.int64), np.frombuffer(row[f"u_{x}"]).reshape(-1, size)
+    named = lambda x: blocks.select(F.col("block").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("ids", "counts", "v")])
+    pairs = written(_block_pairs(blocks, eps), "pairs").join(named("a"), "a").join(named("b"), "b")
 
     def compare(batches):
-        join = PairJoin(axes, cosine)
+        join = PairJoin(cosine)
         for batch in batches:
             for row in batch.to_dict("records"):
-                ids, na, a = read(row, "a")
-                other, nb, b = (None, None, None) if row["a"] == row["b"] else read(row, "b")
-                count, lab = join.links(a, na, b, nb)
-                ids = ids if other is None else np.concatenate([ids, other])
-                some = np.nonzero(count)[0]
-                least = np.full(len(ids), np.iinfo(np.int64).max)
-                np.minimum.at(least, lab, ids)
-                yield pd.DataFrame({"id": ids[some], "links": count[some], "root": least[lab[some]]})
+                ids, a = _read(row, "_a", kind, size, axes)
+                if row["a"] == row["b"]:
+                    yield _links(join, ids, a, None)
+                else:
+                    other, b = _read(row, "_b", kind, size, axes)
+                    yield _links(join, np.concatenate([ids, other]), a, b)
+
+    return pairs.mapInPandas(tidy(compare), LINK)
+
+
+def few_links(vectors: DataFrame, cosine: float) -> DataFrame:
+    """As near_links, for lengths that have few vectors each: a length is one block, however many lengths there are. vectors (size, id, n, v)."""
+
+    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        u = unit(np.stack(g["v"].to_numpy()))
+        return _links(PairJoin(cosine), g["id"].to_numpy(np.int64), Ordered(u, g["n"].to_numpy(np.int64), np.eye(key[0])[:, :LEADING]), None)
 
-    return pairs.mapInPandas(tidy(compare), "id long, links long, root long")
+    return vectors.groupBy("size").applyInPandas(one, LINK)
 
 
 def near_duplicates(df: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
@@ -187,11 +267,11 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id
     rows = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v"))
     good = rows.where(usable(F.col("v")) & F.col("id").isNotNull())
     once = written(good.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")), "vectors")
-    lengths = once.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("rows")).collect()  # a few: models have few lengths
-    found = [near_links(once.where(F.size("v") == x["size"]), x["size"], x["rows"], cosine, block) for x in sorted(lengths)]
-    links = df.sparkSession.createDataFrame([], "id long, links long, root long")
-    for x in found:
-        links = links.union(x)
+    sized = once.withColumn("size", F.size("v"))
+    lengths = written(sized.groupBy("size").agg(F.count("*").alias("rows")), "lengths")
+    links = few_links(sized.join(lengths.where(F.col("rows") <= FEW).select("size"), "size"), cosine)
+    for x in lengths.where(F.col("rows") > FEW).orderBy("size").collect():  # at most one for each FEW vectors; models have few lengths
+        links = links.unionByName(near_links(once.where(F.size("v") == x["size"]), x["size"], x["rows"], cosine, block))
     links = written(links, "links")
     counts = links.groupBy("id").agg(F.sum("links").alias("links"))
     comps = cc.components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
