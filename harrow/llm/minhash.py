@@ -7,18 +7,21 @@ how many samples differ, precisely so where texts are similar.
 
 1. Band keys that only one class has are dropped by a twice-seen Bloom filter before anything is shuffled.
 2. Classes that share a key meet; those whose sketches differ little enough (far more than a similar pair's would, see MARGIN)
-   are joined to candidate groups. A bucket or group returns a forest, not its pairs.
+   are joined to candidate groups. A bucket or group returns a forest, not its pairs. A bucket of more than BUCKET_ROWS classes is
+   joined to its smallest member as it is: that costs candidates, which step 3 looks at, and no links.
 3. The full sets of each candidate group meet and links are confirmed exactly, again down to a forest: a member is compared with all
-   others unless they are known to be connected, so that no link between different groups of members is missed.
+   others unless they are known to be connected, so that no link between different groups of members is missed. A group of more
+   than GROUP_ROWS members is spread over tasks: in rounds, some of its members, the pivots, are sent to all of its blocks and compared with
+   each member there. Pivots come from outside the group's largest component so far, so that a group whose members are alike is settled
+   by a few; the rounds end when all members outside have been pivots. Of two members that are apart one has then been
+   compared with all. A round sends each block its pivots and no pairs of members.
 4. Connected components of the confirmed links.
 
-Buckets and groups of more than a block's rows are dealt over all pairs of their blocks, each a task's work, so that no task
-holds more than two blocks; every pair is in one of them.
-
 The chance that a pair at the threshold of 0.8 shares no band is (1 - 0.8^ROWS)^BANDS, 3 in a million.
 
 Defined results: texts that are null or without words have no shingles and link with nothing; so do rows with a null id. Texts of
-fewer words than a shingle are one shingle, the whole sequence. Ids are expected once each; rows that share one share its component.
+fewer words than a shingle are one shingle, the whole sequence. Ids are expected once each; rows that share one share its component. dedup keeps
+one of the rows that share an id and a text.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.llm import bloom
@@ -41,7 +44,8 @@ HASHES = BANDS * ROWS
 BITS = 512  # of an odd sketch
 MARGIN = 0.2  # over six standard deviations of the sketch's estimate at a similarity of 0.8
 BUCKET_ROWS = 4096
-GROUP_SHINGLES = 2_000_000
+GROUP_ROWS = 256  # members of a group in a task
+PIVOTS, MOST_PIVOTS = 8, 512  # a round has four times the pivots of the one before, up to so many
 _PRIME = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _RANDOM = np.random.default_rng(20240229)
@@ -132,21 +136,36 @@ def by_sketch(ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, most: in
     return forest_of(ids, connect(len(ids), np.ones(len(ids)), linked))
 
 
-def by_sets(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Exact: 100 times the shared shingles is at least percent times those of either."""
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
+class SetIndex:
+    """Which of some sets are linked with a set: 100 times the shared shingles is at least percent times those of either."""
 
-    def linked(i: int) -> np.ndarray:
-        a, b = np.searchsorted(flat, sets[i], side="left"), np.searchsorted(flat, sets[i], side="right")
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.sizes, self.percent = np.fromiter(map(len, sets), np.int64, len(sets)), percent
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner = flat[order], owner[order]
+
+    def linked(self, one: np.ndarray) -> np.ndarray:
+        a, b = np.searchsorted(self.flat, one, side="left"), np.searchsorted(self.flat, one, side="right")
         n = b - a
         at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-        shared = np.bincount(owner[at], minlength=len(sets))
-        return np.nonzero((100 * shared >= percent * (sizes + sizes[i] - shared)) & (shared > 0))[0]
+        shared = np.bincount(self.owner[at], minlength=len(self.sizes))
+        return np.nonzero((100 * shared >= self.percent * (self.sizes + len(one) - shared)) & (shared > 0))[0]
+
 
-    return forest_of(ids, connect(len(ids), sizes, linked))
+def by_sets(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Exact links, as a forest."""
+    index = SetIndex(sets, percent)
+    return forest_of(ids, connect(len(ids), index.sizes, lambda i: index.linked(sets[i])))
+
+
+def by_pivots(ids: np.ndarray, sets: list[np.ndarray], pivot_ids: np.ndarray, pivots: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Exact links between each of some members and each pivot, as a forest."""
+    index = SetIndex(sets, percent)
+    found = [index.linked(p) for p in pivots]
+    which = np.repeat(np.arange(len(pivots)), [len(x) for x in found])
+    lab = cc.labels(len(pivots) + len(ids), which, len(pivots) + np.concatenate(found))
+    return forest_of(np.concatenate([pivot_ids, ids]), lab)
 
 
 def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -171,17 +190,6 @@ def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Data
         yield pd.concat(rest) if len(rest) > 1 else rest[0]
 
 
-def dealt(rows: DataFrame, key: str, weight, most: int) -> DataFrame:
-    """rows with p and q, a pair of blocks of its key's rows: one pair for a key of weight up to most, else every pair of its blocks
-    has the rows of both. rows: written, with an id; sorted by key, p and q within its partitions."""
-    big = rows.groupBy(key).agg(F.sum(weight).alias("_w")).where(F.col("_w") > most).select(key, F.ceil(F.col("_w") / most).alias("_blocks"))
-    several = rows.join(written(big, "big"), key, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("_blocks"))
-    spread = several.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    pairs = spread.withColumns({"p": F.least("_own", "_other"), "q": F.greatest("_own", "_other")}).drop("_own", "_other", "_blocks")
-    return pairs.repartition(key, "p", "q").sortWithinPartitions(key, "p", "q")
-
-
 def signatures(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n_shingles, high, low, bands, sketch) of each row of docs (doc_id, text); high and low, null without shingles or id, name the set."""
 
@@ -227,7 +235,7 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
 
     def compare(batches):
         out_a, out_b = [], []
-        for g in groups(batches, ["key", "p", "q"]):
+        for g in groups(batches, ["key"]):
             if len(g) > 1:
                 sketches = np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), -1)
                 a, b = by_sketch(g["id"].to_numpy(), g["n"].to_numpy(), sketches, most, percent)
@@ -239,7 +247,10 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
         if out_a:
             yield pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)}).drop_duplicates()
 
-    return dealt(found, "key", F.lit(1), BUCKET_ROWS).mapInPandas(tidy(compare), cc.EDGE)
+    big = written(found.groupBy("key").agg(F.count("*").alias("rows"), F.min("id").alias("b")).where(F.col("rows") > BUCKET_ROWS).select("key", "b"), "big")
+    stars = found.join(big, "key").select(F.col("id").alias("a"), "b").where("a <> b").distinct()
+    small = found.join(big, "key", "left_anti").select("key", "id", "n", "sketch")
+    return small.repartition("key").sortWithinPartitions("key").mapInPandas(tidy(compare), cc.EDGE).union(stars)
 
 
 def confirmed(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
@@ -253,19 +264,63 @@ def confirmed(docs: DataFrame, members: DataFrame, width: int, percent: int) ->
             yield pd.DataFrame({"id": batch["doc_id"].to_numpy(np.int64), "shingles": [shingles(t, width).tobytes() for t in batch["text"]]})
 
     full = docs.select("doc_id", "text").mapInPandas(tidy(sets), "id long, shingles binary").join(members, "id")
+    full = written(full, "sets")
 
     def compare(batches):
-        for g in groups(batches, ["component_id", "p", "q"]):
+        for g in groups(batches, ["component_id"]):
             if len(g) > 1:
                 a, b = by_sets(g["id"].to_numpy(), [np.frombuffer(x, np.uint64) for x in g["shingles"]], percent)
                 yield pd.DataFrame({"a": a, "b": b})
 
-    return dealt(written(full, "sets"), "component_id", F.col("n"), GROUP_SHINGLES).mapInPandas(tidy(compare), cc.EDGE)
+    big = full.groupBy("component_id").agg(F.count("*").alias("rows")).where(F.col("rows") > GROUP_ROWS)
+    big = written(big.select("component_id", F.ceil(F.col("rows") / GROUP_ROWS).alias("blocks")), "big")
+    if not big.count():
+        return full.repartition("component_id").sortWithinPartitions("component_id").mapInPandas(tidy(compare), cc.EDGE)
+    small = full.join(big, "component_id", "left_anti")
+    return small.repartition("component_id").sortWithinPartitions("component_id").mapInPandas(tidy(compare), cc.EDGE).union(spread(full.join(big, "component_id"), percent))
+
+
+def spread(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of large groups, as a forest. members: (id, shingles, component_id, blocks)."""
+    members = members.select("component_id", "id", "shingles", "blocks", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).alias("block"))
+    members = written(members.repartition("component_id", "block"), "spread")
+    state = written(members.select("component_id", "id").distinct().withColumns({"label": F.col("id"), "asked": F.lit(False)}), "state")
+    most = PIVOTS
+
+    def compare(batches):
+        for g in groups(batches, ["component_id", "block"]):
+            pivot = g["pivot"].to_numpy(bool)
+            if pivot.any() and not pivot.all():
+                ids, sets = g["id"].to_numpy(), np.array([np.frombuffer(x, np.uint64) for x in g["shingles"]] + [None], object)[:-1]
+                a, b = by_pivots(ids[~pivot], list(sets[~pivot]), ids[pivot], list(sets[pivot]), percent)
+                yield pd.DataFrame({"a": a, "b": b})
+
+    while True:
+        sizes = state.groupBy("component_id", "label").agg(F.count("*").alias("n"))
+        largest = sizes.groupBy("component_id").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
+        outside = written(state.join(largest, "component_id").where("label <> largest AND NOT asked").select("component_id", "id", F.xxhash64("id", F.lit(most)).alias("h")), "outside")
+        counts = outside.groupBy("component_id").agg(F.count("*").alias("n"), F.min("h").alias("first"))
+        drawn = F.col("n").cast("double") * F.pmod("h", F.lit(1 << 30)) < F.lit(float(most << 30))
+        pivots = written(outside.join(counts, "component_id").where(drawn | (F.col("h") == F.col("first"))).select("id"), "pivots")
+        if not pivots.count():
+            return state.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
+        sent = members.join(pivots, "id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        columns = ["component_id", "block", "id", "shingles"]
+        both = members.select(*columns, F.lit(False).alias("pivot")).union(sent.select(*columns, F.lit(True)))
+        links = both.repartition("component_id", "block").sortWithinPartitions("component_id", "block").mapInPandas(tidy(compare), cc.EDGE)
+        known = state.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
+        labels = cc.components(links.union(known)).withColumnRenamed("component_id", "now")
+        after = state.join(labels, "id", "left").join(pivots.withColumn("hit", F.lit(True)), "id", "left")
+        state = written(after.select("component_id", "id", F.coalesce("now", "label").alias("label"), (F.col("asked") | F.coalesce("hit", F.lit(False))).alias("asked")), "state")
+        most = min(4 * most, MOST_PIVOTS)
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each of docs."""
-    signed = written(signatures(docs, width), "signatures")
+    return _grouped(docs, written(signatures(docs, width), "signatures"), width, percent)
+
+
+def _grouped(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame:
     first = F.min_by(F.struct("doc_id", "n_shingles", "bands", "sketch"), "doc_id").alias("x")
     classes = signed.where("high IS NOT NULL").groupBy("high", "low").agg(first)
     classes = written(classes.select("high", "low", F.col("x.doc_id").alias("id"), F.col("x.n_shingles").alias("n"), "x.bands", "x.sketch"), "classes")
@@ -280,8 +335,16 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = SIMILARI
 
 def dedup(docs: DataFrame, width: int = WIDTH, percent: int = SIMILARITY) -> DataFrame:
     """docs with one document of each group: the one with the smallest id."""
-    lost = written(near_duplicates(docs, width, percent).where("NOT kept").select("doc_id").distinct(), "lost")
-    return bloom.without(docs, lost)
+    signed = written(signatures(docs, width), "signatures")
+    lost = written(_grouped(docs, signed, width, percent).where("NOT kept").select("doc_id").distinct(), "lost")
+    kept = bloom.without(docs, lost)
+    again = written(signed.where("doc_id IS NOT NULL").groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id"), "again")
+    if not again.count():
+        return kept
+    repeats = bloom.suspected(docs.sparkSession, again, "doc_id", kept["doc_id"])
+    same = Window.partitionBy("doc_id", "text").orderBy(F.to_json(F.struct(*[F.col(c) for c in docs.columns])))
+    number = "_" + max(docs.columns, key=len)
+    return kept.where(~repeats).unionByName(kept.where(repeats).withColumn(number, F.row_number().over(same)).where(F.col(number) == 1).drop(number))
 
 
 def op8_minhash_dedup(spark, sf_dir) -> DataFrame:

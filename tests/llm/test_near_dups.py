@@ -32,10 +32,11 @@ def near_texts(seed=1, n=160):
     return out + ["", None, "one", "One", "two words", "one"]
 
 
-@pytest.mark.parametrize(("width", "bucket", "block"), [(2, 4096, 2_000_000), (5, 7, 900)])
+@pytest.mark.parametrize(("width", "bucket", "block"), [(2, 4096, 256), (5, 7, 5)])
 def test_minhash_against_brute_force(spark, monkeypatch, width, bucket, block):
-    monkeypatch.setattr(minhash, "BUCKET_ROWS", bucket)  # small blocks, so that buckets and groups are dealt over pairs of them
-    monkeypatch.setattr(minhash, "GROUP_SHINGLES", block)
+    monkeypatch.setattr(minhash, "BUCKET_ROWS", bucket)  # small, so that buckets become stars and groups are spread over blocks
+    monkeypatch.setattr(minhash, "GROUP_ROWS", block)
+    monkeypatch.setattr(minhash, "PIVOTS", 2)
     texts = near_texts()
 
     def shingles(t):
@@ -56,7 +57,9 @@ def test_minhash_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string").withColumn("kept", F.lit("x"))
     got = sorted([(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect()], key=str)
     assert got == [(2, 2, True), (2, 2, True), (3, 2, False), (None, None, True)]
-    assert sorted(str(r["doc_id"]) for r in minhash.dedup(df).collect()) == ["2", "2", "None"]
+    assert sorted(str(r["doc_id"]) for r in minhash.dedup(df).collect()) == ["2", "None"]
+    both = minhash.dedup(df.union(spark.createDataFrame([(2, "other words under the same id", "x")], df.schema))).collect()
+    assert sorted(str(r["doc_id"]) for r in both) == ["2", "2", "None"] and all(r["kept"] == "x" for r in both)
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -84,8 +87,9 @@ def test_components(spark, parts):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("block", [2048, 16])
-def test_embeddings_against_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "few"), [(2048, 1024), (2048, 1), (16, 1)])
+def test_embeddings_against_brute_force(spark, monkeypatch, block, few):
+    monkeypatch.setattr(embeddings, "FEW", few)
     rnd = np.random.default_rng(2)
     centres = rnd.normal(size=(12, 24))
     x = (centres[rnd.integers(0, 12, 240)] + rnd.normal(size=(240, 24)) * rnd.choice([0.02, 0.2, 0.35], 240)[:, None]).astype(np.float32)
