@@ -93,18 +93,32 @@ def company_pages(links: DataFrame, most: int = 3) -> DataFrame:
     return once.withColumn("_r", rank).where(F.col("_r") <= most).select("page_id", "target", "kind")
 
 
-NEXT = r"(?iu)^\s*(next|next page|weiter|nächste|nächste seite|suivant|siguiente|successivo|›|»|→)\s*$"
-MORE = r"(?iu)^\s*(load more|show more|more results|mehr laden|mehr anzeigen|voir plus|ver más)\s*$"
+# What controls for a next page, and for more of the same page, are called.
+NEXT = r"(?iu)^(next|next page|›|»|>|→|weiter|nächste|nächste seite|suivant|siguiente|próxima|avanti|volgende|następna|dalej)$"
+NEXT_HINT = r"(?iu)(?<![A-Za-z0-9_])next(?![A-Za-z0-9_])|nächste|suivant|siguiente"
+MORE = r"(?iu)^(load more|show more|more results|see more|view more|mehr laden|mehr anzeigen|weitere laden|plus de résultats|cargar más|ver más)$"
+ARROWS = "[→›»>←‹«<]+"
 
 
-def next_links(links: DataFrame) -> DataFrame:
-    """(page_id, control, href): the first link to a next page, else the last that loads more."""
-    kind = F.when(F.col("label").rlike(NEXT), 1).when(F.col("label").rlike(MORE), 2)
-    found = links.withColumn("kind", kind).where("kind IS NOT NULL").withColumn("_at", F.when(F.col("kind") == 1, F.col("pos")).otherwise(-F.col("pos")))
-    rank = F.row_number().over(Window.partitionBy("page_id").orderBy("kind", "_at"))
-    return found.withColumn("_r", rank).where("_r = 1").select("page_id", F.when(F.col("kind") == 1, "next").otherwise("more").alias("control"), "href")
+def controls(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
+    """(…, pos, href, label, rel, hint): the links and buttons of each page in order that are not disabled; hint: what their aria-label and title say."""
+    found = pages.select(*keep, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(r"(?is)<(?:a|button)\b[^>]*>.*?</(?:a|button)\s*>"), F.lit(0))).alias("pos", "e"))
+    tag = F.regexp_extract("e", "^<[^>]*>", 0)
+    attr = lambda name: F.regexp_extract(tag, rf"(?i)\s{name}\s*=\s*[\"']([^\"']*)[\"']", 1)
+    label = clean(F.regexp_replace(entities(F.regexp_replace("e", "<[^>]+>", " ")), ARROWS, " "))
+    shown = F.when((label == "") & F.regexp_replace("e", "<[^>]+>", " ").rlike("[→›»]|&gt;"), "›").otherwise(label)
+    live = ~tag.rlike(r"(?i)\sdisabled(\s|=|>|/)") & (attr("aria-disabled") != "true")
+    return found.where(live).select(*keep, "pos", F.replace(attr("href"), F.lit("&amp;"), F.lit("&")).alias("href"), shown.alias("label"), attr("rel").alias("rel"), F.concat_ws(" ", attr("aria-label"), attr("title")).alias("hint"))
 
 
+def next_links(found: DataFrame) -> DataFrame:
+    """(page_id, control, href): of controls, the first that leads to a next page, else the first that loads more."""
+    kind = F.when((F.col("rel") == "next") | F.col("label").rlike(NEXT) | F.col("hint").rlike(NEXT_HINT), 1).when(F.col("label").rlike(MORE), 2)
+    best = found.withColumn("kind", kind).where("kind IS NOT NULL").groupBy("page_id").agg(F.min(F.struct("kind", "pos", "href")).alias("x"))
+    return best.select("page_id", F.when(F.col("x.kind") == 1, "next").otherwise("more").alias("control"), "x.href")
+
+
+# How links of a landing page to a directory are worded and addressed.
 DIRECTORY_TEXT = r"(?iu)(?<![A-Za-z0-9_])(((open|go to|view|search|browse|explore|show|see|find|launch|to the|zum|zur)\s+(the\s+)?(exhibitor|company|vendor|publisher|member|participant|speaker)s?\s*(directory|list|search|catalogue|catalog|database|marketplace|finder|overview|verzeichnis|suche|liste|katalog)?)|((exhibitor|company|vendor|publisher|member|participant)\s+(directory|search|database|catalogue|catalog|marketplace|finder))|(ausstellerverzeichnis|ausstellersuche|ausstellerkatalog|firmenverzeichnis))(?![A-Za-z0-9_])"
 DIRECTORY_PATH = r"(?i)/(marketplace/)?(exhibitors|exhibitor-directory|exhibitor-search|company-directory|companies)/?$"
 DIRECTORY_WORD = r"(?i)(?<![A-Za-z0-9_])(exhibitor|company|directory|marketplace|catalogue|catalog|search|aussteller|verzeichnis|suche|katalog)(?![A-Za-z0-9_])"
@@ -154,7 +168,7 @@ def deepest_pages(features: DataFrame) -> DataFrame:
 
 
 class _Elements(HTMLParser):
-    """The elements of a page with their parent, own text and what tells siblings apart; end tags that pages leave out are understood."""
+    """The elements of a page with their ancestors, own text and what tells siblings apart; end tags that pages leave out are understood."""
 
     def __init__(self, base: str):
         super().__init__(convert_charrefs=True)
@@ -169,12 +183,13 @@ class _Elements(HTMLParser):
                 break
             if above in SCOPES:
                 break
-        parent = self.open[-1] if self.open else -1
-        chrome = tag in ("nav", "header", "footer", "aside") or (parent >= 0 and self.rows[parent]["chrome"])
         link = a.get("href") if tag == "a" else a.get("src") or a.get("data-src")
         kept = link.split(":", 1)[1].split("?")[0] if link and link.lower().startswith(("mailto:", "tel:")) else urljoin(self.base, link) if link and not link.lower().startswith("javascript:") else None
         names = sorted(c for c in a.get("class", "").split() if not any(x.isdigit() for x in c))[:3]
-        self.rows.append({"node": len(self.rows), "parent": parent, "tag": tag, "sig": ".".join([tag, *names]) + (f"[{a['data-testid']}]" if a.get("data-testid") else ""), "own": "", "link": kept, "chrome": chrome, "hook": a.get("data-testid")})
+        sig = ".".join([tag, *names]) + (f"[{a['data-testid']}]" if a.get("data-testid") else "")
+        hint = " ".join(filter(None, (a.get(k) for k in ("data-testid", "data-styleid", "itemtype", "class"))))
+        full = a.get("title") or a.get("data-title") or a.get("data-full-text")
+        self.rows.append({"tag": tag, "sig": sig, "texts": [], "link": kept, "hook": a.get("data-testid"), "itemtype": a.get("itemtype") if "itemscope" in a else None, "hint": hint, "full": full, "aria": a.get("aria-label"), "up": self.open[:]})
         if tag in ("script", "style"):
             self.mute += 1
         if tag not in VOID:
@@ -189,67 +204,101 @@ class _Elements(HTMLParser):
 
     def handle_data(self, data):
         if self.open and not self.mute:
-            row = self.rows[self.open[-1]]
-            row["own"] = " ".join(f"{row['own']} {data}".split())
-
-
-NODES = "page_id long, node int, parent int, tag string, sig string, own string, link string, chrome boolean, hook string"
-
-
-def elements(pages: DataFrame, html: str = "html") -> DataFrame:
-    """(page_id, node, parent, tag, sig, own, link, chrome, hook): a row for each element, in document order."""
+            self.rows[self.open[-1]]["texts"].append(data)
+
+    def table(self):
+        """A tuple for each element, as in NODES after the page."""
+        rows, seen, ords = self.rows, {}, []
+        last, chrome = list(range(len(rows))), []
+        for i, x in enumerate(rows):
+            parent = x["up"][-1] if x["up"] else -1
+            same = seen.setdefault((parent, x["sig"]), [])
+            same.append(i)
+            ords.append(len(same))
+            inherited = chrome[parent] if parent >= 0 else None
+            chrome.append(inherited if inherited is not None else len(x["up"]) if x["tag"] in CHROME_TAGS else None)
+        for i in range(len(rows) - 1, -1, -1):
+            if rows[i]["up"]:
+                last[rows[i]["up"][-1]] = max(last[rows[i]["up"][-1]], last[i])
+        items = [len(seen[x["up"][-1] if x["up"] else -1, x["sig"]]) for x in rows]
+        for i, x in enumerate(rows):
+            whole = [*x["up"], i]
+            own = " ".join(" ".join(x["texts"]).split())
+            yield (i, x["up"][-1] if x["up"] else -1, last[i], x["tag"], x["sig"], own, x["link"], chrome[i] is not None, x["hook"], x["itemtype"], x["hint"], x["full"], x["aria"], chrome[i], whole, [rows[k]["sig"] for k in whole], [items[k] for k in whole], [ords[k] for k in whole])
+
+
+CHROME_TAGS = {"nav", "header", "footer", "aside"}
+NODES = "page_id long, node int, parent int, last int, tag string, sig string, own string, link string, chrome boolean, hook string, itemtype string, hint string, full string, aria string, chrome_depth int, chain array<int>, sigs array<string>, items array<int>, ords array<int>"
+
+
+def elements(pages: DataFrame, html: str = "html", each: int = 200) -> DataFrame:
+    """A row for each element, in document order: its page, number, parent and last element inside; tag, signature, own text, address, hooks and attributes; whether it
+    is navigation and from which depth on; and, from the root to itself, the elements it lies in, their signatures, how many siblings share them and
+    the place among those. Lists, their items and cells are then read off without a join."""
+    names = [c.split()[0] for c in NODES.split(", ")]
 
     def run(batches):
-        for batch in batches:
-            for page_id, url, body in zip(batch["page_id"], batch["url"], batch[html], strict=True):
-                parser = _Elements(url or "")
-                parser.feed(body or "")
-                parser.close()
-                if parser.rows:
-                    yield pd.DataFrame(parser.rows).assign(page_id=page_id)[[c.split()[0] for c in NODES.split(", ")]]
+        for whole in batches:
+            for i in range(0, len(whole), each):
+                batch, rows = whole.iloc[i : i + each], []
+                for page_id, url, body in zip(batch["page_id"], batch["url"], batch[html], strict=True):
+                    parser = _Elements(url or "")
+                    parser.feed(body or "")
+                    parser.close()
+                    rows += [(page_id, *x) for x in parser.table()]
+                yield pd.DataFrame(rows, columns=names).astype({"chrome_depth": "Int32"})
 
     return pages.select("page_id", "url", html).mapInPandas(run, NODES)
 
 
 def sibling_lists(nodes: DataFrame, least: int = 3) -> DataFrame:
     """(page_id, parent, sig, items, first, last, chrome): siblings of one signature, three or more."""
-    groups = nodes.groupBy("page_id", "parent", "sig").agg(F.count("*").alias("items"), F.min("node").alias("first"), F.max("node").alias("last"), F.max("chrome").alias("chrome"))
-    return groups.where(F.col("items") >= least)
-
-
-def list_leaves(nodes: DataFrame, lists: DataFrame, deepest: int = 6) -> DataFrame:
-    """(page_id, parent, sig, item, item_ord, path, attr, value): the texts and links inside each item of each list, found by joining elements to
-    their parents level by level, each with its path of signatures from the item down."""
-    inside = lists.select("page_id", "parent", "sig")
-    items = nodes.join(inside, ["page_id", "parent", "sig"]).withColumn("item_ord", F.row_number().over(Window.partitionBy("page_id", "parent", "sig").orderBy("node")))
-    level = items.select("page_id", F.col("parent").alias("list"), F.col("sig").alias("list_sig"), F.col("node").alias("item"), "item_ord", "node", F.lit("").alias("path"), "own", "link")
-    out = level
-    child = nodes.select("page_id", F.col("parent").alias("_up"), F.col("node").alias("_n"), F.col("sig").alias("_s"), F.col("own").alias("_o"), F.col("link").alias("_k"))
-    for _ in range(deepest):
-        level = level.join(child, (level["page_id"] == child["page_id"]) & (F.col("node") == F.col("_up"))).select(level["page_id"], "list", "list_sig", "item", "item_ord", F.col("_n").alias("node"), F.concat("path", F.lit(">"), "_s").alias("path"), F.col("_o").alias("own"), F.col("_k").alias("link"))
-        out = out.unionByName(level)
+    many = nodes.where(F.element_at("items", -1) >= least)
+    return many.groupBy("page_id", "parent", "sig").agg(F.count("*").alias("items"), F.min("node").alias("first"), F.max("node").alias("last"), F.max("chrome").alias("chrome"))
+
+
+ITEM = ["page_id", "parent", "sig", "items", "chrome", "item", "item_ord"]
+
+
+def in_items(nodes: DataFrame, least: int = 3) -> DataFrame:
+    """nodes once for each list item that they are or lie in, at any depth, with the list (parent, sig, items, chrome), the item and its number, and their path of
+    signatures from the item down. Read off each element's own chain: one pass, no join."""
+    levels = F.filter(F.sequence(F.lit(1), F.size("chain")), lambda i: F.element_at("items", i) >= least)
+    at = lambda c: F.element_at(c, F.col("_i"))
+    each = nodes.withColumnsRenamed({"parent": "own_parent", "sig": "own_sig", "chrome": "own_chrome"}).withColumn("_i", F.explode(levels))
+    list_of = {
+        "parent": F.when(F.col("_i") > 1, F.element_at("chain", F.greatest(F.col("_i") - 1, F.lit(1)))).otherwise(-1),
+        "sig": at("sigs"),
+        "item": at("chain"),
+        "item_ord": at("ords"),
+        "chrome": F.coalesce(F.col("chrome_depth") < F.col("_i"), F.lit(False)),
+        "path": F.array_join(F.transform(F.slice("sigs", F.col("_i") + 1, F.size("sigs")), lambda x: F.concat(F.lit(">"), x)), ""),
+    }
+    return each.withColumns(list_of).withColumn("items", at("items"))
+
+
+def list_leaves(nodes: DataFrame, least: int = 3) -> DataFrame:
+    """(page_id, parent, sig, items, chrome, item, item_ord, node, path, attr, value): the texts and links inside each item of each list, however deep."""
     attrs = F.filter(F.array(F.struct(F.lit("own").alias("attr"), F.when(F.col("own").rlike(r"[\p{L}\p{N}]"), F.col("own")).alias("value")), F.struct(F.lit("link").alias("attr"), F.col("link").alias("value"))), lambda x: x["value"].isNotNull())
-    each = out.select("page_id", "list", "list_sig", "item", "item_ord", "node", "path", F.explode(attrs).alias("x"))
-    return each.select("page_id", F.col("list").alias("parent"), F.col("list_sig").alias("sig"), "item", "item_ord", "node", "path", "x.attr", "x.value")
+    return in_items(nodes.where(F.size(attrs) > 0), least).select(*ITEM, "node", "path", F.explode(attrs).alias("x")).select(*ITEM, "node", "path", "x.attr", "x.value")
 
 
-def list_columns(leaves: DataFrame, lists: DataFrame) -> DataFrame:
-    """(page_id, parent, sig, path, attr, hits, fill, sample, constant): the columns of each list, by path and attribute. The first value of an item
+def list_columns(leaves: DataFrame) -> DataFrame:
+    """(page_id, parent, sig, path, attr, items, chrome, first, hits, fill, sample, constant): the columns of each list, by path and attribute. The first value of an item
     counts; a column needs a quarter of the items, and two. Of columns with the same cells the first stays (by a sum of hashes, not the cells)."""
     key = ["page_id", "parent", "sig", "path", "attr"]
-    first = leaves.groupBy(*key, "item_ord").agg(F.min_by("value", "node").alias("value"), F.min("node").alias("node"))
-    stats = first.groupBy(*key).agg(F.count("*").alias("hits"), F.min_by("value", "item_ord").alias("sample"), (F.min("value") == F.max("value")).alias("constant"), F.min("node").alias("node"), F.sum(F.xxhash64("item_ord", "value").cast("decimal(38,0)")).alias("_print"))
-    kept = stats.join(lists.select("page_id", "parent", "sig", "items"), ["page_id", "parent", "sig"]).where(F.col("hits") >= F.greatest(F.lit(2), F.ceil(F.col("items") * 0.25)))
-    rank = F.row_number().over(Window.partitionBy("page_id", "parent", "sig", "attr", "_print").orderBy("node"))
-    out = kept.withColumn("_r", rank).where("_r = 1")
-    return out.where(~is_junk("sample")).select(*key, "hits", (F.col("hits") / F.col("items")).alias("fill"), "sample", ((F.col("items") > 2) & F.col("constant")).alias("constant"))
+    first = leaves.groupBy(*key, "item_ord").agg(F.min_by("value", "node").alias("value"), F.min("node").alias("node"), F.min("item").alias("item"), F.max("items").alias("items"), F.max("chrome").alias("chrome"))
+    prints = F.sum(F.xxhash64("item_ord", "value").cast("decimal(38,0)")).alias("_print")
+    stats = first.groupBy(*key).agg(F.max("items").alias("items"), F.max("chrome").alias("chrome"), F.min("item").alias("first"), F.count("*").alias("hits"), F.min_by("value", "item_ord").alias("sample"), (F.min("value") == F.max("value")).alias("constant"), F.min("node").alias("node"), prints)
+    kept = stats.where(F.col("hits") >= F.greatest(F.lit(2), F.ceil(F.col("items") * 0.25)))
+    out = kept.withColumn("_r", F.row_number().over(Window.partitionBy("page_id", "parent", "sig", "attr", "_print").orderBy("node", "path"))).where("_r = 1")
+    return out.where(~is_junk("sample")).select(*key, "items", "chrome", "first", "hits", (F.col("hits") / F.col("items")).alias("fill"), "sample", ((F.col("items") > 2) & F.col("constant")).alias("constant"))
 
 
-def best_lists(columns: DataFrame, lists: DataFrame, most: int = 8) -> DataFrame:
+def best_lists(columns: DataFrame, most: int = 8) -> DataFrame:
     """(page_id, parent, sig, items, columns, score, rank): candidate lists by what they hold: entries (by their logarithm) times columns, weighted by fill, less in
     navigation. Areas and visibility on screen don't count, for there is no screen."""
-    sums = columns.groupBy("page_id", "parent", "sig").agg(F.count("*").alias("columns"), F.avg("fill").alias("fill"))
-    joined = sums.join(lists, ["page_id", "parent", "sig"])
+    joined = columns.groupBy("page_id", "parent", "sig").agg(F.count("*").alias("columns"), F.avg("fill").alias("fill"), F.max("items").alias("items"), F.max("chrome").alias("chrome"), F.min("first").alias("first"))
     score = F.log2(F.col("items") + 1) * F.sqrt(F.col("columns").cast("double")) * F.col("fill") * F.when(F.col("chrome"), 0.2).otherwise(1.0)
     ranked = joined.withColumn("score", score).withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "first")))
     return ranked.where(F.col("rank") <= most).select("page_id", "parent", "sig", "items", "columns", "score", "rank")

@@ -98,7 +98,7 @@ def single_fields(spark, sf_dir):
 @query(r"""WITH n AS (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1)) AS v FROM pages) SELECT page_id, count(*) AS cells FROM n WHERE regexp_matches(v, '[\p{L}\p{N}]') GROUP BY 1""")
 def extract_cells(spark, sf_dir):
     nodes = H.elements(table(spark, sf_dir, "pages"))
-    leaves = H.list_leaves(nodes, H.sibling_lists(nodes))
+    leaves = H.list_leaves(nodes)
     spec = spark.createDataFrame([("nav", "li", ">a", "own", "Entry")], "list_id string, sig string, path string, attr string, field string")
     return K.extract(leaves, spec).groupBy("page_id").agg(F.count("*").alias("cells"))
 

@@ -241,16 +241,13 @@ def list_detection(spark, sf_dir):
 
 @query(r"""WITH n AS (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1)) AS v FROM pages), c AS (SELECT page_id, count(*) AS hits FROM n WHERE regexp_matches(v, '[\p{L}\p{N}]') GROUP BY 1 HAVING count(*) >= 3) SELECT page_id, '>a' AS path, 'own' AS attr, hits FROM c""")
 def list_columns(spark, sf_dir):
-    nodes = H.elements(table(spark, sf_dir, "pages"))
-    lists = H.sibling_lists(nodes).where("sig = 'li'")
-    return H.list_columns(H.list_leaves(nodes, lists), lists).where("attr = 'own'").select("page_id", "path", "attr", "hits")
+    leaves = H.list_leaves(H.elements(table(spark, sf_dir, "pages")))
+    return H.list_columns(leaves).where("sig = 'li' AND attr = 'own'").select("page_id", "path", "attr", "hits")
 
 
 @query()
 def best_lists(spark, sf_dir):
-    nodes = H.elements(table(spark, sf_dir, "pages"))
-    lists = H.sibling_lists(nodes)
-    return H.best_lists(H.list_columns(H.list_leaves(nodes, lists), lists), lists)
+    return H.best_lists(H.list_columns(H.list_leaves(H.elements(table(spark, sf_dir, "pages")))))
 
 
 @query(

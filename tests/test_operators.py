@@ -127,9 +127,9 @@ def test_page_lists(spark):
     nodes = H.elements(pages)
     lists = H.sibling_lists(nodes)
     assert sorted((r["sig"], r["items"], r["chrome"]) for r in lists.collect()) == [("div.card", 3, False), ("li", 3, True)]
-    columns = H.list_columns(H.list_leaves(nodes, lists, 3), lists)
+    columns = H.list_columns(H.list_leaves(nodes))
     assert {(r["path"], r["attr"], r["hits"]) for r in columns.where("sig = 'div.card'").collect()} == {(">h2", "own", 3), (">b", "own", 2)}
-    assert H.best_lists(columns, lists).where("rank = 1").first()["sig"] == "div.card"
+    assert H.best_lists(columns).where("rank = 1").first()["sig"] == "div.card"
 
 
 def test_csv_and_json_parts(spark, tmp_path):
