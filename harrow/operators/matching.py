@@ -33,12 +33,19 @@ def column_scores(page: DataFrame, feed: DataFrame, comparable=norm) -> DataFram
 
 
 def _link_hits(by_value: DataFrame, kept: DataFrame) -> DataFrame:
-    """Links whose path holds a feed value of over three characters as a whole part: the parts are equi-joined, no pairs are tried."""
-    parts = F.array_distinct(F.filter(F.split(F.split("v", r"\?")[0], "/"), lambda p: F.length(p) > 3))
-    links = by_value.where("attr = 'href'").withColumn("part", F.explode(F.slice(parts, 2, 10_000)))
+    """Links that hold a feed value of over three characters after a slash, up to the next slash or question mark or the end, and images that end in one of over
+    eight, its scheme aside. What can be held so is listed for each distinct value and equi-joined; no pairs are tried."""
+    parts, last = F.split("v", "/"), F.size(F.split("v", "/")) - 1
+    run = lambda i, j: F.array_join(F.slice(parts, i + 1, j - i + 1), "/")
+    up_to = lambda i: F.flatten(F.transform(F.sequence(i, last), lambda j: F.array(run(i, j), F.substring_index(run(i, j), "?", 1))))
+    runs = F.when(last > 0, F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), up_to))))
+    links = by_value.where("attr = 'href'").withColumn("part", F.explode(runs)).where(F.length("part") > 3)
     found = links.join(kept.withColumnRenamed("v", "part"), "part")
-    whole = F.col("v").endswith(F.concat(F.lit("/"), "part")) | F.col("v").contains(F.concat(F.lit("/"), "part", F.lit("?"))) | F.col("v").contains(F.concat(F.lit("/"), "part", F.lit("/")))
-    return found.where(whole).select("list_id", "col_key", "col_ord", "feed_id", "key", "key_ord", "v", "n")
+    ends = F.transform(F.sequence(F.lit(1), F.length("v")), lambda i: F.substring(F.col("v"), i, F.length("v")))
+    images = by_value.where("attr = 'src'").withColumn("part", F.explode(ends))
+    seen = images.join(kept.where(F.length("v") > 8).withColumn("part", F.regexp_replace("v", "^https?:", "")).drop("v"), "part")
+    columns = ["list_id", "col_key", "col_ord", "feed_id", "key", "key_ord", "v", "n"]
+    return found.select(columns).unionByName(seen.select(columns))
 
 
 def pairs(scores: DataFrame, least: float = LEAST) -> DataFrame:

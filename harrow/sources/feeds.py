@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 import json
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ class Pages(InputPartition):
 class PagedFeedReader(DataSourceReader):
     def __init__(self, options: dict):
         self.pages, self.each = int(options["pages"]), max(1, int(options.get("pages_a_task", 1)))
-        self.fetch, self.attempts = options["fetch"], int(options.get("attempts", 3))
+        self.fetch, self.attempts, self.wait = options["fetch"], int(options.get("attempts", 3)), float(options.get("wait_ms", 800))
 
     def partitions(self):
         return [Pages(i, min(i + self.each, self.pages)) for i in range(0, self.pages, self.each)]
@@ -48,6 +49,7 @@ class PagedFeedReader(DataSourceReader):
                 except OSError:
                     if attempt == self.attempts - 1:
                         raise
+                    time.sleep(self.wait * 3**attempt / 1000)  # 0.8, 2.4 s and so on
             yield page, payload if isinstance(payload, str) else json.dumps(payload)
 
 
