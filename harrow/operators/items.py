@@ -61,18 +61,10 @@ def _nearest(tag: str, chain="chain", sigs="sigs") -> Column:
     return F.get(fit, F.size(fit) - 1)["n"]
 
 
-def full_texts(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(page_id, node, text) of wanted elements (page_id, node): their own texts and those inside, in order."""
-    parts = nodes.where("own <> ''").select("page_id", "own", F.col("node").alias("_at"), F.explode("chain").alias("node")).join(wanted.select("page_id", "node"), ["page_id", "node"])
-    texts = parts.groupBy("page_id", "node").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "own"))), lambda x: x["own"]), " ").alias("text"))
-    return wanted.select("page_id", "node").join(texts, ["page_id", "node"], "left").withColumn("text", text("text"))
-
-
 def _cells(nodes: DataFrame) -> DataFrame:
     """(page_id, row, node, cell, text): the cells of table rows, numbered from 0."""
-    cells = nodes.where(F.col("tag").isin("th", "td")).select("page_id", "node", _nearest("tr").alias("row")).where("row IS NOT NULL")
-    number = F.row_number().over(Window.partitionBy("page_id", "row").orderBy("node")) - 1
-    return cells.withColumn("cell", number).join(full_texts(nodes, cells), ["page_id", "node"])
+    cells = nodes.where(F.col("tag").isin("th", "td")).select("page_id", "node", _nearest("tr").alias("row"), F.col("whole").alias("text")).where("row IS NOT NULL")
+    return cells.withColumn("cell", F.row_number().over(Window.partitionBy("page_id", "row").orderBy("node")) - 1)
 
 
 def table_headers(nodes: DataFrame) -> DataFrame:

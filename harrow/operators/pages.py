@@ -189,7 +189,7 @@ class _Elements(HTMLParser):
         sig = ".".join([tag, *names]) + (f"[{a['data-testid']}]" if a.get("data-testid") else "")
         hint = " ".join(filter(None, (a.get(k) for k in ("data-testid", "data-styleid", "itemtype", "class"))))
         full = a.get("title") or a.get("data-title") or a.get("data-full-text")
-        self.rows.append({"tag": tag, "sig": sig, "texts": [], "link": kept, "hook": a.get("data-testid"), "itemtype": a.get("itemtype") if "itemscope" in a else None, "hint": hint, "full": full, "aria": a.get("aria-label"), "up": self.open[:]})
+        self.rows.append({"tag": tag, "sig": sig, "texts": [], "whole": [] if tag in FULL_TEXT_TAGS else None, "link": kept, "hook": a.get("data-testid"), "itemtype": a.get("itemtype") if "itemscope" in a else None, "hint": hint, "full": full, "aria": a.get("aria-label"), "up": self.open[:]})
         if tag in ("script", "style"):
             self.mute += 1
         if tag not in VOID:
@@ -205,6 +205,9 @@ class _Elements(HTMLParser):
     def handle_data(self, data):
         if self.open and not self.mute:
             self.rows[self.open[-1]]["texts"].append(data)
+            for i in self.open:
+                if self.rows[i]["whole"] is not None:
+                    self.rows[i]["whole"].append(data)
 
     def table(self):
         """A tuple for each element, as in NODES after the page."""
@@ -224,15 +227,17 @@ class _Elements(HTMLParser):
         for i, x in enumerate(rows):
             whole = [*x["up"], i]
             own = " ".join(" ".join(x["texts"]).split())
-            yield (i, x["up"][-1] if x["up"] else -1, last[i], x["tag"], x["sig"], own, x["link"], chrome[i] is not None, x["hook"], x["itemtype"], x["hint"], x["full"], x["aria"], chrome[i], whole, [rows[k]["sig"] for k in whole], [items[k] for k in whole], [ords[k] for k in whole])
+            full_text = " ".join("".join(x["whole"]).split()) if x["whole"] is not None else None
+            yield (i, x["up"][-1] if x["up"] else -1, last[i], x["tag"], x["sig"], own, full_text, x["link"], chrome[i] is not None, x["hook"], x["itemtype"], x["hint"], x["full"], x["aria"], chrome[i], whole, [rows[k]["sig"] for k in whole], [items[k] for k in whole], [ords[k] for k in whole])
 
 
 CHROME_TAGS = {"nav", "header", "footer", "aside"}
-NODES = "page_id long, node int, parent int, last int, tag string, sig string, own string, link string, chrome boolean, hook string, itemtype string, hint string, full string, aria string, chrome_depth int, chain array<int>, sigs array<string>, items array<int>, ords array<int>"
+FULL_TEXT_TAGS = {"h1", "th", "td", "dt", "dd"}  # whose text is wanted with that of the elements inside
+NODES = "page_id long, node int, parent int, last int, tag string, sig string, own string, whole string, link string, chrome boolean, hook string, itemtype string, hint string, full string, aria string, chrome_depth int, chain array<int>, sigs array<string>, items array<int>, ords array<int>"
 
 
 def elements(pages: DataFrame, html: str = "html", each: int = 200) -> DataFrame:
-    """A row for each element, in document order: its page, number, parent and last element inside; tag, signature, own text, address, hooks and attributes; whether it
+    """A row for each element, in document order: its page, number, parent and last element inside; tag, signature, own text (for headings and cells the whole text too), address, hooks and attributes; whether it
     is navigation and from which depth on; and, from the root to itself, the elements it lies in, their signatures, how many siblings share them and
     the place among those. Lists, their items and cells are then read off without a join."""
     names = [c.split()[0] for c in NODES.split(", ")]
