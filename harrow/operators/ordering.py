@@ -14,10 +14,11 @@ def distinct_rows(rows: DataFrame, columns: list[str], order: list) -> DataFrame
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def fresh_by_page(rows: DataFrame, columns: list[str], page: str = "page") -> DataFrame:
-    """(page, fresh) of each page: how many of its rows no earlier page has. Equal rows meet once, with their first page."""
-    first = rows.groupBy(*columns).agg(F.min(page).alias(page)).groupBy(page).agg(F.count("*").alias("fresh"))
-    return rows.select(page).distinct().join(first, page, "left").select(page, F.coalesce("fresh", F.lit(0)).alias("fresh"))
+def fresh_by_page(rows: DataFrame, columns: list[str], page: str = "page", by: list[str] | None = None) -> DataFrame:
+    """(by…, page, fresh) of each page of a feed: how many of its rows no earlier page has. Equal rows meet once, with their first page."""
+    by = by or []
+    first = rows.groupBy(*by, *columns).agg(F.min(page).alias(page)).groupBy(*by, page).agg(F.count("*").alias("fresh"))
+    return rows.select(*by, page).distinct().join(first, [*by, page], "left").select(*by, page, F.coalesce("fresh", F.lit(0)).alias("fresh"))
 
 
 def until_stale(pages: DataFrame, by: list[str], page: str = "page", fresh: str = "fresh") -> DataFrame:
@@ -98,12 +99,29 @@ def best_feed(feeds: DataFrame) -> DataFrame:
     return feeds.orderBy(F.desc("size"), F.desc("paginated"), "_ord").limit(1)
 
 
-def upper_median(rows: DataFrame, value: str) -> DataFrame:
-    """The middle value, the upper one of two, of all rows; counted by value, so that equal values are one row."""
-    by = rows.select(F.col(value).alias("_v")).groupBy("_v").agg(F.count("*").alias("_n"))
-    w = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = by.withColumns({"_to": F.sum("_n").over(w), "_all": F.sum("_n").over(Window.partitionBy())})
-    return ranked.where(F.col("_to") > F.floor(F.col("_all") / 2)).agg(F.min("_v").alias("median"))
+def upper_median(rows: DataFrame, value: str, cells: int = 1024, few: int = 10_000) -> DataFrame:
+    """(median): the middle number, the upper one of two, of all rows. The range is cut into cells, whose counts tell in which the middle lies, and that cell again,
+    until few different numbers are left; no task orders all of them. Null without rows."""
+    v = F.col(value)
+    now = rows.where(v.isNotNull() & ~F.isnan(v.cast("double")))
+    whole = now.agg(F.count("*").alias("n"), F.min(v).alias("low"), F.max(v).alias("high")).first()
+    before, low, high, middle = 0, whole["low"], whole["high"], whole["n"] // 2
+    while low is not None and low < high:
+        inside = now.where(v.between(F.lit(low), F.lit(high)))
+        if inside.agg(F.approx_count_distinct(v).alias("n")).first()["n"] <= few:
+            break
+        cell = F.floor((v.cast("double") - float(low)) / (float(high) - float(low)) * cells).alias("cell")
+        counts = inside.groupBy(cell).agg(F.count("*").alias("n"), F.min(v).alias("low"), F.max(v).alias("high")).orderBy("cell").collect()  # as many as cells
+        for c in counts:
+            if before + c["n"] > middle:
+                break
+            before += c["n"]
+        if (c["low"], c["high"]) == (low, high):
+            break
+        low, high = c["low"], c["high"]
+    by = now.where(v.between(F.lit(low), F.lit(high))).groupBy(v.alias("_v")).agg(F.count("*").alias("_n"))
+    ranked = by.withColumn("_to", F.sum("_n").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))  # few numbers
+    return ranked.where(F.col("_to") + before > middle).agg(F.min("_v").alias("median"))
 
 
 def job_stats(rows: DataFrame, company: str, looked: str, people: str, website: str, needs: str) -> DataFrame:

@@ -103,10 +103,11 @@ def extract_cells(spark, sf_dir):
     return K.extract(leaves, spec).groupBy("page_id").agg(F.count("*").alias("cells"))
 
 
-@query("SELECT c_custkey AS page_id, 'Anna Meier' AS name, 'ceo' AS role, 'a' || c_custkey || '@x.org' AS email FROM customer WHERE c_custkey < 300")
+@query("SELECT c_custkey AS page_id, 'Anna Meier' AS name, 'ceo' AS role, 'a' || c_custkey || '@x.org' AS email FROM customer WHERE c_custkey % 5 > 0")
 def structured_people(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_custkey < 300")
-    body = F.to_json(F.struct(F.struct(F.lit("Person").alias("@type"), F.lit("Anna Meier").alias("name"), F.lit("CEO").alias("jobTitle"), F.concat(F.lit("mailto:a"), "c_custkey", F.lit("@x.org")).alias("email")).alias("founder")))
+    c = table(spark, sf_dir, "customer")
+    kind = F.when(F.col("c_custkey") % 5 > 0, "Person").otherwise("Organization")
+    body = F.to_json(F.struct(F.struct(kind.alias("@type"), F.lit("Anna Meier").alias("name"), F.lit("CEO").alias("jobTitle"), F.concat(F.lit("mailto:a"), "c_custkey", F.lit("@x.org")).alias("email")).alias("founder")))
     pages = c.select(F.col("c_custkey").alias("page_id"), F.concat(F.lit('<script type="application/ld+json">'), body, F.lit("</script>")).alias("html"))
     return R.json_ld_people(pages).select("page_id", as_name("name").alias("name"), role_of("title").alias("role"), "email")
 

@@ -35,14 +35,15 @@ def _cells(df: DataFrame, id: str, columns: list[str], order: str, feed: bool) -
 
 def _page_and_feeds(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    page = c.where("c_custkey % 3 = 0").select("c_custkey", F.upper("c_name").alias("name"), "c_mktsegment", F.concat(F.lit("x"), "c_custkey").alias("own"))
+    shown = F.when(F.col("c_custkey") % 3 > 0, F.upper("c_name")).otherwise(F.concat("c_name", F.lit(" at home")))
+    page = c.select("c_custkey", shown.alias("name"), "c_mktsegment", F.concat(F.lit("x"), "c_custkey").alias("own"))
     page = _cells(page, "page", ["name", "c_mktsegment", "own"], "c_custkey", False)
     s = table(spark, sf_dir, "supplier")
     feeds = _cells(c, "customers", ["c_custkey", "c_name", "c_mktsegment"], "c_custkey", True).unionByName(_cells(s, "suppliers", ["s_suppkey", "s_name"], "s_suppkey", True))
     return page, feeds
 
 
-_PAGE = "SELECT 'name' AS col_key, lower(c_name) AS v FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 'c_mktsegment', lower(c_mktsegment) FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 'own', 'x' || c_custkey FROM customer WHERE c_custkey % 3 = 0"
+_PAGE = "SELECT 'name' AS col_key, lower(c_name) || CASE WHEN c_custkey % 3 > 0 THEN '' ELSE ' at home' END AS v FROM customer UNION ALL SELECT 'c_mktsegment', lower(c_mktsegment) FROM customer UNION ALL SELECT 'own', 'x' || c_custkey FROM customer"
 _FEED = "SELECT DISTINCT 'customers' AS feed_id, 'c_custkey' AS key, c_custkey::VARCHAR AS v FROM customer UNION SELECT 'customers', 'c_name', lower(c_name) FROM customer UNION SELECT 'customers', 'c_mktsegment', lower(c_mktsegment) FROM customer UNION SELECT 'suppliers', 's_suppkey', s_suppkey::VARCHAR FROM supplier UNION SELECT 'suppliers', 's_name', lower(s_name) FROM supplier"
 _SCORES = f"""p AS ({_PAGE}), f AS ({_FEED}), ps AS (SELECT col_key, count(*) AS rows, count(DISTINCT v) AS d FROM p GROUP BY 1), fs AS (SELECT feed_id, key, count(*) AS n FROM f GROUP BY ALL),
     h AS (SELECT col_key, feed_id, key, count(*) AS hits FROM p JOIN f USING (v) GROUP BY ALL),
@@ -65,25 +66,26 @@ def schema_match(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT c_custkey AS k, 'https://x.example.org/c/' || (c_custkey + 1000) || '/profile' AS v FROM customer WHERE c_custkey % 4 = 0), f AS (SELECT DISTINCT (c_custkey + 1000)::VARCHAR AS a FROM customer WHERE c_custkey % 2 = 0)
-       SELECT count(*)::DOUBLE / least((SELECT count(*) FROM p), (SELECT count(*) FROM f)) AS score FROM p JOIN f ON v LIKE '%/' || a || '/%'"""
+    """WITH p AS (SELECT c_custkey AS k, 'https://x.example.org/c/' || CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'x' END || (c_custkey + 1000) || '/profile' AS v FROM customer), f AS (SELECT DISTINCT CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'y' END || (c_custkey + 1000) AS a FROM customer)
+       SELECT round(count(*)::DOUBLE / least((SELECT count(*) FROM p), (SELECT count(*) FROM f)), 6) AS score FROM p JOIN f ON v LIKE '%/' || a || '/%'"""
 )
 def link_suffix_score(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    page = c.where("c_custkey % 4 = 0").select("c_custkey", F.concat(F.lit("https://x.example.org/c/"), F.col("c_custkey") + 1000, F.lit("/profile")).alias("link"))
+    k = F.col("c_custkey")
+    page = c.select("c_custkey", F.concat(F.lit("https://x.example.org/c/"), F.when(k % 4 == 0, "").otherwise("x"), k + 1000, F.lit("/profile")).alias("link"))
     page = _cells(page, "page", ["link"], "c_custkey", False).withColumn("attr", F.lit("href"))
-    feed = _cells(c.where("c_custkey % 2 = 0").select("c_custkey", (F.col("c_custkey") + 1000).alias("slug")), "feed", ["slug"], "c_custkey", True)
+    feed = _cells(c.select("c_custkey", F.concat(F.when(k % 2 == 0, "").otherwise("y"), k + 1000).alias("slug")), "feed", ["slug"], "c_custkey", True)
     return M.column_scores(page, feed).select(F.round("score", 6).alias("score"))
 
 
 def _sides(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    page = c.where("c_custkey < 400").select(F.col("c_custkey").alias("_ord"), F.concat(F.lit("Name "), F.col("c_custkey") % 150).alias("shown"), F.concat(F.lit("<b>p"), "c_custkey", F.lit("</b>")).alias("extra"))
-    feed = c.where("c_custkey < 600").select(F.col("c_custkey").alias("_ord"), F.concat(F.lit("name "), F.col("c_custkey") % 200).alias("title"), F.col("c_mktsegment").alias("segment"))
+    page = c.select(F.col("c_custkey").alias("_ord"), F.concat(F.lit("Name "), F.expr("c_custkey div 3")).alias("shown"), F.concat(F.lit("<b>p"), "c_custkey", F.lit("</b>")).alias("extra"))
+    feed = c.select(F.col("c_custkey").alias("_ord"), F.concat(F.lit("name "), F.expr("2 * (c_custkey div 2)")).alias("title"), F.col("c_mktsegment").alias("segment"))
     return page, feed
 
 
-_SIDES = """p AS (SELECT c_custkey AS o, 'name ' || (c_custkey % 150) AS v, '<b>p' || c_custkey || '</b>' AS extra FROM customer WHERE c_custkey < 400), f AS (SELECT c_custkey AS o, 'name ' || (c_custkey % 200) AS v, c_mktsegment AS segment FROM customer WHERE c_custkey < 600),
+_SIDES = """p AS (SELECT c_custkey AS o, 'name ' || (c_custkey // 3) AS v, '<b>p' || c_custkey || '</b>' AS extra FROM customer), f AS (SELECT c_custkey AS o, 'name ' || (2 * (c_custkey // 2)) AS v, c_mktsegment AS segment FROM customer),
     pl AS (SELECT v, max(o) AS page_row FROM p GROUP BY v), ff AS (SELECT v, min(o) AS feed_row FROM f GROUP BY v), a AS (SELECT page_row, feed_row FROM pl JOIN ff USING (v))"""
 
 
@@ -100,7 +102,7 @@ def align_whole_rows(spark, sf_dir):
     return M.align_rows(page, c.select("_ord", F.col("c_name").alias("title")), "shown", "title")
 
 
-@query(f"WITH {_SIDES} SELECT p.o AS _ord, 'Name ' || (p.o % 150) AS \"Name\", coalesce(segment, '') AS \"Segment\" FROM p LEFT JOIN a ON page_row = p.o LEFT JOIN f ON f.o = feed_row")
+@query(f"WITH {_SIDES} SELECT p.o AS _ord, 'Name ' || (p.o // 3) AS \"Name\", coalesce(segment, '') AS \"Segment\" FROM p LEFT JOIN a ON page_row = p.o LEFT JOIN f ON f.o = feed_row")
 def page_rows(spark, sf_dir):
     page, feed = _sides(spark, sf_dir)
     return M.page_rows(page, feed, M.align_rows(page, feed, "shown", "title"), {"Name": "shown"}, {"Segment": "segment"})
@@ -145,22 +147,23 @@ def lead_cells(spark, sf_dir):
 )
 def join_leads(spark, sf_dir):
     none = F.lit(None).cast("string")
-    c = table(spark, sf_dir, "customer").where("c_custkey % 4 <> 0")
-    leads = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("website"), F.lit("listing").alias("website_source"), F.array().cast("array<struct<name:string,role_raw:string,email:string,phone:string,linkedin:string,source_url:string,confidence:string>>").alias("people"), *[none.alias(x) for x in ("company_email", "company_email_source", "company_phone", "company_phone_source", "company_linkedin")], F.array().cast("array<string>").alias("notes"))
+    c = table(spark, sf_dir, "customer")
+    leads = c.select(F.when(F.col("c_custkey") % 4 == 0, -F.col("c_custkey") - 1).otherwise(F.col("c_custkey")).alias("id"), F.col("c_name").alias("website"), F.lit("listing").alias("website_source"), F.array().cast("array<struct<name:string,role_raw:string,email:string,phone:string,linkedin:string,source_url:string,confidence:string>>").alias("people"), *[none.alias(x) for x in ("company_email", "company_email_source", "company_phone", "company_phone_source", "company_linkedin")], F.array().cast("array<string>").alias("notes"))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return A.join_leads(rows, A.lead_cells(leads), F.col("o_custkey")).select("o_orderkey", "Website", "Website found via")
 
 
 @query(
-    """WITH a AS (SELECT o_orderkey AS id, o_orderstatus AS website, ['old', o_orderpriority] AS pages FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'new' END AS website, ['new', o_orderpriority] AS pages FROM orders WHERE o_orderkey % 2 = 0)
+    """WITH a AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN -o_orderkey ELSE o_orderkey END AS id, o_orderstatus AS website, ['old', o_orderpriority] AS pages FROM orders), b AS (SELECT CASE WHEN o_orderkey % 2 = 1 THEN 100000000000 + o_orderkey ELSE o_orderkey END AS id, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'new' END AS website, ['new', o_orderpriority] AS pages FROM orders)
        SELECT coalesce(b.id, a.id) AS id, coalesce(nullif(b.website, ''), a.website) AS website,
               array_to_string(CASE WHEN b.id IS NULL THEN a.pages WHEN a.id IS NULL THEN b.pages ELSE a.pages || ['new'] END, ',') AS pages FROM a FULL JOIN b USING (id)"""
 )
 def merge_lead(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     none = F.array().cast("array<string>")
-    old = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("website"), none.alias("people"), F.array(F.lit("old"), "o_orderpriority").alias("pages"))
-    new = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 5 == 0, "").otherwise("new").alias("website"), none.alias("people"), F.array(F.lit("new"), "o_orderpriority").alias("pages"))
+    k = F.col("o_orderkey")
+    old = o.select(F.when(k % 3 == 0, -k).otherwise(k).alias("id"), F.col("o_orderstatus").alias("website"), none.alias("people"), F.array(F.lit("old"), "o_orderpriority").alias("pages"))
+    new = o.select(F.when(k % 2 == 1, k + 100_000_000_000).otherwise(k).alias("id"), F.when(F.col("o_orderkey") % 5 == 0, "").otherwise("new").alias("website"), none.alias("people"), F.array(F.lit("new"), "o_orderpriority").alias("pages"))
     return A.merge_leads(old, new, ["website"]).select("id", "website", F.array_join("pages", ",").alias("pages"))
 
 
@@ -273,10 +276,10 @@ def single_lists(spark, sf_dir):
     return P.drop_single_lists(counts).select("list_id", F.col("count").alias("n"))
 
 
-@query("SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey % 200 = 0) AND n_name <> ''")
+@query("SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*) % 2 = 0) AND n_name <> ''")
 def extra_fields(spark, sf_dir):
     fields = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.lit(1.0).alias("fill"), F.col("n_name").alias("sample"))
-    used = table(spark, sf_dir, "customer").where("c_custkey % 200 = 0").select(F.col("c_nationkey").alias("key"))
+    used = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("key")).agg(F.count("*").alias("n")).where("n % 2 = 0")
     return M.extra_fields(fields, used).select(F.col("key").alias("n_nationkey"))
 
 

@@ -33,14 +33,13 @@ def distinct_rows_across_pages(spark, sf_dir):
     return O.distinct_rows(rows, ["l_partkey", "l_linenumber"], ["l_orderkey"])
 
 
-_FRESH = "f AS (SELECT page, count(*) AS n FROM (SELECT l_partkey, l_linenumber, min(l_orderkey // 100) AS page FROM lineitem GROUP BY 1, 2) GROUP BY 1), p AS (SELECT q.page, coalesce(n, 0) AS fresh FROM (SELECT DISTINCT l_orderkey // 100 AS page FROM lineitem) q LEFT JOIN f USING (page))"
+_FRESH = "f AS (SELECT l_returnflag, page, count(*) AS n FROM (SELECT l_returnflag, l_partkey, l_linenumber, min(l_orderkey // 100) AS page FROM lineitem GROUP BY 1, 2, 3) GROUP BY 1, 2), p AS (SELECT q.*, coalesce(n, 0) AS fresh FROM (SELECT DISTINCT l_returnflag, l_orderkey // 100 AS page FROM lineitem) q LEFT JOIN f USING (l_returnflag, page))"
 
 
-@query(f"WITH {_FRESH}, s AS (SELECT page, fresh = 0 AND lag(fresh) OVER (ORDER BY page) = 0 AS stale, fresh FROM p) SELECT page, fresh FROM s WHERE page <= coalesce((SELECT min(page) FROM s WHERE stale), 1000000000)")
+@query(f"WITH {_FRESH}, s AS (SELECT l_returnflag, page, fresh = 0 AND lag(fresh) OVER (PARTITION BY l_returnflag ORDER BY page) = 0 AS stale, fresh FROM p) SELECT l_returnflag, page, fresh FROM s WHERE page <= coalesce((SELECT min(page) FROM s x WHERE x.stale AND x.l_returnflag = s.l_returnflag), 1000000000)")
 def fresh_pages(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.expr("l_orderkey div 100").alias("page"), "l_partkey", "l_linenumber")
-    pages = O.fresh_by_page(rows, ["l_partkey", "l_linenumber"]).withColumn("all", F.lit(1))
-    return O.until_stale(pages, ["all"]).select("page", "fresh")
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.expr("l_orderkey div 100").alias("page"), "l_partkey", "l_linenumber")
+    return O.until_stale(O.fresh_by_page(rows, ["l_partkey", "l_linenumber"], by=["l_returnflag"]), ["l_returnflag"])
 
 
 @query(
@@ -258,12 +257,18 @@ def nav_test(spark, sf_dir):
     return P.navigation_lists(values, ["page_id"]).select("page_id", "entries", "navigation")
 
 
-@query("SELECT c_custkey AS page_id, 'Anna Meier' AS name, CASE c_custkey % 2 WHEN 0 THEN 'ceo' ELSE 'owner' END AS role, 'anna.meier' || c_custkey || '@example.org' AS email FROM customer WHERE c_custkey < 200")
+@query(
+    """SELECT c_custkey AS page_id, 'Anna Meier' AS name, CASE c_custkey % 2 WHEN 0 THEN 'ceo' ELSE 'owner' END AS role, CASE WHEN c_custkey % 3 > 0 THEN 'anna.meier' || c_custkey || '@example.org' END AS email FROM customer WHERE c_custkey % 5 > 0
+       UNION ALL SELECT c_custkey, 'Bernd Schulz', 'md', CASE WHEN c_custkey % 3 = 1 THEN 'b.schulz@example.org' END FROM customer WHERE c_custkey % 4 = 0"""
+)
 def facts(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_custkey < 200")
-    title = F.when(F.col("c_custkey") % 2 == 0, "CEO").otherwise("Founder")
-    html = F.concat(F.lit("<html><body><nav>Home</nav><p>"), title, F.lit(": Anna Meier</p><p>anna.meier"), "c_custkey", F.lit("@example.org</p><p>info@example.org</p></body></html>"))
-    pages = c.select(F.col("c_custkey").alias("page_id"), F.lit("https://x.example.org/").alias("url"), html.alias("html"))
+    k = F.col("c_custkey")
+    title = F.when(k % 2 == 0, "CEO").otherwise("Founder")
+    mail = F.when(k % 3 > 0, F.concat(F.lit("<p>anna.meier"), k, F.lit("@example.org</p>"))).otherwise("")
+    anna = F.when(k % 5 > 0, F.concat(F.lit("<p>"), title, F.lit(": Anna Meier</p>"), mail)).otherwise("<p>Frankfurter Buchmesse</p><p>CEO</p>")
+    more = F.when(k % 4 == 0, F.concat(F.lit("<p>a</p><p>b</p><p>c</p><p>Bernd Schulz</p><p>Managing Director</p>"), F.when(k % 3 == 1, F.lit('<p><a href="mailto:b.schulz@example.org">Mail</a></p>')).otherwise(""))).otherwise("<p>Dr. Product Manager</p>")
+    html = F.concat(F.lit("<html><body><nav>Home</nav>"), anna, more, F.lit("<p>x</p><p>y</p><p>info@example.org</p></body></html>"))
+    pages = table(spark, sf_dir, "customer").select(k.alias("page_id"), F.lit("https://x.example.org/").alias("url"), html.alias("html"))
     return C.facts(pages).select("page_id", "name", "role", "email")
 
 
@@ -275,7 +280,8 @@ def lookup_companies(spark, sf_dir):
     name = F.concat(F.lit("Brand"), "s_suppkey")
     companies = s.select(F.col("s_suppkey").alias("id"), F.concat(name, F.lit(" GmbH")).alias("name"), F.lit(None).cast("string").alias("website"))
     html = F.concat(F.lit("<html><head><title>"), name, F.lit("</title></head><body><p>Managing Director: Anna Meier</p><p>info@brand"), "s_suppkey", F.lit(".com</p></body></html>"))
-    pages = s.where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("page_id"), F.concat(F.lit("https://brand"), "s_suppkey", F.lit(".com/imprint")).alias("url"), html.alias("html"))
+    host = F.when(F.col("s_suppkey") % 3 == 0, "shop").otherwise("brand")  # a third have their page elsewhere, where nobody looks
+    pages = s.select(F.col("s_suppkey").alias("page_id"), F.concat(F.lit("https://"), host, "s_suppkey", F.lit(".com/imprint")).alias("url"), html.alias("html"))
     return C.lookup_companies(companies, pages).select("id", "website", "company_email")
 
 
