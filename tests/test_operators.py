@@ -227,3 +227,60 @@ def test_whole_tables_are_read(spark, tmp_path):
     spark.createDataFrame(rows, "c_custkey long, c_name string, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
     assert lead_columns(spark, str(tmp_path)).first()["website_col"] == "Web site"
     assert sorted(r["page_row"] for r in align_whole_rows(spark, str(tmp_path)).collect()) == [i for i, *_ in rows if i % 3]
+
+
+def test_diverse_pages_against_plain_greedy(spark):
+    import random
+
+    from harrow.operators import catalog as K
+
+    rnd = random.Random(3)
+    rows = []
+    for sample in range(4):
+        for page in range(12):
+            for f in {rnd.choice("tsc") + ":" + rnd.choice("abcdefghijk") for _ in range(rnd.randint(0, 9))}:
+                rows.append((sample, 100 * sample + page, f, rnd.randint(1, 4)))
+            rows.append((sample, 100 * sample + page, "text", rnd.randint(0, 3000)))
+    got = {}
+    for r in K.diverse_pages(spark.createDataFrame(rows, "sample long, page_id long, feature string, n long"), most=6).collect():
+        got.setdefault(r["sample"], []).append((r["pick"], r["page_id"]))
+    for sample in range(4):
+        own = [r[1:] for r in rows if r[0] == sample]
+        ids = sorted({p for p, _, _ in own})
+        marks = {p: {f for q, f, _ in own if q == p and f != "text"} for p in ids}
+        size = {p: n for p, f, n in own if f == "text"}
+        best = {}
+        for p, f, n in sorted(own):
+            if f.startswith("t:") and n >= 2 and n > best.get(f, (0, 0))[1]:
+                best[f] = (p, n)
+        picks = list(dict.fromkeys(p for f, (p, n) in sorted(best.items(), key=lambda x: (-x[1][1], x[0]))))[:6]
+        while len(picks) < 6:
+            seen = set().union(*(marks[p] for p in picks)) if picks else set()
+            new = {p: marks[p] - seen for p in ids if p not in picks}
+            hooks = {p: sum(f[0] != "c" for f in x) for p, x in new.items()}
+            p = max(new, key=lambda p: (1000 * hooks[p] + len(new[p]) - hooks[p] + size[p] / 1000, -p))
+            if len(picks) >= 4 and hooks[p] < 3:
+                break
+            picks.append(p)
+        assert [p for _, p in sorted(got[sample])] == picks
+
+
+def test_best_lists_against_their_columns(spark):
+    import math
+
+    from harrow.operators import pages as H
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    columns = H.list_columns(H.list_leaves(H.elements(pages)))
+    lists = {}
+    for r in columns.collect():
+        lists.setdefault((r["page_id"], r["parent"], r["sig"]), []).append(r)
+    scored = {}
+    for (page, parent, sig), own in lists.items():
+        fill = sum(r["fill"] for r in own) / len(own)
+        score = math.log2(own[0]["items"] + 1) * math.sqrt(len(own)) * fill * (0.2 if own[0]["chrome"] else 1)
+        scored.setdefault(page, []).append((-round(score, 9), min(r["first"] for r in own), parent, sig))
+    got = {}
+    for r in H.best_lists(columns).orderBy("rank").collect():
+        got.setdefault(r["page_id"], []).append((r["parent"], r["sig"]))
+    assert got == {p: [(x[2], x[3]) for x in sorted(s)[:8]] for p, s in scored.items()}
