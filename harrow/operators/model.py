@@ -120,3 +120,12 @@ def estimate_seconds(companies) -> Column:
     """How long looking so many companies up takes: thirteen seconds each, twelve at a time, and five to begin."""
     n = F.col(companies) if isinstance(companies, str) else companies
     return F.ceil(n * 13 / 12) + 5
+
+
+def saved_recipes(saved: DataFrame, new: DataFrame, most: int = 100) -> DataFrame:
+    """Recipes (id, name, updated, …) with new ones added: a new one replaces those of its id or its name, whatever the case, and only the newest so many stay."""
+    by_id = saved.join(new.select("id").distinct(), "id", "left_anti")
+    name = lambda df: df.withColumn("_name", F.lower(F.trim(text("name"))))
+    kept = name(by_id).join(name(new).select("_name").distinct(), "_name", "left_anti").drop("_name")
+    once = new.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("updated")))).where("_r = 1").drop("_r")
+    return kept.unionByName(once).orderBy(F.desc("updated"), "id").limit(most)

@@ -78,6 +78,20 @@ def link_suffix_score(spark, sf_dir):
     return M.column_scores(page, feed).select(F.round("score", 6).alias("score"))
 
 
+@query(
+    """SELECT 'images' AS col_key, round(count(*) FILTER (WHERE c_custkey % 2 = 0)::DOUBLE / count(*), 6) AS score FROM customer
+       UNION ALL SELECT 'links', round(count(*) FILTER (WHERE c_custkey % 3 = 0)::DOUBLE / count(*), 6) FROM customer"""
+)
+def image_and_path_score(spark, sf_dir):
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    image = F.when(k % 2 == 0, F.concat(F.lit("https://cdn.example.org/img/c"), k, F.lit(".png"))).otherwise(F.concat(F.lit("/local/"), k, F.lit(".jpg")))
+    link = F.concat(F.lit("https://x.example.org/"), F.when(k % 3 == 0, "shop/c").otherwise("c/"), k, F.lit("?tab=1"))
+    page = _cells(c.select("c_custkey", image.alias("images"), link.alias("links")), "page", ["images", "links"], "c_custkey", False)
+    page = page.withColumn("attr", F.when(F.col("col_key") == "images", "src").otherwise("href"))
+    feed = c.select("c_custkey", F.concat(F.lit("http://cdn.example.org/img/c"), k, F.lit(".png")).alias("picture"), F.concat(F.lit("shop/c"), k).alias("slug"))
+    return M.column_scores(page, _cells(feed, "feed", ["picture", "slug"], "c_custkey", True)).select("col_key", F.round("score", 6).alias("score"))
+
+
 def _sides(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     page = c.select(F.col("c_custkey").alias("_ord"), F.concat(F.lit("Name "), F.expr("c_custkey div 3")).alias("shown"), F.concat(F.lit("<b>p"), "c_custkey", F.lit("</b>")).alias("extra"))

@@ -412,3 +412,32 @@ def wider_pages(spark, sf_dir):
         return n.map(lambda x: ",".join(map(str, K.wider_pages(int(x), 7))))
 
     return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n")).select("l_suppkey", wider("n").alias("wider"))
+
+
+@query(
+    """WITH s AS (SELECT o_orderkey AS id, o_orderstatus || o_custkey AS name, 1 AS updated FROM orders), n AS (SELECT 2 * c_custkey AS id, lower('F' || c_custkey) AS name, 2 AS updated FROM customer),
+       a AS (SELECT * FROM s WHERE id NOT IN (SELECT id FROM n) AND lower(name) NOT IN (SELECT name FROM n) UNION ALL SELECT * FROM n)
+       SELECT * FROM a ORDER BY updated DESC, id LIMIT 1000"""
+)
+def saved_recipes(spark, sf_dir):
+    saved = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat("o_orderstatus", "o_custkey").alias("name"), F.lit(1).alias("updated"))
+    new = table(spark, sf_dir, "customer").select((2 * F.col("c_custkey")).alias("id"), F.concat(F.lit("f"), "c_custkey").alias("name"), F.lit(2).alias("updated"))
+    return M.saved_recipes(saved, new, 1000)
+
+
+@query("SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::INTEGER AS row, unnest(['n_nationkey', 'n_name']) AS key, unnest([n_nationkey::VARCHAR, n_name]) AS value FROM nation")
+def json_address(spark, sf_dir):
+    path = f"{jobs.shared_folder(spark)}/array-{uuid.uuid4().hex}"
+    sinks.write("json-array", table(spark, sf_dir, "nation").coalesce(1), path, ["n_nationkey", "n_name"], "n_nationkey")
+    return feeds.read_json_documents(spark, path).select("row", "key", "value")
+
+
+@query("""WITH a AS (SELECT page_id, regexp_extract(url, '^https?://[^/?#]*') AS origin, unnest(regexp_extract_all(html, '<li><a href="(/[^"]*)"', 1)) AS href FROM pages) SELECT page_id, origin || replace(href, '&amp;', '&') AS link FROM a""")
+def element_links(spark, sf_dir):
+    nodes = H.elements(table(spark, sf_dir, "pages"))
+    return nodes.where("tag = 'a' AND element_at(sigs, -2) = 'li'").select("page_id", "link")
+
+
+@query("SELECT c_custkey, sha256(c_name) AS h FROM customer")
+def hashed_values(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", F.sha2("c_name", 256).alias("h"))

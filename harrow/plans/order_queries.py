@@ -273,7 +273,7 @@ def facts(spark, sf_dir):
 
 
 @query(
-    "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'https://' || 'brand' || s_suppkey || '.com' END AS website, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'info@brand' || s_suppkey || '.com' END AS company_email FROM supplier"
+    "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'https://' || 'brand' || s_suppkey || '.com' END AS website, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'info@brand' || s_suppkey || '.com' END AS company_email, CASE WHEN s_suppkey % 3 > 0 THEN 'Anna Meier' END AS person, CASE WHEN s_suppkey % 3 > 0 THEN 'medium' END AS confidence, CASE WHEN s_suppkey % 3 = 0 THEN 'website,people' ELSE '' END AS needs FROM supplier"
 )
 def lookup_companies(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
@@ -282,7 +282,8 @@ def lookup_companies(spark, sf_dir):
     html = F.concat(F.lit("<html><head><title>"), name, F.lit("</title></head><body><p>Managing Director: Anna Meier</p><p>info@brand"), "s_suppkey", F.lit(".com</p></body></html>"))
     host = F.when(F.col("s_suppkey") % 3 == 0, "shop").otherwise("brand")  # a third have their page elsewhere, where nobody looks
     pages = s.select(F.col("s_suppkey").alias("page_id"), F.concat(F.lit("https://"), host, "s_suppkey", F.lit(".com/imprint")).alias("url"), html.alias("html"))
-    return C.lookup_companies(companies, pages).select("id", "website", "company_email")
+    first = F.get("people", 0)
+    return C.lookup_companies(companies, pages).select("id", "website", "company_email", first["name"].alias("person"), first["confidence"].alias("confidence"), F.array_join("needs", ",").alias("needs"))
 
 
 @query("SELECT doc_id AS page_id, 0 AS line_no, 'Anna Meier' AS name, 'owner' AS role, 'Founder' AS role_raw, 'high' AS confidence FROM documents")
