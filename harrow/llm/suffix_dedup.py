@@ -39,7 +39,7 @@ MANY = 4096  # contexts of an anchor in a bucket
 SPLIT = 24  # offsets, of a range that such an anchor's contexts are cut into
 NO_ID = -(1 << 63)
 TOGETHER = 16384  # contexts merged side by side
-CHUNK = 32_000_000  # bytes of contexts that a shard transforms at once
+GATHER, CHUNK = 24_000_000, 6_000_000  # bytes of contexts that a task gathers before it passes them on, and that a shard transforms at once
 _A, _B, _MIX = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
 
 
@@ -120,7 +120,7 @@ def contexts(docs: DataFrame, suspected: bloom.Filter, length: int) -> DataFrame
         for doc_id, text_hash, data, (name, place, first, last) in _each(batches, suspected, length):
             for n, p, a, b in zip(name.tolist(), place.tolist(), first.tolist(), last.tolist(), strict=True):
                 kept.add(n, p - a, data[a : b + length], (doc_id, text_hash, a))
-            if kept.held > CHUNK:
+            if kept.held > GATHER:
                 yield from kept.out()
         yield from kept.out()
 
@@ -141,7 +141,7 @@ def narrowed(rows: DataFrame, length: int, width: int, level: int) -> DataFrame:
                     core = data[left - width * i : left - width * i - width + 1 + length]
                     name = xxhash.xxh3_64_intdigest(core, seed=(key ^ (i * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF)
                     kept.add(name, high - width * i, data[left - high : left - low + length], (owners + [0, 0, left - high]).ravel().tolist())
-                if kept.held > CHUNK:
+                if kept.held > GATHER:
                     yield from kept.out()
         yield from kept.out()
 
@@ -150,7 +150,7 @@ def narrowed(rows: DataFrame, length: int, width: int, level: int) -> DataFrame:
 
 def partition(cls: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     """The stable order by class (in order already) and then symbol; only classes out of order are touched."""
-    perm = np.arange(len(cls))
+    perm = np.arange(len(cls), dtype=np.int32)
     falls = np.nonzero((symbol[1:] < symbol[:-1]) & (cls[1:] == cls[:-1]))[0]
     if len(falls):
         touched = np.zeros(int(cls[-1]) + 1, bool)
@@ -180,10 +180,12 @@ def transform(key: np.ndarray, left: np.ndarray, data: list[bytes], length: int)
     key, left, size, anchor = key[order], left[order], size[order], (np.cumsum(size) - size + left)[order]
     reach, cls = size - left, classes(key)
     words = -(-length // 8)
-    at = anchor[:, None] + np.arange(8 * words)
-    right = np.where(np.arange(8 * words) < reach[:, None], np.append(flat, np.uint8(0))[np.minimum(at, len(flat))] + np.uint8(1), np.uint8(0))  # 0 is the end; UTF-8 has no byte 255
-    right = np.ascontiguousarray(right).view(">u8").astype(np.uint64)
-    row = np.arange(len(key))
+    right, padded = np.empty((len(key), words), np.uint64), np.append(flat + np.uint8(1), np.zeros(8 * words, np.uint8))  # 0 is the end; UTF-8 has no byte 255
+    for a in range(0, len(key), 2048):
+        some = slice(a, a + 2048)
+        own = padded[anchor[some, None] + np.arange(8 * words)] * (np.arange(8 * words) < reach[some, None])
+        right[some] = own.view(">u8")
+    row = np.arange(len(key), dtype=np.int32)
     columns: tuple[list, list, list, list] = [], [], [], []
     for j in range(words - 1, -1, -1):
         symbol = right[row, j]
@@ -199,7 +201,7 @@ def transform(key: np.ndarray, left: np.ndarray, data: list[bytes], length: int)
         columns[3].append(row)
         perm = partition(cls, symbol)
         row, cls = row[perm], classes(cls, symbol[perm])
-    joined = [np.concatenate([np.zeros(0, kind), *x]) for x, kind in zip(columns, (np.uint64, np.int64, np.uint8, np.int64), strict=True)]
+    joined = [np.concatenate([np.zeros(0, kind), *x]) for x, kind in zip(columns, (np.uint64, np.int32, np.uint8, np.int32), strict=True)]
     return order, reach, *joined
 
 
@@ -223,6 +225,7 @@ def transformed(rows: DataFrame, length: int, log2_buckets: int) -> DataFrame:
                 where = cls[owner]
                 by = np.argsort(where.astype(np.uint16) if len(names) < 65536 else where, kind="stable")
                 cut.append((values[by], np.searchsorted(where[by], np.arange(len(names) + 1))))
+                del where, by
             ends = np.append(starts, len(key))
             piece = lambda x, i: x[ends[i] : ends[i + 1]].tobytes()
             lefts, reaches = (left * 2 + several).astype(np.int16), reach.astype(np.int16)
