@@ -33,7 +33,7 @@ BUCKETS = 1 << 16
 SWITCH, CLIP, NEVER = 6.0, 4.0, -1e6
 UND = "und"
 LEAST_SHARE = 0.005  # of a language's letters, for a script to count as one of its own
-SLICE, TOGETHER = 500_000, 12_000_000  # code points featured at once, and labelled at once, with up to FEW states
+SLICE, TOGETHER = 250_000, 3_000_000  # code points featured at once, and labelled at once, with up to FEW states
 FEW = 5  # with more states both shrink, so that words times states stay the same
 HELD = 400  # dense counts that a task holds before it passes them on
 # First code points of script ranges and the script that begins there.
