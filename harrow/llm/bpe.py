@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from harrow.llm.shared import documents, sha256_hex, text_or_empty, tidy
 
 CACHE_WORDS = 200_000
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 LONG = 1024  # bytes; words beyond it are stepped one by one
 NONE = np.int64(1) << np.int64(62)
 # First and last code points that newer Unicode tables than the library's (16.0) make letters or numbers; to the library they are neither.
@@ -50,10 +50,12 @@ CAPITALS = [
     (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
 ]
 _SMALL = {c: small + c - a for a, b, small in CAPITALS for c in range(a, b + 1)}
-_CAPITAL = regex.compile("[" + "".join(map(chr, _SMALL)) + "]")
 # Fixed value: how the vocabulary's words are found in normalised text.
-_LETTER, _NUMBER, _NEWER = r"\p{L}", r"\p{N}", "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER)
-WORDS = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}--[{_NEWER}]]+|[{_NUMBER}--[{_NEWER}]]|[^\s[[{_LETTER}{_NUMBER}]--[{_NEWER}]]]+")
+_START, _LETTER, _NUMBER, _NEWER = r"'s|'t|'re|'ve|'m|'ll|'d|", r"\p{L}", r"\p{N}", "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER)
+WORDS = regex.compile(rf"{_START}[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
+#: The same for texts with a code point that RARE finds.
+ALL_WORDS = regex.compile(rf"(?V1){_START}[{_LETTER}--[{_NEWER}]]+|[{_NUMBER}--[{_NEWER}]]|[^\s[[{_LETTER}{_NUMBER}]--[{_NEWER}]]]+")
+RARE = regex.compile(f"[{_NEWER}{''.join(map(chr, _SMALL))}]")
 
 
 def byte_letters() -> list[str]:
@@ -220,7 +222,7 @@ def words_of(text: str) -> list[str]:
     if text.isascii():
         return WORDS.findall(text.lower())
     text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # letter by letter: no final sigma
-    return WORDS.findall(text.translate(_SMALL) if _CAPITAL.search(text) else text)
+    return ALL_WORDS.findall(text.translate(_SMALL)) if RARE.search(text) else WORDS.findall(text)
 
 
 class Encoder:
