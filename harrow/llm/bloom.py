@@ -91,7 +91,7 @@ def held(data: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
 
 def _collected(spark, merged: DataFrame, bits: int, column: str) -> Filter:
     data = np.zeros(1 << bits >> 3, np.uint8)
-    for row in merged.toLocalIterator():  # at most MAX_BITS in all, segment by segment
+    for row in merged.collect():  # one job for all partitions; at most MAX_BITS in all
         start = row["segment"] << SEGMENT >> 3
         data[start : start + (1 << SEGMENT >> 3)] = _unpack(row[column])
     return Filter(spark, bits, data)
