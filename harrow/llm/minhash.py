@@ -11,7 +11,7 @@ how many samples differ, precisely so where texts are similar.
    joined to its smallest member as it is: that costs candidates, which step 3 looks at, and no links.
 3. The full sets of each candidate group meet and links are confirmed exactly, again down to a forest: a member is compared with all
    others unless they are known to be connected, so that no link between different groups of members is missed. A group of more
-   than GROUP_ROWS members is spread over tasks: in rounds, some of its members, the pivots, are sent to all of its blocks and compared with
+   than GROUP_ROWS members or GROUP_SHINGLES shingles is spread over tasks: in rounds, some of its members, the pivots, are sent to all of its blocks and compared with
    each member there. Pivots come from outside the group's largest component so far, so that a group whose members are alike is settled
    by a few; the rounds end when all members outside have been pivots. Of two members that are apart one has then been
    compared with all. A round sends each block its pivots and no pairs of members.
@@ -31,7 +31,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from harrow.llm import bloom
@@ -43,9 +43,9 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 BITS = 512  # of an odd sketch
 MARGIN = 0.2  # over six standard deviations of the sketch's estimate at a similarity of 0.8
-BUCKET_ROWS = 4096
-GROUP_ROWS = 256  # members of a group in a task
-PIVOTS, MOST_PIVOTS = 8, 512  # a round has four times the pivots of the one before, up to so many
+BUCKET_ROWS = 512
+GROUP_ROWS, GROUP_SHINGLES, GROUP_BLOCK = 4096, 4_000_000, 256  # members and shingles of a group in a task, and members of a block of a larger group
+PIVOTS, MORE, MOST_PIVOTS = 32, 8, 2048  # a round has so many times the pivots of the one before, up to a bound
 _PRIME = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _RANDOM = np.random.default_rng(20240229)
@@ -159,15 +159,6 @@ def by_sets(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.n
     return forest_of(ids, connect(len(ids), index.sizes, lambda i: index.linked(sets[i])))
 
 
-def by_pivots(ids: np.ndarray, sets: list[np.ndarray], pivot_ids: np.ndarray, pivots: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Exact links between each of some members and each pivot, as a forest."""
-    index = SetIndex(sets, percent)
-    found = [index.linked(p) for p in pivots]
-    which = np.repeat(np.arange(len(pivots)), [len(x) for x in found])
-    lab = cc.labels(len(pivots) + len(ids), which, len(pivots) + np.concatenate(found))
-    return forest_of(np.concatenate([pivot_ids, ids]), lab)
-
-
 def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """The groups of a partition that is sorted by keys, each whole."""
     rest: list[pd.DataFrame] = []
@@ -250,7 +241,8 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     big = written(found.groupBy("key").agg(F.count("*").alias("rows"), F.min("id").alias("b")).where(F.col("rows") > BUCKET_ROWS).select("key", "b"), "big")
     stars = found.join(big, "key").select(F.col("id").alias("a"), "b").where("a <> b").distinct()
     small = found.join(big, "key", "left_anti").select("key", "id", "n", "sketch")
-    return small.repartition("key").sortWithinPartitions("key").mapInPandas(tidy(compare), cc.EDGE).union(stars)
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # little data and much work: not to be put together by its size
+    return small.repartition(parts, "key").sortWithinPartitions("key").mapInPandas(tidy(compare), cc.EDGE).union(stars)
 
 
 def confirmed(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
@@ -272,8 +264,8 @@ def confirmed(docs: DataFrame, members: DataFrame, width: int, percent: int) ->
                 a, b = by_sets(g["id"].to_numpy(), [np.frombuffer(x, np.uint64) for x in g["shingles"]], percent)
                 yield pd.DataFrame({"a": a, "b": b})
 
-    big = full.groupBy("component_id").agg(F.count("*").alias("rows")).where(F.col("rows") > GROUP_ROWS)
-    big = written(big.select("component_id", F.ceil(F.col("rows") / GROUP_ROWS).alias("blocks")), "big")
+    big = full.groupBy("component_id").agg(F.count("*").alias("rows"), F.sum("n").alias("size")).where((F.col("rows") > GROUP_ROWS) | (F.col("size") > GROUP_SHINGLES))
+    big = written(big.select("component_id", F.ceil(F.col("rows") / GROUP_BLOCK).alias("blocks")), "big")
     if not big.count():
         return full.repartition("component_id").sortWithinPartitions("component_id").mapInPandas(tidy(compare), cc.EDGE)
     small = full.join(big, "component_id", "left_anti")
@@ -282,37 +274,55 @@ def confirmed(docs: DataFrame, members: DataFrame, width: int, percent: int) ->
 
 def spread(members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of large groups, as a forest. members: (id, shingles, component_id, blocks)."""
-    members = members.select("component_id", "id", "shingles", "blocks", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).alias("block"))
-    members = written(members.repartition("component_id", "block"), "spread")
-    state = written(members.select("component_id", "id").distinct().withColumns({"label": F.col("id"), "asked": F.lit(False)}), "state")
-    most = PIVOTS
+    group = ["component_id", "block"]
+    members = written(members.select("component_id", "id", "shingles", "blocks", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).alias("block")), "spread")
+    state = members.select("component_id", "id").distinct().withColumns({"label": F.col("id"), "asked": F.lit(False)})
+    most, turn = PIVOTS, 0
 
     def compare(batches):
-        for g in groups(batches, ["component_id", "block"]):
+        for g in groups(batches, group):
             pivot = g["pivot"].to_numpy(bool)
             if pivot.any() and not pivot.all():
-                ids, sets = g["id"].to_numpy(), np.array([np.frombuffer(x, np.uint64) for x in g["shingles"]] + [None], object)[:-1]
-                a, b = by_pivots(ids[~pivot], list(sets[~pivot]), ids[pivot], list(sets[pivot]), percent)
-                yield pd.DataFrame({"a": a, "b": b})
+                ids, sets = g["id"].to_numpy(), [np.frombuffer(x, np.uint64) for x in g["shingles"]]
+                index = SetIndex([sets[i] for i in np.nonzero(~pivot)[0]], percent)
+                own, label = ids[~pivot], g["label"].to_numpy()[~pivot]
+                for i in np.nonzero(pivot)[0].tolist():
+                    hit = index.linked(sets[i])
+                    hit = hit[own[hit] != ids[i]]
+                    if len(hit):
+                        yield pd.DataFrame({"component_id": g["component_id"].iloc[0], "label": np.unique(label[hit]), "pivot": ids[i]})
+
+    def joined(g: pd.DataFrame) -> pd.DataFrame:
+        """The pivots of a group (some thousands at most), joined where one label is linked with both; every pivot's own label is among its links."""
+        names, at = np.unique(g[["pivot", "other"]].to_numpy(np.int64), return_inverse=True)
+        at = at.reshape(-1, 2)
+        lab = cc.labels(len(names), at[:, 0], at[:, 1])
+        return pd.DataFrame({"component_id": g["component_id"].iloc[0], "pivot": names, "root": names[lab]})
 
     while True:
         sizes = state.groupBy("component_id", "label").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("component_id").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
-        outside = written(state.join(largest, "component_id").where("label <> largest AND NOT asked").select("component_id", "id", F.xxhash64("id", F.lit(most)).alias("h")), "outside")
-        counts = outside.groupBy("component_id").agg(F.count("*").alias("n"), F.min("h").alias("first"))
-        drawn = F.col("n").cast("double") * F.pmod("h", F.lit(1 << 30)) < F.lit(float(most << 30))
-        pivots = written(outside.join(counts, "component_id").where(drawn | (F.col("h") == F.col("first"))).select("id"), "pivots")
-        if not pivots.count():
+        largest = sizes.groupBy("component_id").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), (F.sum("n") - F.max("n")).alias("others"))
+        left = Observation()
+        outside = state.join(largest, "component_id").where("label <> largest AND NOT asked").observe(left, F.count("*").alias("n"))
+        drawn = F.col("others").cast("double") * F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 30)) < F.lit(float(most << 30))
+        pivots = written(outside.where(drawn).select("id", F.col("label").alias("own")), "pivots")
+        if not left.get["n"]:
             return state.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
-        sent = members.join(pivots, "id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        columns = ["component_id", "block", "id", "shingles"]
-        both = members.select(*columns, F.lit(False).alias("pivot")).union(sent.select(*columns, F.lit(True)))
-        links = both.repartition("component_id", "block").sortWithinPartitions("component_id", "block").mapInPandas(tidy(compare), cc.EDGE)
-        known = state.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
-        labels = cc.components(links.union(known)).withColumnRenamed("component_id", "now")
-        after = state.join(labels, "id", "left").join(pivots.withColumn("hit", F.lit(True)), "id", "left")
+        labelled = members.join(state.select("id", "label"), "id")
+        sent = members.join(pivots.select("id"), "id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        both = labelled.select(*group, "id", "shingles", "label", F.lit(False).alias("pivot")).union(sent.select(*group, "id", "shingles", F.col("id"), F.lit(True)))
+        dealt = both.repartition(*group).sortWithinPartitions(*group)
+        links = written(dealt.mapInPandas(tidy(compare), "component_id long, label long, pivot long"), "links")
+        own = members.select("component_id", "id").distinct().join(pivots, "id").select("component_id", F.col("own").alias("label"), F.col("id").alias("pivot"))
+        links = links.union(own).distinct()
+        first = links.groupBy("component_id", "label").agg(F.min("pivot").alias("other"))
+        roots = links.join(first, ["component_id", "label"]).select("component_id", "pivot", "other").distinct().groupBy("component_id").applyInPandas(joined, "component_id long, pivot long, root long")
+        merged = first.join(roots, (first["component_id"] == roots["component_id"]) & (F.col("other") == F.col("pivot"))).select(first["component_id"], "label", "root")
+        least = merged.groupBy("component_id", "root").agg(F.min("label").alias("now"))
+        renamed = merged.join(least, ["component_id", "root"]).select("component_id", "label", "now")
+        after = state.join(renamed, ["component_id", "label"], "left").join(pivots.select("id", F.lit(True).alias("hit")), "id", "left")
         state = written(after.select("component_id", "id", F.coalesce("now", "label").alias("label"), (F.col("asked") | F.coalesce("hit", F.lit(False))).alias("asked")), "state")
-        most = min(4 * most, MOST_PIVOTS)
+        most, turn = min(MORE * most, MOST_PIVOTS), turn + 1
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = SIMILARITY) -> DataFrame:
