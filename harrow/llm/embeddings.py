@@ -189,7 +189,8 @@ def _blocks(vectors: DataFrame, axes: np.ndarray, eps: float, rows: int, block:
 
     keys = [f"c{i}" for i in range(k)]
     placed = vectors.mapInPandas(tidy(place), f"id long, n long, v array<{element}>, " + ", ".join(f"{c} long" for c in keys))
-    ordered = placed.repartitionByRange(max(1, -(-rows // block)), *keys, "id").sortWithinPartitions(*keys, "id")
+    number_of = max(1, -(-rows // block))
+    ordered = placed.repartitionByRange(number_of, *keys, "id").sortWithinPartitions(*keys, "id").coalesce(number_of)  # neighbours together, wherever a session makes more parts
 
     def cut(batches):
         part, number = TaskContext.get().partitionId(), 0
