@@ -36,6 +36,8 @@ def near_texts(seed=1, n=160):
 def test_minhash_against_brute_force(spark, monkeypatch, width, bucket, block):
     monkeypatch.setattr(minhash, "BUCKET_ROWS", bucket)  # small, so that buckets become stars and groups are spread over blocks
     monkeypatch.setattr(minhash, "GROUP_ROWS", block)
+    monkeypatch.setattr(minhash, "GROUP_BLOCK", block)
+    monkeypatch.setattr(minhash, "MORE", 3)
     monkeypatch.setattr(minhash, "PIVOTS", 2)
     texts = near_texts()
 
