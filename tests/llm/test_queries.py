@@ -15,4 +15,4 @@ def test_query(spark, name):
 
 
 def test_numbers():
-    assert {int(n[2:].split("_")[0]) for n in registry.QUERIES if n.startswith("op")} == set(range(1, 11)) and "pipeline" in registry.QUERIES
+    assert {int(n[2:].split("_")[0]) for n in registry.QUERIES if n.startswith("op")} == set(range(1, 14)) and "pipeline" in registry.QUERIES
