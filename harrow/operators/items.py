@@ -90,7 +90,7 @@ def item_page(nodes: DataFrame, most: int = 12) -> DataFrame:
     """(page_id, kind, name, entries): what an item page offers. list: repeating elements, by signature, without tables that describe one thing and without lists that
     only lay labelled cards out; card: labelled cards that are no such list; single: fields outside of all of these, with 1 entry."""
     leaves = pages.list_leaves(nodes)
-    lists = pages.best_lists(pages.list_columns(leaves), most).select("page_id", "parent", "sig", "items")
+    lists = pages.best_lists(pages.list_candidates(nodes), pages.list_columns(leaves), most).select("page_id", "parent", "sig", "items")
     own = pages.in_items(nodes).where("item = node").select("page_id", "parent", "sig", F.col("node"), "last").join(lists, ["page_id", "parent", "sig"])
     cards = labelled_cards(nodes)
     listed = cards.join(own.select("page_id", "node").distinct().withColumn("_in", F.lit(True)), ["page_id", "node"], "left")

@@ -6,6 +6,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -266,18 +267,25 @@ ITEM = ["page_id", "parent", "sig", "items", "chrome", "item", "item_ord"]
 
 
 def in_items(nodes: DataFrame, least: int = 3) -> DataFrame:
-    """nodes once for each list item that they are or lie in, at any depth, with the list (parent, sig, items, chrome), the item and its number, and their path of
-    signatures from the item down. Read off each element's own chain: one pass, no join."""
+    """nodes once for each list item that they are or lie in, at any depth, with the list (parent, sig, items, chrome), the item and its number, and their path from
+    the item down: signatures, with the place of steps that repeat, but not of the last, whose repeats are one field (cells of a table are fields of their own).
+    Read off each element's own chain: one pass, no join."""
     levels = F.filter(F.sequence(F.lit(1), F.size("chain")), lambda i: F.element_at("items", i) >= least)
     at = lambda c: F.element_at(c, F.col("_i"))
     each = nodes.withColumnsRenamed({"parent": "own_parent", "sig": "own_sig", "chrome": "own_chrome"}).withColumn("_i", F.explode(levels))
+    below = F.slice(F.arrays_zip("sigs", "items", "ords"), F.col("_i") + 1, F.size("sigs"))
+
+    def step(x: Column, k: Column) -> Column:
+        apart = (x["items"] > 1) & ((k < F.size("sigs") - F.col("_i") - 1) | x["sigs"].rlike(r"^t[dh](?![a-z0-9])"))
+        return F.concat(F.lit(">"), x["sigs"], F.when(apart, F.concat(F.lit(":"), x["ords"])).otherwise(""))
+
     list_of = {
         "parent": F.when(F.col("_i") > 1, F.element_at("chain", F.greatest(F.col("_i") - 1, F.lit(1)))).otherwise(-1),
         "sig": at("sigs"),
         "item": at("chain"),
         "item_ord": at("ords"),
         "chrome": F.coalesce(F.col("chrome_depth") < F.col("_i"), F.lit(False)),
-        "path": F.array_join(F.transform(F.slice("sigs", F.col("_i") + 1, F.size("sigs")), lambda x: F.concat(F.lit(">"), x)), ""),
+        "path": F.array_join(F.transform(below, step), ""),
     }
     return each.withColumns(list_of).withColumn("items", at("items"))
 
@@ -288,22 +296,124 @@ def list_leaves(nodes: DataFrame, least: int = 3) -> DataFrame:
     return in_items(nodes.where(F.size(attrs) > 0), least).select(*ITEM, "node", "path", F.explode(attrs).alias("x")).select(*ITEM, "node", "path", "x.attr", "x.value")
 
 
-def list_columns(leaves: DataFrame) -> DataFrame:
-    """(page_id, parent, sig, path, attr, items, chrome, first, hits, fill, sample, constant): the columns of each list, by path and attribute. The first value of an item
-    counts; a column needs a quarter of the items, and two. Of columns with the same cells the first stays (by a sum of hashes, not the cells)."""
-    key = ["page_id", "parent", "sig", "path", "attr"]
-    first = leaves.groupBy(*key, "item_ord").agg(F.min_by("value", "node").alias("value"), F.min("node").alias("node"), F.min("item").alias("item"), F.max("items").alias("items"), F.max("chrome").alias("chrome"))
+LIST, COLUMN = ["page_id", "parent", "sig"], ["page_id", "parent", "sig", "path", "attr"]
+
+
+def list_cells(leaves: DataFrame) -> DataFrame:
+    """(page_id, parent, sig, path, attr, item_ord, value, multi, node, item, items, chrome): a cell for each item and column. All values that an item repeats stand in it,
+    in the page's order, with a comma between."""
+    each = leaves.groupBy(*COLUMN, "item_ord").agg(F.array_sort(F.collect_list(F.struct("node", "value"))).alias("_v"), F.min("item").alias("item"), F.max("items").alias("items"), F.max("chrome").alias("chrome"))
+    values = F.array_join(F.transform("_v", lambda x: x["value"]), ", ")
+    return each.select(*COLUMN, "item_ord", values.alias("value"), (F.size("_v") > 1).alias("multi"), F.get("_v", 0)["node"].alias("node"), "item", "items", "chrome")
+
+
+LABEL_END = r"[:：]\s*$"
+
+
+def cell_columns(cells: DataFrame) -> DataFrame:
+    """(page_id, parent, sig, path, attr, items, chrome, first, hits, fill, sample, multi, label, label_strong, place): the columns of each list. A column needs a quarter of the
+    items, and two. A text that is the same in every item is a label: it names the next text among the three columns after it and goes. Of columns with the same cells the first
+    stays (by a sum of hashes, not the cells)."""
     prints = F.sum(F.xxhash64("item_ord", "value").cast("decimal(38,0)")).alias("_print")
-    stats = first.groupBy(*key).agg(F.max("items").alias("items"), F.max("chrome").alias("chrome"), F.min("item").alias("first"), F.count("*").alias("hits"), F.min_by("value", "item_ord").alias("sample"), (F.min("value") == F.max("value")).alias("constant"), F.min("node").alias("node"), prints)
-    kept = stats.where(F.col("hits") >= F.greatest(F.lit(2), F.ceil(F.col("items") * 0.25)))
-    out = kept.withColumn("_r", F.row_number().over(Window.partitionBy("page_id", "parent", "sig", "attr", "_print").orderBy("node", "path"))).where("_r = 1")
-    return out.where(~is_junk("sample")).select(*key, "items", "chrome", "first", "hits", (F.col("hits") / F.col("items")).alias("fill"), "sample", ((F.col("items") > 2) & F.col("constant")).alias("constant"))
-
-
-def best_lists(columns: DataFrame, most: int = 8) -> DataFrame:
-    """(page_id, parent, sig, items, columns, score, rank): candidate lists by what they hold: entries (by their logarithm) times columns, weighted by fill, less in
-    navigation. Areas and visibility on screen don't count, for there is no screen."""
-    joined = columns.groupBy("page_id", "parent", "sig").agg(F.count("*").alias("columns"), F.avg("fill").alias("fill"), F.max("items").alias("items"), F.max("chrome").alias("chrome"), F.min("first").alias("first"))
-    score = F.log2(F.col("items") + 1) * F.sqrt(F.col("columns").cast("double")) * F.col("fill") * F.when(F.col("chrome"), 0.2).otherwise(1.0)
-    ranked = joined.withColumn("score", score).withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "first")))
-    return ranked.where(F.col("rank") <= most).select("page_id", "parent", "sig", "items", "columns", "score", "rank")
+    same = (F.col("items") > 2) & (F.col("hits") == F.col("items")) & F.col("_same") & (F.col("attr") == "own")
+    stats = cells.groupBy(*COLUMN).agg(F.max("items").alias("items"), F.max("chrome").alias("chrome"), F.min("item").alias("first"), F.count("*").alias("hits"), F.min_by("value", "item_ord").alias("sample"), (F.min("value") == F.max("value")).alias("_same"), F.max("multi").alias("multi"), F.min("node").alias("node"), prints)
+    kept = stats.where(F.col("hits") >= F.greatest(F.lit(2), F.ceil(F.col("items") * 0.25))).withColumn("_const", same)
+    order = Window.partitionBy(*LIST).orderBy("node", F.col("attr") == "own", "path")  # an element's address comes before its text
+    placed = kept.withColumn("place", F.row_number().over(order))
+    before = F.last(F.when(F.col("attr") == "own", F.struct("_const", "sample", "place")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    name = F.regexp_replace("_before.sample", LABEL_END, "")
+    names = (F.col("attr") == "own") & F.col("_before._const") & (F.col("place") - F.col("_before.place") <= 3) & (F.length(name) <= 30)
+    named = placed.withColumn("_before", before).withColumns({"label": F.when(names, name), "label_strong": F.when(names, F.col("_before.sample").rlike(LABEL_END))}).where(~F.col("_const"))
+    out = named.withColumn("_r", F.row_number().over(Window.partitionBy(*LIST, "attr", "_print").orderBy("place"))).where("_r = 1")
+    return out.where(~is_junk("sample")).select(*COLUMN, "items", "chrome", "first", "hits", (F.col("hits") / F.col("items")).alias("fill"), "sample", "multi", "label", "label_strong", "place")
+
+
+def list_columns(leaves: DataFrame) -> DataFrame:
+    return cell_columns(list_cells(leaves))
+
+
+def made_lists(cells: DataFrame, columns: DataFrame) -> DataFrame:
+    """columns with items, hits and fill of the items that hold something: an item whose main columns (the first six filled by half, texts unless there are three or fewer; else
+    the texts; else all) are all empty is a slot, not a row. A list without any row that holds something stays as it is. cells and columns: as by list_cells and cell_columns."""
+    text = F.col("attr") == "own"
+    whole, order = Window.partitionBy(*LIST), Window.partitionBy(*LIST, "_main").orderBy("place")
+    marked = columns.withColumn("_main", (F.col("fill") >= 0.5) & (text | (F.count("*").over(whole) <= 3))).withColumn("_rank", F.row_number().over(order))
+    marked = marked.withColumns({"_any": F.max("_main").over(whole), "_text": F.max(text).over(whole)})
+    main = F.when(F.col("_any"), F.col("_main") & (F.col("_rank") <= 6)).when(F.col("_text"), text).otherwise(True)
+    own = cells.select(*COLUMN, "item_ord", "value").join(marked.select(*COLUMN, main.alias("_checked")), COLUMN).where(F.length(F.trim("value")) > 0)
+    rows = own.groupBy(*LIST, "item_ord").agg(F.max("_checked").alias("_kept"), F.collect_list(F.struct("path", "attr")).alias("_cells"))
+    counts = rows.where("_kept").select(*LIST, F.explode("_cells").alias("x")).groupBy(*LIST, "x.path", "x.attr").agg(F.count("*").alias("_hits"))
+    sizes = rows.where("_kept").groupBy(*LIST).agg(F.count("*").cast("int").alias("_items"))
+    joined = columns.join(sizes, LIST, "left").join(counts, COLUMN, "left")
+    hits = F.when(F.col("_items").isNull(), F.col("hits")).otherwise(F.coalesce("_hits", F.lit(0)))
+    items = F.coalesce("_items", "items")
+    return joined.withColumns({"hits": hits, "fill": hits / items, "items": items}).select(columns.columns)
+
+
+#: What makes a list: an item's text counts up to so much, its leaves up to so many, of so many items at most; small texts with few leaves are menus.
+TEXT_MOST, LEAVES_MOST, SAMPLED, MENU_LEAVES, MENU_TEXT = 400, 30, 25, 2, 25
+IN_CHROME, IN_MENU = 0.15, 0.35
+SUBLIST = 8  # a list inside one item of a better one is offered from so many entries on
+
+
+def list_candidates(nodes: DataFrame) -> DataFrame:
+    """(page_id, parent, sig, items, spans, text, weight, score) of siblings that look like records: how long their texts are and how many texts and links they hold, less in
+    navigation and for menus. spans: first and last element of each item."""
+    size = F.when(F.col("own") != "", F.length("own") + 1).otherwise(0)
+    leaves = F.when(F.col("own").rlike(r"[\p{L}\p{N}]"), 1).otherwise(0) + F.when(F.col("link").isNotNull(), 1).otherwise(0)
+    each = in_items(nodes).groupBy(*LIST, "item_ord", "item").agg(F.max(F.when(F.col("node") == F.col("item"), F.col("last"))).alias("last"), F.greatest(F.sum(size) - 1, F.lit(0)).alias("_text"), F.sum(leaves).alias("_leaves"), F.max("chrome").alias("chrome"))
+    early = lambda x: F.avg(F.when(F.col("item_ord") <= SAMPLED, x))
+    lists = each.groupBy(*LIST).agg(
+        F.count("*").cast("int").alias("items"), F.array_sort(F.collect_list(F.struct(F.col("item").alias("first"), "last"))).alias("spans"),
+        early(F.least("_text", F.lit(TEXT_MOST))).alias("text"), early(F.least("_leaves", F.lit(LEAVES_MOST))).alias("_leaves"), F.max("chrome").alias("chrome"),
+    )
+    menu = (F.col("_leaves") <= MENU_LEAVES) & (F.col("text") < MENU_TEXT)
+    weight = F.when(F.col("chrome"), IN_CHROME).otherwise(1.0) * F.when(menu, IN_MENU).otherwise(1.0)
+    told = lists.where((F.col("text") >= 2) | (F.col("_leaves") >= 1)).withColumn("weight", weight)
+    score = F.pow("items", F.lit(0.6)) * F.log(F.col("text") + 3) * F.least("_leaves", F.lit(12.0)) * F.col("weight")
+    return told.select(*LIST, "items", "spans", "text", "weight", score.alias("score"))
+
+
+def outermost(spans: list[np.ndarray], parents: list[int], most: int) -> list[int]:
+    """Which lists of a page stay, best first: not those whose items lie in, or around, those of a better one of the same length, nor short ones inside one item of a better one.
+    Items of a list are apart and ascend, so that the item around an element is found by bisection."""
+    chosen: list[int] = []
+    for i, own in enumerate(spans):
+        for k in chosen:
+            other = spans[k]
+            if len(other) != len(own):
+                at = np.searchsorted(other[:, 0], parents[i], side="right") - 1
+                if at >= 0 and other[at, 1] >= parents[i] and len(own) < SUBLIST:
+                    break
+            elif (((other[:, 0] <= own[:, 0]) & (own[:, 1] <= other[:, 1])) | ((own[:, 0] <= other[:, 0]) & (other[:, 1] <= own[:, 1]))).all():
+                break
+        else:
+            chosen.append(i)
+            if len(chosen) == most:
+                break
+    return chosen
+
+
+def best_lists(candidates: DataFrame, columns: DataFrame, most: int = 8) -> DataFrame:
+    """(page_id, parent, sig, items, columns, score, rank): the lists that a page offers, each once, with a text column at least; by entries, length of text and, now that they are
+    known, columns. Areas and visibility on screen don't count, for there is no screen. candidates: as by list_candidates; columns: as by list_columns or made_lists."""
+
+    # one row for each page, with its lists in order
+    order = F.struct((-F.round("score", 9)).alias("_by"), *LIST[1:], "text", "weight", F.transform("spans", lambda x: x["first"]).alias("_first"), F.transform("spans", lambda x: x["last"]).alias("_last"))
+    pages = candidates.groupBy("page_id").agg(F.array_sort(F.collect_list(order)).alias("_lists"))
+    pages = pages.select("page_id", *[F.col(f"_lists.{c}").alias(c) for c in ("parent", "_first", "_last")], F.col("_lists").alias("_lists"))
+
+    def choose(batches):
+        for batch in batches:
+            picks = []
+            for parents, firsts, lasts in zip(batch["parent"], batch["_first"], batch["_last"], strict=True):
+                picks.append(outermost([np.stack([a, b], 1) for a, b in zip(firsts, lasts, strict=True)], list(parents), most))
+            yield pd.DataFrame({"page_id": batch["page_id"], "picks": picks})
+
+    kinds = dict(candidates.dtypes)
+    picked = pages.drop("_lists").mapInPandas(choose, f"page_id {kinds['page_id']}, picks array<int>")
+    kept = pages.select("page_id", "_lists").join(picked, "page_id").select("page_id", F.explode(F.transform("picks", lambda i: F.get("_lists", i))).alias("x")).select("page_id", "x.parent", "x.sig", "x.text", "x.weight")
+    known = columns.groupBy(*LIST).agg(F.count("*").alias("columns"), F.max("items").alias("items"), F.min("first").alias("first"), F.max(F.col("attr") == "own").alias("_text")).where("_text")
+    score = F.pow("items", F.lit(0.6)) * F.log(F.col("text") + 3) * F.pow("columns", F.lit(0.8)) * F.col("weight")
+    ranked = kept.join(known, LIST).withColumn("score", score).withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc(F.round("score", 9)), "first")))
+    return ranked.select(*LIST, "items", "columns", "score", "rank")

@@ -246,7 +246,8 @@ def list_columns(spark, sf_dir):
 
 @query()
 def best_lists(spark, sf_dir):
-    return H.best_lists(H.list_columns(H.list_leaves(H.elements(table(spark, sf_dir, "pages")))))
+    nodes = H.elements(table(spark, sf_dir, "pages"))
+    return H.best_lists(H.list_candidates(nodes), H.list_columns(H.list_leaves(nodes)))
 
 
 @query(

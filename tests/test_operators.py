@@ -129,7 +129,7 @@ def test_page_lists(spark):
     assert sorted((r["sig"], r["items"], r["chrome"]) for r in lists.collect()) == [("div.card", 3, False), ("li", 3, True)]
     columns = H.list_columns(H.list_leaves(nodes))
     assert {(r["path"], r["attr"], r["hits"]) for r in columns.where("sig = 'div.card'").collect()} == {(">h2", "own", 3), (">b", "own", 2)}
-    assert H.best_lists(columns).where("rank = 1").first()["sig"] == "div.card"
+    assert H.best_lists(H.list_candidates(nodes), columns).where("rank = 1").first()["sig"] == "div.card"
 
 
 def test_csv_and_json_parts(spark, tmp_path):
@@ -265,22 +265,79 @@ def test_diverse_pages_against_plain_greedy(spark):
         assert [p for _, p in sorted(got[sample])] == picks
 
 
-def test_best_lists_against_their_columns(spark):
+def plain_best_lists(nodes, columns, most=8):
+    """The lists of one page: rows of pages.elements and of pages.list_columns."""
     import math
 
-    from harrow.operators import pages as H
-
-    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
-    columns = H.list_columns(H.list_leaves(H.elements(pages)))
-    lists = {}
+    groups = {}
+    for r in nodes:
+        if r["items"][-1] >= 3:
+            groups.setdefault((r["parent"], r["sig"]), []).append(r)
+    found = []
+    for (parent, sig), items in groups.items():
+        texts, leaves = [], []
+        for it in items[:25]:
+            own = [r for r in nodes if it["node"] <= r["node"] <= it["last"]]
+            texts.append(min(400, max(0, sum(len(r["own"]) + 1 for r in own if r["own"]) - 1)))
+            leaves.append(min(30, sum(any(c.isalnum() for c in r["own"]) for r in own) + sum(r["link"] is not None for r in own)))
+        text, leaf = sum(texts) / len(texts), sum(leaves) / len(leaves)
+        if text < 2 and leaf < 1:
+            continue
+        weight = (0.15 if items[0]["chrome"] else 1) * (0.35 if leaf <= 2 and text < 25 else 1)
+        score = len(items) ** 0.6 * math.log(text + 3) * min(leaf, 12) * weight
+        found.append((-round(score, 9), parent, sig, [(i["node"], i["last"]) for i in items], text, weight))
+    chosen = []
+    inside = lambda a, b: b[0] <= a[0] and a[1] <= b[1]
+    for c in sorted(found):
+        for k in chosen:
+            if len(k[3]) != len(c[3]):
+                if any(a <= c[1] <= b for a, b in k[3]) and len(c[3]) < 8:
+                    break
+            elif all(inside(x, y) or inside(y, x) for x, y in zip(c[3], k[3], strict=True)):
+                break
+        else:
+            chosen.append(c)
+    out = []
+    for c in chosen[:most]:
+        own = [r for r in columns if (r["parent"], r["sig"]) == (c[1], c[2])]
+        if any(r["attr"] == "own" for r in own):
+            score = own[0]["items"] ** 0.6 * math.log(c[4] + 3) * len(own) ** 0.8 * c[5]
+            out.append((-round(score, 9), min(r["first"] for r in own), c[1], c[2]))
+    return [(x[2], x[3]) for x in sorted(out)]
+
+
+def test_best_lists_against_a_plain_version(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html")
+    cards = "".join(f"<div class='a'><div class='b'><h3>Entry number {i}</h3><ul>{''.join(f'<li>tag {i}-{j}</li>' for j in range(i))}</ul><p>x <i>{i}</i></p></div></div>" for i in range(12))
+    grids = "".join(f"<section>{''.join(f'<article><h2>Title {i} of {s}</h2><p>Text of it</p></article>' for i in range(s))}</section>" for s in (3, 4, 5))
+    pages = pages.union(spark.createDataFrame([(10_001, "https://x.org/", f"<body>{cards}{grids}</body>"), (10_002, None, None)], "page_id long, url string, html string"))
+    nodes = H.elements(pages)
+    columns = H.list_columns(H.list_leaves(nodes))
+    by_page, known, got = {}, {}, {}
+    for r in nodes.orderBy("page_id", "node").collect():
+        by_page.setdefault(r["page_id"], []).append(r)
     for r in columns.collect():
-        lists.setdefault((r["page_id"], r["parent"], r["sig"]), []).append(r)
-    scored = {}
-    for (page, parent, sig), own in lists.items():
-        fill = sum(r["fill"] for r in own) / len(own)
-        score = math.log2(own[0]["items"] + 1) * math.sqrt(len(own)) * fill * (0.2 if own[0]["chrome"] else 1)
-        scored.setdefault(page, []).append((-round(score, 9), min(r["first"] for r in own), parent, sig))
-    got = {}
-    for r in H.best_lists(columns).orderBy("rank").collect():
+        known.setdefault(r["page_id"], []).append(r)
+    for r in H.best_lists(H.list_candidates(nodes), columns).orderBy("page_id", "rank").collect():
         got.setdefault(r["page_id"], []).append((r["parent"], r["sig"]))
-    assert got == {p: [(x[2], x[3]) for x in sorted(s)[:8]] for p, s in scored.items()}
+    want = {p: plain_best_lists(own, known.get(p, [])) for p, own in by_page.items()}
+    assert got == {p: x for p, x in want.items() if x} and len(got[10_001]) >= 4
+
+
+def test_list_cells_hold_all_repeats(spark):
+    body = "".join(f"<div class='c'><b>{x}</b>{''.join(f'<span>{x}{j}</span>' for j in range(n))}<em>Hall:</em><i>h{x}</i></div>" for x, n in (("a", 0), ("b", 1), ("c", 3), ("d", 2)))
+    table = "<table>" + "".join(f"<tr><td>{i}a</td><td>{i}b</td></tr>" for i in range(3)) + "</table>"
+    leaves = H.list_leaves(H.elements(spark.createDataFrame([(1, "", body + table)], "page_id long, url string, html string")))
+    cells = H.list_cells(leaves)
+    assert {(r["item_ord"], r["value"]) for r in cells.where("path = '>span'").collect()} == {(2, "b0"), (3, "c0, c1, c2"), (4, "d0, d1")}
+    columns = {r["path"]: r for r in H.cell_columns(cells).where("sig = 'div.c' OR sig = 'tr'").collect()}
+    assert set(columns) == {">b", ">span", ">i", ">td:1", ">td:2"}  # the label is gone, cells of a table stay apart
+    assert (columns[">i"]["label"], columns[">i"]["label_strong"], columns[">b"]["label"]) == ("Hall", True, None) and columns[">span"]["multi"]
+
+
+def test_slots_without_text_are_no_rows(spark):
+    body = "".join(f"<div class='c'><a href='/{i}'></a><b>{'' if i % 2 else f'n{i}'}</b><i>{'' if i % 2 else f'v{i}'}</i><u>{'' if i != 2 else 'only'}</u></div>" for i in range(8))
+    cells = H.list_cells(H.list_leaves(H.elements(spark.createDataFrame([(1, "https://x.org", body)], "page_id long, url string, html string"))))
+    columns = H.cell_columns(cells)
+    assert {(r["path"], r["items"], r["hits"]) for r in columns.collect()} == {(">a", 8, 8), (">b", 8, 4), (">i", 8, 4)}
+    assert {(r["path"], r["items"], r["hits"], r["fill"]) for r in H.made_lists(cells, columns.where("path <> '>a'")).collect()} == {(">b", 4, 4, 1.0), (">i", 4, 4, 1.0)}
