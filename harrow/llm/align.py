@@ -6,6 +6,9 @@ divide and conquer: an interval of tokens takes the A end nearest its middle tha
 is cut there, and both halves go on alike; an interval without such an end is a leaf, a group. The intervals of all texts of
 a block step together, as numpy arrays.
 
+Encoding is the libraries' own. Both split a text at single spaces between visible characters whatever stands around them, if the
+vocabularies are of that kind (checked), so that the parts between are encoded once and kept by a worker, KEPT_PARTS at most.
+
 Two tokens are linked where their byte ranges overlap. Links are summed by id pair in each block of texts, blocks by shuffle,
 and the sums come back to the blocks that hold a pair: a pair is sent once for each block, not for each text, and the largest
 count of each B id is a table no longer than B's vocabulary. Blocks are bounded by BLOCK_CHARS or one text.
@@ -17,8 +20,11 @@ for the text, which is dropped, and those named like the ones added, which they
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,8 +37,14 @@ from pyspark.sql import types as T
 from harrow.llm.bpe import byte_letters, slices
 from harrow.llm.shared import documents, tidy, with_fields, written
 
-BLOCK_CHARS = 4_000_000
-ENCODE_CHARS = 1_000_000
+BLOCK_CHARS = 2_000_000
+KEPT_PARTS = 400_000
+JOINED = 256  # parts encoded as one text
+CALLED = 64  # such texts in one call of a library
+#: A space that no vocabulary split at spaces joins with what is before it. Left out at its sides is all that counts as white space, or as nothing, in any version of Unicode, and the sign that stands for a space.
+_VISIBLE = "[!-~\u00a1-\u167f\u1681-\u180d\u180f-\u1fff\u2010-\u2027\u2030-\u205e\u2070-\u2580\u2582-\u2fff\u3001-\ud7ff\uf900-\ufdff]"
+SPACE = re.compile(f"(?<={_VISIBLE}) (?={_VISIBLE})")
+_EDGES = re.compile(f"{_VISIBLE}(.*{_VISIBLE})?", re.S)
 ADDED = {"n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "groups": "string"}
 INNER = {"_block": "long", "_is_block": "boolean", "_pairs": "array<long>", "_times": "array<long>"}
 
@@ -62,6 +74,12 @@ class ByteLevel:
             out[i] = b"".join(byte.get(x) or x.encode("utf-8") for x in token)
         return out
 
+    @cached_property
+    def splits(self) -> bool:
+        """Whether words with the space before them are encoded on their own."""
+        spec = json.loads(self.raw)
+        return spec["normalizer"] is None and spec["pre_tokenizer"]["type"] == "ByteLevel" and spec["pre_tokenizer"].get("use_regex", True)
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Of the texts with a space before them."""
         return [x.ids for x in self.library.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
@@ -89,6 +107,12 @@ class Pieces:
         pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         return [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace("▁", " ").encode("utf-8") for i, p in enumerate(pieces)]
 
+    @cached_property
+    def splits(self) -> bool:
+        """Whether no piece goes on over a space into the next word."""
+        sp = self.library
+        return not any(re.search("[^▁]▁", sp.id_to_piece(i)) for i in range(sp.get_piece_size()))
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.library.encode(texts, num_threads=1) if texts else []
 
@@ -142,23 +166,58 @@ class Aligner:
         self.n_b = n_b
         self.words = pa.array([f"{i},".encode() for i in range(n_a)] + [f"{i}|".encode() for i in range(n_a)] + [f"{i},".encode() for i in range(n_b)] + [f"{i};".encode() for i in range(n_b)], pa.binary())
         self.offset = (0, n_a, 2 * n_a, 2 * n_a + n_b)
+        self.splits = a.splits and b.splits
+        self.fresh()
+
+    def fresh(self) -> None:
+        self.at: dict[str, int] = {}
+        self.flat = [np.zeros(0, np.int32) for _ in self.sides]
+        self.size = [np.zeros(0, np.int64) for _ in self.sides]
+        self.start = [np.zeros(0, np.int64) for _ in self.sides]
+
+    def learn(self, parts: list[str]) -> None:
+        """Encodes parts not met before. Many that can stand between single spaces go as one text, whose tokens are told apart by their bytes; a text whose tokens spell something else goes part by part."""
+        edges = [bool(self.splits and _EDGES.fullmatch(p)) for p in parts]
+        parts = [p for p, e in zip(parts, edges, strict=True) if e] + [p for p, e in zip(parts, edges, strict=True) if not e]
+        n = sum(edges)
+        groups = [parts[i : min(n, i + JOINED)] for i in range(0, n, JOINED)]
+        ends = [np.cumsum([len(p.encode("utf-8")) + 1 for p in g]) for g in groups]
+        for k, side in enumerate(self.sides):
+            ids, sizes = [self.flat[k]], []
+            for i in range(0, len(groups), CALLED):
+                for own, g, end in zip(side.encode([" ".join(g) for g in groups[i : i + CALLED]]), groups[i : i + CALLED], ends[i : i + CALLED], strict=True):
+                    own = np.array(own, np.int32)
+                    done = np.cumsum(self.lens[k][own])
+                    at = np.searchsorted(done, end)
+                    if done[-1] != end[-1] or (done[at] != end).any():
+                        apart = side.encode(g)
+                        own, at = np.array([*chain.from_iterable(apart)], np.int32), np.cumsum([len(x) for x in apart]) - 1
+                    ids.append(own)
+                    sizes.append(np.diff(np.concatenate([[-1], at])))
+            for i in range(n, len(parts), JOINED):
+                apart = side.encode(parts[i : i + JOINED])
+                ids.append(np.array([*chain.from_iterable(apart)], np.int32))
+                sizes.append(np.array([len(x) for x in apart], np.int64))
+            size = np.concatenate([np.zeros(0, np.int64), *sizes])
+            self.start[k] = np.concatenate([self.start[k], len(self.flat[k]) + np.cumsum(size) - size])
+            self.size[k], self.flat[k] = np.concatenate([self.size[k], size]), np.concatenate(ids)
+        self.at.update(zip(parts, range(len(self.at), len(self.at) + len(parts)), strict=True))
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, pa.Array]]:
         """Of each side all ids, how many each text has, and the tokens' bytes."""
+        if len(self.at) > KEPT_PARTS:
+            self.fresh()
+        split = [SPACE.split(t) for t in texts] if self.splits else [[t] for t in texts]
+        self.learn(list(set(chain.from_iterable(split)) - self.at.keys()))
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        part = np.fromiter(map(self.at.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        bounds = np.concatenate([[0], np.cumsum(counts)])
         out = []
-        for side, names in zip(self.sides, self.names, strict=True):
-            ids, counts, start = [], [], 0
-            while start < len(texts):
-                end, chars = start, 0
-                while end < len(texts) and (end == start or chars + len(texts[end]) <= ENCODE_CHARS):
-                    chars += len(texts[end])
-                    end += 1
-                for own in side.encode(texts[start:end]):
-                    ids.append(np.array(own, np.int32))
-                    counts.append(len(own))
-                start = end
-            flat = np.concatenate([np.zeros(0, np.int32), *ids])
-            out.append((flat, np.array(counts, np.int64), names.take(pa.array(flat))))
+        for flat, start, size, names in zip(self.flat, self.start, self.size, self.names, strict=True):
+            own = size[part]
+            ends = np.cumsum(own)
+            ids = flat[np.arange(int(own.sum())) + np.repeat(start[part] - ends + own, own)]
+            out.append((ids, np.diff(np.concatenate([[0], ends])[bounds]), names.take(pa.array(ids))))
         return out
 
     def align(self, texts: list[str | None]) -> dict:
@@ -210,6 +269,20 @@ class Aligner:
         return out | {"text": good[text], "pair": pair, "times": np.diff(np.concatenate([start, [len(every)]]))}
 
 
+class Sides:
+    """Both tokenizers, and the aligner that a worker keeps for its tasks with the parts that it has met."""
+
+    def __init__(self, a: ByteLevel, b: Pieces):
+        self.pair = (a, b)
+
+    @cached_property
+    def aligner(self) -> Aligner:
+        return Aligner(*self.pair)
+
+    def __getstate__(self):
+        return {"pair": self.pair}
+
+
 def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFrame:
     """docs without text, with n_a, n_b, n_groups, n_links and groups (`a1,a2|b1;a3|b2,b3`: ids of A and of B) added.
 
@@ -219,11 +292,11 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -> Data
     docs = docs.select(*kept, F.col(text).alias("_text"))
     schema = with_fields(docs.select(kept).schema, **ADDED)
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema] + [T.StructField(c, T._parse_datatype_string(kind) if kind.startswith("array") else T.StructType.fromDDL(f"x {kind}")["x"].dataType) for c, kind in INNER.items()])
-    sides = docs.sparkSession.sparkContext.broadcast((ByteLevel(a_path), Pieces(b_path)))
+    sides = docs.sparkSession.sparkContext.broadcast(Sides(ByteLevel(a_path), Pieces(b_path)))
     added = [*ADDED]
 
     def run(batches):
-        aligner, block = Aligner(*sides.value), TaskContext.get().partitionId() << 33
+        aligner, block = sides.value.aligner, TaskContext.get().partitionId() << 33
         longs = lambda x: pa.array(x, pa.int64())
         lists = lambda bounds, x: pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), longs(x))
         for whole in batches:
