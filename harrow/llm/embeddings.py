@@ -32,7 +32,7 @@ from harrow.llm.shared import tidy, written
 COSINE = 0.95
 GRID, LEADING = 4, 16  # dimensions that order the vectors, and that bound blocks
 BLOCK, TILE = 8192, 512
-FEW = 1024  # vectors of a length up to which it is one group
+FEW = 256  # vectors of a length up to which its grid order is one task's, with those of other such lengths
 DENSE = 0.02  # share of a tile in doubt from which all of it is computed in double precision
 
 
@@ -62,11 +62,20 @@ def principal(vectors: DataFrame, size: int, most: int = LEADING) -> np.ndarray:
     rows = vectors.select("v").mapInPandas(tidy(sums), "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
     total = np.zeros((size + 1) ** 2)
     total[rows["at"]] = rows["x"]
-    total = total.reshape(size + 1, size + 1)
+    return axes_of(total.reshape(size + 1, size + 1), most)
+
+
+def axes_of(total: np.ndarray, most: int = LEADING) -> np.ndarray:
+    """The leading principal directions, as columns, from the sums of products of vectors with a one at their end."""
     n = max(total[-1, -1], 1)
     mean = total[-1, :-1] / n
     _, axes = np.linalg.eigh(total[:-1, :-1] / n - np.outer(mean, mean))
-    return np.ascontiguousarray(axes[:, ::-1][:, : min(most, size)])
+    return np.ascontiguousarray(axes[:, ::-1][:, :most])
+
+
+def grid_cells(u: np.ndarray, axes: np.ndarray, eps: float) -> np.ndarray:
+    """The cell of each unit vector on the first dimensions, by which they are put in order."""
+    return np.floor((u @ axes[:, :GRID]) / eps).astype(np.int64)
 
 
 def gap2(a: np.ndarray, b: np.ndarray) -> float:
@@ -184,7 +193,7 @@ def _blocks(vectors: DataFrame, axes: np.ndarray, eps: float, rows: int, block:
     def place(batches):
         for batch in batches:
             if len(batch):
-                cells = np.floor((unit(np.stack(batch["v"].to_numpy())) @ axes[:, :k]) / eps).astype(np.int64)
+                cells = grid_cells(unit(np.stack(batch["v"].to_numpy())), axes, eps)
                 yield batch[["id", "n", "v"]].assign(**{f"c{i}": cells[:, i] for i in range(k)})
 
     keys = [f"c{i}" for i in range(k)]
@@ -254,11 +263,15 @@ def near_links(vectors: DataFrame, size: int, rows: int, cosine: float = COSINE,
 
 
 def few_links(vectors: DataFrame, cosine: float) -> DataFrame:
-    """As near_links, for lengths that have few vectors each: a length is one block, however many lengths there are. vectors (size, id, n, v)."""
+    """As near_links, for lengths that have few vectors each: a length's grid order, on its own principal dimensions, is one block, however many lengths there are. vectors (size, id, n, v)."""
+    eps = float(np.sqrt(max(2 - 2 * cosine, 1e-12)))
 
     def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         u = unit(np.stack(g["v"].to_numpy()))
-        return _links(PairJoin(cosine), g["id"].to_numpy(np.int64), Ordered(u, g["n"].to_numpy(np.int64), np.eye(key[0])[:, :LEADING]), None)
+        x = np.concatenate([u, np.ones((len(u), 1))], axis=1)
+        axes, ids = axes_of(x.T @ x), g["id"].to_numpy(np.int64)
+        order = np.lexsort((ids, *grid_cells(u, axes, eps).T[::-1]))
+        return _links(PairJoin(cosine), ids[order], Ordered(u[order], g["n"].to_numpy(np.int64)[order], axes), None)
 
     return vectors.groupBy("size").applyInPandas(one, LINK)
 

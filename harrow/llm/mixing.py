@@ -1,7 +1,7 @@
 """Mixing sources to target weights: iterative proportional fitting, then sampling by the calibrated probabilities.
 
 Documents fall into cells of source, language and topic. A cell's tokens are its words. Raking gives every source, language and
-topic a factor, fitted in turn until the shares of tokens are their targets within TOLERANCE (or for ROUNDS rounds); a document is
+topic a factor, fitted in turn until the shares of tokens are their targets within TOLERANCE; a document is
 then kept with a probability in proportion to the product of its three factors, decided by a hash of its id. Documents are
 read twice, for the cells and for the sample, and never shuffled as long as the factors can be broadcast: only one row a cell and
 task is. A fit is a join of the cells with tables of factors and a grouped sum with partial sums, so that neither many
@@ -12,7 +12,10 @@ BROADCAST_ROWS rows (some MB), else joined by Spark's choice.
 
 Targets: by default, sources, languages and topics move toward equal shares by the power TEMPERING of their own share; given
 targets are shares by name, and names without one share what the others leave in proportion to their own.
-Topics: by default the shape of the text, for documents carry none; topic_of takes any other Column.
+Targets that no sample can meet, as they contradict each other on the cells there are, are noticed by a difference that stays (or
+ROUNDS rounds): given ones raise ValueError, as do names that no document has and shares that don't add up; the default ones are
+then met as far as the last round goes, and mix_gap says how far off the worst marginal is.
+Topics: documents carry none, so that the default is only the shape of the text; a corpus with topics passes its own as topic_of, any Column.
 The sample's size: the largest that the probabilities allow (the largest of a cell is 1), unless rate says less.
 
 Defined results: null source, language or topic are values of their own (named ""). A text without words has no tokens; it is kept with the
@@ -30,6 +33,7 @@ from harrow.llm.shared import documents, fresh, written
 DIMENSIONS = ("source", "lang", "topic")
 TEMPERING = 0.9
 ROUNDS, TOLERANCE = 50, 1e-4
+STALLED = 0.99  # of the difference before it: two rounds that gain no more end the fit
 BROADCAST_ROWS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
@@ -67,8 +71,8 @@ def targets_for(shares: DataFrame, targets: dict[str, dict[str, float]]) -> Data
     return weighed.join(F.broadcast(wholes), "dimension").select("dimension", "value", F.coalesce("named", rest).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame, float]:
-    """(source, f_source) and (lang, topic, f_lang, f_topic), marked to be broadcast if small, and the largest product of three factors among cells.
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame, float, float]:
+    """(source, f_source) and (lang, topic, f_lang, f_topic), marked to be broadcast if small, the largest product of three factors among cells, and the largest difference left.
     cells: written (source, lang, topic, tokens). A round sums the cells, scaled by their sources' factors, to languages and topics, fits those two, and
     fits the sources by another sum. It ends when no marginal was off its target by more than tolerance, or after so many rounds."""
     cells = cells.where("tokens > 0")
@@ -81,13 +85,16 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
     number = lambda d: sizes[d]["n"] if sizes else 0
     few, pairs = number("source"), number("lang") * number("topic")
     goals = written(targets_for(sums.select("dimension", "value", (F.col("tokens") / F.lit(total)).alias("own")), targets or {}), "targets")
+    if sizes:
+        check(targets or {}, sums, goals)
     goal = {d: goals.where(F.col("dimension") == d).select(F.col("value").alias(d), F.col("target").alias(f"target_{d}")) for d in DIMENSIONS}
     share = F.col("tokens") / F.lit(total)
     source = goal["source"].withColumn("f_source", F.lit(1.0))
     both = cells.select("lang", "topic").distinct().withColumns({"f_lang": F.lit(1.0), "f_topic": F.lit(1.0)})
     by = {d: Window.partitionBy(d) for d in ("lang", "topic")}  # over one row a pair of language and topic
     off = lambda rest, d: F.abs(rest * F.col(f"f_{d}") - F.col(f"target_{d}"))
-    for _ in range(rounds):
+    gap, gaps = 0.0, []
+    for _ in range(rounds if sizes else 0):
         seen, grouped = [Observation(), Observation()], cells.join(small(source, few), "source").groupBy("lang", "topic").agg(F.sum(share * F.col("f_source")).alias("s"))
         fit = grouped.join(small(both, pairs), ["lang", "topic"]).join(small(goal["lang"], number("lang")), "lang").join(small(goal["topic"], number("topic")), "topic")
         fit = fit.withColumn("rest", F.sum(F.col("s") * F.col("f_topic")).over(by["lang"])).withColumns({"off_lang": off(F.col("rest"), "lang"), "f_lang": F.col("target_lang") / F.col("rest")})
@@ -96,20 +103,38 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
         rest = cells.join(small(both, pairs), ["lang", "topic"]).groupBy("source").agg(F.sum(share * F.col("f_lang") * F.col("f_topic")).alias("rest"))
         fit = rest.join(small(source, few), "source").withColumn("off", off(F.col("rest"), "source"))
         source = written(fit.observe(seen[1], F.max("off").alias("off")).select("source", "target_source", (F.col("target_source") / F.col("rest")).alias("f_source")), "factors")
-        if max(x.get["off"] or 0.0 for x in seen) <= tolerance:
+        gap = max(x.get["off"] or 0.0 for x in seen)
+        gaps.append(gap)
+        if gap <= tolerance or len(gaps) > 2 and gap > STALLED * gaps[-2] > STALLED**2 * gaps[-3]:
             break
+    if targets and gap > tolerance:
+        raise ValueError(f"no sample of these documents has the shares asked for: after {len(gaps)} rounds one is off by {gap:.4f}")
     source, both = small(source.select("source", "f_source"), few), small(both, pairs)
     most = cells.join(source, "source").join(both, ["lang", "topic"]).agg(F.max(F.col("f_source") * F.col("f_lang") * F.col("f_topic"))).first()[0]
-    return source, both, most or 1.0
+    return source, both, most or 1.0, gap
+
+
+def check(targets: dict[str, dict[str, float]], sums: DataFrame, goals: DataFrame) -> None:
+    """Raises where targets are no shares of the values there are."""
+    for d, some in targets.items():
+        if d not in DIMENSIONS or any(not 0 < x <= 1 for x in some.values()) or sum(some.values()) > 1 + 1e-9:
+            raise ValueError(f"targets of {d} are no shares: {some}")
+        found = {r["value"] for r in sums.where((F.col("dimension") == d) & F.col("value").isin(list(some))).select("value").collect()}  # of the names given
+        if missing := sorted(set(some) - found):
+            raise ValueError(f"no document has {d} {missing}")
+    for r in goals.groupBy("dimension").agg(F.sum("target").alias("whole")).collect():  # three rows
+        if abs(r["whole"] - 1) > 1e-6:
+            raise ValueError(f"targets of {r['dimension']} add up to {r['whole']:.6f}, and no other value is left")
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rate: float | None = None, seed: str = SEED, topic_of: Column | None = None) -> DataFrame:
-    """The documents kept, with their cell (mix_source, mix_lang, mix_topic) and probability (mix_p) added. topic_of: a document's topic, if not by its shape."""
-    docs = docs.drop("mix_source", "mix_lang", "mix_topic", "mix_p")
+    """The documents kept, with their cell (mix_source, mix_lang, mix_topic), probability (mix_p) and what the fit is off by at most (mix_gap) added. topic_of: a document's topic, if not
+    by its shape."""
+    docs = docs.drop("mix_source", "mix_lang", "mix_topic", "mix_p", "mix_gap")
     out, names = placed(docs, topic_of)
     tokens = F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("double")).alias("tokens")
     cells = written(out.groupBy(*[F.col(n).alias(d) for n, d in zip(names, DIMENSIONS, strict=True)]).agg(tokens), "cells")
-    source, both, most = rake(cells, targets)
+    source, both, most, gap = rake(cells, targets)
     product = fresh(out, "_mix_p" + "_" * max(map(len, out.columns)))
     source = source.toDF(f"{product}_source", f"{product}_fs")  # names that begin with product are the input's in no case
     both = both.toDF(f"{product}_lang", f"{product}_topic", f"{product}_fl", f"{product}_ft")
@@ -117,7 +142,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rat
     out = out.join(both, (F.col(names[1]) == F.col(f"{product}_lang")) & (F.col(names[2]) == F.col(f"{product}_topic")), "left")
     p = F.least(F.lit(1.0), F.coalesce(F.col(f"{product}_fs") * F.col(f"{product}_fl") * F.col(f"{product}_ft") / F.lit(most), F.lit(1.0))) * F.lit(1.0 if rate is None else float(rate))
     kept = out.withColumn(product, p).where(uniform(F.col("doc_id"), seed) < F.col(product))
-    return kept.select(*docs.columns, *[F.col(n).alias(f"mix_{d}") for n, d in zip(names, DIMENSIONS, strict=True)], F.col(product).alias("mix_p"))
+    return kept.select(*docs.columns, *[F.col(n).alias(f"mix_{d}") for n, d in zip(names, DIMENSIONS, strict=True)], F.col(product).alias("mix_p"), F.lit(gap).alias("mix_gap"))
 
 
 def op7_mixing(spark, sf_dir) -> DataFrame:

@@ -130,15 +130,17 @@ def _ibans(text: str):
 def spans_of(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) in the order of KINDS, then start."""
     found = [("email", m.start(), m.end()) for m in _emails(text)]
-    if re.search("[0-9]", text):
+    digits = re.search("[0-9]", text)  # kinds that have one
+    if digits:
         found += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))]
         cards = [(m.start(), m.end(), digits_of(m[0])) for m in CARD.finditer(text)]
         cards = [x for x in cards if 13 <= len(x[2]) <= 19]
         found += [("card", a, b) for a, b, d in cards if luhn(d)]
         found += [("phone", m.start(), m.end()) for m in PHONE.finditer(text) if 9 <= len(digits_of(m[0])) <= 15]
         found += [("iban", a, b) for a, b in _ibans(text)]
-        keys = [(m.start(), m.end()) for m in ACCESS_KEY.finditer(text)]
-        found += [("access_key", a, b) for a, b in keys]
+    keys = [(m.start(), m.end()) for m in ACCESS_KEY.finditer(text)]
+    found += [("access_key", a, b) for a, b in keys]
+    if digits:
         found += [("secret", m.start(), m.end()) for m in SECRET.finditer(text) if random_looking(m[0]) and m.span() not in keys]
         found += [("card_like", a, b) for a, b, d in cards if not luhn(d)]
     scored = [(k, a, b, score(k, text, a, b)) for k, a, b in found]

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from harrow.llm import bpe, langid, mixing, pii, quality, url_filter
+from harrow.llm import shared, bpe, langid, mixing, pii, quality, url_filter
 
 SF = "/root/testdata/sf0.01"
 
@@ -155,15 +155,57 @@ def test_more_labels_than_a_byte_holds(spark):
     assert all([s["lang"] for s in r["spans"]] == [r["lang"]] for r in got)
 
 
-def test_mixing(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    cells = mixing.cells_of(docs).groupBy(*[F.col(f"_mix_{d}").alias(d) for d in mixing.DIMENSIONS]).agg(F.sum("_mix_tokens").alias("tokens"))
-    raked = mixing.rake(cells, {"lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}}, rounds=40).cache()
-    got = {r["lang"]: r["w"] for r in raked.groupBy("lang").agg(F.sum("weight").alias("w")).collect()}
-    assert all(abs(got[k] - v) < 1e-3 for k, v in {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}.items())
-    assert raked.agg(F.max("p")).first()[0] == 1.0
+CELLS = "source string, lang string, topic string, tokens double"
+
+
+def weights(cells, source, both):
+    """Each cell's tokens times its three factors."""
+    rows = cells.join(source, "source").join(both, ["lang", "topic"])
+    return [(r, r["tokens"] * r["f_source"] * r["f_lang"] * r["f_topic"]) for r in rows.collect()]
+
+
+def test_raking_to_given_targets(spark):
+    rnd = random.Random(9)
+    cells = [(s, lang, t, float(rnd.randint(1, 1000))) for s in ("a", "b", "") for lang in ("en", "de", "fr") for t in ("x", "y")]
+    targets = {"source": {"a": 0.5}, "lang": {"en": 0.2, "de": 0.3, "fr": 0.5}, "topic": {"y": 0.7, "x": 0.3}}
+    table = shared.written(spark.createDataFrame(cells, CELLS), "cells")
+    source, both, most, gap = mixing.rake(table, targets)
+    got = weights(table, source, both)
+    total = sum(w for _, w in got)
+    assert gap <= mixing.TOLERANCE and most == pytest.approx(max(w / r["tokens"] for r, w in got))
+    own = {s: sum(c[3] for c in cells if c[0] == s) for s in ("b", "")}
+    want = targets | {"source": {"a": 0.5, "b": 0.5 * own["b"] / sum(own.values()), "": 0.5 * own[""] / sum(own.values())}}
+    for d, some in want.items():
+        for name, share in some.items():
+            assert sum(w for r, w in got if r[d] == name) / total == pytest.approx(share, abs=5e-4)
+
+
+@pytest.mark.parametrize(
+    "targets",
+    [{"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.1, "de": 0.9}}, {"source": {"a": 0.7, "b": 0.7}}, {"source": {"nowhere": 0.5}}, {"source": {"a": 0.3, "b": 0.3}}, {"source": {"a": 0.0}}, {"country": {"a": 1.0}}],
+)
+def test_targets_that_cannot_be_met(spark, targets):
+    cells = shared.written(spark.createDataFrame([("a", "en", "x", 5.0), ("b", "de", "x", 5.0)], CELLS), "cells")
+    with pytest.raises(ValueError):
+        mixing.rake(cells, targets)
+
+
+def test_default_targets_that_contradict_each_other_say_so(spark):
+    docs = spark.createDataFrame([(i, *s, "word " * n) for i, (s, n) in enumerate([(("a", "en"), 50), (("b", "en"), 5), (("c", "de"), 20)])], "doc_id long, source string, lang string, text string")
+    rows = mixing.mix(docs).collect()
+    assert rows and all(mixing.TOLERANCE < r["mix_gap"] < 0.2 for r in rows)
+
+
+def test_mixing_samples_by_probability(spark):
+    docs = [(i, "a" if i % 3 else "b", "en", "some words of a text") for i in range(3000)]
+    kept = mixing.mix(spark.createDataFrame(docs, "doc_id long, source string, lang string, text string"), {"source": {"a": 0.5, "b": 0.5}}).collect()
+    by = {s: [r for r in kept if r["source"] == s] for s in "ab"}
+    assert len(by["b"]) == 1000 and abs(len(by["a"]) - 1000) < 100 and {round(r["mix_p"], 3) for r in by["a"]} == {0.5}
+
+
+def test_mixing_edges(spark):
     rows = [(1, "a", "en", "some words"), (1, "a", "en", "some words"), (2, None, None, None), (3, "b", "de", ""), (None, "b", "de", "x")]
-    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").withColumn("mix_p", F.lit("x"))
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").withColumn("mix_p", F.lit("x")).withColumn("Mix_Gap", F.lit("x"))
     kept = mixing.mix(df).collect()
     assert sum(r["doc_id"] == 1 for r in kept) in (0, 2) and all(0 < r["mix_p"] <= 1 for r in kept)
     assert mixing.mix(df.limit(0)).count() == 0
