@@ -11,7 +11,9 @@ how many samples differ, precisely so where texts are similar.
    joined to its smallest member as it is: that costs candidates, which step 3 looks at, and no links.
 3. The full sets of each candidate group meet and links are confirmed exactly, again down to a forest: a member is compared with all
    others unless they are known to be connected, so that no link between different groups of members is missed. A group of more
-   than GROUP_ROWS members or GROUP_SHINGLES shingles is spread over tasks: in rounds, some of its members, the pivots, are sent to all of its blocks and compared with
+   than GROUP_ROWS members or GROUP_SHINGLES shingles is first split by prefixes: linked sets share one of the rarest fifth of either's shingles, in any
+   order of all shingles, here by their frequency in a count sketch; members that share none of these, as texts of one template do, part without their sets
+   being sent. What is still as large is spread over tasks: in rounds, some of its members, the pivots, are sent to all of its blocks and compared with
    each member there. Pivots come from outside the group's largest component so far, so that a group whose members are alike is settled
    by a few; the rounds end when all members outside have been pivots. Of two members that are apart one has then been
    compared with all. A round sends each block its pivots and no pairs of members.
@@ -46,6 +48,7 @@ MARGIN = 0.2  # over six standard deviations of the sketch's estimate at a simil
 BUCKET_ROWS = 512
 GROUP_ROWS, GROUP_SHINGLES, GROUP_BLOCK = 4096, 4_000_000, 256  # members and shingles of a group in a task, and members of a block of a larger group
 PIVOTS, MORE, MOST_PIVOTS = 32, 8, 2048  # a round has so many times the pivots of the one before, up to a bound
+COUNTERS = 22  # as a power of two, of the sketch that tells rare shingles: 32 MB
 _PRIME = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _RANDOM = np.random.default_rng(20240229)
@@ -268,8 +271,58 @@ def confirmed(docs: DataFrame, members: DataFrame, width: int, percent: int) ->
     big = written(big.select("component_id", F.ceil(F.col("rows") / GROUP_BLOCK).alias("blocks")), "big")
     if not big.count():
         return full.repartition("component_id").sortWithinPartitions("component_id").mapInPandas(tidy(compare), cc.EDGE)
-    small = full.join(big, "component_id", "left_anti")
-    return small.repartition("component_id").sortWithinPartitions("component_id").mapInPandas(tidy(compare), cc.EDGE).union(spread(full.join(big, "component_id"), percent))
+    small = full.join(big, "component_id", "left_anti").select("component_id", "id", "shingles")
+    parted = written(by_prefixes(full.join(big.select("component_id"), "component_id").select("component_id", "id", "n", "shingles"), percent), "parted")
+    large = parted.groupBy("component_id").agg(F.count("*").alias("rows"), F.sum("n").alias("size")).where((F.col("rows") > GROUP_ROWS) | (F.col("size") > GROUP_SHINGLES))
+    large = written(large.select("component_id", F.ceil(F.col("rows") / GROUP_BLOCK).alias("blocks")), "large")
+    small = small.union(parted.join(large, "component_id", "left_anti").select("component_id", "id", "shingles"))
+    out = small.repartition("component_id").sortWithinPartitions("component_id").mapInPandas(tidy(compare), cc.EDGE)
+    return out.union(spread(parted.join(large, "component_id"), percent)) if large.count() else out
+
+
+def by_prefixes(members: DataFrame, percent: int) -> DataFrame:
+    """members (component_id, id, n, shingles: written) with groups of their own that share a rare shingle, named by their smallest id; those that share none are left out.
+
+    Of two sets that share so many of their shingles, each has a shared one among the first len - ceil(len percent / 100) + 1 of its own, whatever the order of all shingles is. It is by
+    counters, then by hash. A counter of one shows that no other member has a shingle; the others are shuffled by shingle and group, a row each."""
+    wide = np.uint64(64 - COUNTERS)
+
+    def places(s: np.ndarray) -> np.ndarray:
+        return (mix(s) >> wide).astype(np.int64)
+
+    def count(batches):
+        total = np.zeros(1 << COUNTERS, np.int64)
+        for batch in batches:
+            if len(batch):
+                total += np.bincount(places(np.frombuffer(b"".join(batch["shingles"]), np.uint64)), minlength=len(total))
+        for i, part in enumerate(total.reshape(64, -1)):
+            if part.any():
+                yield pd.DataFrame({"part": [i], "n": [part.tobytes()]})
+
+    def add(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [g["part"].iloc[0]], "n": [sum(np.frombuffer(x, np.int64) for x in g["n"]).tobytes()]})
+
+    counts = np.zeros((64, (1 << COUNTERS) // 64), np.int64)
+    for r in members.select("shingles").mapInPandas(tidy(count), "part int, n binary").groupBy("part").applyInPandas(add, "part int, n binary").collect():  # at most 64 rows, the sketch
+        counts[r["part"]] = np.frombuffer(r["n"], np.int64)
+    known = members.sparkSession.sparkContext.broadcast(counts.ravel())
+
+    def rare(batches):
+        for batch in batches:
+            ids, found = [], []
+            for i, x in zip(batch["id"], batch["shingles"], strict=True):
+                s = np.frombuffer(x, np.uint64)
+                n = known.value[places(s)]
+                first = np.lexsort((s, n))[: len(s) + 1 - -(-len(s) * percent // 100)]
+                shared = s[first[n[first] > 1]]
+                ids.append(np.full(len(shared), i, np.int64))
+                found.append(shared.view(np.int64))
+            yield pd.DataFrame({"id": np.concatenate([np.zeros(0, np.int64), *ids]), "shingle": np.concatenate([np.zeros(0, np.int64), *found])})
+
+    held = written(members.select("id", "shingles").mapInPandas(tidy(rare), "id long, shingle long").join(members.select("id", "component_id"), "id"), "rare")
+    least = held.groupBy("component_id", "shingle").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("component_id", "shingle", "a")
+    stars = held.join(least, ["component_id", "shingle"]).where("id <> a").select(F.col("id").alias("b"), "a").distinct()
+    return members.drop("component_id").join(cc.components(written(stars, "stars")), "id")
 
 
 def spread(members: DataFrame, percent: int) -> DataFrame:
@@ -301,9 +354,10 @@ def spread(members: DataFrame, percent: int) -> DataFrame:
 
     while True:
         sizes = state.groupBy("component_id", "label").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("component_id").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), (F.sum("n") - F.max("n")).alias("others"))
+        largest = sizes.groupBy("component_id").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
         left = Observation()
-        outside = state.join(largest, "component_id").where("label <> largest AND NOT asked").observe(left, F.count("*").alias("n"))
+        open_ = state.join(largest, "component_id").where("label <> largest AND NOT asked")
+        outside = open_.join(open_.groupBy("component_id").agg(F.count("*").alias("others")), "component_id").observe(left, F.count("*").alias("n"))
         drawn = F.col("others").cast("double") * F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 30)) < F.lit(float(most << 30))
         pivots = written(outside.where(drawn).select("id", F.col("label").alias("own")), "pivots")
         if not left.get["n"]:
