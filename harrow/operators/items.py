@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harrow.functions.text import clean, singular, text
-from harrow.functions.web import pattern_from
+from harrow.functions.text import clean, filled, norm, singular, text
+from harrow.functions.web import encode_component, pattern_from, same_site
 from harrow.operators import catalog, pages
 
 # Hooks of page furniture, and of cards that are people.
@@ -178,3 +178,80 @@ def candidate_patterns(sites: DataFrame, words: int = 8) -> DataFrame:
     places = F.array_distinct(F.concat(F.array(F.lit("")), language))
     every = F.flatten(F.transform(chosen, lambda w: F.transform(places, lambda x: F.concat(F.col("origin"), x, F.lit("/"), w, F.lit("/{v}")))))
     return sites.select("*", F.posexplode(every).alias("_ord", "pattern"))
+
+
+SHARE, SITE_SHARE, LINK_FILL = 0.8, 0.8, 0.5  # of different links in a column, of those on the page's own site, and of rows that have one
+ADDRESS_FILL, ADDRESS_SHARE, SLUG_SHARE, SLUG_ROWS = 0.7, 0.9, 0.8, 20  # of rows with an address, of different ones, of values that can stand in one, and of how many rows
+SLUG = r"^[\p{L}\p{N}][\p{L}\p{N}._~%-]{1,150}$"
+
+
+def find_sources(scans: DataFrame, page_cells: DataFrame, feed_cells: DataFrame, pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """(scan, way, column_key, key, pattern): where the pages of a list's rows are, for all scans at once, by the first way there is. column: a column of links to different pages of the site, with the feed field
+    and pattern that make them, if the column has a field; field: a feed field that holds whole addresses; slug: a feed field whose values stand in links of the page, by the pattern that most rows bear out.
+
+    scans (scan, url); page_cells (scan, col_key, col_ord, row, attr, value) and feed_cells (scan, key, key_ord, row, value), a cell each; pairs (scan, col_key, key): fields of columns; links (scan, ord, href),
+    absolute. A scan's values are found in its links by an index of the links' parts, not by trying rows against links."""
+    bare = lambda c: F.split(c, "#")[0]
+    cells = page_cells.where(F.col("attr").isin("link", "href")).join(scans, "scan")
+    held = filled("value")
+    other = held & same_site(F.col("value"), F.col("url")) & (bare(F.col("value")) != bare(F.col("url")))
+    values = cells.groupBy("scan", "col_key", "col_ord", "value").agg(F.count("*").alias("n"), F.max(other).alias("other"), F.min("row").alias("row"))
+    held_n = F.when(held, F.col("n"))
+    columns = values.groupBy("scan", "col_key", "col_ord").agg(F.sum("n").alias("rows"), F.sum(held_n).alias("full"), F.count_if(held).alias("distinct"), F.sum(F.when(F.col("other"), F.col("n"))).alias("same"), F.min_by("value", F.when(held, F.col("row"))).alias("href"))
+    good = columns.where((F.col("distinct") >= SHARE * F.col("full")) & (F.col("same") >= SITE_SHARE * F.col("full")) & (F.col("full") >= LINK_FILL * F.col("rows")))
+    best = good.groupBy("scan").agg(F.min_by(F.struct("col_key", "href"), F.struct(-F.col("full") / F.col("rows"), "col_ord")).alias("x")).select("scan", F.col("x.col_key").alias("col_key"), "x.href")
+    rows = best.join(pairs, ["scan", "col_key"]).join(feed_cells, ["scan", "key"]).where(F.col("href").contains(F.coalesce("value", F.lit("\u0000"))))
+    learned = rows.groupBy("scan", "key").agg(F.min_by("href", "row").alias("href"), F.min_by("value", "row").alias("value")).withColumn("pattern", pattern_from(F.col("href"), F.col("value"))).where("pattern IS NOT NULL")
+    one = lambda df, way, column: df.select("scan", F.lit(way).alias("way"), column.cast("string").alias("column_key"), "key", "pattern")
+    by_column = one(best.join(learned.select("scan", "key", "pattern"), "scan", "left"), "column", F.col("col_key"))
+
+    sizes = feed_cells.groupBy("scan").agg((F.max("row") - F.min("row") + 1).alias("rows"), F.min("row").alias("first"))
+    feed = feed_cells.join(sizes, "scan").join(scans, "scan")
+    whole = F.col("value").rlike("(?i)^https?://") & same_site(F.col("value"), F.col("url"))
+    slug = F.col("value").rlike(SLUG)
+    early = F.col("row") < F.col("first") + SLUG_ROWS
+    fields = feed.groupBy("scan", "key", "key_ord", "rows").agg(F.count_if(held).alias("full"), F.count_distinct(F.when(held, F.col("value"))).alias("distinct"), F.min(F.when(held, whole)).alias("whole"), F.count_if(early & slug).alias("slugs"), F.count_if(early & held).alias("early"), F.count_distinct(F.when(early & held, F.col("value"))).alias("early_distinct"))
+    addresses = fields.where(F.col("whole") & (F.col("full") >= ADDRESS_FILL * F.col("rows")) & (F.col("distinct") >= ADDRESS_SHARE * F.col("full")))
+    by_field = one(addresses.groupBy("scan").agg(F.min_by("key", "key_ord").alias("key")).withColumn("pattern", F.lit("{v}")), "field", F.lit(None))
+
+    sluggish = fields.where((F.col("slugs") >= SLUG_SHARE * F.least("rows", F.lit(SLUG_ROWS))) & (F.col("early_distinct") >= ADDRESS_SHARE * F.col("early")))
+    own = links.join(scans, "scan").where(same_site(F.col("href"), F.col("url")))
+    parts = own.select("scan", "ord", "href", F.explode(F.array_distinct(F.regexp_extract_all("href", F.lit("(?<=[/=])[^/?#&=]+(?=[/?#&]|$)"), F.lit(0)))).alias("part"))
+    known = feed.join(sluggish.select("scan", "key"), ["scan", "key"]).where(slug).select("scan", "key", "key_ord", "row", "value", F.explode(F.array_distinct(F.array("value", encode_component(F.col("value"))))).alias("part"))
+    found = known.join(parts, ["scan", "part"]).withColumn("pattern", pattern_from(F.col("href"), F.col("value"))).where("pattern IS NOT NULL")
+    votes = found.groupBy("scan", "key", "key_ord", "pattern").agg(F.count_distinct("row").alias("votes"), F.min(F.struct("row", "ord")).alias("first"))
+    by_slug = one(votes.groupBy("scan").agg(F.min_by(F.struct("key", "pattern"), F.struct("key_ord", -F.col("votes"), "first")).alias("x")).select("scan", "x.key", "x.pattern"), "slug", F.lit(None))
+
+    every = by_column.unionByName(by_field).unionByName(by_slug)
+    order = F.array_position(F.array(*map(F.lit, ("column", "field", "slug"))), F.col("way"))
+    return every.groupBy("scan").agg(F.min_by(F.struct("way", "column_key", "key", "pattern"), order).alias("x")).select("scan", "x.*")
+
+
+NO_ITEM = "zz-no-such-item-7f3a9"  # Fixed value: an item that no site has
+PROBES, PROBED_KEYS = 28, 4
+
+
+def probes(candidates: DataFrame, keys: DataFrame) -> DataFrame:
+    """(site, key, pattern, probe, value, want, url, fake_url, second_url, second_want): which pages to look at, by key and then by pattern, so many for a site. candidates: as by candidate_patterns (site, _ord, pattern);
+    keys (site, key, key_ord, values, wants): a field's values in the first two rows, and what those rows' pages should say."""
+    usable = keys.where(F.get("values", 0).rlike(SLUG))
+    usable = usable.withColumn("_k", F.row_number().over(Window.partitionBy("site").orderBy("key_ord"))).where(F.col("_k") <= PROBED_KEYS)
+    tried = usable.join(candidates.select("site", "_ord", "pattern"), "site")
+    tried = tried.withColumn("probe", F.row_number().over(Window.partitionBy("site").orderBy("_k", "_ord"))).where(F.col("probe") <= PROBES)
+    at = lambda v: F.replace(F.col("pattern"), F.lit("{v}"), encode_component(v))
+    second = filled(F.get("values", 1)) & filled(F.get("wants", 1))
+    start = lambda i: F.substring(norm(F.get("wants", i)), 1, 40)
+    return tried.select("site", "key", "pattern", "probe", norm(F.get("values", 0)).alias("value"), start(0).alias("want"), at(F.get("values", 0)).alias("url"), at(F.lit(NO_ITEM)).alias("fake_url"), F.when(second, at(F.get("values", 1))).alias("second_url"), F.when(second, start(1)).alias("second_want"))
+
+
+def verified_patterns(probed: DataFrame, captures: DataFrame) -> DataFrame:
+    """(site, key, pattern): of each site the first probe that holds on the captured pages (url, status, html): the first row's page says what it should, the second row's too, and the page of an item that doesn't exist neither
+    says it nor is the same page, as on a site that answers every address alike. What wasn't captured counts as not there."""
+    pages = captures.where((F.col("status") == 200) & filled("html")).groupBy("url").agg(F.min("html").alias("html")).select("url", norm("html").alias("said"))
+    named = lambda url, said: pages.toDF(url, said)
+    says = F.when(F.col("want") != "", F.col("said").contains(F.col("want"))).otherwise(F.col("said").contains(F.col("value")))
+    good = probed.join(named("url", "said"), "url").where(says)
+    alike = ((F.col("want") != "") & F.col("fake").contains(F.col("want"))) | (F.col("fake") == F.col("said"))
+    good = good.join(named("fake_url", "fake"), "fake_url", "left").where(~F.coalesce(alike, F.lit(False))).drop("said", "fake")
+    good = good.join(named("second_url", "other"), "second_url", "left").where(F.col("second_url").isNull() | F.coalesce(F.col("other").contains(F.col("second_want")), F.lit(False)))
+    return good.groupBy("site").agg(F.min_by(F.struct("key", "pattern"), "probe").alias("x")).select("site", "x.key", "x.pattern")

@@ -34,16 +34,25 @@ def column_scores(page: DataFrame, feed: DataFrame, comparable=norm) -> DataFram
 
 def _link_hits(by_value: DataFrame, kept: DataFrame) -> DataFrame:
     """Links that hold a feed value of over three characters after a slash, up to the next slash or question mark or the end, and images that end in one of over
-    eight, its scheme aside. What can be held so is listed for each distinct value and equi-joined; no pairs are tried."""
-    parts, last = F.split("v", "/"), F.size(F.split("v", "/")) - 1
-    run = lambda i, j: F.array_join(F.slice(parts, i + 1, j - i + 1), "/")
-    up_to = lambda i: F.flatten(F.transform(F.sequence(i, last), lambda j: F.array(run(i, j), F.substring_index(run(i, j), "?", 1))))
-    runs = F.when(last > 0, F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), up_to))))
-    links = by_value.where("attr = 'href'").withColumn("part", F.explode(runs)).where(F.length("part") > 3)
-    found = links.join(kept.withColumnRenamed("v", "part"), "part")
-    ends = F.transform(F.sequence(F.lit(1), F.length("v")), lambda i: F.substring(F.col("v"), i, F.length("v")))
-    images = by_value.where("attr = 'src'").withColumn("part", F.explode(ends))
-    seen = images.join(kept.where(F.length("v") > 8).withColumn("part", F.regexp_replace("v", "^https?:", "")).drop("v"), "part")
+    eight, its scheme aside. Only pieces as long as some feed value that begins with a part of a link, or ends like an image, are cut from each distinct value and equi-joined: no
+    pairs are tried, and a long path or address costs no more than its places times those lengths. Images written into the page (data:) end in nothing."""
+    lengths = lambda values, c: F.broadcast(values.agg(F.collect_set(F.length(c)).alias("lengths")))  # noqa: E731  one row, of no more numbers than the longest value has characters
+    links = by_value.where("attr = 'href'")
+    parts = F.regexp_extract_all("v", F.lit(r"(?<=/)(?=([/?]*[^/?]*))"), F.lit(1))
+    known = links.select(F.explode(parts).alias("_part")).distinct()
+    held = kept.where(F.length("v") > 3).withColumn("_part", F.regexp_extract("v", "^([/?]*[^/?]*)", 1)).join(known, "_part", "left_semi").drop("_part")
+    # where parts end: the place of the sign after each, and one past the end
+    ends = lambda pattern: F.aggregate(F.split("v", pattern), F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p) + 1)))
+    slashes, every = F.filter(ends("/"), lambda x: (x > 0) & (x <= F.length("v"))), ends("[/?]")
+    cut = lambda x: F.transform(F.filter(every, lambda e: (e > x + 4) & F.array_contains("lengths", e - x - 1)), lambda e: F.substring(F.col("v"), x + 1, e - x - 1))
+    pieces = links.crossJoin(lengths(held, "v")).withColumn("part", F.explode(F.array_distinct(F.flatten(F.transform(slashes, cut)))))
+    found = pieces.join(held.withColumnRenamed("v", "part"), "part")
+    images = by_value.where("attr = 'src' AND v NOT LIKE 'data:%'")
+    tail = lambda c: F.right(c, F.lit(3))  # noqa: E731  no value of over eight is shorter without its scheme
+    bare = kept.where(F.length("v") > 8).withColumn("part", F.regexp_replace("v", "^https?:", "")).drop("v").withColumn("_tail", tail(F.col("part")))
+    bare = bare.join(images.select(tail(F.col("v")).alias("_tail")).distinct(), "_tail", "left_semi").drop("_tail")
+    suffixes = F.transform(F.filter("lengths", lambda n: n <= F.length("v")), lambda n: F.right(F.col("v"), n))
+    seen = images.crossJoin(lengths(bare, "part")).withColumn("part", F.explode(suffixes)).join(bare, "part")
     columns = ["list_id", "col_key", "col_ord", "feed_id", "key", "key_ord", "v", "n"]
     return found.select(columns).unionByName(seen.select(columns))
 

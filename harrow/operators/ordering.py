@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.functions.text import filled
+from harrow.session import written
 
 
 def distinct_rows(rows: DataFrame, columns: list[str], order: list) -> DataFrame:
@@ -47,20 +50,31 @@ def stop_rule(pages: DataFrame, by: list[str], page_size: Column | None = None,
 
 
 def spread(rows: DataFrame, n: int, order: str) -> DataFrame:
-    """So many rows spread evenly from the first to the last, or all if there are no more. Rows are numbered by sorted partitions with their
-    offsets, so that no task sees all of them."""
-    ordered = rows.orderBy(order).withColumn("_part", F.spark_partition_id())
-    numbered = ordered.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    sizes = numbered.groupBy("_part").agg(F.max("_in").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    offsets = sizes.withColumns({"_before": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_all": F.sum("_n").over(Window.partitionBy())}).drop("_n")
-    placed = numbered.join(F.broadcast(offsets), "_part").withColumn("_at", F.col("_before") + F.col("_in") - 1)
-    spots = rows.sparkSession.range(n).withColumnRenamed("id", "_i").crossJoin(offsets.select("_all").limit(1)) if n > 1 else None
-    if spots is None:
-        return placed.where("_at = 0").select(rows.columns)
-    wanted = spots.where(F.col("_all") > n).select(F.floor(F.col("_i") * (F.col("_all") - 1) / (n - 1) + 0.5).alias("_at")).distinct()
-    everything = placed.where(F.col("_all") <= n)
-    return placed.join(F.broadcast(wanted), "_at").unionByName(everything).select(rows.columns)
+    """So many rows spread evenly from the first to the last, or all if there are no more. Ranges are sorted apart and written with the places of their rows, so that no task sees
+    all of them, and that counting and picking see the same ranges."""
+    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_place", F.monotonically_increasing_id())
+    ranged = written(ranged, "spread")
+    part = F.shiftright("_place", 33)
+    sizes = sorted((r["p"], r["n"]) for r in ranged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # a row for each partition
+    total = sum(size for _, size in sizes)
+    if total <= n:
+        return ranged.select(rows.columns)
+    spots = {math.floor(i * (total - 1) / (n - 1) + 0.5) for i in range(n)} if n > 1 else {0}
+    places, before = [], 0
+    for p, size in sizes:
+        places += [((p << 33) + at - before,) for at in spots if before <= at < before + size]
+        before += size
+    wanted = rows.sparkSession.createDataFrame(places, "_place long")
+    return ranged.join(F.broadcast(wanted), "_place").select(rows.columns)
+
+
+def capped_rows(rows: DataFrame, by: list[str], page: str, pos: str, most: int) -> DataFrame:
+    """The first so many rows of each feed, by page and place in the page: the last page is cut where the limit falls. Pages are summed, rows aren't ordered."""
+    sizes = rows.groupBy(*by, page).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.join(sizes.select(*by, page, before.alias("_before")), [*by, page]).where(F.col("_before") < most)
+    inside = F.row_number().over(Window.partitionBy(*by, page).orderBy(pos))
+    return placed.withColumn("_in", inside).where(F.col("_before") + F.col("_in") <= most).select(rows.columns)
 
 
 def first_rows(rows: DataFrame, by: list[str], n: int, order: list) -> DataFrame:
@@ -103,7 +117,7 @@ def upper_median(rows: DataFrame, value: str, cells: int = 1024, few: int = 10_0
     """(median): the middle number, the upper one of two, of all rows. The range is cut into cells, whose counts tell in which the middle lies, and that cell again,
     until few different numbers are left; no task orders all of them. Null without rows."""
     v = F.col(value)
-    now = rows.where(v.isNotNull() & ~F.isnan(v.cast("double")))
+    now = written(rows.select(value).where(v.isNotNull() & ~F.isnan(v.cast("double"))), "median")
     whole = now.agg(F.count("*").alias("n"), F.min(v).alias("low"), F.max(v).alias("high")).first()
     before, low, high, middle = 0, whole["low"], whole["high"], whole["n"] // 2
     while low is not None and low < high:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from harrow.functions.text import WS, clean, is_junk, text
 from harrow.functions.web import bare_host, clean_linkedin, clean_website, host_of, path_of
 
+# Elements without visible text, those that begin a line, and those around navigation.
 SCRIPT = r"(?is)<(script|style|noscript|template|iframe|object|embed|svg)\b[^>]*>.*?</\1\s*>"
 BLOCKS = r"(?i)</?(p|div|li|ul|ol|tr|td|th|h[1-6]|section|article|br|dt|dd|address|header|footer|main|aside|nav|blockquote|figcaption)\b[^>]*>"
 CHROME = r"(?is)<(nav|header|footer|aside)\b[^>]*>.*?</\1\s*>"
@@ -54,6 +55,22 @@ def page_lines(html, content_only: bool = False) -> Column:
     return F.filter(lines, lambda x: x != "")
 
 
+NAV_OPEN, NAV_END = "\ue002", "\ue003"
+
+
+def flagged_lines(html) -> Column:
+    """The visible lines of a page as page_lines has them, each with whether it is content: outside of navigation, headers and footers. One pass over the page."""
+    s = F.regexp_replace(F.regexp_replace(F.translate(text(html), NAV_OPEN + NAV_END, "  "), "(?s)<!--.*?-->", ""), SCRIPT, "")
+    s = F.regexp_replace(F.regexp_replace(s, r"(?is)<head\b[^>]*>.*?</head\s*>", ""), CHROME, f"{NAV_OPEN}$0{NAV_END}")
+
+    def lines(part: Column, k: Column) -> Column:
+        said = entities(F.regexp_replace(F.regexp_replace(part, BLOCKS, "\n"), "<[^>]+>", ""))
+        tidy = F.transform(F.split(said, "\n"), lambda x: F.trim(F.regexp_replace(x, f"[{WS}]+", " ")))
+        return F.transform(F.filter(tidy, lambda x: x != ""), lambda x: F.struct(x.alias("line"), (k % 2 == 0).alias("content")))
+
+    return F.flatten(F.transform(F.split(s, f"[{NAV_OPEN}{NAV_END}]"), lines))
+
+
 def anchors(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """(…, pos, href, label): the links of each page in order; href as written, entities resolved."""
     whole = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<a\b[^>]*>.*?</a\s*>"), F.lit(0))

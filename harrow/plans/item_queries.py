@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.operators import catalog as K
@@ -184,3 +184,53 @@ def single_field_kinds(spark, sf_dir):
         "<div><b>Country:</b><i>Land ", F.col("c_nationkey"), '</i></div><a href="mailto:c', k, '@x.org?subject=1">Mail</a><a href="tel:+49 30 ', k + 100000, '">Call</a><a href="https://de.linkedin.com/company/c', k, '">us</a><a href="https://x.example.org/y">own</a><nav><dl><dt>Menu</dt><dd>x</dd></dl></nav></body>',
     )
     return K.single_fields(nodes).select("page_id", "name", "value")
+
+
+@query(
+    """SELECT n_nationkey::BIGINT AS scan, CASE n_nationkey % 5 WHEN 0 THEN 'column' WHEN 1 THEN 'column' WHEN 2 THEN 'field' WHEN 3 THEN 'slug' END AS way, CASE WHEN n_nationkey % 5 < 2 THEN 'c2' END AS column_key,
+              CASE n_nationkey % 5 WHEN 0 THEN 'slug' WHEN 2 THEN 'address' WHEN 3 THEN 'slug' END AS key, CASE n_nationkey % 5 WHEN 0 THEN 'https://n' || n_nationkey || '.example.org/firm/{v}?tab=1' WHEN 2 THEN '{v}' WHEN 3 THEN 'https://n' || n_nationkey || '.example.org/en/co/{v}/about' END AS pattern
+       FROM nation WHERE n_nationkey % 5 < 4 AND n_nationkey IN (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*) >= 2)"""
+)
+def item_sources(spark, sf_dir):
+    """A scan for each nation, its customers as rows. Fifths: a column of links with its field; one without; a field of addresses; slugs in links of the page; nothing."""
+    k, scan, way = F.col("c_custkey"), F.col("c_nationkey").cast("long"), F.col("c_nationkey") % 5
+    c = table(spark, sf_dir, "customer")
+    origin = F.concat(F.lit("https://n"), scan, F.lit(".example.org"))
+    row = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
+    slug = F.concat(F.lit("firm-"), k)
+    rows = c.select(scan.alias("scan"), way.alias("way"), row.alias("row"), slug.alias("slug"), origin.alias("origin"), k.alias("k"))
+    each = lambda *cells: F.explode(F.array(*[F.struct(F.lit(key).alias("key"), F.lit(i).alias("ord"), F.lit(attr).alias("attr"), value.alias("value")) for i, (key, attr, value) in enumerate(cells)])).alias("x")
+    same = F.concat("origin", F.lit("/list"))  # the page itself, in a column of links that lead nowhere else
+    link = F.when(F.col("way") == 0, F.concat("origin", F.lit("/firm/"), "slug", F.lit("?tab=1"))).when(F.col("way") == 1, F.concat("origin", F.lit("/x/"), "row")).otherwise(F.concat(F.lit("https://other.net/"), "slug"))
+    page = rows.select("scan", "row", each(("c1", "link", same), ("c2", "link", link), ("c3", "own", F.col("slug")))).select("scan", F.col("x.key").alias("col_key"), F.col("x.ord").alias("col_ord"), "row", "x.attr", "x.value")
+    address = F.when(F.col("way") == 2, F.concat("origin", F.lit("/p/"), "slug")).when(F.col("row") > 0, F.concat(F.lit("https://other.net/"), "slug"))
+    feed = rows.select("scan", "row", each(("country", "", F.lit("Land")), ("address", "", address), ("slug", "", F.when(F.col("way") == 4, F.concat("slug", F.lit(" x"))).otherwise(F.col("slug"))))).select("scan", "x.key", F.col("x.ord").alias("key_ord"), "row", "x.value")
+    scans = rows.groupBy("scan").agg(F.concat(F.min("origin"), F.lit("/list")).alias("url"))
+    pairs = scans.where("scan % 5 = 0").select("scan", F.lit("c2").alias("col_key"), F.lit("slug").alias("key"))
+    teaser = rows.where("way >= 3 AND row = 0").select("scan", F.lit(0).alias("ord"), F.concat("origin", F.lit("/promo/"), "slug").alias("href"))  # one row is linked in another way, too
+    teaser = teaser.unionByName(rows.where("way >= 3").select("scan", (F.col("row") + 1).alias("ord"), F.concat("origin", F.lit("/en/co/"), "slug", F.lit("/about")).alias("href"))).unionByName(rows.where("way >= 3").select("scan", F.lit(9).alias("ord"), F.concat(F.lit("https://other.net/co/"), "slug").alias("href")))
+    return I.find_sources(scans, page, feed, pairs, teaser)
+
+
+@query(
+    """SELECT s_suppkey::BIGINT AS site, CASE WHEN s_suppkey % 5 = 4 THEN 'code' ELSE 'slug' END AS key, 'https://s' || s_suppkey || '.example.org' || CASE s_suppkey % 5 WHEN 0 THEN '/exhibitor/{v}' WHEN 3 THEN '/en/item/{v}' WHEN 4 THEN '/exhibitors/{v}' END AS pattern FROM supplier WHERE s_suppkey % 5 IN (0, 3, 4)"""
+)
+def verified_patterns(spark, sf_dir):
+    """A site for each supplier. Fifths: pages at the first pattern; a site that answers every address alike, and one whose second row has another firm's page, which are refused; pages at a later pattern, behind a wrong page; pages by another field."""
+    k, n = F.col("s_suppkey"), F.col("s_suppkey") % 5
+    s = table(spark, sf_dir, "supplier").select(k.cast("long").alias("site"), n.alias("n"), F.concat(F.lit("https://s"), k, F.lit(".example.org")).alias("origin"), F.array(F.lit("/en/exhibitors/list")).alias("hints"))
+    firm = lambda i: F.concat(F.lit(f"Firm {i} & Söhne "), "site")
+    field = lambda key, i: F.struct(F.lit(key).alias("key"), F.lit(i).alias("key_ord"), F.array(*[F.concat(F.lit(f"{key}{j}-"), "site") for j in (1, 2)]).alias("values"))
+    keys = s.select("site", F.explode(F.array(field("slug", 0), field("code", 1))).alias("x"), F.array(firm(1), firm(2)).alias("wants")).select("site", "x.*", "wants")
+    probed = I.probes(I.candidate_patterns(s.select("site", "origin", "hints")), keys)
+    at = lambda path, key, i: F.concat("origin", F.lit(path), F.lit(f"/{key}{i}-"), "site")
+    body = lambda i: F.concat(F.lit("<h1>"), F.upper(firm(i)), F.lit("</h1>"))
+    page = lambda url, html, status=200: F.struct(url.alias("url"), F.lit(status).alias("status"), html.alias("html"))
+    both = F.concat(F.lit("<p>"), firm(1), F.lit(", "), firm(2), F.lit("</p>"))
+    cases = F.when(F.col("n") == 0, F.array(page(at("/exhibitor", "slug", 1), body(1)), page(at("/exhibitor", "slug", 2), body(2)), page(at("/exhibitors", "slug", 1), body(1))))
+    cases = cases.when(F.col("n") == 2, F.array(page(at("/exhibitor", "slug", 1), body(1)), page(at("/exhibitor", "slug", 2), body(1))))
+    cases = cases.when(F.col("n") == 3, F.array(page(at("/exhibitor", "slug", 1), F.lit("<h1>Another firm</h1>")), page(at("/en/item", "slug", 1), body(1)), page(at("/en/item", "slug", 2), body(2)), page(at("/exhibitors", "slug", 1), body(1), 404)))
+    cases = cases.when(F.col("n") == 4, F.array(page(at("/exhibitors", "code", 1), body(1)), page(at("/exhibitors", "code", 2), body(2))))
+    captures = s.select(F.explode(cases).alias("x"), "site").select("x.*")
+    every = probed.where("site % 5 = 1").select(F.explode(F.array("url", "fake_url", "second_url")).alias("url"), "site").join(s.select("site", both.alias("html")), "site").select("url", F.lit(200).alias("status"), "html").distinct()
+    return I.verified_patterns(probed, captures.unionByName(every))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from harrow.functions import records as R
@@ -57,9 +58,16 @@ def stop_rule(spark, sf_dir):
     return O.stop_rule(pages, ["o_custkey"], F.lit(5)).select("o_custkey", "page", "rows", "done")
 
 
-@query("WITH n AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS spot, count(*) OVER () AS n FROM customer) SELECT c_custkey FROM n WHERE spot IN (SELECT floor(i * (n - 1) / 23.0 + 0.5) FROM range(24) t(i))")
+@query("WITH n AS (SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey) - 1 AS spot, count(*) OVER () AS n FROM lineitem) SELECT l_orderkey FROM n WHERE spot IN (SELECT floor(i * (n - 1) / 39.0 + 0.5) FROM range(40) t(i))")
 def spread_sample(spark, sf_dir):
-    return O.spread(table(spark, sf_dir, "customer").select("c_custkey"), 24, "c_custkey")
+    return O.spread(table(spark, sf_dir, "lineitem").select("l_orderkey"), 40, "l_orderkey")
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 7")
+def capped_rows(spark, sf_dir):
+    number = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.floor(number / 3).alias("page"))  # pages of three rows: the third is cut
+    return O.capped_rows(rows, ["o_custkey"], "page", "o_orderkey", 7).select("o_custkey", "o_orderkey")
 
 
 @query("SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events) WHERE r <= 80")
@@ -287,6 +295,53 @@ def lookup_companies(spark, sf_dir):
     return C.lookup_companies(companies, pages).select("id", "website", "company_email", first["name"].alias("person"), first["confidence"].alias("confidence"), F.array_join("needs", ",").alias("needs"))
 
 
+FAIR = "fair.example.org"
+
+
+@query(
+    """WITH s AS (SELECT s_suppkey AS id, s_suppkey % 6 AS k FROM supplier)
+       SELECT id, CASE k WHEN 0 THEN 'https://brand' || id || '.com' WHEN 1 THEN 'https://brand' || id || '.org' WHEN 2 THEN 'https://brand' || id || '.de' WHEN 3 THEN 'http://brand' || id || '.net' END AS website,
+              CASE k WHEN 0 THEN 'listing' WHEN 1 THEN 'exhibitor-page' WHEN 2 THEN 'domain-check' WHEN 3 THEN 'listing' END AS website_source,
+              CASE k WHEN 0 THEN 'Bernd Schulz' WHEN 1 THEN 'Anna Meier' WHEN 2 THEN 'Clara Vogel' WHEN 4 THEN 'Anna Meier' END AS person, CASE k WHEN 0 THEN 'company-site' WHEN 1 THEN 'exhibitor-page' WHEN 2 THEN 'company-site' WHEN 4 THEN 'exhibitor-page' END AS source_kind,
+              CASE k WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'medium' WHEN 4 THEN 'medium' END AS confidence, CASE k WHEN 0 THEN 'office@brand' || id || '.com' WHEN 1 THEN 'info@brand' || id || '.org' END AS company_email,
+              CASE WHEN k IN (1, 4) THEN 'https://www.linkedin.com/company/b' || id END AS company_linkedin, CASE k WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 4 THEN 1 ELSE 0 END AS n_pages, CASE k WHEN 3 THEN 'people' WHEN 4 THEN 'website' WHEN 5 THEN 'website,people' ELSE '' END AS needs FROM s"""
+)
+def lookup_stages(spark, sf_dir):
+    """Sixths of the suppliers: a listed site whose imprint names somebody; a site named on the profile page; one found by its name, whose legal page no link leads to; a listed one that wasn't captured; people on the profile page only; nothing."""
+    k, n = F.col("s_suppkey"), F.col("s_suppkey") % 6
+    name, host = F.concat(F.lit("Brand"), k), F.concat(F.lit("brand"), k)
+    s = table(spark, sf_dir, "supplier")
+    listed = F.when(n == 0, F.concat(F.lit("www."), host, F.lit(".com/"))).when(n == 3, F.concat(F.lit("http://"), host, F.lit(".net")))
+    companies = s.select(k.alias("id"), F.concat(name, F.lit(" GmbH")).alias("name"), listed.alias("website"), F.when(n.isin(1, 4), F.concat(F.lit(f"https://{FAIR}/exhibitor/"), k)).alias("profile_url"))
+    page = lambda url, *body: F.struct(F.concat(*url).alias("url"), F.concat(F.lit("<html><head><title>"), name, F.lit("</title></head><body>"), *body, F.lit("</body></html>")).alias("html"))
+    lit = F.lit
+    linked = F.concat(lit("<a href='https://www.linkedin.com/company/b"), k, lit("'>LinkedIn</a>"))
+    profile = page([lit(f"https://{FAIR}/exhibitor/"), k], lit(f"<p>Managing Director: Anna Meier</p><p>info@{FAIR}</p>"), linked, F.when(n == 1, F.concat(lit("<a href='https://"), host, lit(".org/'>Website</a>"))).otherwise(""))
+    cases = F.when(n == 0, F.array(
+        page([lit("https://"), host, lit(".com/")], lit(f"<p>info@{FAIR}</p><a href='/news'>News</a><a href='/contact'>Contact</a><a href='/imprint'>Imprint</a>")),
+        page([lit("https://"), host, lit(".com/contact")], lit("<p>Phone</p><p>office@"), host, lit(".com</p>")),
+        page([lit("https://"), host, lit(".com/imprint")], lit("<p>Managing Director: Bernd Schulz</p>")),
+        page([lit("https://"), host, lit(".com/news")], lit("<p>Founder: Never Read</p>")),
+    )).when(n == 1, F.array(profile, page([lit("https://"), host, lit(".org")], lit("<p>info@"), host, lit(".org</p>")))).when(n == 2, F.array(
+        page([lit("https://"), host, lit(".de/")], lit("<h1>"), name, lit("</h1><p>Welcome</p>")),
+        page([lit("https://"), host, lit(".de/impressum")], lit("<p>Founder: Clara Vogel</p>")),
+    )).when(n == 4, F.array(profile)).when(n == 5, F.array(page([lit("https://shop"), k, lit(".com/")], lit("<p>Founder: Some Body</p>"))))
+    pages = s.select(k, F.posexplode(cases).alias("_i", "x")).select((k * 10 + F.col("_i")).alias("page_id"), "x.url", "x.html")
+    first = F.get("people", 0)
+    out = C.lookup_companies(companies, pages, fair_host=FAIR)
+    return out.select("id", "website", "website_source", first["name"].alias("person"), first["source_kind"].alias("source_kind"), first["confidence"].alias("confidence"), "company_email", "company_linkedin", F.coalesce(F.size("pages"), F.lit(0)).alias("n_pages"), F.array_join("needs", ",").alias("needs"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN CASE c_custkey % 3 WHEN 1 THEN 'Anna Meier' ELSE 'Jean-Luc de la Tour' END END AS name FROM customer")
+def name_tests(spark, sf_dir):
+    """Real names beside ones with a word of pages or firms: every word of the list takes its turn."""
+    k = F.col("c_custkey")
+    words = [w for w in (*C.NOT_NAMES, "Verlag", "Leiterin", "Einkaufsleiter", "Verlegerin", "Handelsregister", "am", "und") if len(w) > 1]
+    word = F.initcap(F.element_at(F.array(*map(F.lit, words)), (F.floor(k / 3) % len(words) + 1).cast("int")))
+    said = F.when(k % 3 == 1, "  Anna Meier,").when(k % 3 == 2, "von Jean-Luc de la Tour").otherwise(F.concat(F.lit("Anna "), word))
+    return table(spark, sf_dir, "customer").select("c_custkey", C.as_name(said).alias("name"))
+
+
 @query("SELECT doc_id AS page_id, 0 AS line_no, 'Anna Meier' AS name, 'owner' AS role, 'Founder' AS role_raw, 'high' AS confidence FROM documents")
 def people_in_documents(spark, sf_dir):
     said = F.concat(F.lit("Founder: Anna Meier\n"), F.coalesce("text", F.lit("")))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,15 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.session import table
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir. Where that is unset a session on one machine, as in tests, gets a new local folder; a cluster must name one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return folder or tempfile.mkdtemp(prefix="harrow-")
+from harrow.session import shared_folder, table
 
 
 def exists(spark: SparkSession, path: str) -> bool:
