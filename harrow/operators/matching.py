@@ -40,12 +40,13 @@ def _link_hits(by_value: DataFrame, kept: DataFrame) -> DataFrame:
     links = by_value.where("attr = 'href'")
     parts = F.regexp_extract_all("v", F.lit(r"(?<=/)(?=([/?]*[^/?]*))"), F.lit(1))
     known = links.select(F.explode(parts).alias("_part")).distinct()
-    held = kept.where(F.length("v") > 3).withColumn("_part", F.regexp_extract("v", "^([/?]*[^/?]*)", 1)).join(known, "_part", "left_semi").drop("_part")
+    long, signs = kept.where(F.length("v") > 3), F.col("v").rlike("^[/?]+$")  # a value of such signs alone may begin any part
+    held = long.where(~signs).withColumn("_part", F.regexp_extract("v", "^([/?]*[^/?]*)", 1)).join(known, "_part", "left_semi").drop("_part").unionByName(long.where(signs))
     # where parts end: the place of the sign after each, and one past the end
     ends = lambda pattern: F.aggregate(F.split("v", pattern), F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p) + 1)))
-    slashes, every = F.filter(ends("/"), lambda x: (x > 0) & (x <= F.length("v"))), ends("[/?]")
-    cut = lambda x: F.transform(F.filter(every, lambda e: (e > x + 4) & F.array_contains("lengths", e - x - 1)), lambda e: F.substring(F.col("v"), x + 1, e - x - 1))
-    pieces = links.crossJoin(lengths(held, "v")).withColumn("part", F.explode(F.array_distinct(F.flatten(F.transform(slashes, cut)))))
+    placed = links.crossJoin(lengths(held, "v")).withColumn("_ends", ends("[/?]")).select("*", F.explode(F.filter(ends("/"), lambda x: (x > 0) & (x <= F.length("v")))).alias("_slash"))
+    stops = F.array_intersect("_ends", F.transform("lengths", lambda n: F.col("_slash") + n + 1))
+    pieces = placed.withColumn("part", F.explode(F.transform(stops, lambda e: F.substring(F.col("v"), F.col("_slash") + 1, e - F.col("_slash") - 1)))).drop("_ends", "_slash", "lengths").distinct()
     found = pieces.join(held.withColumnRenamed("v", "part"), "part")
     images = by_value.where("attr = 'src' AND v NOT LIKE 'data:%'")
     tail = lambda c: F.right(c, F.lit(3))  # noqa: E731  no value of over eight is shorter without its scheme

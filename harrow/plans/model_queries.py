@@ -56,11 +56,11 @@ def list_row_count(spark, sf_dir):
 
 
 @query(
-    """WITH c AS (SELECT p_type AS name, count(*) % 2 = 0 AS "on", CASE WHEN min(p_partkey) % 3 > 0 THEN p_type END AS page_key, CASE WHEN max(p_partkey) % 2 = 0 THEN p_type END AS feed_key FROM part GROUP BY p_type) SELECT name FROM c WHERE "on" AND page_key IS NOT NULL AND feed_key IS NULL"""
+    """WITH c AS (SELECT p_type AS name, count(*) > 1 AS "on", CASE WHEN min(p_size) % 3 > 0 OR count(*) > 5 THEN p_type END AS page_key, CASE WHEN max(p_size) % 2 = 0 THEN p_type END AS feed_key FROM (SELECT p_brand || ' ' || p_type AS p_type, p_size FROM part) GROUP BY p_type) SELECT name FROM c WHERE "on" AND page_key IS NOT NULL AND feed_key IS NULL"""
 )
 def page_only_columns(spark, sf_dir):
-    c = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("name")).agg((F.count("*") % 2 == 0).alias("on"), F.min("p_partkey").alias("a"), F.max("p_partkey").alias("b"))
-    columns = c.withColumns({"page_key": F.when(F.col("a") % 3 > 0, F.col("name")), "feed_key": F.when(F.col("b") % 2 == 0, F.col("name"))})
+    c = table(spark, sf_dir, "part").groupBy(F.concat_ws(" ", "p_brand", "p_type").alias("name")).agg((F.count("*") > 1).alias("on"), F.min("p_size").alias("a"), F.max("p_size").alias("b"), (F.count("*") > 5).alias("many"))
+    columns = c.withColumns({"page_key": F.when((F.col("a") % 3 > 0) | F.col("many"), F.col("name")), "feed_key": F.when(F.col("b") % 2 == 0, F.col("name"))})
     return M.page_only(columns).select("name")
 
 
@@ -194,6 +194,18 @@ def staged_job(spark, sf_dir):
     return jobs.run_job(spark, folder, [*stages, ("several", lambda before: before.where("orders > 1"))])
 
 
+@query(
+    """WITH o AS (SELECT * FROM orders WHERE o_orderstatus <> 'F'), g AS (SELECT o_custkey, count(*) AS n FROM o GROUP BY 1), c AS (SELECT (SELECT count(*) FROM orders) AS every, (SELECT count(*) FROM o) AS rows, (SELECT count(*) FROM o WHERE o_orderkey % 7 = 0) AS failed, (SELECT count(*) FROM g) AS grouped, (SELECT count(*) FROM g WHERE n = 1) AS single)
+       SELECT unnest(['rows', 'grouped', 'people']) AS stage, unnest([rows, grouped, 0]) AS rows, unnest([failed, single, 0]) AS failed, unnest([every, rows, grouped]) AS "of", unnest([every - rows, greatest(rows - grouped, 0), grouped]) AS "left" FROM c"""
+)
+def staged_progress(spark, sf_dir):
+    folder = f"{jobs.shared_folder(spark)}/job-{uuid.uuid4().hex}"
+    every = table(spark, sf_dir, "orders")
+    stages = [("rows", lambda _: every.where("o_orderstatus <> 'F'").select("o_custkey", "o_orderkey")), ("grouped", lambda before: before.groupBy("o_custkey").agg(F.count("*").alias("orders")))]
+    jobs.run_job(spark, folder, stages, {"rows": F.col("o_orderkey") % 7 == 0, "grouped": F.col("orders") == 1})
+    return jobs.job_progress(spark, folder, ["rows", "grouped", "people"], every.count()).select("stage", "rows", "failed", "of", "left")
+
+
 @query("SELECT min(page_id) AS page_id, regexp_extract(url, '^[^?#]*') AS address FROM pages GROUP BY 2")
 def unique_addresses(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[^?#]*", 0).alias("address"))

@@ -8,7 +8,7 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from harrow.functions.records import find_record_sets, record_cells
 from harrow.operators.ordering import stop_rule
@@ -30,21 +30,23 @@ class Pages(InputPartition):
         self.first, self.last = first, last
 
 
-class PagedFeedReader(DataSourceReader):
+class Fetcher:
+    """How pages are fetched, by the source's options: from where, how often and how long apart."""
+
     def __init__(self, options: dict):
-        self.pages, self.each = int(options["pages"]), max(1, int(options.get("pages_a_task", 1)))
-        self.fetch, self.attempts, self.wait = options["fetch"], int(options.get("attempts", 3)), float(options.get("wait_ms", 800))
+        self.fetch, self.base = options["fetch"], options.get("base")
+        self.each, self.attempts, self.wait = max(1, int(options.get("pages_a_task", 1))), int(options.get("attempts", 3)), float(options.get("wait_ms", 800))
 
-    def partitions(self):
-        return [Pages(i, min(i + self.each, self.pages)) for i in range(0, self.pages, self.each)]
+    def ranges(self, first: int, last: int) -> list[Pages]:
+        return [Pages(i, min(i + self.each, last)) for i in range(first, last, self.each)]
 
-    def read(self, partition: Pages):
+    def rows(self, pages: Pages):
         module, _, name = self.fetch.partition(":")
         fetch = getattr(importlib.import_module(module), name)
-        for page in range(partition.first, partition.last):
+        for page in range(pages.first, pages.last):
             for attempt in range(self.attempts):
                 try:
-                    payload = fetch(page)
+                    payload = fetch(page) if self.base is None else fetch(page, self.base)
                     break
                 except OSError:
                     if attempt == self.attempts - 1:
@@ -53,9 +55,39 @@ class PagedFeedReader(DataSourceReader):
             yield page, payload if isinstance(payload, str) else json.dumps(payload)
 
 
+class PagedFeedReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.pages, self.fetcher = int(options["pages"]), Fetcher(options)
+
+    def partitions(self):
+        return self.fetcher.ranges(0, self.pages)
+
+    def read(self, partition: Pages):
+        return self.fetcher.rows(partition)
+
+
+class PagedFeedStream(DataSourceStreamReader):
+    """Offsets are page numbers. A run goes up to option until, so that a feed is read in slices; the next run starts where the checkpoint says."""
+
+    def __init__(self, options: dict):
+        self.until, self.fetcher = int(options["until"]), Fetcher(options)
+
+    def initialOffset(self):
+        return {"page": 0}
+
+    def latestOffset(self):
+        return {"page": self.until}
+
+    def partitions(self, start: dict, end: dict):
+        return self.fetcher.ranges(start["page"], end["page"])
+
+    def read(self, partition: Pages):
+        return self.fetcher.rows(partition)
+
+
 class PagedFeed(DataSource):
     """spark.read.format("paged_feed").option("fetch", "module:function").option("pages", n): a row (page, payload) for each page; page ranges are partitions,
-    so that pages are fetched in parallel and a lost task fetches its own again. fetch(page) gives the page's JSON."""
+    so that pages are fetched in parallel and a lost task fetches its own again. fetch(page) gives the page's JSON, or fetch(page, base) with option base. spark.readStream reads pages up to option until."""
 
     @classmethod
     def name(cls):
@@ -67,6 +99,19 @@ class PagedFeed(DataSource):
     def reader(self, schema):
         return PagedFeedReader(self.options)
 
+    def streamReader(self, schema):
+        return PagedFeedStream(self.options)
+
+
+def captured_page(page: int, base: str) -> str:
+    """The text of page=N under a folder that driver and executors share, as write.partitionBy("page").text leaves it; an empty page where there is none."""
+    from pyarrow import fs
+
+    files, root = fs.FileSystem.from_uri(base)
+    found = files.get_file_info(fs.FileSelector(f"{root}/page={page}", allow_not_found=True))
+    parts = sorted(x.path for x in found if x.is_file and not x.base_name.startswith(("_", ".")))
+    return "".join(files.open_input_stream(p).read().decode("utf-8") for p in parts).rstrip("\n") or "[]"
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(PagedFeed)
