@@ -266,6 +266,24 @@ def number_in(payload: Column, keys: list[str]) -> Column:
     return run(payload)
 
 
+def stated_total(payload: Column) -> Column:
+    """The number of rows that a JSON payload states, as total_of."""
+
+    @F.pandas_udf("long")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: total_of(parsed(x))).astype("Int64")
+
+    return run(payload)
+
+
+def tolerant_json(answer: Column) -> Column:
+    """The JSON in an answer with fences or words around it, as tolerant; null if there is none. As an expression: fences go, and what lies between the outermost braces is read where the whole can't be."""
+    body = F.trim(F.regexp_replace(F.coalesce(answer, F.lit("")), "```(json)?", ""))
+    inner = F.regexp_extract(body, r"(?s)\{.*\}", 0)
+    valid = lambda c: F.when(F.get_json_object(c, "$").isNotNull(), c)
+    return F.coalesce(valid(body), valid(inner))
+
+
 def changed(payload: Column, path: str, value: Column | None = None) -> Column:
     """A JSON payload with the value at a dotted path written (given as JSON), or taken away; objects on the way are made."""
 

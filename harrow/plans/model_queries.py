@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -222,15 +221,7 @@ def row_cap(spark, sf_dir):
 def stated_totals(spark, sf_dir):
     k = F.col("event_id") % 5
     body = F.when(k == 0, F.format_string('{"hits":[{"nbHits":1}],"nbHits":%d}', "user_id")).when(k == 1, F.lit('{"count":12,"rows":[{"total":5}]}')).when(k == 2, F.format_string('{"a":{"nbPages":3,"hitsPerPage":%d}}', "event_id")).when(k == 3, F.format_string('{"x":[{"paginationLimitedTo":%d}]}', "user_id")).otherwise("no json")
-    return table(spark, sf_dir, "events").select("event_id", _total(body).alias("total"), R.number_in(body, ["paginationLimitedTo"]).alias("cap"))
-
-
-def _total(body):
-    @F.pandas_udf("long")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: R.total_of(R.parsed(x))).astype("Int64")
-
-    return run(body)
+    return table(spark, sf_dir, "events").select("event_id", R.stated_total(body).alias("total"), R.number_in(body, ["paginationLimitedTo"]).alias("cap"))
 
 
 @query("SELECT count(*) AS datasets, max(n) AS most FROM (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2)")
@@ -255,11 +246,8 @@ def tolerant_json(spark, sf_dir):
     k = F.col("event_id") % 3
     answer = F.when(k == 0, F.format_string('Here you are:\n```json\n{"k": %d}\n``` Hope it helps {or not', "user_id")).when(k == 1, F.format_string('{"k":%d}', "user_id")).otherwise("no object {here")
 
-    @F.pandas_udf("long")
-    def read(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x["k"] if isinstance(x := R.tolerant(x), dict) else None).astype("Int64")
-
-    return table(spark, sf_dir, "events").select("event_id", read(F.regexp_replace(answer, r" Hope.*", "")).alias("k"))
+    found = R.tolerant_json(F.regexp_replace(answer, r" Hope.*", ""))
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object(found, "$.k").cast("long").alias("k"))
 
 
 @query("SELECT c_custkey, 'accept,x-' || c_custkey AS kept FROM customer")
@@ -389,12 +377,8 @@ def lead_column_names(spark, sf_dir):
     "SELECT o_orderkey, 'Title|Subtitle|' || o_orderstatus || '|Link|Page link|Secondary ' || lower(o_orderstatus) AS names FROM orders"
 )
 def unique_names(spark, sf_dir):
-    @F.pandas_udf("array<string>")
-    def unique(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: P.unique_names(list(x)))
-
     given = F.array(F.lit("Title"), F.lit("title 2"), F.col("o_orderstatus"), F.lit("Link"), F.lit("Link"), F.concat(F.col("o_orderstatus"), F.lit(" 7")))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(unique(given), "|").alias("names"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(P.unique_names_of(given), "|").alias("names"))
 
 
 @query(
@@ -419,11 +403,8 @@ def reading_mode(spark, sf_dir):
 
 @query("WITH n AS (SELECT l_suppkey, count(*) AS total, ceil(count(*) / 7.0)::BIGINT AS pages FROM lineitem GROUP BY 1) SELECT l_suppkey, CASE WHEN pages >= 3 THEN array_to_string(list_sort(list_distinct([pages // 3, pages * 2 // 3, pages - 1])), ',') ELSE '' END AS wider FROM n")
 def wider_pages(spark, sf_dir):
-    @F.pandas_udf("string")
-    def wider(n: pd.Series) -> pd.Series:
-        return n.map(lambda x: ",".join(map(str, K.wider_pages(int(x), 7))))
-
-    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n")).select("l_suppkey", wider("n").alias("wider"))
+    feeds_ = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    return feeds_.select("l_suppkey", F.array_join(K.wider_pages_of(F.col("n"), F.lit(7)).cast("array<string>"), ",").alias("wider"))
 
 
 @query(

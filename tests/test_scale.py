@@ -121,3 +121,29 @@ def test_progress_of_a_job_that_was_cut_off(spark, tmp_path):
     got = [tuple(r)[1:] for r in jobs.job_progress(spark, str(tmp_path), ["rows", "half", "later"], 12).orderBy("ord").collect()]
     assert got == [("rows", 10, None, 12, 2), ("half", 5, 2, 10, 5), ("later", 0, 0, 5, 5)]
     assert spark.read.parquet(f"{tmp_path}/half").columns == ["id"] and spark.read.parquet(f"{tmp_path}/half").count() == 5
+
+
+def test_what_is_not_chosen_is_not_read(spark, tmp_path):
+    from harrow.plans import finish
+
+    sf = "/root/testdata/sf0.001"
+    scan, pages = finish.scanned(spark, sf, "feed")
+    plan = lambda choices: finish.final_rows(scan, choices, pages)._jdf.queryExecution().toString()
+    bare = plan([c for c in finish.CHOICES if c.name in ("Name", "Nation", "Founded")])  # Founded is off
+    assert "MapInPandas" not in bare and "html" not in bare and "c_acctbal" not in bare.split("== Physical Plan ==")[1] and "c_mktsegment" not in bare.split("== Physical Plan ==")[1]
+    single = plan([c for c in finish.CHOICES if c.name in ("Name", "Email")])
+    assert "MapInPandas" in single and "item_ord" not in single.split("== Physical Plan ==")[1]  # no cells of lists
+    empty = finish.final_rows(scan, finish.CHOICES, pages.limit(0))
+    assert empty.count() == scan.feed.count() and empty.where("Email <> ''").count() == 0
+    crawl = finish.Scan("crawl", crawl=spark.createDataFrame([(1, "x", None), (2, None, "")], "_ord long, name string, __url string"))
+    assert [tuple(r) for r in finish.final_rows(crawl, [finish.Choice("N", page="name"), finish.Choice("E", item="Email")], pages).orderBy("_ord").collect()] == [(1, 0, "x", ""), (2, 0, "", "")]
+
+
+@pytest.mark.parametrize("answer", [None, "", '{"a": 1}', "[1, 2]", 'Sure:\n```json\n{"a": {"b": 2}}\n```\nDone {x', "no {brace", 'text {"k": "}"} end', "{}", '  {"a": 1}  '])
+def test_tolerant_json_as_an_expression(spark, answer):
+    import json
+
+    from harrow.functions import records as R
+
+    got = spark.createDataFrame([(answer,)], "x string").select(R.tolerant_json(F.col("x"))).first()[0]
+    assert (json.loads(got) if got is not None else None) == R.tolerant(answer)
