@@ -5,8 +5,9 @@ links as its weight. Lines in menus, headers, footers, sidebars, notices, advert
 element, role, or a word of class or id) weigh nothing. Weights are summed over windows of three lines: a sum that rises
 over the threshold is a surge, the first empty window after it a dive, and the text between belongs together. Where the page
 marks its article, only lines in it have weight and any text is a surge; lines that are barred inside it don't make it dive.
-Elsewhere the threshold is 86 characters, or half of the page's largest sum if that is less; the heaviest stretch is the
-article, with the lines right before it in the same container and other stretches in that container.
+Elsewhere the threshold is 86 characters, or half of the page's largest sum if that is less, and what is barred between two
+containers is a gap; the heaviest stretch is the article, with the lines right before it in the same container and other
+stretches in that container, or in sections beside it.
 
 Defined results: null, empty and unmarked text-free pages give ''. Rows are treated one by one, repeated ones alike. References
 are decoded, white space within a block is one space, br counts as white space, blocks are joined by one line feed. Whole pages
@@ -106,6 +107,7 @@ class _Page:
         self.lines: list[Line] = []
         self.parents = [-1]  # of each container; 0 is the page
         self.depths = [0]
+        self.names = [""]
         self.articles = 0
         self.stack: list[tuple[str, bool, int, int, bool, int]] = []  # name, barred, container, article, main, bars in content before
         self.open: dict[str, int] = {}
@@ -137,6 +139,7 @@ class _Page:
         if name in BLOCKS and name != "p" and not (len(name) == 2 and name[0] == "h") and len(self.stack) < DEEPEST:
             self.parents.append(parent)
             self.depths.append(self.depths[parent] + 1)
+            self.names.append(name)
             parent = len(self.parents) - 1
         self.stack.append((name, barred, parent, self.article, self.main, self.content_bars))
         self.open[name] = self.open.get(name, 0) + 1
@@ -297,45 +300,65 @@ def _within(page: _Page, inner: int, outer: int) -> bool:
     return inner == outer
 
 
-def _without_comments(page: _Page, lines: list[Line]) -> list[Line]:
-    """lines up to a heading that says comments, which holds until its container ends."""
-    out, under = [], None
-    for x in lines:
+def _bar_comments(page: _Page) -> list[Line]:
+    """The page's lines; from a heading that says comments on they are barred until its container ends."""
+    under = None
+    for x in page.lines:
         if under is not None and not _within(page, x.inside, under):
             under = None
         if under is None and x.heading > 1 and COMMENTS.fullmatch(x.text):
             under = x.inside
-        if under is None:
-            out.append(x)
-    return out
+        if under is not None:
+            x.bars += 1
+            x.content_bars += 1
+    return page.lines
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = lines_of(page)
-    lines = _without_comments(found, found.lines)
+    lines = _bar_comments(found)
     marked = _in_article(lines)
     if marked is not None:
         kept = [x for start, end in stretches([len(x.text) for x in marked], 1) for x in marked[start:end]]
         return "\n".join(x.text for x in kept)
-    weights = [0 if x.bars else x.weight for x in lines]
+    # what is barred inside a container is passed over; between containers it is a gap
+    line: list[Line | None] = []
+    gap = False
+    for x in lines:
+        if x.bars:
+            gap = True
+            continue
+        if gap and line and _common(found, [line[-1], x]) not in (line[-1].inside, x.inside):
+            line += [None] * WINDOW
+        line.append(x)
+        gap = False
+    weights = [0 if x is None else x.weight for x in line]
     largest = max((sum(weights[i : i + WINDOW]) for i in range(len(weights))), default=0)
     runs = stretches(weights, max(1, min(SURGE, largest // 2)))
     if not runs:
         return ""
     best = max(runs, key=lambda r: (sum(weights[r[0] : r[1]]), -r[0]))
-    inside = _common(found, [x for x in lines[best[0] : best[1]] if not x.bars])
+    some = {r: [x for x in line[r[0] : r[1]] if x is not None] for r in runs}
+    inside = _common(found, some[best])
     own = found.depths[inside] > 2  # more than the page's body
+
+    def belongs(r: tuple[int, int]) -> bool:
+        if r == best or not own:
+            return all(x.inside == inside for x in some[r]) or r == best
+        other = _common(found, some[r])
+        part = found.names[inside] == "section" == found.names[other] and found.parents[inside] == found.parents[other]  # of one text
+        return part or _within(found, other, inside)
+
     out: list[str] = []
     after = 0
     for start, end in runs:
-        some = [x for x in lines[start:end] if not x.bars]
-        if (start, end) != best and not all(_within(found, x.inside, inside) if own else x.inside == inside for x in some):
+        if not belongs((start, end)):
             continue
-        while start > after and not lines[start - 1].bars and (lines[start - 1].heading or lines[start - 1].inside == lines[start].inside) and weights[start - 1]:
+        while start > after and weights[start - 1] and (line[start - 1].heading or line[start - 1].inside == line[start].inside):
             start -= 1
-        out += [x.text for x in lines[start:end] if not x.bars]
+        out += [x.text for x in line[start:end] if x is not None]
         after = end
     return "\n".join(out)
 

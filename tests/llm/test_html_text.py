@@ -56,6 +56,13 @@ def test_what_stands_inside_an_article():
     assert H.main_text(page) == "Title\nOne.\nTwo.\nThree."
 
 
+def test_unmarked_articles_in_parts():
+    inside = f"<div id='main'><h1>Title</h1><p>{LONG}</p>{ADVERT}{FORM}<p>Short.</p><div class='share'>Share</div><div><p>End.</p></div></div>"
+    assert H.main_text(f"<body>{NAV}<div id='wrap'>{SIDE_DIV}{inside}{COMMENTS}<div>Contact</div></div>{FOOT_DIV}</body>") == f"Title\n{LONG}\nShort.\nEnd."
+    parts = f"<div><section><h2>One</h2><p>{LONG}</p></section>{ADVERT}<section><h2>Two</h2><p>{LONG}</p></section>{SIDE}</div>"
+    assert H.main_text(f"<body>{HEAD}{parts}{FOOT}</body>") == f"One\n{LONG}\nTwo\n{LONG}"
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
