@@ -153,6 +153,7 @@ COUNTRIES = [
     ("indien|india", ".in"), ("brasilien|brazil", ".com.br"), ("mexiko|mexico", ".com.mx"), ("argentinien|argentina", ".com.ar"), ("t[üu]rkei|turkey|t[üu]rkiye", ".com.tr"), ("israel", ".co.il"),
     ("singapur|singapore", ".com.sg"), ("taiwan", ".com.tw"), ("s[üu]dafrika|south africa", ".co.za"), ("china|volksrepublik china", ".cn"),
 ]
+# Adjectives of countries.
 ADJECTIVES = {
     "german": "deutschland", "deutsche": "deutschland", "deutschen": "deutschland", "french": "frankreich", "französische": "frankreich", "italian": "italien", "italienische": "italien",
     "spanish": "spanien", "british": "united kingdom", "english": "united kingdom", "american": "united states", "austrian": "österreich", "swiss": "schweiz", "dutch": "niederlande",

@@ -160,22 +160,40 @@ def stream_attempts(spark, sf_dir) -> DataFrame:
     return out.groupBy("key").agg(F.max_by("attempts", "batch").alias("attempts"), F.max_by("state", "batch").alias("state"))
 
 
-def feed_slices(spark, sf_dir) -> DataFrame:
-    """Pages of orders, as a feed of 16 that two runs read in slices of five; the second starts where the first stopped."""
-    folder = f"{shared_folder(spark)}/slices-{uuid.uuid4().hex}"
+def _captured_feed(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """Pages of orders, as a feed of 16 that is kept in the shared folder; says where."""
     orders = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 16).alias("page"), F.col("o_orderkey").alias("id"), "o_orderstatus")
     payload = F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("id", "o_orderstatus"))).alias("rows")))
     orders.groupBy("page").agg(payload.alias("value")).write.partitionBy("page").text(f"{folder}/feed")
-    for _ in range(2):
-        read_slice(spark, "harrow.sources.feeds:captured_page", folder, 5, base=f"{folder}/feed" if "://" in folder or folder.startswith("file:") else f"file://{folder}/feed", pages_a_task=2)
-    pages = spark.read.parquet(f"{folder}/pages")
+    return f"{folder}/feed" if ":/" in folder else f"file://{folder}/feed"
+
+
+def _orders_of(pages: DataFrame) -> DataFrame:
     rows = F.from_json(F.get_json_object("payload", "$.rows"), "array<struct<id: long, o_orderstatus: string>>")
-    return pages.select(F.col("batch").alias("run"), "page", F.explode(rows).alias("x")).select("run", "page", F.col("x.id").alias("o_orderkey"))
+    return pages.withColumn("x", F.explode(rows)).withColumn("o_orderkey", F.col("x.id"))
+
+
+def feed_slices(spark, sf_dir) -> DataFrame:
+    """Two runs that read a feed in slices of five pages; the second starts where the first stopped."""
+    folder = f"{shared_folder(spark)}/slices-{uuid.uuid4().hex}"
+    base = _captured_feed(spark, sf_dir, folder)
+    for _ in range(2):
+        read_slice(spark, "harrow.sources.feeds:captured_page", folder, 5, base=base, pages_a_task=2)
+    return _orders_of(spark.read.parquet(f"{folder}/pages")).select(F.col("batch").alias("run"), "page", "o_orderkey")
+
+
+def replayed_feed(spark, sf_dir) -> DataFrame:
+    """A feed read page by page, some a task, up to the first page without rows."""
+    feeds.register(spark)
+    base = _captured_feed(spark, sf_dir, f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}")
+    read = spark.read.format("paged_feed").options(fetch="harrow.sources.feeds:captured_page", base=base, pages=20, pages_a_task=4).load()
+    return _orders_of(feeds.feed_pages(read.withColumn("feed", F.lit("orders")))).select("page", "o_orderkey")
 
 
-QUERIES = {"stream_distinct": stream_distinct, "stream_attempts": stream_attempts, "feed_slices": feed_slices}
+QUERIES = {"stream_distinct": stream_distinct, "stream_attempts": stream_attempts, "feed_slices": feed_slices, "replayed_feed": replayed_feed}
 ORACLE = {
     "stream_distinct": "SELECT DISTINCT event_type, user_id FROM events",
     "stream_attempts": "SELECT user_id::VARCHAR AS key, count(*)::INTEGER AS attempts, CASE WHEN bool_or(event_id % 7 = 0) THEN 'done' WHEN count(*) >= 3 THEN 'given up' ELSE 'pending' END AS state FROM events GROUP BY user_id",
     "feed_slices": "SELECT (o_orderkey % 16 // 5)::INTEGER AS run, o_orderkey % 16 AS page, o_orderkey FROM orders WHERE o_orderkey % 16 < 10",
+    "replayed_feed": "SELECT o_orderkey % 16 AS page, o_orderkey FROM orders",
 }
