@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from harrow.functions.text import clean, filled, norm, singular, text
 from harrow.functions.web import encode_component, pattern_from, same_site
 from harrow.operators import catalog, pages
+from harrow.session import written
 
 # Hooks of page furniture, and of cards that are people.
 CHROME_HOOK = r"(?i)navigation|nav-|menu|header|footer|breadcrumb|cookie|banner|sidebar|toolbar|modal|dialog|drawer|tabs?(?![A-Za-z0-9_])"
@@ -88,7 +89,8 @@ def key_value_lists(nodes: DataFrame) -> DataFrame:
 
 def item_page(nodes: DataFrame, most: int = 12) -> DataFrame:
     """(page_id, kind, name, entries): what an item page offers. list: repeating elements, by signature, without tables that describe one thing and without lists that
-    only lay labelled cards out; card: labelled cards that are no such list; single: fields outside of all of these, with 1 entry."""
+    only lay labelled cards out; card: labelled cards that are no such list; single: fields outside of all of these, with 1 entry. The elements are written, as they are read many times."""
+    nodes = written(nodes, "nodes")
     leaves = pages.list_leaves(nodes)
     lists = pages.best_lists(pages.list_candidates(nodes), pages.list_columns(leaves), most).select("page_id", "parent", "sig", "items")
     own = pages.in_items(nodes).where("item = node").select("page_id", "parent", "sig", F.col("node"), "last").join(lists, ["page_id", "parent", "sig"])

@@ -24,6 +24,18 @@ def fresh_by_page(rows: DataFrame, columns: list[str], page: str = "page", by: l
     return rows.select(*by, page).distinct().join(first, [*by, page], "left").select(*by, page, F.coalesce("fresh", F.lit(0)).alias("fresh"))
 
 
+PRINTED = 3  # rows that tell a page from the one before
+
+
+def unchanged_pages(rows: DataFrame, columns: list[str], by: list[str], page: str = "page", pos: str = "pos") -> DataFrame:
+    """(by…, page, print, unchanged): of each page that has rows what its first three say, and whether the page before said the same: a next control that led nowhere. Only those rows are gathered."""
+    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by, page).orderBy(pos))).where(F.col("_r") <= PRINTED)
+    said = F.array_join(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), "|")
+    prints = first.groupBy(*by, page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", said.alias("said")))), lambda x: x["said"]), "||").alias("print"))
+    before = F.lag("print").over(Window.partitionBy(*by).orderBy(page))
+    return prints.select(*by, page, "print", F.coalesce(F.col("print") == before, F.lit(False)).alias("unchanged"))
+
+
 def until_stale(pages: DataFrame, by: list[str], page: str = "page", fresh: str = "fresh") -> DataFrame:
     """Pages up to the second of two in a row without a new row."""
     w = Window.partitionBy(*by).orderBy(page)

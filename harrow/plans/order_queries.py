@@ -43,6 +43,16 @@ def fresh_pages(spark, sf_dir):
     return O.until_stale(O.fresh_by_page(rows, ["l_partkey", "l_linenumber"], by=["l_returnflag"]), ["l_returnflag"])
 
 
+@query(
+    """WITH r AS (SELECT l_suppkey, l_partkey // 100 AS page, row_number() OVER (PARTITION BY l_suppkey, l_partkey // 100 ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS r, l_returnflag, l_linestatus FROM lineitem),
+       p AS (SELECT l_suppkey, page, string_agg(l_returnflag || '|' || l_linestatus, '||' ORDER BY r) AS print FROM r WHERE r <= 3 GROUP BY 1, 2)
+       SELECT l_suppkey, page, print, coalesce(print = lag(print) OVER (PARTITION BY l_suppkey ORDER BY page), false) AS unchanged FROM p"""
+)
+def unchanged_pages(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumns({"page": F.expr("l_partkey div 100"), "pos": F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")})
+    return O.unchanged_pages(rows, ["l_returnflag", "l_linestatus"], ["l_suppkey"])
+
+
 @query(
     """WITH p AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS page, (o_orderkey % 11)::BIGINT AS rows, CASE WHEN o_orderkey % 4 = 0 THEN 40 END AS total FROM orders),
        t AS (SELECT *, first_value(total IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY page ROWS UNBOUNDED PRECEDING) AS stated FROM p),
