@@ -43,9 +43,12 @@ BARRED_ROLES = {"navigation", "contentinfo", "complementary", "search", "alert",
 BARRED_WORDS = set(
     "nav navbar navigation menu menubar submenu breadcrumb breadcrumbs pagination pager sidebar sidebars aside footer ad ads adv advert adverts advertisement advertisements advertising adslot adsense adbox "
     "sponsor sponsored sponsors promo promos promotion promoted cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login comment comments "
-    "commentlist disqus respond reply replies discussion related recommended recommendations share sharing social toolbar form".split()
+    "commentlist disqus respond reply replies discussion related recommended recommendations share sharing social toolbar form "
+    "banner banners popular trending skip paywall announcement announcements".split()
 )
-HEAD_WORDS = {"header", "masthead", "banner", "topbar"}
+#: Of these a part of a word is enough.
+BARRED_PARTS = re.compile("sidebar|footer|navbar|navigation|advert|cookie|newsletter|comments|breadcrumb|sponsor|popup|subscri|disqus")
+HEAD_WORDS = {"header", "masthead", "topbar"}
 BODY_NAMES = {"articlebody", "article-body", "article-content", "article-text", "post-content", "post-body", "entry-content", "story-body", "story-content"}
 COMMENTS = re.compile(r"\W*(\d+\s+)?((reader|user|leave (a|your)|post a|all|latest)\s+)?(comments?|replies|repl(y|ies)|kommentare?|commentaires?|comentarios?)\W*(\(?\d+\)?)?\W*", re.I)
 
@@ -95,7 +98,9 @@ def _barred(name: str, attributes: dict[str, str], in_content: bool) -> bool:
         return True
     for token in _named(attributes):
         words = [w.lower() for w in _WORD.findall(token)]
-        if words and words[0] not in ("no", "has", "with", "without") and "with" not in words and (not BARRED_WORDS.isdisjoint(words) or (not in_content and not HEAD_WORDS.isdisjoint(words))):
+        if not words or words[0] in ("no", "has", "with", "without") or "with" in words:
+            continue  # a layout's name says what else is on the page
+        if not BARRED_WORDS.isdisjoint(words) or BARRED_PARTS.search(token.lower()) or (not in_content and not HEAD_WORDS.isdisjoint(words)):
             return True
     return False
 

@@ -51,6 +51,16 @@ def test_layouts(inner, before, after):
     assert H.main_text(f"<!doctype html><html><head><title>t</title>{SCRIPT}</head><body class='has-sidebar'>{before}{inner}{after}</body></html>") == WANT
 
 
+@pytest.mark.parametrize("name", ["siteFooter", "leftsidebar", "topnavbar", "ad-banner", "bannerAd", "userComments", "post_comments", "cookieconsent", "newsletter-box", "Sponsored", "breadCrumb nav", "skip-link", "related-posts", "x ADS y"])
+def test_names_that_bar(name):
+    assert H.main_text(f"<body><article><p>One.</p><div class='{name}'><p>{LONG}</p></div><p>Two.</p></article></body>") == "One.\nTwo."
+
+
+@pytest.mark.parametrize("name", ["no-sidebar", "content-with-sidebar", "has-ads", "adverse", "header", "admin-notes", "commentary", "shared", "formal", "navy"])
+def test_names_that_do_not_bar(name):
+    assert H.main_text(f"<body><article><div class='{name}'><p>One.</p></div><p>Two.</p></article></body>") == "One.\nTwo."
+
+
 def test_what_stands_inside_an_article():
     page = f"<body>{NAV}<article><header><h1>Title</h1></header><p>One.</p>{ADVERT}<p>Two.</p>{SCRIPT}{FORM}{SIDE}<p>Three.</p>{COMMENTS}</article><article><p>Other.</p></article></body>"
     assert H.main_text(page) == "Title\nOne.\nTwo.\nThree."
