@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 def shared_folder(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir. Where that is unset a session on one machine, as in tests, gets a new local folder; a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local["):
+    if not folder and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return folder or tempfile.mkdtemp(prefix="harrow-")
 
