@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.functions.text import norm, plain, text
+from harrow.session import written
 
 LEAST = 0.55
 
@@ -22,6 +23,7 @@ def column_scores(page: DataFrame, feed: DataFrame, comparable=norm) -> DataFram
     shown = page.withColumn("v", comparable(F.col("value"))).where("v <> ''")
     kept = feed.withColumn("v", comparable(F.col("value"))).where("v <> ''").groupBy("feed_id", "key", "key_ord", "v").agg(F.lit(1).alias("one"))
     by_value = shown.groupBy("list_id", "col_key", "col_ord", "v").agg(F.count("*").alias("n"), F.max("attr").alias("attr"))
+    by_value, kept = written(by_value, "shown"), written(kept, "fields")  # distinct values, each read several times
     exact = by_value.join(kept, "v").select("list_id", "col_key", "col_ord", "feed_id", "key", "key_ord", "v", "n")
     hits = exact.unionByName(_link_hits(by_value, kept)).groupBy("list_id", "col_key", "col_ord", "feed_id", "key", "key_ord", "v").agg(F.max("n").alias("n"))
     hits = hits.groupBy("list_id", "col_key", "col_ord", "feed_id", "key", "key_ord").agg(F.sum("n").alias("hits"))
