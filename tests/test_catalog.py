@@ -2,6 +2,7 @@
 
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +86,18 @@ def test_headers_and_wider_pages(spark):
     df = spark.createDataFrame([({":method": "GET", "Host": "x", "X-Key": "1"},)], "h map<string,string>")
     assert df.select(K.clean_headers("h")).first()[0] == {"X-Key": "1"}
     assert K.wider_pages(100, 10) == [3, 6, 9] and K.wider_pages(20, 10) == [] and K.wider_pages(None, 10) == []
+
+
+def test_single_fields_and_their_sql_read_references_alike(spark, tmp_path):
+    """Headings cut inside a reference, and references that a decoded & seems to begin."""
+    from harrow import registry
+    from tests import oracle
+
+    said = ["A &amp", "token = &quot;x&quot;", "a &amp;quot; b", "&lt;b&gt; &amp;amp;", "x&nbsp; y", "it&#x27;s &#39;", "&am"]
+    html = [f"<body><h1>{x}</h1><p>z</p></body>" for x in said]
+    spark.createDataFrame([(i, "https://x.org/", h) for i, h in enumerate(html)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = registry.QUERIES["single_fields"](spark, str(tmp_path)).toPandas()
+    assert oracle.rows(got) == oracle.rows(con.execute(registry.ORACLE["single_fields"]).df())
+    assert got.set_index("page_id")["value"].to_dict() == {0: "A &", 1: 'token = "x"', 2: "a &quot; b", 3: "<b> &amp;", 4: "x y", 5: "it's '", 6: "&am"}
