@@ -147,3 +147,20 @@ def test_tolerant_json_as_an_expression(spark, answer):
 
     got = spark.createDataFrame([(answer,)], "x string").select(R.tolerant_json(F.col("x"))).first()[0]
     assert (json.loads(got) if got is not None else None) == R.tolerant(answer)
+
+
+def test_long_pages_are_read_in_pieces():
+    """A long page gives the elements of a short one, and little of it is held at a time."""
+    import tracemalloc
+
+    from harrow.operators.pages import page_elements
+
+    few = "<main><h1>A &amp; b < c</h1><table><tr><td>x<br>y<td title='<b>'>z</table><!-- <p> --><script>'<p>'</script>" + "<div class='card'><b>a</b><p>b &am" * 3 + "</main>"
+    whole = [x for part in page_elements("https://x.org/", few) for x in part]
+    assert sorted(x for part in page_elements("https://x.org/", few, long=0, piece=1) for x in part) == whole
+    page = "<html><body>" + "<div class='card'><b>name</b><i>role</i></div>" * 25_000 + "</body></html>"
+    tracemalloc.start()
+    count = sum(len(part) for part in page_elements("https://x.org/", page))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == 75_002 and peak < 20_000_000, peak
