@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from harrow.operators import catalog as K
 from harrow.operators import items as I
 from harrow.operators import pages as H
-from harrow.session import table
+from harrow.session import spread, table, written
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -25,7 +25,8 @@ def query(sql: str | None = None):
 
 
 def _page(df: DataFrame, id: str, *parts) -> DataFrame:
-    """The elements of a page a row, composed of texts and Columns."""
+    """The elements of a page a row, composed of texts and Columns. The rows are spread first, so that pages are composed and parsed in many tasks."""
+    df = spread(df, id)
     html = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     return H.elements(df.select(F.col(id).cast("long").alias("page_id"), F.concat(F.lit("https://x.example.org/item/"), F.col(id).cast("string")).alias("url"), html.alias("html")))
 
@@ -98,6 +99,7 @@ def item_pages(spark, sf_dir):
 @query("SELECT c_custkey AS page_id, CASE WHEN c_custkey % 5 < 3 THEN 'li' || CASE WHEN c_custkey % 5 = 2 THEN '' ELSE '' END ELSE 'li' END AS sig, greatest(c_custkey % 5, 2) AS items FROM customer WHERE c_custkey % 5 >= 2 UNION ALL SELECT c_custkey, 'i', 2 FROM customer WHERE c_custkey % 5 = 1")
 def repeating_ancestors(spark, sf_dir):
     nodes = _page(table(spark, sf_dir, "customer"), "c_custkey", "<body><ul>", _times("<li><p><i><b>x</b></i><i>y</i></p></li>", F.col("c_custkey") % 5), "</ul></body>")
+    nodes = written(nodes.select("page_id", "node", "tag", "sig", "chain", "items"), "nodes")
     first = nodes.where("tag = 'b'").groupBy("page_id").agg(F.min("node").alias("node"))
     found = I.repeating_ancestor(nodes, first)
     return found.join(nodes.select("page_id", F.col("node").alias("item"), "sig"), ["page_id", "item"]).select("page_id", "sig", "items")
@@ -108,6 +110,7 @@ def people_lists(spark, sf_dir):
     k = F.col("c_custkey") % 3
     card = F.when(k == 0, F.lit('<div class="team"><b>A</b></div>')).when(k == 1, F.lit('<div><p><b data-styleid="speaker-name">A</b></p></div>')).otherwise("<div><b>A</b></div>")
     nodes = _page(table(spark, sf_dir, "customer"), "c_custkey", "<body>", card, card, card, "</body>")
+    nodes = written(nodes.select("page_id", "node", "parent", "last", "sig", "items", "chrome", "hint"), "nodes")
     return I.people_lists(nodes, H.sibling_lists(nodes)).select("page_id", "sig", "people")
 
 

@@ -164,3 +164,20 @@ def test_long_pages_are_read_in_pieces():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert count == 75_002 and peak < 20_000_000, peak
+
+
+def test_composed_pages_are_spread(spark):
+    """Pages composed from a file that one task reads are parsed in many."""
+    from harrow.plans.item_queries import _page
+
+    rows = spark.range(100).coalesce(1)
+    assert _page(rows, "id", "<p>", F.col("id"), "</p>").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
+
+
+@pytest.mark.parametrize("name", ["table_headers", "repeating_ancestors", "people_lists", "labelled_cards", "expanded_texts"])
+def test_item_pages_are_parsed_once(spark, name):
+    """What reads the elements several times reads them from a table."""
+    from harrow import registry
+
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapIn") <= 1
