@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -197,11 +201,32 @@ def is_excluded_title(title) -> Column:
 
 
 def role_of(title) -> Column:
+    """The role a title stands for. Most texts hold none, which one pass over their lower case says; case by Unicode, role by role, is looked at in the others only."""
     t, out = text(title), None
     for role, pattern in ROLES:
         hit = t.rlike(f"(?iu){_starts(pattern)}")
         out = F.when(hit, role) if out is None else out.when(hit, role)
-    return F.when(~is_excluded_title(t), out)
+    lower = F.lower(F.translate(t, "ſıİ", "sii"))  # letters that match others whatever the case, but aren't lower-cased to them
+    return F.when(lower.rlike(_starts(_by_letter(tuple(pattern for _, pattern in ROLES)))), F.when(~is_excluded_title(t), out))
+
+
+@functools.cache
+def _by_letter(patterns: tuple[str, ...]) -> str:
+    """The alternatives of patterns of the form (a|b|c) and an end, put under their first letters: where a word begins with none of them, some thirty letters are tried and not every alternative."""
+    under: dict[str, list[str]] = {}
+    for pattern in patterns:
+        depth, marks = 0, [0]
+        for i, x in enumerate(pattern):
+            depth += (x in "([") - (x in ")]")
+            if depth == 1 and x == "|" or depth == 0:
+                marks.append(i)
+            if depth == 0:
+                break
+        for a, b in itertools.pairwise(marks):
+            first, rest = re.fullmatch(r"(\[[^\]]*\]|\w)(.*)", pattern[a + 1 : b]).groups()
+            for letter in first.strip("[]"):
+                under.setdefault(letter, []).append(rest + pattern[marks[-1] + 1 :])
+    return "(?:" + "|".join(f"{letter}(?:{'|'.join(rests)})" for letter, rests in under.items()) + ")"
 
 
 def _starts(pattern: str) -> str:
