@@ -181,3 +181,10 @@ def test_item_pages_are_parsed_once(spark, name):
 
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapIn") <= 1
+
+
+def test_cells_of_one_file_are_spread_over_tasks(spark, tmp_path):
+    """A small file is read by one task, which must not sort or hash all cells of a table."""
+    spark.range(1000).selectExpr("id", "cast(id % 7 AS string) AS a").coalesce(1).write.parquet(str(tmp_path / "t"))
+    cells = P.long_form(spark.read.parquet(str(tmp_path / "t")), ["id", "a"], "id")
+    assert cells.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism and cells.count() == 2000
