@@ -188,3 +188,13 @@ def test_cells_of_one_file_are_spread_over_tasks(spark, tmp_path):
     spark.range(1000).selectExpr("id", "cast(id % 7 AS string) AS a").coalesce(1).write.parquet(str(tmp_path / "t"))
     cells = P.long_form(spark.read.parquet(str(tmp_path / "t")), ["id", "a"], "id")
     assert cells.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism and cells.count() == 2000
+
+
+def test_pairs_of_one_file_are_spread_over_tasks(spark, tmp_path):
+    """Nearly every line is a pair of its own: no task may hold all pairs of a file."""
+    from harrow.plans import model_queries
+
+    spark.range(3000).selectExpr("id % 11 AS l_suppkey", "cast(id % 5 AS int) AS l_linenumber", "id AS l_partkey", "cast(id % 3 AS decimal(15,2)) AS l_discount").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    best = model_queries.strongest_pairs(spark, str(tmp_path))
+    assert best.rdd.getNumPartitions() >= 16 * spark.sparkContext.defaultParallelism
+    assert {(r["list_id"], r["feed_id"]): (r["col_key"], r["score"]) for r in best.collect()}[(0, 0)] == ("c110", 2.0)
