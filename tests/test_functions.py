@@ -105,3 +105,14 @@ def test_roles_are_found_whatever_the_case(spark):
     assert [r["a"] for r in rows] == [r["b"] for r in rows] and {"owner", "md", "decision", "purchasing", "ceo"} <= {r["a"] for r in rows}
     plan = df.select(W.role_of("t").alias("a"))._jdf.queryExecution().optimizedPlan().toString()
     assert "lower(" in plan  # most texts are passed over by one pattern on their lower case
+
+
+def test_only_runs_beyond_ascii_are_normalised_in_python(spark):
+    import random
+    import unicodedata
+
+    signs, rng = ["a", "e", "K", "\n", "\n\n", " ", "́", "̣", "é", "ﬁ", "Ａ", "가", "ᄀ", "ᅡ", "ᆨ", " ", "\x85", "½", "😀", "\x01", "İ", "日本", "<", " "], random.Random(5)
+    said = ["", None, "plain", "́", "á", "\ń\n", "é\n", *("".join(rng.choices(signs, k=rng.randint(1, 30))) for _ in range(500))]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, t string").select("t", X.nfkc("t").alias("n"))
+    assert [r["n"] for r in df.collect()] == [x and unicodedata.normalize("NFKC", x) for x in said]
+    assert "regexp_extract_all" in df._jdf.queryExecution().optimizedPlan().toString()
