@@ -8,6 +8,7 @@ from collections.abc import Callable
 from urllib.parse import parse_qs, parse_qsl, urlencode, urlsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,15 +97,15 @@ def number_under(node, keys: list[str], skip: tuple[str, ...] = ("hits",), lists
     return own if own is not None else next((x for v in below if (x := number_under(v, keys, skip, lists)) is not None), None)
 
 
-def total_of(payload):
-    """The number of rows a payload states: hits, then totals (count last), then pages times page size."""
-    found = number_under(payload, ["nbHits"])
+def total_of(payload, written: str | None = None):
+    """The number of rows a payload states: hits, then totals (count last), then pages times page size. written: its text, if at hand; hits that it doesn't name aren't looked for in all of its records."""
+    named = written is None or "nbHits" in written or "\\u" in written  # letters may be escaped
+    found = number_under(payload, ["nbHits"]) if named else None
     if found is None and isinstance(payload, dict):
         found = number_under(payload, TOTAL_KEYS, (), lists=False)
         if found is None:
             found = number_under(payload, ["count"], (), lists=False)
-        pages, per = number_under(payload, ["nbPages"]), number_under(payload, ["hitsPerPage"])
-        if found is None and pages is not None and per:
+        if found is None and (pages := number_under(payload, ["nbPages"])) is not None and (per := number_under(payload, ["hitsPerPage"])):
             found = pages * per
     return found
 
@@ -173,14 +174,23 @@ def body_without_page(body, paging: dict | None):
     return copy
 
 
-def _batched(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+
+
+def _batched(df: DataFrame, run: Callable, schema: str, each: int = 500) -> DataFrame:
+    """What run yields for each row. Some hundred rows are held at a time, as plain values: records in pandas frames cost more than the walks over payloads."""
+
     def batches(it):
-        for batch in it:
-            rows = [r for record in batch.to_dict("records") for r in run(record)]
-            yield pd.DataFrame(rows, columns=names)
+        for whole in it:
+            for at in range(0, whole.num_rows, each):
+                part = whole.slice(at, each)
+                rows = [r for values in zip(*(c.to_pylist() for c in part.columns), strict=True) for r in run(dict(zip(part.schema.names, values, strict=True)))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    names = [c.split()[0] for c in schema.split(",")]
-    return df.mapInPandas(batches, schema)
+    names, kinds = zip(*(c.split() for c in schema.split(",")), strict=True)
+    types = [_TYPES[k] for k in kinds]
+    return df.mapInArrow(batches, schema)
 
 
 def find_record_sets(captures: DataFrame, id: str = "id", payload: str = "payload") -> DataFrame:
@@ -188,7 +198,7 @@ def find_record_sets(captures: DataFrame, id: str = "id", payload: str = "payloa
 
     def run(r):
         body = parsed(r[payload])
-        total = total_of(body)
+        total = total_of(body, r[payload])
         for i, (path, records) in enumerate(record_sets(body)):
             yield r[id], i, path, len(records), total
 

@@ -198,3 +198,17 @@ def test_pairs_of_one_file_are_spread_over_tasks(spark, tmp_path):
     best = model_queries.strongest_pairs(spark, str(tmp_path))
     assert best.rdd.getNumPartitions() >= 16 * spark.sparkContext.defaultParallelism
     assert {(r["list_id"], r["feed_id"]): (r["col_key"], r["score"]) for r in best.collect()}[(0, 0)] == ("c110", 2.0)
+
+
+def test_payloads_are_read_in_small_parts(spark):
+    """Many payloads in one task: their cells leave some hundred rows at a time, not a batch of ten thousand payloads at once; ids stay whole numbers beside null ones."""
+    from harrow.functions import records as R
+
+    big = 2**60 + 1
+    body = '{"list": [{"a": 1, "b": "x"}, {"a": 2, "b": null}]}'
+    rows = spark.range(3000, numPartitions=1).selectExpr("if(id = 7, null, id + %d) AS id" % big).withColumn("payload", F.lit(body))
+    sizes = R.find_record_sets(rows).collect()
+    assert {r["id"] for r in sizes} == {None, *(big + i for i in range(3000) if i != 7)} and {(r["path"], r["size"], r["total"]) for r in sizes} == {("list", 2, None)}
+    parts = R._batched(rows, lambda r: [(r["id"], 1)], "id long, n int").mapInArrow(lambda it: (b.select([0]).slice(0, 1) for b in it), "id long")
+    assert R.record_cells(rows).count() == 12000 and parts.count() >= 1
+    assert R.total_of({"a": [{"nbHits": 5}]}, '{"a":[{"nb\\u0048its":5}]}') == 5 and R.total_of({"a": [{"nbHits": 5}]}, '{"a":[{"nbHits":5}]}') == 5 and R.total_of({"total": 3}, '{"total":3}') == 3
