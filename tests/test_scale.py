@@ -212,3 +212,14 @@ def test_payloads_are_read_in_small_parts(spark):
     parts = R._batched(rows, lambda r: [(r["id"], 1)], "id long, n int").mapInArrow(lambda it: (b.select([0]).slice(0, 1) for b in it), "id long")
     assert R.record_cells(rows).count() == 12000 and parts.count() >= 1
     assert R.total_of({"a": [{"nbHits": 5}]}, '{"a":[{"nb\\u0048its":5}]}') == 5 and R.total_of({"a": [{"nbHits": 5}]}, '{"a":[{"nbHits":5}]}') == 5 and R.total_of({"total": 3}, '{"total":3}') == 3
+
+
+def test_composed_pages_are_parsed_in_many_tasks(spark, monkeypatch):
+    """Customers are one small file: their pages must not be parsed by the one task that reads it."""
+    from harrow.operators import company
+    from harrow.plans import order_queries
+
+    seen = []
+    monkeypatch.setattr(company, "facts", lambda pages: seen.append(pages) or pages.selectExpr("page_id", "'' AS name", "'' AS role", "'' AS email"))
+    order_queries.facts(spark, "/root/testdata/sf0.001")
+    assert seen[0].rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
