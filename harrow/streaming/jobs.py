@@ -86,28 +86,37 @@ def first_seen(stream: DataFrame, columns: list[str], time: str, within: str) ->
 ATTEMPT = "key string, attempts int, state string"
 
 
-def attempts(stream: DataFrame, key: str, ok: str, most: int = 3, time: str | None = None, within: str | None = None) -> DataFrame:
+def attempts(stream: DataFrame, key: str, ok: str, most: int = 3, time: str | None = None, within: str | None = None, groups: int = 1024) -> DataFrame:
     """(key, attempts, state) after each batch with news of a key: done once one of its attempts went well, given up after so many, else pending. The state is carried across batches and restarts. With a column of time
     a key is forgotten once all that arrives is later than its last attempt by more than within; attempts as late as that are dropped. (A timeout by the clock would never let a run over what is there now end.)
+    Keys are hashed into groups whose states are kept together, for a call of Python costs more than a key's attempts; a batch writes the states of all groups that it has news of, and a checkpoint keeps their number.
     Large states belong in a store on disk (spark.sql.streaming.stateStore.providerClass)."""
 
-    def update(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        tried, done = state.get if state.exists else (0, False)
-        last = 0
-        for batch in batches:
-            tried += len(batch)
-            done = done or bool(batch[ok].any())
-            last = max(last, int(batch[time].max().timestamp() * 1000)) if time and len(batch) else last
-        state.update((tried, done))
+    def update(_: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        known = {k: tuple(x) for k, *x in zip(*state.get, strict=True)} if state.exists else {}
+        news: dict = {}
+        for batch in () if state.hasTimedOut else batches:
+            for k, good, at in zip(batch["_key"], batch["_ok"], batch["_at"], strict=True):
+                tried, done, last = news.get(k) or known.get(k, (0, False, 0))
+                news[k] = (tried + 1, done or good, max(last, at))
         if time:
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame({"key": [str(k[0])], "attempts": [tried], "state": ["done" if done else "given up" if tried >= most else "pending"]})
+            now = state.getCurrentWatermarkMs()
+            known = {k: x for k, x in known.items() if x[2] + 1 >= now or k in news}
+        known |= news
+        if known:
+            state.update(([*known], *map(list, zip(*known.values(), strict=True))))
+            if time:
+                state.setTimeoutTimestamp(max(min(x[2] for x in known.values()), now) + 1)
+        else:
+            state.remove()
+        if news:
+            yield pd.DataFrame([(k, tried, "done" if done else "given up" if tried >= most else "pending") for k, (tried, done, _) in news.items()], columns=["key", "attempts", "state"])
 
-    timed = stream.withWatermark(time, within) if time else stream
-    return timed.groupBy(key).applyInPandasWithState(update, ATTEMPT, "tried int, done boolean", "update", "EventTimeTimeout" if time else "NoTimeout")
+    at = F.coalesce(F.unix_millis(time), F.lit(0)) if time else F.lit(0).cast("long")
+    columns = [F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(groups)).alias("_group"), F.col(key).cast("string").alias("_key"), F.coalesce(F.col(ok).cast("boolean"), F.lit(False)).alias("_ok"), at.alias("_at")]
+    timed = stream.withWatermark(time, within).select(*columns, time) if time else stream.select(*columns)
+    kept = "keys array<string>, tried array<int>, done array<boolean>, last array<long>"
+    return timed.groupBy("_group").applyInPandasWithState(update, ATTEMPT, kept, "update", "EventTimeTimeout" if time else "NoTimeout")
 
 
 def pages_done(spark: SparkSession, checkpoint: str) -> int:
@@ -131,12 +140,12 @@ SLICES = 3
 
 
 def _in_parts(spark: SparkSession, sf_dir: str, folder: str, part: int) -> DataFrame:
-    """The stream of events that have arrived by now: thirds of a half of them by id, each a file of its own; part 1 adds the other half."""
-    events = table(spark, sf_dir, "events")
+    """The stream of events that have arrived by now: thirds of a half of them by id, each some files of its own, a core's part in each, which are a batch; part 1 adds the other half."""
+    events, files = table(spark, sf_dir, "events"), spark.sparkContext.defaultParallelism
     for i in range(SLICES):
         own = events.where(F.col("event_id") % (2 * SLICES) == 2 * i + part)
-        own.coalesce(1).write.mode("append").parquet(f"{folder}/events")
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
+        own.repartition(files).write.mode("append").parquet(f"{folder}/events")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/events")
 
 
 def _batches(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:

@@ -89,6 +89,35 @@ def test_attempts_are_forgotten(spark, tmp_path):
     assert got[:4] == [("a", 1), ("a", 2), ("b", 1), ("b", 2)] and got[-1] == ("a", 1)  # after three weeks a's two attempts are no longer known
 
 
+def test_attempts_of_many_keys_share_states(spark, tmp_path):
+    folder = str(tmp_path)
+    for part in range(2):
+        rows = spark.range(3000).where(F.col("id") % 3 >= part).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 5 == part).alias("ok"), F.lit("2024-01-01").cast("timestamp").alias("ts"))
+        _run(jobs.attempts(_stream(spark, folder, rows.union(rows), part), "key", "ok", most=4, time="ts", within="10 days"), folder, "update")
+    got = {(r["key"], r["batch"]): (r["attempts"], r["state"]) for r in spark.read.parquet(f"{folder}/out").collect()}
+    first = {(f"k{i}", 0): (2, "pending" if i % 5 else "done") for i in range(3000)}
+    last = max(b for _, b in got)
+    assert got == first | {(f"k{i}", last): (4, "done" if i % 5 < 2 else "given up") for i in range(3000) if i % 3}
+    assert 0 < spark.read.format("statestore").load(f"{folder}/state").count() <= 1024
+
+
+def test_attempts_in_one_group_are_forgotten_apart(spark, tmp_path):
+    folder = str(tmp_path)
+    for day, key in ((1, "a"), (8, "b"), (22, "b"), (22, "a"), (23, "b"), (42, None), (42, "b")):
+        frame = spark.createDataFrame([(key, day == 8, (pd.Timestamp(2024, 1, 1) + pd.Timedelta(days=day)).to_pydatetime())], "key string, ok boolean, ts timestamp")
+        _run(jobs.attempts(_stream(spark, folder, frame, key), "key", "ok", time="ts", within="13 days", groups=1), folder, "update")
+    got = [(r["key"], r["attempts"], r["state"]) for r in spark.read.parquet(f"{folder}/out").orderBy("batch").collect()]
+    assert got == [("a", 1, "pending"), ("b", 1, "done"), ("b", 2, "done"), ("a", 1, "pending"), ("b", 3, "done"), (None, 1, "pending"), ("b", 1, "pending")]
+
+
+def test_slices_of_a_stream_are_written_by_many_tasks(spark, tmp_path):
+    spark.range(600).selectExpr("id AS event_id").write.parquet(f"{tmp_path}/events.parquet")
+    out = jobs._in_parts(spark, str(tmp_path), str(tmp_path / "x"), 0).agg(F.count("*"))
+    seen = []
+    out.writeStream.foreachBatch(lambda b, n: seen.append(b.first()[0])).outputMode("complete").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert seen == [100, 200, 300] and len(list((tmp_path / "x" / "events").glob("*.parquet"))) == 3 * spark.sparkContext.defaultParallelism > 3
+
+
 def test_rows_are_forgotten(spark, tmp_path):
     folder = str(tmp_path)
     for day, key in ((1, "a"), (2, "a"), (20, "b"), (21, "b"), (25, "a")):
