@@ -17,6 +17,7 @@ PAGE_KEYS = ["page", "pageNumber", "pageNo", "page_num", "pageIndex", "p"]
 OFFSET_KEYS = ["offset", "start", "from", "skip"]
 LIMIT_KEYS = ["limit", "pageSize", "per_page", "perPage", "size", "rows", "hitsPerPage", "first", "count"]
 TOTAL_KEYS = ["total", "totalCount", "total_count", "totalResults", "totalRows", "numFound", "recordsTotal", "totalElements", "totalItems"]
+TOLD = {*TOTAL_KEYS, "count", "nbHits", "nbPages", "hitsPerPage"}  # under which total_of looks
 SEARCH_PAGE_SIZE = 1000
 DEEPEST, SHOWN = 4, 3
 
@@ -28,6 +29,20 @@ def parsed(payload: str | None):
         return None
 
 
+def outlined(payload: str | None):
+    """A payload as parsed, of whose objects only what record_sets and total_of look at is kept: keys, objects and lists, and what may say a total. Objects with nothing but the same keys are one, however many there are."""
+    once: dict = {}
+
+    def outline(pairs: list):
+        kept = {k: v if k in TOLD or isinstance(v, (dict, list)) else None for k, v in pairs}
+        return kept if any(v is not None for v in kept.values()) else once.setdefault(tuple(kept), kept)
+
+    try:
+        return json.loads(payload, object_pairs_hook=outline) if payload else None
+    except ValueError:
+        return None
+
+
 def tolerant(answer: str | None):
     """JSON in an answer with fences or words around it: what lies between the outermost braces."""
     body = (answer or "").replace("```json", "").replace("```", "").strip()
@@ -177,13 +192,14 @@ def body_without_page(body, paging: dict | None):
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
 
 
-def _batched(df: DataFrame, run: Callable, schema: str, each: int = 500) -> DataFrame:
-    """What run yields for each row. Some hundred rows are held at a time, as plain values: records in pandas frames cost more than the walks over payloads."""
+def _batched(df: DataFrame, run: Callable, schema: str, each: int = 500, size: int = 4 << 20) -> DataFrame:
+    """What run yields for each row. Some hundred rows are held at a time, fewer if they are long (size: bytes), as plain values: records in pandas frames cost more than the walks over payloads."""
 
     def batches(it):
         for whole in it:
-            for at in range(0, whole.num_rows, each):
-                part = whole.slice(at, each)
+            some = max(1, min(each, whole.num_rows * size // max(1, whole.nbytes)))
+            for at in range(0, whole.num_rows, some):
+                part = whole.slice(at, some)
                 rows = [r for values in zip(*(c.to_pylist() for c in part.columns), strict=True) for r in run(dict(zip(part.schema.names, values, strict=True)))]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -197,7 +213,7 @@ def find_record_sets(captures: DataFrame, id: str = "id", payload: str = "payloa
     """(id, set_ord, path, size, total): each list of records of each payload."""
 
     def run(r):
-        body = parsed(r[payload])
+        body = outlined(r[payload])
         total = total_of(body, r[payload])
         for i, (path, records) in enumerate(record_sets(body)):
             yield r[id], i, path, len(records), total

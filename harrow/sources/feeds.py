@@ -6,6 +6,7 @@ import importlib
 import json
 import time
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -25,6 +26,9 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+PAGE = pa.schema([("page", pa.int64()), ("payload", pa.string())])
+
+
 class Pages(InputPartition):
     def __init__(self, first: int, last: int):
         self.first, self.last = first, last
@@ -52,7 +56,11 @@ class Fetcher:
                     if attempt == self.attempts - 1:
                         raise
                     time.sleep(self.wait * 3**attempt / 1000)  # 0.8, 2.4 s and so on
-            yield page, payload if isinstance(payload, str) else json.dumps(payload)
+            # each page leaves by itself, for rows would be gathered by thousands, whatever their size; and its text is let go before the next one is fetched
+            batch = pa.RecordBatch.from_pydict({"page": [page], "payload": [payload if isinstance(payload, str) else json.dumps(payload)]}, PAGE)
+            del payload
+            yield batch
+            del batch
 
 
 class PagedFeedReader(DataSourceReader):

@@ -141,6 +141,41 @@ def test_slices_go_on_where_a_run_stopped(spark, tmp_path):
     assert all(r["payload"] == one_page(r["page"], "x") for r in rows)
 
 
+def test_pages_of_a_feed_leave_one_by_one():
+    from harrow.sources.feeds import Fetcher, Pages
+
+    parts = list(Fetcher({"fetch": "tests.test_scale:one_page", "base": "x"}).rows(Pages(2, 5)))
+    assert [p.to_pylist() for p in parts] == [[{"page": i, "payload": one_page(i, "x")}] for i in (2, 3, 4)]
+
+
+def test_outlines_say_what_payloads_say(spark):
+    import json
+    import tracemalloc
+
+    from harrow.functions import records as R
+
+    bodies = [
+        {"data": {"list": [{"id": i, "name": f"n{i}", "tags": [{"a": 1, "b": 2}, {"a": 3, "b": None}]} for i in range(3)], "totalCount": 40}, "count": 7},
+        [{"id": 1, "total": 9, "x": {"nbHits": 12.0}}, {"id": 2, "total": 10}, "word", None],
+        [{"id": 1, "inner": []}, {"id": 2, "inner": [{"p": 1, "q": 2}] * 2}],
+        {"nbPages": 3, "hitsPerPage": 20, "hits": [{"nbHits": 5, "k": 1}, {"k": 2, "nbHits": True}]},
+        {"total": "12", "rows": [{}, {}, {"a": 1}], "more": [[{"a": 1, "b": 2}, {"a": None, "b": 2}]]}, [], 3, None,
+    ]
+    texts = [json.dumps(b) for b in bodies] + ['{"a": [{"x": 1, "y": 2, "x": [1]}, {"x": 1, "y": 2}], "a.b": 1}', "[1", ""]
+    for text in texts:
+        whole, outline = R.parsed(text), R.outlined(text)
+        assert [(p, len(r)) for p, r in R.record_sets(whole)] == [(p, len(r)) for p, r in R.record_sets(outline)]
+        assert R.total_of(whole, text) == R.total_of(outline, text)
+    rows = json.dumps({"rows": [{"id": i, "status": "O"} for i in range(50_000)]})
+    got = R.find_record_sets(spark.createDataFrame([(1, rows), (2, texts[0])], "id long, payload string")).collect()
+    assert {(r["id"], r["path"], r["size"], r["total"]) for r in got} == {(1, "rows", 50_000, None), (2, "data.list", 3, 40), (2, "data.list.0.tags", 2, 40)}
+    tracemalloc.start()
+    R.outlined(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * len(rows)
+
+
 def test_progress_of_a_job_that_was_cut_off(spark, tmp_path):
     stages = [("rows", lambda _: spark.range(10)), ("half", lambda df: df.where("id % 2 = 0"))]
     jobs.run_job(spark, str(tmp_path), stages, {"half": F.col("id") > 4})
