@@ -82,5 +82,5 @@ def nested_pages(spark, sf_dir):
 
 @query("SELECT n_nationkey::BIGINT AS page_id, 'section.wrap' AS sig, 5 AS items FROM nation UNION ALL SELECT n_nationkey, 'li', 9 FROM nation WHERE n_nationkey % 3 = 0")
 def outer_lists(spark, sf_dir):
-    nodes = H.elements(nested_pages(spark, sf_dir))
+    nodes = H.listed(H.elements(nested_pages(spark, sf_dir)))
     return H.best_lists(H.list_candidates(nodes), H.list_columns(H.list_leaves(nodes))).select("page_id", "sig", "items")

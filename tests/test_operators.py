@@ -324,6 +324,20 @@ def test_best_lists_against_a_plain_version(spark):
     assert got == {p: x for p, x in want.items() if x} and len(got[10_001]) >= 4
 
 
+def test_pages_of_best_lists_are_parsed_once(spark, tmp_path):
+    from harrow.plans.order_queries import best_lists
+
+    items = "".join(f"<li><a href='/{i}'>entry {i}</a><p>some words</p></li>" for i in range(5))
+    folder = _pages_at(spark, tmp_path, [f"<body><p>before</p><ul>{items}</ul></body>", None])
+    lists = best_lists(spark, folder)
+    assert [(r["page_id"], r["sig"], r["items"], r["columns"]) for r in lists.collect()] == [(0, "li", 5, 2)]
+    plan = lists._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "html" not in plan  # elements are read, pages aren't parsed again
+    nodes = H.elements(spark.read.parquet(f"{folder}/pages.parquet"))
+    whole = H.best_lists(H.list_candidates(nodes), H.list_columns(H.list_leaves(nodes)))
+    assert whole.collect() == lists.collect() and H.listed(nodes).count() == 15
+
+
 def test_list_cells_hold_all_repeats(spark):
     body = "".join(f"<div class='c'><b>{x}</b>{''.join(f'<span>{x}{j}</span>' for j in range(n))}<em>Hall:</em><i>h{x}</i></div>" for x, n in (("a", 0), ("b", 1), ("c", 3), ("d", 2)))
     table = "<table>" + "".join(f"<tr><td>{i}a</td><td>{i}b</td></tr>" for i in range(3)) + "</table>"
