@@ -24,11 +24,16 @@ def query(sql: str | None = None):
     return add
 
 
-def _page(df: DataFrame, id: str, *parts) -> DataFrame:
-    """The elements of a page a row, composed of texts and Columns. The rows are spread first, so that pages are composed and parsed in many tasks."""
+def _composed(df: DataFrame, id: str, *parts) -> DataFrame:
+    """A page a row, composed of texts and Columns. The rows are spread first, so that pages are composed and parsed in many tasks."""
     df = spread(df, id)
     html = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    return H.elements(df.select(F.col(id).cast("long").alias("page_id"), F.concat(F.lit("https://x.example.org/item/"), F.col(id).cast("string")).alias("url"), html.alias("html")))
+    return df.select(F.col(id).cast("long").alias("page_id"), F.concat(F.lit("https://x.example.org/item/"), F.col(id).cast("string")).alias("url"), html.alias("html"))
+
+
+def _page(df: DataFrame, id: str, *parts) -> DataFrame:
+    """The elements of such pages."""
+    return H.elements(_composed(df, id, *parts))
 
 
 def _times(html: str, n) -> F.Column:
@@ -67,14 +72,14 @@ def _orders_table(spark, sf_dir) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
     k = F.col("l_orderkey")
     head = F.when(k % 3 == 0, F.lit("<thead><tr><th>No</th><th><b>Part</b> key</th></tr></thead>")).when(k % 3 == 1, F.lit("<tr><td>Nr</td><td>Teil</td></tr>")).otherwise("<tr><th></th><td></td></tr>")
-    return _page(lines, "l_orderkey", "<body><table>", head, _times("<tr><td>1</td><td>x</td></tr>", F.col("n")), "</table></body>")
+    return _composed(lines, "l_orderkey", "<body><table>", head, _times("<tr><td>1</td><td>x</td></tr>", F.col("n")), "</table></body>")
 
 
 @query(
     """WITH n AS (SELECT l_orderkey AS page_id, count(*) AS rows FROM lineitem GROUP BY 1), h AS (SELECT page_id, rows, unnest(CASE WHEN page_id % 3 = 0 THEN ['No', 'Part key'] ELSE ['Nr', 'Teil'] END) AS header, unnest([0, 1]) AS cell FROM n WHERE page_id % 3 < 2) SELECT page_id, cell, header, rows FROM h"""
 )
 def table_headers(spark, sf_dir):
-    return I.table_headers(_orders_table(spark, sf_dir)).groupBy("page_id", "cell", "header").agg(F.count("*").alias("rows"))
+    return I.headers_of(H.table_parts(_orders_table(spark, sf_dir))).groupBy("page_id", "cell", "header").agg(F.count("*").alias("rows"))
 
 
 def _item_page(spark, sf_dir) -> DataFrame:

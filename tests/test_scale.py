@@ -328,3 +328,40 @@ def test_item_pages_of_pages_that_pack_small(spark):
     pages = registry.QUERIES["item_pages"](spark, "/root/testdata/sf0.001")
     plan = pages._jdf.queryExecution().executedPlan().toString()
     assert broadcasts(pages) == 0 and "InPandas" not in plan and "ArrowEvalPython" not in plan  # lists, chosen in Python, are read from a table
+
+
+def test_table_headers_of_odd_pages(spark):
+    """Parts of tables read while parsing give the headers that the elements give: nested tables, heads further down, rows without a table, cells without a row, empty heads."""
+    from harrow.operators import items as I
+    from harrow.operators import pages as H
+
+    row = lambda *cells: "<tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr>"
+    inner = f"<table class='in'>{row('x', 'y')}{row(1, 2)}</table>"
+    pages = [
+        f"<table>{row('a', 'b')}{row(inner, 'c')}{row('d')}</table>", f"<table>{row(1)}<thead><tr><th>H</th><td><b>I</b> J</td></tr></thead>{row(2)}</table>", f"<div>{row('a')}{row('b')}<td>lone</td></div><table><td>no row</td></table>",
+        f"<table>{row('', '')}{row(1, 2)}</table>", f"<table><thead><tr><td>{inner}</td></tr></thead>{row(3)}</table>", "", None, f"<table><tr class='q'><th data-testid='k'>K</th><th></th></tr>{row(1, 2, 3)}</table>",
+    ]
+    frame = spark.createDataFrame([(i, f"https://x.org/{i}", h) for i, h in enumerate([*pages, *pages, "<table>" + row("a") + row("b") * 60_000 + "</table>"])], "page_id long, url string, html string").coalesce(1)
+    of_parts = I.headers_of(H.table_parts(frame))
+    got = sorted(map(tuple, of_parts.collect()))
+    assert got == sorted(map(tuple, I.table_headers(H.elements(frame)).collect()))
+    assert [(p, c, h) for p, _, c, h in got if p in (1, 7)] == [(1, 0, "H"), (1, 1, "I J")] * 2 + [(7, 0, "K"), (7, 1, "")] and sum(p == 16 for p, *_ in got) == 60_000
+    assert {h for p, _, _, h in got if p == 0} == {"a", "b", "x", "y"} and not {2, 3, 5, 6} & {p for p, *_ in got}
+    assert I.headers_of(H.table_parts(frame))._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_pages_of_the_same_text_are_parsed_once(spark):
+    from harrow.operators import pages as H
+
+    folder = spark.createDataFrame([(i if i else None, f"https://x.org/{i % 2}/", f"<p><a href='a'>{i % 3}</a></p>" if i % 5 else None) for i in range(3000)], "page_id long, url string, html string").coalesce(1)
+    calls = spark.sparkContext.accumulator(0)
+    schema, kinds = H._SCHEMA, H.NODES
+    page_elements = H.page_elements
+
+    def counted(base, html):
+        calls.add(1)
+        return page_elements(base, html)
+
+    got = H._parsed(folder, "html", counted, schema, kinds, True, 50).collect()
+    want = [(i if i else None, *x) for i in range(3000) if i % 5 for part in page_elements(f"https://x.org/{i % 2}/", f"<p><a href='a'>{i % 3}</a></p>") for x in part]
+    assert [tuple(r) for r in got] == [tuple(x) for x in want] and calls.value == 8
